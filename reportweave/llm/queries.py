@@ -47,6 +47,43 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), bi AS (
+  SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0
+), pat AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS p FROM bi
+), sizes AS (SELECT DISTINCT k FROM pat),
+dw AS (
+  SELECT doc_id, s.k, w, unnest(range(1, len(w) - s.k + 2)) AS i FROM d, sizes s WHERE len(w) >= s.k
+), hit AS (
+  SELECT dw.doc_id, dw.i, dw.k, pat.item_id FROM dw JOIN pat ON pat.k = dw.k AND pat.p = array_to_string(dw.w[dw.i : dw.i + dw.k - 1], ' ')
+), covered AS (
+  SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM hit) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hit) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprint import fingerprint_documents
 
@@ -54,13 +91,13 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The blocked hosts are those of the corpus that no page reaches by https."""
-    from .url_filter import filter_urls, url_host
+    """The blocked keys are those of the corpus that no page reaches by https."""
+    from .url_filter import filter_urls, url_host, url_key, url_path
 
     pages = read_table(spark, sf_dir, "pages")
     secure = F.coalesce(F.col("url").startswith("https://"), F.lit(False))
-    hosts = pages.select(url_host(F.col("url")).alias("host"), secure.alias("secure"))
-    listed = hosts.groupBy("host").agg(F.bool_or("secure").alias("secure")).filter("not secure")
+    keys = pages.select(url_key(url_host(F.col("url")), url_path(F.col("url"))).alias("key"), secure.alias("secure"))
+    listed = keys.groupBy("key").agg(F.bool_or("secure").alias("secure")).filter("not secure")
     return filter_urls(pages, listed)
 
 
@@ -69,7 +106,7 @@ WITH p AS (
   SELECT page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages
 ), listed AS (
-  SELECT host FROM p GROUP BY host HAVING NOT bool_or(coalesce(starts_with(url, 'https://'), false))
+  SELECT host || path AS k FROM p GROUP BY 1 HAVING NOT bool_or(coalesce(starts_with(url, 'https://'), false))
 ), r AS (
   SELECT *, CASE
     WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
@@ -82,13 +119,15 @@ WITH p AS (
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
   WHEN rule IS NOT NULL THEN 'block'
-  WHEN host IN (SELECT host FROM listed) THEN 'block' ELSE 'allow' END AS verdict
+  WHEN host || path IN (SELECT k FROM listed) THEN 'block' ELSE 'allow' END AS verdict
 FROM r
 """
 
 QUERIES = {
     "op3_chat_format": op3_chat_format,
+    "op4_decontaminate": op4_decontaminate,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op9_url_filter": op9_url_filter,
 }
-ORACLE = {"op3_chat_format": OP3_SQL, "op9_url_filter": OP9_SQL}
+ORACLE = {"op4_decontaminate": OP4_SQL, "op3_chat_format": OP3_SQL, "op9_url_filter": OP9_SQL}

@@ -2,12 +2,12 @@
 
 Level 0 of the cascade encodes the listed keys, level 1 the unlisted keys of the universe that level 0 lets
 through, level 2 the listed keys that level 1 lets through, and so on until nothing is let through wrongly.
-The universe is every distinct key of the corpus, so each of its keys gets its exact answer from the first
+A key is a url's host and path. The universe is every distinct key of the corpus, so each of its keys gets its exact answer from the first
 level that lacks it. Pages are judged without a join: the levels' bit arrays are broadcast, in shards whose
 size is checked, one shard at a time when they exceed the bound.
 
-Defined cases: a null url, or one without "://", has empty host and path, fits no rule, and its key is the
-empty host. Repeated rows are judged alike; other columns (whatever their names) don't matter. An empty
+Defined cases: a null url, or one without "://", has empty host and path, fits no rule, and its key is
+empty. Repeated rows are judged alike; other columns (whatever their names) don't matter. An empty
 table gives an empty result. A null key in the listed set lists nothing.
 """
 
@@ -142,17 +142,23 @@ def listed_by_cascade(rows: DataFrame, universe: DataFrame, max_bytes: int = 64
     return out
 
 
+def url_key(host: Column, path: Column) -> Column:
+    """What a list names: host and path, without scheme, query and fragment."""
+    return F.concat(host, path)
+
+
 def filter_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, max_bytes: int = 64 << 20) -> DataFrame:
-    """page_id, host, path, rule, verdict for every row; listed(host) holds the blocked hosts.
+    """page_id, host, path, rule, verdict for every row; listed(key) holds the blocked keys (see url_key).
 
-    A rule decides where one fits, else the cascade does: block if the host is listed, allow if not.
+    A rule decides where one fits, else the cascade does: block if the key is listed, allow if not.
     """
-    hashed = lambda df: df.withColumn("h1", F.xxhash64("host")).withColumn("h2", F.xxhash64(F.lit(7), "host"))
-    rows = hashed(pages.select(F.col(id_col).alias("page_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path")))
-    marks = listed.select("host").filter("host is not null").withColumn("listed", F.lit(True))
-    every = rows.select("host").withColumn("listed", F.lit(False)).unionByName(marks)
-    universe = materialize(hashed(every.groupBy("host").agg(F.bool_or("listed").alias("listed"))), "url-universe")
-    judged = listed_by_cascade(rows, universe, max_bytes)
+    hashed = lambda df: df.withColumn("h1", F.xxhash64("key")).withColumn("h2", F.xxhash64(F.lit(7), "key"))
+    rows = pages.select(F.col(id_col).alias("page_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
+    rows = hashed(rows.withColumn("key", url_key(F.col("host"), F.col("path"))))
+    marks = listed.select("key").filter("key is not null").withColumn("listed", F.lit(True))
+    every = rows.select("key").withColumn("listed", F.lit(False)).unionByName(marks)
+    universe = hashed(every.groupBy("key").agg(F.bool_or("listed").alias("listed"))).select("h1", "h2", "listed")
+    judged = listed_by_cascade(rows, materialize(universe, "url-universe"), max_bytes)
     hit = longest_rule(F.col("host"), F.col("path"), rules)
     judged = judged.withColumn("hit", hit)
     verdict = F.coalesce(F.col("hit.verdict"), F.when(F.col("in_list"), "block").otherwise("allow"))
