@@ -78,6 +78,14 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_documents, train
+
+    docs = read_table(spark, sf_dir, "documents")
+    model = train(docs, read_table(spark, sf_dir, "labels"))
+    return score_documents(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -126,6 +134,7 @@ FROM r
 QUERIES = {
     "op3_chat_format": op3_chat_format,
     "op4_decontaminate": op4_decontaminate,
+    "op5_quality": op5_quality,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op9_url_filter": op9_url_filter,
