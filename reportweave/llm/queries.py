@@ -98,6 +98,32 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import dedup_substrings
+
+    return dedup_substrings(read_table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13
+), win AS (
+  SELECT doc_id, i, sha256(array_to_string(w[i : i + 12], ' ')) AS p FROM s
+), firsts AS (
+  SELECT p, min(doc_id) AS low FROM win GROUP BY p
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM win JOIN firsts USING (p) WHERE low < doc_id
+), g AS (
+  SELECT doc_id, list(j) AS js FROM gone GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(js), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN js IS NULL THEN w ELSE list_filter(w, lambda x, k: NOT list_contains(js, k)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The blocked keys are those of the corpus that no page reaches by https."""
     from .url_filter import filter_urls, url_host, url_key, url_path
@@ -137,6 +163,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_document_fingerprints": op7_document_fingerprints,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_url_filter": op9_url_filter,
 }
-ORACLE = {"op4_decontaminate": OP4_SQL, "op3_chat_format": OP3_SQL, "op9_url_filter": OP9_SQL}
+ORACLE = {"op4_decontaminate": OP4_SQL, "op3_chat_format": OP3_SQL, "op8_substring_dedup": OP8_SQL, "op9_url_filter": OP9_SQL}
