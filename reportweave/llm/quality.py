@@ -20,15 +20,14 @@ every score is that class. Rows are scored one by one, so repeated rows score al
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import gathered_sum
 from .wordbytes import LOWER, Words, blocks, mix, separators, word_hashes, words
 
 CELLS, DIMS, NONZERO, REACH = 1 << 13, 64, 4, 2
-CHUNK = 64  # cells in one row of a partial table
 STATS = 8
 FEATURES = 2 * DIMS + STATS
 _ALNUM = separators("alnum")
@@ -70,41 +69,23 @@ def _cells(h: np.ndarray) -> np.ndarray:
 
 
 def context_table(docs: DataFrame) -> np.ndarray:
-    """CELLS x DIMS sums of neighbours' index vectors over all documents, gathered through the executors."""
+    """CELLS x DIMS sums of neighbours' index vectors over all documents."""
 
-    def partial(batches):
+    def add(total, texts):
         dim, sign = index_vectors(np.arange(CELLS))
-        total, part = np.zeros(CELLS * DIMS), 0
-        for batch in batches:
-            part = batch.column("part")[0].as_py() if batch.num_rows else part
-            for b in blocks(batch.column("text")):
-                w, h, _ = tokens(b)
-                cell = _cells(h)
-                for d in range(1, REACH + 1):
-                    if len(cell) <= d:
-                        continue
-                    same = w.row[d:] == w.row[:-d]
-                    left, right = cell[:-d][same], cell[d:][same]
-                    for to, of in ((left, right), (right, left)):
-                        for i in range(NONZERO):
-                            total += np.bincount(to * DIMS + dim[of, i], sign[of, i], CELLS * DIMS)
-        rows = total.reshape(CELLS // CHUNK, -1)
-        some = np.flatnonzero(np.abs(rows).sum(1))
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(some, pa.int32()), "slot": pa.array([part % 64] * len(some), pa.int32()), "sums": pa.array([rows[i].astype(np.float32).tobytes() for i in some], pa.binary())})
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(CHUNK * DIMS)
-        for x in pdf["sums"]:
-            out += np.frombuffer(x, np.float32)
-        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "slot": pdf["slot"].iloc[:1], "sums": [out.astype(np.float32).tobytes()]})
-
-    kind = "chunk int, slot int, sums binary"
-    parts = docs.select(F.spark_partition_id().alias("part"), "text").mapInArrow(partial, kind)
-    rows = parts.groupBy("chunk", "slot").applyInPandas(add, kind).groupBy("chunk").applyInPandas(add, kind).collect()
-    table = np.zeros((CELLS // CHUNK, CHUNK * DIMS), np.float32)
-    for r in rows:
-        table[r["chunk"]] = np.frombuffer(r["sums"], np.float32)
-    return table.reshape(CELLS, DIMS)
+        for b in blocks(texts):
+            w, h, _ = tokens(b)
+            cell = _cells(h)
+            for d in range(1, REACH + 1):
+                if len(cell) <= d:
+                    continue
+                same = w.row[d:] == w.row[:-d]
+                left, right = cell[:-d][same], cell[d:][same]
+                for to, of in ((left, right), (right, left)):
+                    for i in range(NONZERO):
+                        total += np.bincount(to * DIMS + dim[of, i], sign[of, i], CELLS * DIMS)
+
+    return gathered_sum(docs, add, CELLS * DIMS).reshape(CELLS, DIMS)
 
 
 def word_vectors(context: np.ndarray) -> np.ndarray:

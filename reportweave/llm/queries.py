@@ -157,6 +157,12 @@ SELECT page_id, host, path, rule, CASE
 FROM r
 """
 
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash_dedup import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
 QUERIES = {
     "op3_chat_format": op3_chat_format,
     "op4_decontaminate": op4_decontaminate,
@@ -165,5 +171,6 @@ QUERIES = {
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_url_filter": op9_url_filter,
+    "op10_minhash_dedup": op10_minhash_dedup,
 }
 ORACLE = {"op4_decontaminate": OP4_SQL, "op3_chat_format": OP3_SQL, "op8_substring_dedup": OP8_SQL, "op9_url_filter": OP9_SQL}
