@@ -31,7 +31,8 @@ from .wordbytes import blocks, gram_hashes, mix, separators, whole_grams, word_h
 
 _SPACE = separators("space")
 _BYTES = 5
-ROW = "ah long, doc_id long, tag short, first int, sig binary"
+#: at: the tag of the document in the upper half, the first window's word in the lower; -1 in rows of history.
+ROW = "ah long, doc_id long, at long, sig binary"
 COVERED = "doc_id long, tag short, first int, mask int"
 
 
@@ -41,6 +42,7 @@ def anchor_rows(docs: DataFrame, n: int, anchor: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
+            tags = batch.column("tag").to_numpy().astype(np.int64)
             for b in blocks(batch.column("text")):
                 w = words(b, _SPACE)
                 at = whole_grams(w, n)
@@ -63,11 +65,10 @@ def anchor_rows(docs: DataFrame, n: int, anchor: int) -> DataFrame:
                     [
                         pa.array(best[new].view(np.int64)),
                         batch.column("doc_id").take(doc),
-                        batch.column("tag").take(doc),
-                        pa.array((at[new] - w.first[row]).astype(np.int32)),
+                        pa.array(tags[b.first + row] << 32 | (at[new] - w.first[row])),
                         pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())]),
                     ],
-                    names=["ah", "doc_id", "tag", "first", "sig"],
+                    names=["ah", "doc_id", "at", "sig"],
                 )
 
     tagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag_of(F.col("text")).alias("tag"), "text")
@@ -123,25 +124,24 @@ def _stream(batches, order: str):
 def _covered(batches):
     """COVERED's rows: which windows of a batch's rows repeat an earlier place."""
     for batch, _, row, late in _stream(batches, "place"):
-        late &= batch.column("fresh").to_numpy(zero_copy_only=False)[row]
+        place = batch.column("at").to_numpy()
+        late &= place[row] >= 0
         if not late.any():
             continue
         start = np.searchsorted(row, np.arange(batch.num_rows))
         bit = np.where(late, 1 << np.minimum(np.arange(len(row)) - start[row], 30), 0)
         mask = np.bincount(row, bit, batch.num_rows).astype(np.int64)
-        some = pa.array(np.flatnonzero(mask))
-        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(some) for c in ("doc_id", "tag", "first")], pa.array(mask[mask > 0].astype(np.int32))], names=["doc_id", "tag", "first", "mask"])
+        some = np.flatnonzero(mask)
+        place = place[some]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(some)), pa.array((place >> 32).astype(np.int16)), pa.array((place & 0xFFFFFFFF).astype(np.int32)), pa.array(mask[some].astype(np.int32))], names=["doc_id", "tag", "first", "mask"])
 
 
 def _kept(batches):
     """ROW's rows without the windows that an earlier row has."""
     seen_rows = 0
-    numbered = []
-
     def number():
         nonlocal seen_rows
         for batch in batches:
-            numbered.append(batch)
             yield batch.append_column("number", pa.array(np.arange(seen_rows, seen_rows + batch.num_rows)))
             seen_rows += batch.num_rows
 
@@ -153,7 +153,7 @@ def _kept(batches):
         raw = np.ascontiguousarray(wh.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :_BYTES]
         take = pa.array(some)
         sig = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())])
-        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in ("ah", "doc_id", "tag", "first")], sig], names=["ah", "doc_id", "tag", "first", "sig"])
+        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in ("ah", "doc_id", "at")], sig], names=["ah", "doc_id", "at", "sig"])
 
 
 @dataclass
@@ -179,14 +179,14 @@ class WindowIndex:
         fresh = anchor_rows(docs, self.n, self.anchor)
         history = list(self.runs)
         if keep:
-            self.runs.append(self._write(fresh.repartition("ah").sortWithinPartitions("ah", "doc_id", "first")))
+            self.runs.append(self._write(fresh.repartition("ah").sortWithinPartitions("ah", "doc_id", "at")))
             fresh = self._read(self.runs[-1:])
-        rows = fresh.withColumn("fresh", F.lit(True))
+        rows = fresh
         if history:
-            rows = self._read(history).withColumn("fresh", F.lit(False)).unionByName(rows)
+            rows = self._read(history).withColumn("at", F.lit(-1).cast("long")).unionByName(rows)
         # history comes first, then documents in order, null before all
-        place = F.when(F.col("fresh"), F.coalesce("doc_id", F.lit(-(1 << 63) + 1))).otherwise(F.lit(-(1 << 63)))
-        rows = rows.withColumn("place", place).repartition("ah").sortWithinPartitions("ah", "place", "first")
+        place = F.when(F.col("at") >= 0, F.coalesce("doc_id", F.lit(-(1 << 63) + 1))).otherwise(F.lit(-(1 << 63)))
+        rows = rows.repartition("ah").withColumn("place", place).sortWithinPartitions("ah", "place", "at")
         out = rows.mapInArrow(_covered, COVERED)
         if keep and len(self.runs) > self.max_runs:
             self.compact()
@@ -194,7 +194,7 @@ class WindowIndex:
 
     def compact(self) -> None:
         """One run in place of all, each window once. Old runs stay on disk for readers that hold them."""
-        rows = self._read(self.runs).repartition("ah").sortWithinPartitions("ah", "doc_id", "first")
+        rows = self._read(self.runs).repartition("ah").sortWithinPartitions("ah", "doc_id", "at")
         self.runs = [self._write(rows.mapInArrow(_kept, ROW))]
 
 
