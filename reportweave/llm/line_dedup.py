@@ -186,6 +186,7 @@ def line_counts(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 def drop_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """docs with the lines that duplicate an earlier one taken out of their texts; null texts stay null."""
     gone = materialize(duplicate_lines(docs, threshold), "lines-gone").select(F.col("doc_id").alias("g_doc"), F.col("tag").alias("g_tag"), F.col("lines").alias("g_lines"))
+    names = docs.columns
     keyed = docs.withColumn("g_own", tag_of(F.col("text")))
     out = keyed.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("g_doc")) & (F.col("g_own") == F.col("g_tag")), "left")
 
@@ -197,8 +198,8 @@ def drop_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
                     gone = set(gone)
                     t = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
                 texts.append(t)
-            cols = {n: batch.column(n) for n in batch.schema.names if n in docs.columns}
+            cols = {n: batch.column(n) for n in names}
             cols["text"] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([cols[c] for c in docs.columns], names=docs.columns)
+            yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=names)
 
-    return out.select(*docs.columns, "g_lines").mapInArrow(run, docs.schema)
+    return out.select(*names, "g_lines").mapInArrow(run, docs.schema)
