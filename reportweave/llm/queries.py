@@ -14,6 +14,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import ADDED, PATTERNS, find_pii, spelled
+
+    found = find_pii(read_table(spark, sf_dir, "documents"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS]
+    return found.select("doc_id", *counts, F.sha2(spelled(list(PATTERNS)), 256).alias("base_sha256"), spelled([*PATTERNS, *ADDED]).alias("spans"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat_format import as_events, format_chats, read_back, read_spans
 
@@ -171,6 +179,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_pii": op2_pii,
     "op3_chat_format": op3_chat_format,
     "op4_decontaminate": op4_decontaminate,
     "op5_quality": op5_quality,
