@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir, text_key
+from .travel import packed, unpacked
 from .wordbytes import blocks, gram_hashes, mix, separators, whole_grams, word_hashes, words
 
 _SPACE = separators("space")
@@ -203,7 +204,7 @@ def remove_covered(docs: DataFrame, covered: DataFrame, n: int, keep: list[str]
     keep = ["doc_id"] if keep is None else keep
     spans = covered.groupBy(F.col("doc_id").alias("c_doc"), F.col("tag").alias("c_tag")).agg(F.collect_list(F.struct("first", "mask")).alias("c_spans"))
     rows = docs.select(*dict.fromkeys([*keep, "doc_id", "text"])).withColumn("c_own", tag_of(F.col("text")))
-    joined = rows.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("c_doc")) & (F.col("c_own") == F.col("c_tag")), "left")
+    joined = packed(rows).join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("c_doc")) & (F.col("c_own") == F.col("c_tag")), "left")
 
     def run(batches):
         for batch in batches:
@@ -214,7 +215,8 @@ def remove_covered(docs: DataFrame, covered: DataFrame, n: int, keep: list[str]
             owner = np.repeat(np.arange(batch.num_rows), np.diff(edges))
             n_words, n_removed = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             digest, texts = [""] * batch.num_rows, [""] * batch.num_rows
-            for b in blocks(batch.column("text")):
+            whole = pa.array(unpacked(batch.column("text")), pa.large_string())
+            for b in blocks(whole):
                 w = words(b, _SPACE)
                 lo, hi = edges[b.first], edges[b.first + b.rows]
                 base = w.first[owner[lo:hi] - b.first] + first[lo:hi]
@@ -233,7 +235,7 @@ def remove_covered(docs: DataFrame, covered: DataFrame, n: int, keep: list[str]
                     digest[b.first + r] = hashlib.sha256(text).hexdigest()
                     if with_text:
                         texts[b.first + r] = text.decode("utf-8", "replace")
-            cols = [*[batch.column(c) for c in keep], pa.array(n_words), pa.array(n_removed), pa.array(digest)]
+            cols = [*[whole.cast(pa.string()) if c == "text" else batch.column(c) for c in keep], pa.array(n_words), pa.array(n_removed), pa.array(digest)]
             names = [*keep, "n_words", "n_removed", "kept_sha256"]
             if with_text:
                 cols, names = [*cols, pa.array(texts, pa.string())], [*names, "kept_text"]
