@@ -1,9 +1,10 @@
 """Classes of near duplicates from hash buckets: star candidates, exact verification, union-find, and the rest exactly.
 
-Members of a bucket are first compared with its least member only, which is linear in the bucket. A link between two
-others could be missed if one of them isn't linked to the least member. Those are found in a second step over the
-buckets that still hold several components: a pair is compared unless the triangle inequality of the (weighted) Jaccard
-distance rules it out, given both distances from the least member, which have been computed. So every pair of a bucket is
+Members of a bucket are first compared with its most central member only, which is linear in the bucket. Central is who
+meets most others over all buckets: in a group of copies that is a copy with few changes, to which most others are
+linked. A link between two others could be missed if one of them isn't linked to the central member. Those are found
+in a second step over the buckets that still hold several components: a pair is compared unless the triangle inequality
+of the (weighted) Jaccard distance rules it out, given both distances from the central member, which have been computed. So every pair of a bucket is
 linked, ruled out, or compared, and no hot group of duplicates is expanded into its pairs.
 """
 
@@ -11,7 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,24 +25,58 @@ EPS = 1e-9
 
 
 def buckets_by_join(rows: DataFrame) -> DataFrame:
-    """(key, node, rep) of the buckets of rows(key, node) with several nodes. The least node is aggregated before the
-    shuffle and joined back, so that a hot key may be split."""
-    least = rows.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return rows.join(least, "key").select("key", "node", "rep")
+    """(key, node, n) of the buckets of rows(key, node) with n > 1 nodes. Counts are aggregated before the shuffle and
+    joined back, so that a hot key may be split."""
+    return rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key").select("key", "node", "n")
 
 
 def buckets_by_window(rows: DataFrame) -> DataFrame:
     """As buckets_by_join, with one shuffle of the rows instead of two; a bucket is sorted (and spilled) in one task."""
-    w = W.partitionBy("key")
-    return rows.select("key", "node", F.min("node").over(w).alias("rep"), F.count("*").over(w).alias("n")).filter("n > 1").drop("n")
+    return rows.select("key", "node", F.count("*").over(W.partitionBy("key")).alias("n")).filter("n > 1")
 
 
-def near_classes(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+def with_central(members: DataFrame) -> DataFrame:
+    """(key, node, rep) of members(key, node, n): rep has the greatest sum of n over its buckets, the least of equals."""
+    mass = members.groupBy("node").agg(F.sum("n").alias("mass"))
+    reps = members.join(mass, "node").groupBy("key").agg(F.min(F.struct((-F.col("mass")).alias("mass"), "node")).alias("best"))
+    return members.join(reps, "key").select("key", "node", F.col("best.node").alias("rep"))
+
+
+SKETCH_LONGS, SKETCH_BYTES = 50, 7
+SKETCH = SKETCH_LONGS * SKETCH_BYTES
+
+
+def agreeing(x: str, y: str) -> Column:
+    """How many bytes agree in two sketches: SKETCH_LONGS longs of SKETCH_BYTES bytes each, a byte a sample."""
+    low = 0x7F7F7F7F7F7F7F
+    total = F.lit(0)
+    for i in range(SKETCH_LONGS):
+        z = F.col(x)[i].bitwiseXOR(F.col(y)[i])
+        differs = (z.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(z).bitwiseAND(F.lit(0x80808080808080))
+        total = total + F.lit(SKETCH_BYTES) - F.bit_count(differs)
+    return total
+
+
+def sketch_longs(samples: np.ndarray) -> np.ndarray:
+    """Sketch of SKETCH 64-bit samples: their low bytes."""
+    low = (samples[:SKETCH] & np.uint64(255)).reshape(SKETCH_LONGS, SKETCH_BYTES)
+    return (low << (np.arange(SKETCH_BYTES, dtype=np.uint64) * np.uint64(8))).sum(1, dtype=np.uint64).view(np.int64)
+
+
+def least_agreement(threshold: float, sigmas: float = 4.5) -> int:
+    """Agreements that a pair at the threshold falls short of only by so many standard deviations (4.5: 3 in a million)."""
+    n = SKETCH
+    return int(n * threshold - sigmas * (n * threshold * (1 - threshold)) ** 0.5)
+
+
+def near_classes(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame], threshold: float, sketch: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, root) of all nodes that are linked to another.
 
-    members: (key, node, rep). fetch: nodes to (node, text). compare: (a, b, a_text, b_text) to (a, b, sim).
+    members: (key, node, n), see buckets_by_join. fetch: nodes to (node, text). compare: (a, b, a_text, b_text) to (a, b, sim).
+    sketch: (node, text) to (node, sketch) of SKETCH samples, taken of the second step's nodes only; pairs whose samples
+    agree far too rarely (see least_agreement) are ruled out inside the join.
     """
-    members = materialize(members, "near-members")
+    members = materialize(with_central(materialize(members, "near-buckets")), "near-members")
     star = members.filter(F.col("node") != F.col("rep")).select("node", "rep").distinct()
     needed = star.select("node").unionByName(star.select(F.col("rep").alias("node"))).distinct()
     texts = materialize(fetch(needed).select("node", "text"), "near-texts")
@@ -58,8 +94,12 @@ def near_classes(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], co
     known = sims.select(F.col("a").alias("rep"), F.col("b").alias("node"), "sim")
     rest = placed.filter(F.col("node") != F.col("rep")).join(mixed, "key", "left_semi").join(known, ["rep", "node"])
     rest = materialize(rest.select("key", "node", "root", "sim"), "near-rest")
-    x, y = (rest.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "root", "sim")]) for p in "xy")
-    apart = x.join(y, "key").filter((F.col("x_node") < F.col("y_node")) & (F.col("x_root") != F.col("y_root")) & (F.abs(F.col("x_sim") - F.col("y_sim")) <= 1 - threshold + EPS))
+    samples = materialize(sketch(texts.join(rest.select("node").distinct(), "node").select("node", "text")), "near-sketches")
+    rest = rest.join(samples, "node")
+    x, y = (rest.select("key", *[F.col(c).alias(f"{p}_{c}") for c in rest.columns if c != "key"]) for p in "xy")
+    near = (F.col("x_node") < F.col("y_node")) & (F.col("x_root") != F.col("y_root")) & (F.abs(F.col("x_sim") - F.col("y_sim")) <= 1 - threshold + EPS)
+    near = near & (agreeing("x_sketch", "y_sketch") >= least_agreement(threshold))
+    apart = x.join(y, (x["key"] == y["key"]) & near)
     pairs = apart.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"), "x_root", "y_root").distinct()
     found = verify(pairs.select("a", "b")).filter(F.col("sim") >= threshold - EPS).select("a", "b")
     links = cut(pairs.join(found, ["a", "b"]).select(F.col("x_root").alias("a"), F.col("y_root").alias("b")).distinct())
