@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .near import buckets_by_window, near_classes
+from .near import SKETCH, buckets_by_window, near_classes, sketch_longs
 from .substring_dedup import tag_of
 from .wordbytes import mix
 
-SHINGLE, ROWS, BANDS = 8, 3, 8
+SHINGLE, ROWS, BANDS = 8, 4, 10
 _CHARS = 1 << 17
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _FACTORS = (mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
@@ -36,8 +36,8 @@ def line_spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, np.concatenate([[0], edge + 1]), np.append(edge, len(codes))
 
 
-def signatures(codes: np.ndarray, start: np.ndarray, end: np.ndarray, sign: bool = True):
-    """(h1, h2, bands) of the lines [start, end) that aren't empty; bands are uint64[lines, BANDS], 0 without sign."""
+def signatures(codes: np.ndarray, start: np.ndarray, end: np.ndarray):
+    """(h1, h2, bands) of the lines [start, end) that aren't empty; bands are uint64[lines, BANDS]."""
     length = end - start
     h = np.zeros(max(len(codes) - SHINGLE + 1, 0), np.uint64)
     for i in range(SHINGLE):
@@ -57,14 +57,13 @@ def signatures(codes: np.ndarray, start: np.ndarray, end: np.ndarray, sign: bool
     h1 = mix(np.add.reduceat(ordered, edge) + length.astype(np.uint64))
     h2 = mix(np.add.reduceat(ordered ^ (g << np.uint64(1)), edge) ^ length.astype(np.uint64))
     keys = np.zeros((len(start), BANDS), np.uint64)
-    if sign:
-        base = (g >> np.uint64(32)).astype(np.uint32)
-        for b in range(BANDS):
-            key = np.full(len(start), b + 1, np.uint64)
-            for j in range(ROWS):
-                m = np.minimum.reduceat(base * _FACTORS[b * ROWS + j], edge).astype(np.uint64)
-                key = mix(key ^ (m + np.uint64(j << 40)))
-            keys[:, b] = key
+    base = (g >> np.uint64(32)).astype(np.uint32)
+    for b in range(BANDS):
+        key = np.full(len(start), b + 1, np.uint64)
+        for j in range(ROWS):
+            m = np.minimum.reduceat(base * _FACTORS[b * ROWS + j], edge).astype(np.uint64)
+            key = mix(key ^ (m + np.uint64(j << 40)))
+        keys[:, b] = key
     return h1, h2, keys
 
 
@@ -88,8 +87,8 @@ def _blank(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return full[end] == full[start]
 
 
-def line_rows(docs: DataFrame, sign: bool) -> DataFrame:
-    """(doc_id, tag, line, h1, h2, bands) of the lines that aren't blank; bands is empty without sign."""
+def line_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, tag, line, h1, h2, bands) of the lines that aren't blank."""
 
     def run(batches):
         for batch in batches:
@@ -101,10 +100,10 @@ def line_rows(docs: DataFrame, sign: bool) -> DataFrame:
                 stay = ~_blank(codes, start, end)
                 if not stay.any():
                     continue
-                h1, h2, keys = signatures(codes, start[stay], end[stay], sign)
+                h1, h2, keys = signatures(codes, start[stay], end[stay])
                 doc = pa.array(row[stay])
-                width = BANDS * _BAND_BYTES if sign else 0
-                raw = keys.astype("<u8").view(np.uint8).reshape(len(h1), BANDS, 8)[:, :, :_BAND_BYTES].tobytes() if sign else b""
+                width = BANDS * _BAND_BYTES
+                raw = keys.astype("<u8").view(np.uint8).reshape(len(h1), BANDS, 8)[:, :, :_BAND_BYTES].tobytes()
                 offsets = (np.arange(len(h1) + 1) * width).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(doc), batch.column("tag").take(doc), pa.array(line[stay].astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.Array.from_buffers(pa.binary(), len(h1), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)])],
@@ -115,6 +114,15 @@ def line_rows(docs: DataFrame, sign: bool) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, tag short, line int, h1 long, h2 long, bands binary")
 
 
+_SOLID = "[^\\x00-\\x20\\x85\\xa0\\u2028\\u2029\\u3000]"
+
+
+def line_places(docs: DataFrame) -> DataFrame:
+    """(doc_id, tag, line, h1, h2) of the lines that aren't blank, by Spark's own hashes."""
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag_of(F.col("text")).alias("tag"), F.posexplode(F.split("text", "\n", -1)).alias("line", "x")).filter(F.col("x").rlike(_SOLID))
+    return lines.select("doc_id", "tag", "line", F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(11), "x").alias("h2"))
+
+
 def band_rows(nodes: DataFrame) -> DataFrame:
     """(key, node) of nodes(node, bands). A key has the band's number and 48 bits of its hash."""
 
@@ -134,6 +142,31 @@ def _set(line: str) -> frozenset:
     return frozenset(line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1)))
 
 
+_MORE = (mix(np.arange(1, SKETCH + 1, dtype=np.uint64) + np.uint64(1 << 20)) | np.uint64(1)).astype(np.uint32)
+
+
+def sketch_lines(rows: DataFrame) -> DataFrame:
+    """(node, text) to (node, sketch) of min-hashes, see near.agreeing."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for line in batch.column("text").to_pylist():
+                codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+                n = max(len(codes) - SHINGLE + 1, 1)
+                h = np.zeros(n, np.uint64)
+                for i in range(min(SHINGLE, len(codes))):
+                    h = h * _STEP + codes[i : i + n]
+                base = np.unique(mix(h) >> np.uint64(32)).astype(np.uint32)
+                low = np.full(SKETCH, 0xFFFFFFFF, np.uint32)
+                for lo in range(0, len(base), 512):
+                    low = np.minimum(low, (base[lo : lo + 512, None] * _MORE).min(0))
+                out.append(sketch_longs(mix(low.astype(np.uint64))))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.list_(pa.int64()))], names=["node", "sketch"])
+
+    return rows.mapInArrow(run, f"node {dict(rows.dtypes)['node']}, sketch array<long>")
+
+
 def compare_lines(pairs: DataFrame) -> DataFrame:
     """(a, b, a_text, b_text) to (a, b, sim): exact Jaccard similarity of the character shingles."""
 
@@ -154,7 +187,7 @@ def compare_lines(pairs: DataFrame) -> DataFrame:
 def duplicate_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(doc_id, tag, lines): numbers (from 0) of each document's lines that go, for documents that have some."""
     node = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "line", "tag")
-    signed = line_rows(docs, True).groupBy("h1", "h2").agg(F.min(F.struct(node.alias("node"), "bands")).alias("low"))
+    signed = line_rows(docs).groupBy("h1", "h2").agg(F.min(F.struct(node.alias("node"), "bands")).alias("low"))
     members = buckets_by_window(band_rows(signed.select("low.node", "low.bands")))
 
     def fetch(needed):
@@ -164,8 +197,8 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         picked = found.select("nodes", F.split("text", "\n", -1).alias("lines")).select(F.explode(F.transform("nodes", lambda n: F.struct(n.alias("node"), F.get("lines", n["line"]).alias("text")))).alias("x"))
         return picked.select("x.node", "x.text").filter("text is not null").dropDuplicates(["node"])
 
-    linked = near_classes(members, fetch, compare_lines, threshold)
-    places = line_rows(docs, False).select("h1", "h2", node.alias("place"))
+    linked = near_classes(members, fetch, compare_lines, threshold, sketch_lines)
+    places = materialize(line_places(docs).select("h1", "h2", node.alias("place")), "line-places")
     firsts = places.groupBy("h1", "h2").agg(F.min("place").alias("node"))
     later = places.join(firsts, ["h1", "h2"]).filter(F.col("place") != F.col("node")).select("place")
     merged = linked.filter(F.col("node") != F.col("root")).select(F.col("node").alias("place"))
@@ -176,7 +209,7 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 def line_counts(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed) of each row; n_lines counts lines that aren't blank."""
     gone = duplicate_lines(docs, threshold).select(F.col("doc_id").alias("g_doc"), F.col("tag").alias("g_tag"), "lines")
-    solid = F.size(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x00-\x20\x85\xa0  　]")))
+    solid = F.size(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(_SOLID)))
     rows = docs.select("doc_id", tag_of(F.col("text")).alias("own"), F.coalesce(F.when(F.col("text").isNull(), 0).otherwise(solid), F.lit(0)).cast("long").alias("n_lines"))
     out = rows.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("g_doc")) & (F.col("own") == F.col("g_tag")), "left")
     removed = F.coalesce("lines", F.array().cast("array<int>"))
