@@ -75,7 +75,7 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("p_name"))
     )
     agg = F.element_at(F.array(*[F.lit(x) for x in ("SUM", "AVERAGE", "CNT", "NONE", "PCT")]), (F.col("p_partkey") % 5 + 1).cast("int"))
-    sheet = F.concat(F.lit("KPI - "), F.reverse("p_name"), F.lit(" | "), F.col("p_type"))
+    sheet = F.concat(F.lit("KPI - "), F.reverse("p_name"), F.when(F.col("p_partkey") % 2 == 0, "").otherwise(F.concat(F.lit(" | "), F.col("p_type"))))
     return p.select(F.col("p_partkey").alias("mention_id"), F.col("p_brand").alias("report"), F.col("p_type").alias("subdomain"), raw.alias("raw"), sheet.alias("sheet"), F.array("p_brand").alias("lineage"), agg.alias("agg"))
 
 
@@ -142,7 +142,7 @@ SQL = {
     "mentions": """
       SELECT p_partkey AS mention_id, p_brand AS report, p_type AS subdomain, CASE p_partkey % 7 WHEN 0 THEN upper(p_name) WHEN 1 THEN 'Rank | ' || p_name
         WHEN 2 THEN p_name || ' by ' || p_brand WHEN 3 THEN substr(p_name, 1, length(p_name) - 1) || 'x' WHEN 4 THEN p_name || ' total'
-        WHEN 5 THEN 'Top BRAND - ' || p_name ELSE p_name END AS raw, 'KPI - ' || reverse(p_name) || ' | ' || p_type AS sheet, [p_brand] AS lineage,
+        WHEN 5 THEN 'Top BRAND - ' || p_name ELSE p_name END AS raw, 'KPI - ' || reverse(p_name) || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE ' | ' || p_type END AS sheet, [p_brand] AS lineage,
         ['SUM','AVERAGE','CNT','NONE','PCT'][(p_partkey % 5 + 1)::INT] AS agg FROM part""",
     "mappings": """
       SELECT l_orderkey * 10 + l_linenumber AS mapping_id, l_orderkey AS report, l_linenumber AS ws, p_name AS kpi, p_brand AS canonical,
