@@ -207,13 +207,17 @@ def added_spans(text: Column, kind: str, weights: dict[str, float], base: Column
 
 def find_pii(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """doc_id, then an array<struct<start, end, match>> column for each base and added kind."""
+    return _with_spans(docs, weights).drop("text")
+
+
+def _with_spans(docs: DataFrame, weights: dict[str, float] | None) -> DataFrame:
     weights = train(docs) if weights is None else weights
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", *[base_spans(F.col("text"), k).alias(k) for k in PATTERNS])
     for i, kind in enumerate(ADDED):
         taken = F.concat(*PATTERNS, *list(ADDED)[:i])
         rows = rows.withColumn(kind, added_spans(F.col("text"), kind, weights, taken))
-    return rows.drop("text")
+    return rows
 
 
 def spelled(kinds: list[str]) -> Column:
@@ -224,12 +228,10 @@ def spelled(kinds: list[str]) -> Column:
 
 def mask_pii(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """(doc_id, text) with every span replaced by its kind in angle brackets."""
-    weights = train(docs) if weights is None else weights
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = find_pii(rows.select(F.struct("doc_id", "text").alias("doc_id"), "text"), weights)
+    found = _with_spans(docs, weights)
     named = lambda k: lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind"))
     spans = F.array_sort(F.concat(*[F.transform(k, named(k)) for k in [*PATTERNS, *ADDED]]))
-    text = F.col("doc_id.text")
+    text = F.col("text")
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, s):
@@ -238,4 +240,4 @@ def mask_pii(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFr
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
 
     done = F.aggregate(spans, zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-    return found.select(F.col("doc_id.doc_id").alias("doc_id"), done.alias("text"))
+    return found.select("doc_id", done.alias("text"))
