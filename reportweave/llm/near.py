@@ -95,12 +95,14 @@ def near_classes(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], co
     rest = placed.filter(F.col("node") != F.col("rep")).join(mixed, "key", "left_semi").join(known, ["rep", "node"])
     rest = materialize(rest.select("key", "node", "root", "sim"), "near-rest")
     samples = materialize(sketch(texts.join(rest.select("node").distinct(), "node").select("node", "text")), "near-sketches")
-    rest = rest.join(samples, "node")
+    keys = rest.groupBy("node").agg(F.collect_set("key").alias("keys"))  # as many as there are bands at most
+    rest = rest.join(samples, "node").join(keys, "node")
     x, y = (rest.select("key", *[F.col(c).alias(f"{p}_{c}") for c in rest.columns if c != "key"]) for p in "xy")
     near = (F.col("x_node") < F.col("y_node")) & (F.col("x_root") != F.col("y_root")) & (F.abs(F.col("x_sim") - F.col("y_sim")) <= 1 - threshold + EPS)
     near = near & (agreeing("x_sketch", "y_sketch") >= least_agreement(threshold))
+    near = near & (x["key"] == F.array_min(F.array_intersect("x_keys", "y_keys")))  # a pair is met in its first common bucket only
     apart = x.join(y, (x["key"] == y["key"]) & near)
-    pairs = apart.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"), "x_root", "y_root").distinct()
+    pairs = apart.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"), "x_root", "y_root")
     found = verify(pairs.select("a", "b")).filter(F.col("sim") >= threshold - EPS).select("a", "b")
     links = cut(pairs.join(found, ["a", "b"]).select(F.col("x_root").alias("a"), F.col("y_root").alias("b")).distinct())
     if links.isEmpty():
