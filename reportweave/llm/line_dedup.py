@@ -142,7 +142,10 @@ def _set(line: str) -> frozenset:
     return frozenset(line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1)))
 
 
-_MORE = (mix(np.arange(1, SKETCH + 1, dtype=np.uint64) + np.uint64(1 << 20)) | np.uint64(1)).astype(np.uint32)
+#: Samples by which pairs of the second step are told apart. Copies of one line with changes of their own come close to
+#: the threshold in numbers, so that it takes many.
+SAMPLES = 4 * SKETCH
+_MORE = (mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) + np.uint64(1 << 20)) | np.uint64(1)).astype(np.uint32)
 
 
 def sketch_lines(rows: DataFrame) -> DataFrame:
@@ -158,9 +161,9 @@ def sketch_lines(rows: DataFrame) -> DataFrame:
                 for i in range(min(SHINGLE, len(codes))):
                     h = h * _STEP + codes[i : i + n]
                 base = np.unique(mix(h) >> np.uint64(32)).astype(np.uint32)
-                low = np.full(SKETCH, 0xFFFFFFFF, np.uint32)
-                for lo in range(0, len(base), 512):
-                    low = np.minimum(low, (base[lo : lo + 512, None] * _MORE).min(0))
+                low = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
+                for lo in range(0, len(base), 128):
+                    low = np.minimum(low, (base[lo : lo + 128, None] * _MORE).min(0))
                 out.append(sketch_longs(mix(low.astype(np.uint64))))
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.list_(pa.int64()))], names=["node", "sketch"])
 
@@ -197,7 +200,7 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         picked = found.select("nodes", F.split("text", "\n", -1).alias("lines")).select(F.explode(F.transform("nodes", lambda n: F.struct(n.alias("node"), F.get("lines", n["line"]).alias("text")))).alias("x"))
         return picked.select("x.node", "x.text").filter("text is not null").dropDuplicates(["node"])
 
-    linked = near_classes(members, fetch, compare_lines, threshold, sketch_lines)
+    linked = near_classes(members, fetch, compare_lines, threshold, sketch_lines, SAMPLES)
     places = materialize(line_places(docs).select("h1", "h2", node.alias("place")), "line-places")
     firsts = places.groupBy("h1", "h2").agg(F.min("place").alias("node"))
     later = places.join(firsts, ["h1", "h2"]).filter(F.col("place") != F.col("node")).select("place")

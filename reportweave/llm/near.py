@@ -42,38 +42,42 @@ def with_central(members: DataFrame) -> DataFrame:
     return members.join(reps, "key").select("key", "node", F.col("best.node").alias("rep"))
 
 
+#: A sketch is an array of longs of SKETCH_BYTES bytes, a byte a sample; the first SKETCH_LONGS are looked at first.
 SKETCH_LONGS, SKETCH_BYTES = 50, 7
 SKETCH = SKETCH_LONGS * SKETCH_BYTES
 
 
-def agreeing(x: str, y: str) -> Column:
-    """How many bytes agree in two sketches: SKETCH_LONGS longs of SKETCH_BYTES bytes each, a byte a sample."""
+def _equal_bytes(p: Column, q: Column) -> Column:
     low = 0x7F7F7F7F7F7F7F
-    total = F.lit(0)
-    for i in range(SKETCH_LONGS):
-        z = F.col(x)[i].bitwiseXOR(F.col(y)[i])
-        differs = (z.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(z).bitwiseAND(F.lit(0x80808080808080))
-        total = total + F.lit(SKETCH_BYTES) - F.bit_count(differs)
-    return total
+    z = p.bitwiseXOR(q)
+    return F.lit(SKETCH_BYTES) - F.bit_count((z.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(z).bitwiseAND(F.lit(0x80808080808080)))
+
+
+def agreeing(x: str, y: str, longs: int) -> Column:
+    """How many samples agree in the first longs of two sketches."""
+    return sum((_equal_bytes(F.col(x)[i], F.col(y)[i]) for i in range(longs)), F.lit(0))
+
+
+def agreeing_whole(x: str, y: str) -> Column:
+    return F.aggregate(F.zip_with(x, y, _equal_bytes), F.lit(0), lambda a, n: a + n)
 
 
 def sketch_longs(samples: np.ndarray) -> np.ndarray:
-    """Sketch of SKETCH 64-bit samples: their low bytes."""
-    low = (samples[:SKETCH] & np.uint64(255)).reshape(SKETCH_LONGS, SKETCH_BYTES)
+    """Sketch of 64-bit samples, a multiple of SKETCH_BYTES: their low bytes."""
+    low = (samples & np.uint64(255)).reshape(-1, SKETCH_BYTES)
     return (low << (np.arange(SKETCH_BYTES, dtype=np.uint64) * np.uint64(8))).sum(1, dtype=np.uint64).view(np.int64)
 
 
-def least_agreement(threshold: float, sigmas: float = 4.5) -> int:
-    """Agreements that a pair at the threshold falls short of only by so many standard deviations (4.5: 3 in a million)."""
-    n = SKETCH
+def least_agreement(threshold: float, n: int, sigmas: float = 4.5) -> int:
+    """Agreements of n that a pair at the threshold falls short of only by so many standard deviations (4.5: 3 in a million)."""
     return int(n * threshold - sigmas * (n * threshold * (1 - threshold)) ** 0.5)
 
 
-def near_classes(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame], threshold: float, sketch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def near_classes(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame], threshold: float, sketch: Callable[[DataFrame], DataFrame], samples: int = SKETCH) -> DataFrame:
     """(node, root) of all nodes that are linked to another.
 
     members: (key, node, n), see buckets_by_join. fetch: nodes to (node, text). compare: (a, b, a_text, b_text) to (a, b, sim).
-    sketch: (node, text) to (node, sketch) of SKETCH samples, taken of the second step's nodes only; pairs whose samples
+    sketch: (node, text) to (node, sketch) of so many samples (SKETCH at least), taken of the second step's nodes only; pairs whose samples
     agree far too rarely (see least_agreement) are ruled out inside the join.
     """
     members = materialize(with_central(materialize(members, "near-buckets")), "near-members")
@@ -94,12 +98,14 @@ def near_classes(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], co
     known = sims.select(F.col("a").alias("rep"), F.col("b").alias("node"), "sim")
     rest = placed.filter(F.col("node") != F.col("rep")).join(mixed, "key", "left_semi").join(known, ["rep", "node"])
     rest = materialize(rest.select("key", "node", "root", "sim"), "near-rest")
-    samples = materialize(sketch(texts.join(rest.select("node").distinct(), "node").select("node", "text")), "near-sketches")
+    sketched = materialize(sketch(texts.join(rest.select("node").distinct(), "node").select("node", "text")), "near-sketches")
     keys = rest.groupBy("node").agg(F.collect_set("key").alias("keys"))  # as many as there are bands at most
-    rest = rest.join(samples, "node").join(keys, "node")
+    rest = rest.join(sketched, "node").join(keys, "node")
     x, y = (rest.select("key", *[F.col(c).alias(f"{p}_{c}") for c in rest.columns if c != "key"]) for p in "xy")
     near = (F.col("x_node") < F.col("y_node")) & (F.col("x_root") != F.col("y_root")) & (F.abs(F.col("x_sim") - F.col("y_sim")) <= 1 - threshold + EPS)
-    near = near & (agreeing("x_sketch", "y_sketch") >= least_agreement(threshold))
+    near = near & (agreeing("x_sketch", "y_sketch", SKETCH_LONGS) >= least_agreement(threshold, SKETCH))
+    if samples > SKETCH:
+        near = near & (agreeing_whole("x_sketch", "y_sketch") >= least_agreement(threshold, samples))
     near = near & (x["key"] == F.array_min(F.array_intersect("x_keys", "y_keys")))  # a pair is met in its first common bucket only
     apart = x.join(y, (x["key"] == y["key"]) & near)
     pairs = apart.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"), "x_root", "y_root")
