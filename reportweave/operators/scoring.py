@@ -41,16 +41,17 @@ def candidate_pairs(reports: DataFrame, block: list[str]) -> DataFrame:
     return a.join(b, block).filter("a < b").select("a", "b")
 
 
-def shared_counts(items: DataFrame, pairs: DataFrame) -> DataFrame:
+def shared_counts(items: DataFrame, pairs: DataFrame, layers: list[str] | None = None) -> DataFrame:
     """(layer, a, b, met, n_a, n_b) for the pairs and all layers of items(layer, report_id, item).
 
     The sides' items are met through the candidate pairs, so nothing outside a block is compared.
     """
     sizes = items.groupBy("layer", "report_id").agg(F.count("*").alias("n"))
-    layers = items.select("layer").distinct()
     left = pairs.join(items.withColumnRenamed("report_id", "a"), "a")
     both = left.join(items.withColumnRenamed("report_id", "b"), ["b", "layer", "item"]).groupBy("layer", "a", "b").agg(F.count("*").alias("met"))
-    every = pairs.join(F.broadcast(layers))
+    if layers is None:
+        layers = [r["layer"] for r in items.select("layer").distinct().collect()]  # as many as there are kinds of likeness
+    every = pairs.withColumn("layer", F.explode(F.array(*[F.lit(x) for x in layers]))) if layers else pairs.withColumn("layer", F.lit(None).cast("string")).limit(0)
     out = every.join(both, ["layer", "a", "b"], "left")
     out = out.join(sizes.select("layer", F.col("report_id").alias("a"), F.col("n").alias("n_a")), ["layer", "a"], "left")
     out = out.join(sizes.select("layer", F.col("report_id").alias("b"), F.col("n").alias("n_b")), ["layer", "b"], "left")

@@ -21,7 +21,7 @@ def lsh_candidates(spark: SparkSession, d: str) -> DataFrame:
     kpi = A.items(spark, d).filter("layer = 'kpi'")
     block = A.reports(spark, d).select("report_id", F.concat_ws("|", *BLOCK).alias("block"))
     pairs = K.minhash_pairs(kpi.select("report_id", "item"), block)
-    return S.layer_scores(S.shared_counts(kpi, pairs)).select("a", "b", "score")
+    return S.layer_scores(S.shared_counts(kpi, pairs, ["kpi"])).select("a", "b", "score")
 
 
 def simhash_near(spark, d):
@@ -153,12 +153,12 @@ def incremental_pairs(spark, d):
     i = A.items(spark, d).filter("layer = 'kpi'")
     new = i.filter("not (report_id % 10 = 0 and item = 'Brand#11')")
     pairs = S.candidate_pairs(A.reports(spark, d), BLOCK)
-    old = S.layer_scores(S.shared_counts(i, pairs)).filter("score >= 0.3").select("a", "b", "score")
+    old = S.layer_scores(S.shared_counts(i, pairs, ["kpi"])).filter("score >= 0.3").select("a", "b", "score")
     changed = i.filter("report_id % 10 = 0 and item = 'Brand#11'").select("report_id").distinct()
 
     def score(ids):
         side = lambda c: pairs.join(ids.withColumnRenamed("report_id", c), c, "left_semi")
-        return S.layer_scores(S.shared_counts(new, side("a").unionByName(side("b")).distinct())).filter("score >= 0.3").select("a", "b", "score")
+        return S.layer_scores(S.shared_counts(new, side("a").unionByName(side("b")).distinct(), ["kpi"])).filter("score >= 0.3").select("a", "b", "score")
 
     return T.incremental_update(old, new, changed, changed.limit(0), score)
 

@@ -23,7 +23,7 @@ _TIER = "CASE WHEN composite > 0.95 THEN 'exact_clone' WHEN composite > 0.80 THE
 
 
 def _counts(spark, d):
-    return S.shared_counts(A.items(spark, d), S.candidate_pairs(A.reports(spark, d), BLOCK))
+    return S.shared_counts(A.items(spark, d), S.candidate_pairs(A.reports(spark, d), BLOCK), A.LAYERS)
 
 
 def _composite(spark, d):

@@ -187,7 +187,7 @@ def best_candidates(spark, d):
     """The best other report of each report by shared metrics, ties to the lesser."""
     from reportweave.operators import scoring as S
 
-    c = S.shared_counts(A.items(spark, d).filter("layer = 'kpi'"), S.candidate_pairs(A.reports(spark, d), ["workbook", "segment"])).filter("met > 0")
+    c = S.shared_counts(A.items(spark, d).filter("layer = 'kpi'"), S.candidate_pairs(A.reports(spark, d), ["workbook", "segment"]), ["kpi"]).filter("met > 0")
     two = c.select(F.col("a").alias("report_id"), F.col("b").alias("other"), "met").unionByName(c.select(F.col("b").alias("report_id"), F.col("a").alias("other"), "met"))
     return A.latest(two, ["report_id"], F.desc("met"), "other")
 

@@ -38,10 +38,20 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(layer, report_id, item) of all layers."""
-    f = facts(spark, sf_dir)
-    layer = lambda name, item, least: f.filter(F.col("l_quantity") >= least).select(F.lit(name).alias("layer"), "report_id", item.cast("string").alias("item"))
-    out = layer("kpi", F.col("p_brand"), 45).unionByName(layer("model", F.col("p_type"), 45)).unionByName(layer("source", F.col("l_suppkey") % 20, 48))
-    return out.unionByName(layer("visual", F.col("p_name"), 48)).unionByName(layer("filter", F.col("mark"), 48)).distinct()
+    large = F.col("l_quantity") >= 48
+    entry = lambda name, item: F.struct(F.lit(name).alias("layer"), item.cast("string").alias("item"))
+    all_ = F.array(
+        entry("kpi", F.col("p_brand")),
+        entry("model", F.col("p_type")),
+        F.when(large, entry("source", F.col("l_suppkey") % 20)),
+        F.when(large, entry("visual", F.col("p_name"))),
+        F.when(large, entry("filter", F.col("mark"))),
+    )
+    return facts(spark, sf_dir).select("report_id", F.explode(F.array_compact(all_)).alias("x")).select("x.layer", "report_id", "x.item").distinct()
+
+
+#: The layers of items.
+LAYERS = ["kpi", "model", "source", "visual", "filter"]
 
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
