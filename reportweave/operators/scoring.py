@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reportweave.functions import text as X
+
 #: Weights of the layers in the composite.
 WEIGHTS = {"source": 0.25, "model": 0.20, "kpi": 0.20, "structure": 0.10, "visual": 0.15, "filter": 0.10}
 #: What a layer scores when neither side has items: none of them but the filter layer says anything then.
@@ -115,6 +117,42 @@ def assign_greedy(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] = lamb
     raise RuntimeError(f"assignment did not end in {max_rounds} rounds")
 
 
+def kpi_overlap(pairs: DataFrame, kpis: DataFrame, ratio: Callable[[Column, Column], Column] = X.seq_ratio, least: float = 0.8) -> DataFrame:
+    """(a, b, score) of all pairs(a, b): greedy one-to-one overlap of their kpis(report_id, item, base, canonical, definition), by the smaller side's size.
+
+    Equal base or canonical names (not empty) count 1.0, else definitions or names more than `least` alike 0.8. Edges are taken
+    best first, by that score, then by the names' likeness, then by the items' order, as assign_greedy does. Items meet within their pair only;
+    ratios are taken once for each two texts that meet, and a pair's edges are one value of a row.
+    """
+    k = kpis.select("report_id", "item", "base", "canonical", F.lower("item").alias("name"), F.lower("definition").alias("definition")).dropDuplicates(["report_id", "item"])
+    x, y = (k.select(*[F.col(c).alias(f"{p}_{c}") for c in k.columns]) for p in "xy")
+    met = pairs.select("a", "b").join(x, F.col("a") == F.col("x_report_id")).join(y, F.col("b") == F.col("y_report_id"))
+
+    def likeness(kind: str) -> DataFrame:
+        texts = met.select(f"x_{kind}", f"y_{kind}").filter(f"x_{kind} <> '' and y_{kind} <> ''").distinct()
+        return texts.withColumn(f"{kind}_ratio", ratio(F.col(f"x_{kind}"), F.col(f"y_{kind}")))
+
+    met = met.join(likeness("name"), ["x_name", "y_name"], "left").join(likeness("definition"), ["x_definition", "y_definition"], "left")
+    equal = lambda c: F.coalesce((F.col(f"x_{c}") == F.col(f"y_{c}")) & (F.col(f"x_{c}") != ""), F.lit(False))
+    alike = lambda c: F.coalesce(F.col(f"{c}_ratio") > least, F.lit(False))
+    score = F.when(equal("base") | equal("canonical"), 1.0).when(alike("definition") | alike("name"), 0.8)
+    edge = F.struct((-score).alias("worse"), (-F.coalesce("name_ratio", F.lit(0.0))).alias("farther"), F.col("x_item").alias("l"), F.col("y_item").alias("r"))
+    edges = met.withColumn("edge", F.when(score.isNotNull(), edge)).groupBy("a", "b").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("ls"), none.alias("rs"), F.lit(0.0).alias("total"))
+
+    def take(s: Column, e: Column) -> Column:
+        taken = F.array_contains(s["ls"], e["l"]) | F.array_contains(s["rs"], e["r"])
+        more = F.struct(F.concat(s["ls"], F.array(e["l"])).alias("ls"), F.concat(s["rs"], F.array(e["r"])).alias("rs"), (s["total"] - e["worse"]).alias("total"))
+        return F.when(taken, s).otherwise(more)
+
+    total = edges.select("a", "b", F.aggregate("edges", start, take, lambda s: s["total"]).alias("total"))
+    n = k.groupBy("report_id").agg(F.count("*").alias("n"))
+    out = pairs.select("a", "b").join(total, ["a", "b"], "left").join(n.toDF("a", "n_a"), "a", "left").join(n.toDF("b", "n_b"), "b", "left")
+    smaller = F.least(F.coalesce("n_a", F.lit(0)), F.coalesce("n_b", F.lit(0)))
+    return out.select("a", "b", F.when(smaller == 0, 0.0).otherwise(F.coalesce("total", F.lit(0.0)) / smaller).alias("score"))
+
+
 def uniqueness(pairs: DataFrame, reports: DataFrame) -> DataFrame:
     """(report_id, uniqueness): what is left of 1 after the best likeness to any other report."""
     both = pairs.select(F.col("a").alias("report_id"), "composite").unionByName(pairs.select(F.col("b").alias("report_id"), "composite"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +28,16 @@ def _counts(spark, d):
     return S.shared_counts(A.items(spark, d), S.candidate_pairs(A.reports(spark, d), BLOCK), A.LAYERS)
 
 
-def _composite(spark, d):
+def kpi_overlap(spark, d):
+    """E18 of every pair of a block."""
+    return S.kpi_overlap(S.candidate_pairs(A.reports(spark, d), BLOCK), A.kpis(spark, d))
+
+
+def _composite(spark, d, whole=False):
+    """Six layers. `whole` takes E18 as layer `structure`; without it the kpi layer stands in, as the SQL has it."""
     scores = S.layer_scores(_counts(spark, d))
+    if whole:
+        return S.composite(scores.unionByName(kpi_overlap(spark, d).withColumn("layer", F.lit("structure"))))
     return S.composite(scores.unionByName(scores.filter("layer = 'kpi'").withColumn("layer", F.lit("structure"))))
 
 
@@ -67,8 +77,8 @@ def layer_scores(spark, d):
 LAYER_SCORES = A.with_views(f"WITH {_COUNTS} SELECT layer, a, b, score FROM scores", "reports", "items")
 
 
-def composite_pairs(spark, d):
-    return _composite(spark, d).select("a", "b", "composite", "spread", S.tier(F.col("composite")).alias("tier"), (F.col("spread") > 0.25).alias("review"))
+def composite_pairs(spark, d, whole=False):
+    return _composite(spark, d, whole).select("a", "b", "composite", "spread", S.tier(F.col("composite")).alias("tier"), (F.col("spread") > 0.25).alias("review"))
 
 
 COMPOSITE_PAIRS = A.with_views(
@@ -79,23 +89,23 @@ COMPOSITE_PAIRS = A.with_views(
 )
 
 
-def tier_counts(spark, d):
-    return _composite(spark, d).groupBy(S.tier(F.col("composite")).alias("tier")).agg(F.count("*").alias("pairs"))
+def tier_counts(spark, d, whole=False):
+    return _composite(spark, d, whole).groupBy(S.tier(F.col("composite")).alias("tier")).agg(F.count("*").alias("pairs"))
 
 
 TIER_COUNTS = A.with_views(f"WITH {_WIDE} SELECT {_TIER} AS tier, count(*) AS pairs FROM comp GROUP BY 1", "reports", "items")
 
 
-def score_details(spark, d):
-    wide = _composite(spark, d).filter("composite >= 0.6")
+def score_details(spark, d, whole=False):
+    wide = _composite(spark, d, whole).filter("composite >= 0.6")
     return S.score_details(wide, list(S.WEIGHTS))
 
 
 SCORE_DETAILS = A.with_views(f"WITH {_WIDE} SELECT a, b, layer, score FROM (UNPIVOT (SELECT a, b, {', '.join(S.WEIGHTS)} FROM comp WHERE composite >= 0.6) ON {', '.join(S.WEIGHTS)} INTO NAME layer VALUE score)", "reports", "items")
 
 
-def persistable_pairs(spark, d):
-    wide = _composite(spark, d).select("a", "b", "composite")
+def persistable_pairs(spark, d, whole=False):
+    wide = _composite(spark, d, whole).select("a", "b", "composite")
     met = wide.unionByName(wide.select(F.col("b").alias("a"), F.col("a").alias("b"), "composite"))
     return S.persistable(met)
 
@@ -103,8 +113,8 @@ def persistable_pairs(spark, d):
 PERSISTABLE_PAIRS = A.with_views(f"WITH {_WIDE} SELECT a, b, composite FROM comp WHERE composite >= 0.6", "reports", "items")
 
 
-def uniqueness(spark, d):
-    return S.uniqueness(_composite(spark, d), A.reports(spark, d))
+def uniqueness(spark, d, whole=False):
+    return S.uniqueness(_composite(spark, d, whole), A.reports(spark, d))
 
 
 UNIQUENESS = A.with_views(
@@ -130,10 +140,17 @@ SHARED_SOURCES = A.with_views(
 )
 
 
-def merge_candidates(spark, d):
-    """Pairs that share a source and a user group and whose metrics overlap by more than the threshold."""
+def merge_candidates(spark, d, whole=False):
+    """Pairs that share a source and a user group and whose metrics overlap by more than the threshold.
+
+    The overlap is the greater of E18 and the Jaccard of ids if `whole`, else what equal ids make of the smaller side, as the SQL has it.
+    """
     kpi = _counts(spark, d)
-    k = kpi.filter("layer = 'kpi'").select("a", "b", F.when(F.least("n_a", "n_b") == 0, 0.0).otherwise(F.col("met") / F.least("n_a", "n_b")).alias("score"))
+    if whole:
+        same = S.layer_scores(kpi.filter("layer = 'kpi'")).select("a", "b", F.col("score").alias("same"))
+        k = kpi_overlap(spark, d).join(same, ["a", "b"]).select("a", "b", F.greatest("score", "same").alias("score"))
+    else:
+        k = kpi.filter("layer = 'kpi'").select("a", "b", F.when(F.least("n_a", "n_b") == 0, 0.0).otherwise(F.col("met") / F.least("n_a", "n_b")).alias("score"))
     s = kpi.filter("layer = 'source' and met > 0").select("a", "b")
     u = A.usage(spark, d).select("report_id", "groups")
     twin = u.unionByName(u.select((F.col("report_id") + A.SHIFT).alias("report_id"), "groups"))
@@ -147,10 +164,10 @@ _MERGES = f"""{_COUNTS}, {_USAGE2}, merges AS (SELECT k.a, k.b, k.met / least(k.
 MERGE_CANDIDATES = A.with_views(f"WITH {_MERGES} SELECT a, b, score FROM merges", "reports", "items", "usage")
 
 
-def recommendations(spark, d):
-    m = merge_candidates(spark, d)
+def recommendations(spark, d, whole=False):
+    m = merge_candidates(spark, d, whole)
     met = m.select(F.col("a").alias("report_id"), F.col("b").alias("partner"), "score").unionByName(m.select(F.col("b").alias("report_id"), F.col("a").alias("partner"), "score"))
-    dup = _composite(spark, d).filter("composite > 0.95").select(F.greatest("a", "b").alias("report_id"))
+    dup = _composite(spark, d, whole).filter("composite > 0.95").select(F.greatest("a", "b").alias("report_id"))
     u = A.usage(spark, d).select("report_id", "days_ago", "groups")
     u = u.unionByName(u.withColumn("report_id", F.col("report_id") + A.SHIFT))
     return S.recommend(A.reports(spark, d), u, dup, met)
@@ -171,8 +188,8 @@ RECOMMENDATIONS = A.with_views(
 )
 
 
-def _clusters(spark, d, t):
-    edges = _composite(spark, d).filter(F.col("composite") >= t).select("a", "b")
+def _clusters(spark, d, t, whole=False):
+    edges = _composite(spark, d, whole).filter(F.col("composite") >= t).select("a", "b")
     return connected_components(edges).select("node", F.col("root").alias("cluster"))
 
 
@@ -185,18 +202,18 @@ def _recursive(sql: str) -> str:
     return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-def components(spark, d):
-    return _clusters(spark, d, 0.7)
+def components(spark, d, whole=False):
+    return _clusters(spark, d, 0.7, whole)
 
 
 COMPONENTS = _recursive(A.with_views(f"WITH {_WIDE}, {_CC(0.7)} SELECT node, cluster FROM cl", "reports", "items"))
 
 
-def components_at(spark, d):
+def components_at(spark, d, whole=False):
     """Components at several thresholds, with a stable key of the members."""
     out = None
     for t in (0.6, 0.8, 0.95):
-        c = _clusters(spark, d, t).groupBy("cluster").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("node")), "|"), 256).alias("cluster_key"), F.count("*").alias("members"))
+        c = _clusters(spark, d, t, whole).groupBy("cluster").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("node")), "|"), 256).alias("cluster_key"), F.count("*").alias("members"))
         c = c.select(F.lit(t).alias("threshold"), "cluster", "cluster_key", "members")
         out = c if out is None else out.unionByName(c)
     return out
@@ -217,8 +234,8 @@ COMPONENTS_AT = _recursive(
 )
 
 
-def golden_reports(spark, d):
-    cl = _clusters(spark, d, 0.6).select("cluster", F.col("node").alias("report_id"))
+def golden_reports(spark, d, whole=False):
+    cl = _clusters(spark, d, 0.6, whole).select("cluster", F.col("node").alias("report_id"))
     n = A.items(spark, d).groupBy("report_id").agg(F.count("*").alias("completeness"))
     u = A.usage(spark, d)
     u = u.unionByName(u.withColumn("report_id", F.col("report_id") + A.SHIFT))
@@ -315,3 +332,8 @@ QUERIES = {
     "schema_blocks": (schema_blocks, SCHEMA_BLOCKS),
     "idf_overlap": (idf_overlap, IDF_OVERLAP),
 }
+
+#: With the structural layer (E18) computed; SQL has no matching-block ratio.
+_WHOLE = [composite_pairs, tier_counts, score_details, persistable_pairs, uniqueness, merge_candidates, recommendations, components, components_at, golden_reports]
+QUERIES["kpi_overlap"] = (kpi_overlap, None)
+QUERIES.update({f"{run.__name__}_whole": (partial(run, whole=True), None) for run in _WHOLE})

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reportweave.functions import text as X
+
 SHIFT = 1_000_000
 
 
@@ -50,6 +52,12 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts(spark, sf_dir).select("report_id", F.explode(F.array_compact(all_)).alias("x")).select("x.layer", "report_id", "x.item").distinct()
 
 
+def kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(report_id, item, base, canonical, definition) of the kpi layer; the tables spell a metric in one way and define none."""
+    k = items(spark, sf_dir).filter("layer = 'kpi'")
+    return k.select("report_id", "item", X.base_metric(F.col("item")).alias("base"), F.col("item").alias("canonical"), F.lit(None).cast("string").alias("definition"))
+
+
 #: The layers of items.
 LAYERS = ["kpi", "model", "source", "visual", "filter"]
 

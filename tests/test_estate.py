@@ -122,3 +122,23 @@ def test_queries_equal_their_sql(spark, name):
     want = con.execute(f"SELECT {', '.join(cols)} FROM ({__spark_entry__.oracle_sql()[name]})").fetchall()
     plain = lambda rows: sorted(repr(tuple(round(float(x), 6) if isinstance(x, float) else x for x in r)) for r in rows)
     assert plain(tuple(r) for r in got.select(*cols).collect()) == plain(want)
+
+
+def test_structural_layer_is_greedy_overlap(spark):
+    kpi = "report_id long, item string, base string, canonical string, definition string"
+    rows = [(1, "Paid Claims", "paid", "", None), (1, "Open Aging", "", "k7", None), (1, "Loss Ratioo", "", "", None), (1, "alpha", "", "", "sum of premium by month"), (1, "zzz", "", "", None)]
+    rows += [(2, "Net Payments", "paid", "", None), (2, "Days Open", "", "k7", None), (2, "Loss Ratio", "", "", None), (2, "omega", "", "", "sum of premium by months")]
+    rows += [(3, "Paid Claims", "paid", "", None)]
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "a long, b long")
+    got = {(r["a"], r["b"]): round(r["score"], 6) for r in scoring.kpi_overlap(pairs, spark.createDataFrame(rows, kpi)).collect()}
+    assert got == {(1, 2): round((1 + 1 + 0.8 + 0.8) / 4, 6), (1, 3): 1.0, (1, 4): 0.0}
+
+
+def test_whole_composite_takes_the_structural_layer(spark):
+    import __spark_entry__
+
+    q = __spark_entry__.queries()
+    layer = {(r["a"], r["b"]): r["score"] for r in q["kpi_overlap"](spark, SF).collect()}
+    got = {(r["a"], r["b"]): r["score"] for r in q["score_details_whole"](spark, SF).filter("layer = 'structure'").collect()}
+    copied = {(r["a"], r["b"]): r["score"] for r in q["score_details"](spark, SF).filter("layer = 'structure'").collect()}
+    assert got and all(abs(got[p] - layer[p]) < 1e-9 for p in got) and any(abs(got[p] - copied[p]) > 1e-9 for p in got if p in copied)
