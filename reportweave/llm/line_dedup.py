@@ -22,7 +22,7 @@ from .near import SKETCH, buckets_by_window, near_classes, sketch_longs
 from .substring_dedup import tag_of
 from .wordbytes import mix
 
-SHINGLE, ROWS, BANDS = 8, 4, 10
+SHINGLE, ROWS, BANDS = 8, 4, 12
 _CHARS = 1 << 17
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _FACTORS = (mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)

@@ -23,7 +23,7 @@ from .common import gathered_sum, materialize, text_key
 from .near import SKETCH, buckets_by_join, near_classes, sketch_longs
 from .wordbytes import blocks, gram_hashes, mix, separators, whole_grams, word_hashes, words
 
-SHINGLE, ROWS, BANDS = 5, 5, 16
+SHINGLE, ROWS, BANDS = 5, 5, 19
 #: How much more the rarest shingle weighs than one that every document has.
 DAMP = 0.1
 CELLS = 1 << 18

@@ -246,3 +246,27 @@ def test_pipeline_stages_keep_columns(spark, odd):
         assert out.columns == docs.columns, name
         assert out.count() > 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0
+
+
+def test_bands_miss_few_documents_at_the_threshold():
+    import numpy as np
+
+    d = minhash_dedup
+    assert (1 - 0.8**d.ROWS) ** d.BANDS <= 0.00063
+    rng, missed = np.random.default_rng(3), 0
+    for _ in range(20000):  # 40 of 50 shingles shared: 0.8
+        g = rng.integers(0, 1 << 63, 50).astype(np.uint64)
+        a, b = (d.sample(np.sort(x), np.ones(45, np.float32)).reshape(d.BANDS, d.ROWS) for x in (g[:45], np.delete(g, range(5))))
+        missed += not (a == b).all(1).any()
+    assert missed <= 20
+
+
+def test_bands_miss_few_lines_at_the_threshold():
+    import numpy as np
+
+    rng, n = np.random.default_rng(4), 20000
+    codes = rng.integers(97, 123, (2 * n, 52)).astype(np.uint32)
+    codes[1::2, :47] = codes[::2, :47]  # 40 of 50 shingles shared: 0.8
+    _, _, keys = line_dedup.signatures(codes.ravel(), np.arange(2 * n) * 52, np.arange(2 * n) * 52 + 52)
+    assert (1 - 0.8**line_dedup.ROWS) ** line_dedup.BANDS <= 0.0032
+    assert (~(keys[::2] == keys[1::2]).any(1)).sum() <= 0.0032 * n
