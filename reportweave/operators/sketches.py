@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -45,6 +46,30 @@ def simhash_near(hashes: DataFrame, block: str, most: int = 29, bands: int = 30)
     return near.filter(F.col("distance") <= most).distinct()
 
 
+def simhash_all(hashes: DataFrame, most: int = 29, bands: int = 10, cut: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
+    """(a, b, distance) of hashes(id, words) at most `most` bits apart, without a block.
+
+    Equal hashes are one class: its least id is paired with each other member at distance 0, and stands for all of them in
+    the pairs of classes (a < b). Some band of a pair differs in two bits at most, if most < 3 * bands. Each side is dealt to its band's
+    value and to all values one bit off, so such pairs meet, once a band, in buckets of 25 bits instead of 8.
+    """
+    if most >= 3 * bands:
+        raise ValueError("more bands are needed to miss no pair")
+    h = cut(hashes.select("id", "words"))
+    least = h.groupBy("words").agg(F.min("id").alias("a"))
+    copies = h.join(least, "words").filter(F.col("id") != F.col("a")).select("a", F.col("id").alias("b"), F.lit(0).alias("distance"))
+    edge = [256 * i // bands for i in range(bands + 1)]
+    bit = lambda i, at: F.shiftleft(F.getbit(F.col("words")[i // 64], F.lit(i % 64)).cast("long"), at)
+    values = [reduce(lambda x, y: x.bitwiseOR(y), [bit(i, i - edge[b]) for i in range(edge[b], edge[b + 1])]) for b in range(bands)]
+    banded = least.select(F.col("a").alias("id"), "words", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.lit(edge[b + 1] - edge[b]).alias("width"), v.alias("value")) for b, v in enumerate(values)])).alias("x"))
+    flips = F.explode(F.sequence(F.lit(-1), F.col("x.width") - 1))
+    rows = banded.withColumn("flip", flips).withColumn("value", F.when(F.col("flip") < 0, F.col("x.value")).otherwise(F.col("x.value").bitwiseXOR(F.expr("shiftleft(1L, greatest(flip, 0))"))))
+    x, y = (rows.select(F.col("id").alias(f"{p}_id"), F.col("words").alias(f"{p}_words"), F.col("flip").alias(f"{p}_flip"), F.col("x.band").alias("band"), "value") for p in "xy")
+    once = ((F.col("y_flip") < 0) | ((F.col("x_flip") >= 0) & (F.col("x_flip") < F.col("y_flip")))) & (F.col("x_id") != F.col("y_id"))
+    met = x.join(y, ["band", "value"]).filter(once).select("x_id", "y_id", hamming(F.col("x_words"), F.col("y_words")).alias("distance")).filter(F.col("distance") <= most)
+    return met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"), "distance").distinct().unionByName(copies)
+
+
 def trigram_similarity(names: DataFrame, least: float = 0.6) -> DataFrame:
     """(a, b, similarity) of distinct names by Jaccard of their character trigrams. names: name."""
     n = names.select("name").distinct()

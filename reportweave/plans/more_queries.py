@@ -25,9 +25,9 @@ def lsh_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def simhash_near(spark, d):
-    docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat_ws("|", "source", "lang").alias("block"), F.coalesce("text", F.lit("")).alias("text"))
-    h = K.simhash(docs, "id", "text").join(docs.select("id", "block"), "id")
-    return K.simhash_near(h, "block")
+    """Near pairs of all documents, whatever their source and language; the least of equal hashes stands for them."""
+    docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    return K.simhash_all(K.simhash(docs, "id", "text"))
 
 
 def trigram_block(spark, d):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reportweave.functions import rules as R
 from reportweave.functions import text as X
-from reportweave.operators import review, scoring
+from reportweave.operators import review, scoring, sketches
 from reportweave.operators.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -142,3 +142,29 @@ def test_whole_composite_takes_the_structural_layer(spark):
     got = {(r["a"], r["b"]): r["score"] for r in q["score_details_whole"](spark, SF).filter("layer = 'structure'").collect()}
     copied = {(r["a"], r["b"]): r["score"] for r in q["score_details"](spark, SF).filter("layer = 'structure'").collect()}
     assert got and all(abs(got[p] - layer[p]) < 1e-9 for p in got) and any(abs(got[p] - copied[p]) > 1e-9 for p in got if p in copied)
+
+
+def test_simhash_pairs_equal_brute_force(spark):
+    rng = random.Random(6)
+    rows, flip = [], lambda h, n: h ^ sum(1 << i for i in rng.sample(range(256), n))
+    for i in range(12):
+        h = rng.getrandbits(256)
+        rows += [(10 * i + j, flip(h, n)) for j, n in enumerate((0, 1, 14, 15, 29, 30))] + [(10 * i + 8, h), (10 * i + 9, h)]
+    long = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(i, [long(h >> 64 * k & (1 << 64) - 1) for k in range(4)]) for i, h in rows], "id long, words array<long>")
+    low = {}
+    for i, h in sorted(rows):
+        low.setdefault(h, i)
+    want = {(low[h], i, 0) for i, h in rows if low[h] != i}
+    want |= {(i, j, bin(g ^ h).count("1")) for g, i in low.items() for h, j in low.items() if i < j and bin(g ^ h).count("1") <= 29}
+    got = [tuple(r) for r in sketches.simhash_all(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_simhash_meets_copies_of_other_sources(spark, tmp_path):
+    import __spark_entry__
+
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, text, "en", "a"), (2, text, "de", "b"), (3, text, None, None), (4, "quite another short text", "en", "a")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {tuple(r) for r in __spark_entry__.queries()["simhash_near"](spark, str(tmp_path)).collect()} == {(1, 2, 0), (1, 3, 0)}
