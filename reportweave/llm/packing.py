@@ -10,7 +10,8 @@ no key (a source with a third of all rows, say) gathers in one.
 
 Defined cases: a null text is empty; a document without words takes no room and has a null bin_id; a null source or
 cluster conflicts with nothing; equal sizes are packed in the order of doc_id (null first); repeated rows are packed
-each, and never together, being copies. The default cluster is the hash of the document's words in order.
+each, and never together, being copies. A cluster is a class of near duplicates (see minhash_dedup) if `near` is set, which holds equal
+word sequences too; else it is the hash of the document's words in order, which suffices where near copies have been removed before.
 """
 
 from __future__ import annotations
@@ -24,13 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_key
+from .minhash_dedup import near_duplicates
 from .wordbytes import blocks, mix, separators, word_hashes, words
 
 _SPACE = separators("space")
 
 
-def measure(docs: DataFrame) -> DataFrame:
+def measure(docs: DataFrame, near: bool = False) -> DataFrame:
     """(doc_id, source, n_words, cluster) of documents; cluster is null for a text without words."""
+    if near:
+        return _measure_near(docs)
 
     def run(batches):
         for batch in batches:
@@ -51,6 +56,14 @@ def measure(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", "text").mapInArrow(run, f"doc_id {kinds['doc_id']}, source {kinds['source']}, n_words long, cluster long")
 
 
+def _measure_near(docs: DataFrame) -> DataFrame:
+    keyed = docs.withColumn("own", F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key")))
+    exact = measure(keyed.select(F.struct("doc_id", "own").alias("doc_id"), "source", "text"))
+    found = near_duplicates(docs).select(F.struct("doc_id", "text_key").alias("c_own"), F.xxhash64(F.col("class_id").isNull(), "class_id").alias("class")).distinct()
+    joined = exact.join(found, (exact["doc_id.own.text_key"] == found["c_own.text_key"]) & exact["doc_id.own.doc_id"].eqNullSafe(found["c_own.doc_id"]), "left")
+    return joined.select("doc_id.doc_id", "source", "n_words", F.when(F.col("n_words") > 0, F.coalesce("class", "cluster")).alias("cluster"))
+
+
 def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) -> list[int]:
     """Bin of each item. Items come longest first."""
     source_bit: dict = {}
@@ -118,5 +131,5 @@ def pack(measured: DataFrame, capacity: int = 2048, shard_rows: int = 4096, n_ro
     return measured.withColumn("shard", shard).groupBy("shard").applyInPandas(run, RESULT)
 
 
-def pack_documents(docs: DataFrame, capacity: int = 2048, shard_rows: int = 4096) -> DataFrame:
-    return pack(measure(docs), capacity, shard_rows, docs.count())
+def pack_documents(docs: DataFrame, capacity: int = 2048, shard_rows: int = 4096, near: bool = False) -> DataFrame:
+    return pack(measure(docs, near), capacity, shard_rows, docs.count())

@@ -103,7 +103,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
-    return pack_documents(read_table(spark, sf_dir, "documents"))
+    return pack_documents(read_table(spark, sf_dir, "documents"), near=True)
 
 
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,6 +151,18 @@ def test_packing_keeps_its_constraints(spark, odd):
     assert sum(r["n_words"] for r in rows if r["doc_id"] == 26) == words[26] == 30000
 
 
+def test_near_copies_are_not_packed_together(spark, tmp_path):
+    from reportweave.llm import queries
+
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*words[:60], f"x{i}", *words[61:]]), "en", f"s{i}", 1) for i in range(4)] + [(9, "some other text", "en", "s9", 1), (None, " ".join(words), "en", "s10", 1), (10, "", "en", "s11", 1)]
+    spark.createDataFrame(rows, DOC).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op6_best_fit_packing(spark, str(tmp_path)).collect()
+    bins = [r["bin_id"] for r in got if r["doc_id"] not in (9, 10)]
+    assert len(got) == 7 and len(bins) == len(set(bins)) == 5
+    assert {r["doc_id"] for r in got if r["bin_id"] is None} == {10}
+
+
 def test_fingerprints(spark, odd):
     got = fingerprint.fingerprint_documents(odd, 3).collect()
     key = lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "")
