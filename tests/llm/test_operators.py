@@ -111,6 +111,23 @@ def test_substrings_equal_brute_force(spark, odd):
         assert got == want
 
 
+def test_windows_differ_in_their_high_bits_too():
+    import numpy as np
+    import pyarrow as pa
+
+    def rows(first, second):
+        sig = [np.array([h], "<u8").tobytes() for h in (first, second)]
+        return pa.RecordBatch.from_arrays([pa.array([7, 7]), pa.array([1, 2]), pa.array([0, 0]), pa.array(sig, pa.binary()), pa.array([1, 2])], names=["ah", "doc_id", "at", "sig", "place"])
+
+    assert [b.column("doc_id").to_pylist() for b in substring_dedup._covered([rows(5, 5)])] == [[2]]
+    assert list(substring_dedup._covered([rows(5, 5 + (1 << 45))])) == []
+
+
+def test_window_rows_carry_whole_hashes(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(30)))], "doc_id long, text string")
+    assert sum(len(r["sig"]) for r in substring_dedup.anchor_rows(docs, 13, 3).collect()) == 18 * 8
+
+
 def test_leaks_equal_brute_force(spark, odd):
     texts = {r["doc_id"]: r["text"] for r in odd.collect()}
     w = texts[5].split()
