@@ -55,6 +55,12 @@ def match_fuzzy(m: DataFrame, bank: DataFrame, ratio: Callable[[Column, Column],
     return near.withColumn("ratio", ratio(F.col("x"), F.col("y"))).filter(F.col("ratio") >= threshold).select("mention_id", "kpi_id", F.round("ratio", 6).alias("ratio"))
 
 
+def match_fuzzy_any(m: DataFrame, bank: DataFrame, ratio: Callable[[Column, Column], Column] = X.seq_ratio, threshold: float = 0.85) -> DataFrame:
+    """(mention_id, kpi_id, ratio) by a name or an alias at least threshold alike, the best of a bank row's."""
+    names = bank.select("kpi_id", "subdomain", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).filter("name <> ''")
+    return match_fuzzy(m.filter("name <> ''"), names, ratio, threshold).groupBy("mention_id", "kpi_id").agg(F.max("ratio").alias("ratio"))
+
+
 def match_waterfall(m: DataFrame, bank: DataFrame, phases: list[tuple[str, Callable]], accept: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """(mention_id, kpi_id, phase): the first phase that hits wins, then the least kpi_id. accept filters candidates before."""
     every = None

@@ -68,6 +68,23 @@ def match_waterfall(spark, d):
     return _waterfall(spark, d)[2]
 
 
+def match_waterfall_fuzzy(spark, d):
+    """The waterfall with the fuzzy phase (names and aliases); false friends are passed over as candidates. No embedding phase."""
+    m, b = _m(spark, d), A.bank(spark, d)
+    return _fuzzy_waterfall(m, b)
+
+
+def _fuzzy_waterfall(m: DataFrame, b: DataFrame) -> DataFrame:
+    about = m.select("mention_id", "raw", F.col("agg").alias("r"), F.concat_ws(" ", "raw", "name").alias("mine")), b.select("kpi_id", F.col("agg").alias("o"), F.col("name").alias("theirs"))
+
+    def accept(hits):
+        both = hits.join(about[0], "mention_id").join(about[1], "kpi_id")
+        compatible = R.agg_compatible(F.col("r"), F.col("o"), R.looks_like_ratio(F.col("raw")), R.has_money_hint(F.col("raw")))
+        return both.filter(compatible & R.semantic_conflict(F.col("mine"), F.col("theirs")).isNull()).select(hits.columns)
+
+    return M.match_waterfall(m, b, [*PHASES, ("fuzzy", M.match_fuzzy_any)], accept)
+
+
 _OK = sql_compatible(f"({sql_agg('m.agg')})", f"({sql_agg('bank.agg')})", "false", "false")
 _WATERFALL = f"""hits AS (SELECT mention_id, kpi_id, 0 AS n, 'exact' AS phase FROM ({_EXACT}) UNION ALL SELECT mention_id, kpi_id, 1, 'alias' FROM ({_ALIAS})
   UNION ALL SELECT mention_id, kpi_id, 2, 'lineage' FROM ({_LINEAGE}) UNION ALL SELECT mention_id, kpi_id, 3, 'virtual' FROM ({_VIRTUAL})),
@@ -170,6 +187,7 @@ QUERIES = {
     ),
     "match_sequence": (match_sequence, None),
     "match_waterfall": (match_waterfall, _ALL("SELECT mention_id, kpi_id, phase FROM won")),
+    "match_waterfall_fuzzy": (match_waterfall_fuzzy, None),
     "match_scoped": (
         match_scoped,
         _ALL("SELECT mention_id, kpi_id, phase FROM won UNION ALL SELECT mention_id, min(kpi_id), 'sector' FROM m JOIN bank ON lower(trim(m.name)) = lower(trim(bank.name)) WHERE mention_id NOT IN (SELECT mention_id FROM won) GROUP BY 1"),

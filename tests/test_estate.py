@@ -168,3 +168,13 @@ def test_simhash_meets_copies_of_other_sources(spark, tmp_path):
     rows = [(1, text, "en", "a"), (2, text, "de", "b"), (3, text, None, None), (4, "quite another short text", "en", "a")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {tuple(r) for r in __spark_entry__.queries()["simhash_near"](spark, str(tmp_path)).collect()} == {(1, 2, 0), (1, 3, 0)}
+
+
+def test_typos_match_and_false_friends_pass_the_turn(spark):
+    from reportweave.plans.match_queries import _fuzzy_waterfall
+
+    m = "mention_id long, raw string, name string, sheet string, subdomain string, lineage array<string>, agg string"
+    rows = [(1, "open policues", 0), (2, "premium totl", 0), (3, "Budget", 0), (4, "nothing alike", 0)]
+    mentions = spark.createDataFrame([(i, raw, raw.lower(), "", "s", [], "NONE") for i, raw, _ in rows], m)
+    bank = spark.createDataFrame([(10, "open policies", "s", [], [], "SUM"), (11, "written", "s", [], ["premium total"], "SUM"), (12, "net sales", "s", [], ["budget"], "SUM"), (13, "budget", "t", [], [], "SUM"), (14, "budgets", "s", [], [], "SUM")], "kpi_id long, name string, subdomain string, lineage array<string>, aliases array<string>, agg string")
+    assert {tuple(r) for r in _fuzzy_waterfall(mentions, bank).collect()} == {(1, 10, "fuzzy"), (2, 11, "fuzzy"), (3, 14, "fuzzy")}
