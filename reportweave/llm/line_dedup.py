@@ -3,10 +3,10 @@
 Lines are what '\\n' separates. A line's shingles are its runs of eight characters (all of it, if it is shorter). Equal
 lines are met by 128 bits of hash first, so that a line with any number of copies is one node, aggregated before
 the shuffle. Nodes are signed with ROWS * BANDS min-hashes, banded, and candidates verified by the exact Jaccard
-similarity of their shingle sets; of each component the first line (by doc_id, then line number) stays.
+similarity of their shingle sets (see near); of each component the first line (by doc_id, then line number) stays.
 
 Defined cases: blank lines (only white space) are never duplicates and always stay; null or empty texts have no lines to
-remove; a null doc_id counts as less than all others; rows of one doc_id with different texts are told apart by 15 bits of their
+remove; a null doc_id counts as less than all others; rows of one doc_id with different texts are told apart by 31 bits of their
 text's hash; repeated rows count as one document and are cut alike, so the line that stays does so in each of them.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .near import SKETCH, buckets_by_window, near_classes, sketch_longs
+from .near import buckets_by_join, near_classes
 from .substring_dedup import tag_of
 from .wordbytes import mix
 
@@ -26,7 +26,6 @@ SHINGLE, ROWS, BANDS = 8, 4, 12
 _CHARS = 1 << 17
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _FACTORS = (mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
-_BAND_BYTES = 6
 
 
 def line_spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,72 +101,33 @@ def line_rows(docs: DataFrame) -> DataFrame:
                     continue
                 h1, h2, keys = signatures(codes, start[stay], end[stay])
                 doc = pa.array(row[stay])
-                width = BANDS * _BAND_BYTES
-                raw = keys.astype("<u8").view(np.uint8).reshape(len(h1), BANDS, 8)[:, :, :_BAND_BYTES].tobytes()
-                offsets = (np.arange(len(h1) + 1) * width).astype(np.int32)
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(h1) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(doc), batch.column("tag").take(doc), pa.array(line[stay].astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.Array.from_buffers(pa.binary(), len(h1), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)])],
+                    [batch.column("doc_id").take(doc), batch.column("tag").take(doc), pa.array(line[stay].astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), bands],
                     names=["doc_id", "tag", "line", "h1", "h2", "bands"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag_of(F.col("text")).alias("tag"), "text")
-    return rows.mapInArrow(run, "doc_id long, tag short, line int, h1 long, h2 long, bands binary")
+    return rows.mapInArrow(run, "doc_id long, tag int, line int, h1 long, h2 long, bands array<long>")
 
 
 _SOLID = "[^\\x00-\\x20\\x85\\xa0\\u2028\\u2029\\u3000]"
 
 
-def line_places(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, line, h1, h2) of the lines that aren't blank, by Spark's own hashes."""
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag_of(F.col("text")).alias("tag"), F.posexplode(F.split("text", "\n", -1)).alias("line", "x")).filter(F.col("x").rlike(_SOLID))
-    return lines.select("doc_id", "tag", "line", F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(11), "x").alias("h2"))
-
-
-def band_rows(nodes: DataFrame) -> DataFrame:
-    """(key, node) of nodes(node, bands). A key has the band's number and 48 bits of its hash."""
-
-    def run(batches):
-        for batch in batches:
-            raw = np.zeros((batch.num_rows, BANDS, 8), np.uint8)
-            raw[:, :, :_BAND_BYTES] = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.uint8).reshape(-1, BANDS, _BAND_BYTES)
-            keys = raw.view("<u8").reshape(-1, BANDS) | np.arange(BANDS, dtype=np.uint64) << np.uint64(48)
-            take = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), *[batch.column(c).take(take) for c in ("known", "doc_id", "line", "tag")]], names=["key", "known", "doc_id", "line", "tag"])
-
-    flat = nodes.select("node.known", "node.doc_id", "node.line", "node.tag", "bands")
-    return flat.mapInArrow(run, "key long, known boolean, doc_id long, line int, tag short").select("key", F.struct("known", "doc_id", "line", "tag").alias("node"))
-
-
 def _set(line: str) -> frozenset:
     return frozenset(line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1)))
 
 
-#: Samples by which pairs of the second step are told apart. Copies of one line with changes of their own come close to
-#: the threshold in numbers, so that it takes many.
-SAMPLES = 4 * SKETCH
-_MORE = (mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) + np.uint64(1 << 20)) | np.uint64(1)).astype(np.uint32)
-
-
-def sketch_lines(rows: DataFrame) -> DataFrame:
-    """(node, text) to (node, sketch) of min-hashes, see near.agreeing."""
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for line in batch.column("text").to_pylist():
-                codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-                n = max(len(codes) - SHINGLE + 1, 1)
-                h = np.zeros(n, np.uint64)
-                for i in range(min(SHINGLE, len(codes))):
-                    h = h * _STEP + codes[i : i + n]
-                base = np.unique(mix(h) >> np.uint64(32)).astype(np.uint32)
-                low = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
-                for lo in range(0, len(base), 128):
-                    low = np.minimum(low, (base[lo : lo + 128, None] * _MORE).min(0))
-                out.append(sketch_longs(mix(low.astype(np.uint64))))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.list_(pa.int64()))], names=["node", "sketch"])
-
-    return rows.mapInArrow(run, f"node {dict(rows.dtypes)['node']}, sketch array<long>")
+def line_features(texts: pa.Array):
+    """(hashes, weights) of the distinct shingles of each line."""
+    for line in texts.to_pylist():
+        codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        n = max(len(codes) - SHINGLE + 1, 1)
+        h = np.zeros(n, np.uint64)
+        for i in range(min(SHINGLE, len(codes))):
+            h = h * _STEP + codes[i : i + n] + np.uint64(1)
+        g = np.unique(mix(h))
+        yield g, np.ones(len(g))
 
 
 def compare_lines(pairs: DataFrame) -> DataFrame:
@@ -189,23 +149,24 @@ def compare_lines(pairs: DataFrame) -> DataFrame:
 
 def duplicate_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(doc_id, tag, lines): numbers (from 0) of each document's lines that go, for documents that have some."""
-    node = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "line", "tag")
-    signed = line_rows(docs).groupBy("h1", "h2").agg(F.min(F.struct(node.alias("node"), "bands")).alias("low"))
-    members = buckets_by_window(band_rows(signed.select("low.node", "low.bands")))
+    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "line", "tag").alias("place")
+    signed = materialize(line_rows(docs), "lines-signed")
+    nodes = signed.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.first("bands").alias("bands"), F.count("*").alias("n"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "lines-nodes")
+    members = buckets_by_join(nodes.select(F.explode("bands").alias("key"), "node"))
 
     def fetch(needed):
-        lines = needed.groupBy(F.col("node.doc_id").alias("n_doc"), F.col("node.tag").alias("n_tag")).agg(F.collect_list("node").alias("nodes"))
+        wanted = nodes.join(needed, "node").groupBy(F.col("place.doc_id").alias("n_doc"), F.col("place.tag").alias("n_tag")).agg(F.collect_list(F.struct("place.line", "node")).alias("wanted"))
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag_of(F.col("text")).alias("tag"), "text")
-        found = rows.join(lines, F.col("doc_id").eqNullSafe(F.col("n_doc")) & (F.col("tag") == F.col("n_tag")))
-        picked = found.select("nodes", F.split("text", "\n", -1).alias("lines")).select(F.explode(F.transform("nodes", lambda n: F.struct(n.alias("node"), F.get("lines", n["line"]).alias("text")))).alias("x"))
+        found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("n_doc")) & (F.col("tag") == F.col("n_tag")))
+        picked = found.select("wanted", F.split("text", "\n", -1).alias("lines")).select(F.explode(F.transform("wanted", lambda n: F.struct(n["node"].alias("node"), F.get("lines", n["line"]).alias("text")))).alias("x"))
         return picked.select("x.node", "x.text").filter("text is not null").dropDuplicates(["node"])
 
-    linked = near_classes(members, fetch, compare_lines, threshold, sketch_lines, SAMPLES)
-    places = materialize(line_places(docs).select("h1", "h2", node.alias("place")), "line-places")
-    firsts = places.groupBy("h1", "h2").agg(F.min("place").alias("node"))
-    later = places.join(firsts, ["h1", "h2"]).filter(F.col("place") != F.col("node")).select("place")
-    merged = linked.filter(F.col("node") != F.col("root")).select(F.col("node").alias("place"))
-    gone = later.unionByName(merged)
+    linked = near_classes(members, fetch, compare_lines, line_features, threshold)
+    named = nodes.select("node", "h1", "h2", "place", "n").join(linked, "node", "left")
+    firsts = named.filter("root is not null").groupBy("root").agg(F.min("place").alias("first"))
+    staying = named.filter("root is not null or n > 1").join(firsts, "root", "left").select("h1", "h2", F.coalesce("first", "place").alias("first"))
+    gone = signed.select("h1", "h2", place).join(staying, ["h1", "h2"]).filter(F.col("place") != F.col("first"))
     return gone.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.tag").alias("tag")).agg(F.array_sort(F.collect_set("place.line")).alias("lines"))
 
 

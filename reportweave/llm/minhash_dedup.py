@@ -5,7 +5,7 @@ a damped inverse document frequency. Frequencies are counted over all documents
 cell holds what its shingles have in common, so frequencies are exact up to the share of documents that falls into a cell by
 chance, which doesn't depend on the corpus' size. Each of ROWS * BANDS samples draws one shingle with a probability in
 proportion to its weight, consistently between documents; samples are banded, and candidates verified by weighted Jaccard
-similarity over whole texts. Equal texts are one node from the start, whatever their number.
+similarity over whole texts (see near). Equal texts are one node from the start, whatever their number.
 
 Defined cases: null texts count as empty; equal texts are always of one class, empty ones too; texts without words are
 otherwise alone; a null doc_id counts as less than all others; repeated rows are of one class. Rows with equal doc_id
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import gathered_sum, materialize, text_key
-from .near import SKETCH, buckets_by_join, near_classes, sketch_longs
+from .near import buckets_by_join, near_classes
 from .wordbytes import blocks, gram_hashes, mix, separators, whole_grams, word_hashes, words
 
 SHINGLE, ROWS, BANDS = 5, 5, 19
@@ -122,17 +122,14 @@ def bands(texts: pa.Array, idf: np.ndarray) -> list:
     return out
 
 
-def sketch_texts(rows: DataFrame, idf) -> DataFrame:
-    """(node, text) to (node, sketch), see near.agreeing."""
-
-    def run(batches):
-        for batch in batches:
-            out: list = [None] * batch.num_rows
-            for i, flat in samples(batch.column("text"), idf.value, SKETCH):
-                out[i] = sketch_longs(flat)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.list_(pa.int64()))], names=["node", "sketch"])
-
-    return rows.mapInArrow(run, f"node {dict(rows.dtypes)['node']}, sketch array<long>")
+def weighted(texts: pa.Array, idf: np.ndarray):
+    """(hashes, weights) of the distinct shingles of each text, hashes ascending."""
+    for b in blocks(texts):
+        row, g, count = shingles(b)
+        weight = count * idf[_cells(g)].astype(float)
+        edge = np.searchsorted(row, np.arange(b.rows + 1))
+        for i in range(b.rows):
+            yield g[edge[i] : edge[i + 1]], weight[edge[i] : edge[i + 1]]
 
 
 def compare_pairs(pairs: DataFrame, idf) -> DataFrame:
@@ -143,16 +140,8 @@ def compare_pairs(pairs: DataFrame, idf) -> DataFrame:
             sims = np.zeros(batch.num_rows)
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                sets = []
-                for name in ("a_text", "b_text"):
-                    one: list = []
-                    for b in blocks(part.column(name)):
-                        row, g, count = shingles(b)
-                        weight = count * idf.value[_cells(g)].astype(float)
-                        edge = np.searchsorted(row, np.arange(b.rows + 1))
-                        one += [(g[edge[i] : edge[i + 1]], weight[edge[i] : edge[i + 1]]) for i in range(b.rows)]
-                    sets.append(one)
-                for i, ((g, w), (h, v)) in enumerate(zip(*sets)):
+                sides = (weighted(part.column(c), idf.value) for c in ("a_text", "b_text"))
+                for i, ((g, w), (h, v)) in enumerate(zip(*sides)):
                     _, x, y = np.intersect1d(g, h, assume_unique=True, return_indices=True)
                     both = np.minimum(w[x], v[y]).sum()
                     every = w.sum() + v.sum() - both
@@ -178,22 +167,23 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h1"), batch.column("h2"), keys], names=["doc_id", "h1", "h2", "bands"])
 
     signed = materialize(rows.select("doc_id", "h1", "h2", "text").mapInArrow(run, "doc_id long, h1 long, h2 long, bands array<long>"), "near-signed")
-    nodes = signed.groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("low"), F.first("bands").alias("bands"))
-    node = F.struct(F.col("low.known").alias("known"), F.col("low.doc_id").alias("doc_id"), "h1", "h2").alias("node")
-    nodes = nodes.select("h1", "h2", node, "bands")
+    low = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "h1", "h2")).alias("low")
+    nodes = signed.groupBy("h1", "h2").agg(low, F.first("bands").alias("bands"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     members = buckets_by_join(nodes.select(F.explode("bands").alias("key"), "node"))
 
     def fetch(needed):
-        flat = needed.select("node", F.col("node.doc_id").alias("n_doc"), F.col("node.h1").alias("n_h1"), F.col("node.h2").alias("n_h2"))
+        flat = nodes.join(needed, "node").select("node", F.col("low.doc_id").alias("n_doc"), F.col("h1").alias("n_h1"), F.col("h2").alias("n_h2"))
         same = rows["doc_id"].eqNullSafe(flat["n_doc"]) & (rows["h1"] == flat["n_h1"]) & (rows["h2"] == flat["n_h2"])
         return rows.join(flat, same).dropDuplicates(["node"]).select("node", "text")
 
-    linked = near_classes(members, fetch, lambda p: compare_pairs(p, idf), threshold, lambda t: sketch_texts(t, idf))
-    classes = nodes.select("h1", "h2", "node").join(linked, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))
+    linked = near_classes(members, fetch, lambda p: compare_pairs(p, idf), lambda t: weighted(t, idf.value), threshold)
+    classes = nodes.select("h1", "h2", "node", "low").join(linked, "node", "left").select("h1", "h2", "low", F.coalesce("root", "node").alias("root"))
+    classes = classes.join(classes.groupBy("root").agg(F.min("low").alias("first")), "root").select("h1", "h2", "root", "first")
     each = signed.groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("copies")).join(classes, ["h1", "h2"])
     sizes = each.groupBy("root").agg(F.sum("copies").alias("class_size"))
-    kept = F.col("doc_id").eqNullSafe(F.col("root.doc_id")) & (F.col("h1") == F.col("root.h1")) & (F.col("h2") == F.col("root.h2"))
-    return each.join(sizes, "root").select("doc_id", F.col("h1").alias("text_key"), F.col("root.doc_id").alias("class_id"), "copies", "class_size", kept.alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h1") == F.col("first.h1")) & (F.col("h2") == F.col("first.h2"))
+    return each.join(sizes, "root").select("doc_id", F.col("h1").alias("text_key"), F.col("first.doc_id").alias("class_id"), "copies", "class_size", kept.alias("kept"))
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -1,27 +1,42 @@
 """Classes of near duplicates from hash buckets: star candidates, exact verification, union-find, and the rest exactly.
 
-Members of a bucket are first compared with its most central member only, which is linear in the bucket. Central is who
-meets most others over all buckets: in a group of copies that is a copy with few changes, to which most others are
-linked. A link between two others could be missed if one of them isn't linked to the central member. Those are found
-in a second step over the buckets that still hold several components: a pair is compared unless the triangle inequality
-of the (weighted) Jaccard distance rules it out, given both distances from the central member, which have been computed. So every pair of a bucket is
-linked, ruled out, or compared, and no hot group of duplicates is expanded into its pairs.
+Nodes are longs. A round starts with buckets of nodes and compares each bucket's members with its most central member
+only, which is linear in the bucket. Central is who meets most others over all buckets: in a group of copies that is a copy
+with few changes, to which most others are linked. A link between two others, x and y, can still be missing where not both are
+linked to the central member c. Buckets that hold several components then are finished exactly, without looking at their pairs:
+
+* A bucket of at most SMALL members is compared pair by pair, a bounded number of pairs for each row.
+* In a larger one each member is described by its difference from c, a signed weight for each shingle: D(x) = x - c. Likeness
+  is weighted Jaccard, and J(x, y) >= t says |x - y| <= h(|x| + |y|) with h = (1 - t) / (1 + t). As |x - y| is
+  |D(x)| + |D(y)| less twice what the differences have in common, x and y must have at least (e(x) + e(y)) / 2 in common, where
+  e = |D| - h|x|. That is above zero if one of the two isn't linked to c. So a link needs a common difference: copies of
+  one text that were each changed elsewhere are far from meeting again, however many they are. Differences that only one
+  component has are dropped, the others of a member put in order, rare ones first; with w the first that x and y share, what
+  they have in common lies in w and what follows it. A member whose rest is too light for any partner under w
+  leaves w's bucket. What stays are the buckets of the next round, each with a new central member.
+
+So every pair of a bucket is linked, compared or ruled out by a bound that holds for certain. Were buckets left after MAX_ROUNDS,
+their pairs of different components would be compared one by one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reportweave.operators.components import connected_components
 
 from .common import materialize
+from .wordbytes import mix
 
 EPS = 1e-9
+SMALL = 8
+MAX_ROUNDS = 12
 
 
 def buckets_by_join(rows: DataFrame) -> DataFrame:
@@ -30,89 +45,120 @@ def buckets_by_join(rows: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key").select("key", "node", "n")
 
 
-def buckets_by_window(rows: DataFrame) -> DataFrame:
-    """As buckets_by_join, with one shuffle of the rows instead of two; a bucket is sorted (and spilled) in one task."""
-    return rows.select("key", "node", F.count("*").over(W.partitionBy("key")).alias("n")).filter("n > 1")
-
-
 def with_central(members: DataFrame) -> DataFrame:
-    """(key, node, rep) of members(key, node, n): rep has the greatest sum of n over its buckets, the least of equals."""
+    """(key, node, n, rep) of members(key, node, n): rep has the greatest sum of n over its buckets, any of equals."""
     mass = members.groupBy("node").agg(F.sum("n").alias("mass"))
-    reps = members.join(mass, "node").groupBy("key").agg(F.min(F.struct((-F.col("mass")).alias("mass"), "node")).alias("best"))
-    return members.join(reps, "key").select("key", "node", F.col("best.node").alias("rep"))
-
-
-#: A sketch is an array of longs of SKETCH_BYTES bytes, a byte a sample; the first SKETCH_LONGS are looked at first.
-SKETCH_LONGS, SKETCH_BYTES = 50, 7
-SKETCH = SKETCH_LONGS * SKETCH_BYTES
-
-
-def _equal_bytes(p: Column, q: Column) -> Column:
-    low = 0x7F7F7F7F7F7F7F
-    z = p.bitwiseXOR(q)
-    return F.lit(SKETCH_BYTES) - F.bit_count((z.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(z).bitwiseAND(F.lit(0x80808080808080)))
-
-
-def agreeing(x: str, y: str, longs: int) -> Column:
-    """How many samples agree in the first longs of two sketches."""
-    return sum((_equal_bytes(F.col(x)[i], F.col(y)[i]) for i in range(longs)), F.lit(0))
-
+    reps = members.join(mass, "node").groupBy("key").agg(F.max_by("node", "mass").alias("rep"))
+    return members.join(reps, "key").select("key", "node", "n", "rep")
 
-def agreeing_whole(x: str, y: str) -> Column:
-    return F.aggregate(F.zip_with(x, y, _equal_bytes), F.lit(0), lambda a, n: a + n)
 
+def split_by_difference(rows: DataFrame, features: Callable[[pa.Array], Iterable], threshold: float) -> DataFrame:
+    """(rep, node, root, rep_text, text) to the buckets (key, node, n) of the next round, see the module's text.
 
-def sketch_longs(samples: np.ndarray) -> np.ndarray:
-    """Sketch of 64-bit samples, a multiple of SKETCH_BYTES: their low bytes."""
-    low = (samples & np.uint64(255)).reshape(-1, SKETCH_BYTES)
-    return (low << (np.arange(SKETCH_BYTES, dtype=np.uint64) * np.uint64(8))).sum(1, dtype=np.uint64).view(np.int64)
-
-
-def least_agreement(threshold: float, n: int, sigmas: float = 4.5) -> int:
-    """Agreements of n that a pair at the threshold falls short of only by so many standard deviations (4.5: 3 in a million)."""
-    return int(n * threshold - sigmas * (n * threshold * (1 - threshold)) ** 0.5)
-
-
-def near_classes(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame], threshold: float, sketch: Callable[[DataFrame], DataFrame], samples: int = SKETCH) -> DataFrame:
-    """(node, root) of all nodes that are linked to another.
-
-    members: (key, node, n), see buckets_by_join. fetch: nodes to (node, text). compare: (a, b, a_text, b_text) to (a, b, sim).
-    sketch: (node, text) to (node, sketch) of so many samples (SKETCH at least), taken of the second step's nodes only; pairs whose samples
-    agree far too rarely (see least_agreement) are ruled out inside the join.
+    features gives each text's shingles: ascending hashes and their weights.
+    """
+    h = (1 - threshold + EPS) / (1 + threshold - EPS)
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                some, edges, excess, last, central = [], [0], [], None, None
+                reps, marks = part.column("rep").to_pylist(), part.column("rep_text")
+                for i, (g, v) in enumerate(features(part.column("text"))):
+                    if reps[i] != last:
+                        last, central = reps[i], next(iter(features(marks.slice(i, 1))))
+                    both = np.concatenate([g, central[0]])
+                    signed = np.concatenate([v, -central[1]])
+                    order = np.argsort(both, kind="stable")
+                    both, signed = both[order], signed[order]
+                    new = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, int)
+                    sums = np.add.reduceat(signed, new) if len(new) else np.zeros(0)
+                    keep = np.abs(sums) > EPS
+                    sums, ids = sums[keep], both[new[keep]]
+                    salt = mix(np.array([reps[i]], np.int64).view(np.uint64))
+                    some.append((mix(ids ^ salt) + (sums > 0), np.abs(sums)))
+                    edges.append(edges[-1] + len(ids))
+                    excess.append(float(np.abs(sums).sum() - h * v.sum()))
+                token = np.concatenate([t for t, _ in some]).astype(np.uint64).view(np.int64)
+                offsets = pa.array(edges, pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (token, np.concatenate([w for _, w in some]))]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("rep", "node", "root")], pa.array(excess, pa.float64()), *lists], names=["rep", "node", "root", "e", "keys", "weights"])
+
+    kind = "rep long, node long, root long, e double, keys array<long>, weights array<double>"
+    apart = materialize(rows.select("rep", "node", "root", "rep_text", "text").mapInArrow(run, kind), "near-apart")
+    flat = apart.select("rep", "node", "root", "e", F.explode(F.arrays_zip("keys", "weights")).alias("x")).select("rep", "node", "root", "e", F.col("x.keys").alias("key"), F.col("x.weights").alias("w"))
+    common = flat.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("df")).filter("low != high").select("key", "df")
+    order = W.partitionBy("rep", "node").orderBy(F.col("df").desc(), F.col("key").desc())
+    # slack: twice the weight of this difference and the commoner ones, less e
+    ranked = flat.join(common, "key").withColumn("slack", 2 * F.sum("w").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("e") + 1e-6)
+    ranked = materialize(ranked.select("key", "node", "root", "e", "slack"), "near-ranked")
+    limits = ranked.groupBy("key").agg(F.min("e").alias("least"), F.max("slack").alias("most"))
+    near = ranked.join(limits, "key").filter("least <= slack and e <= most").select("key", "node", "root")
+    mixed = near.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low != high").select("key", "n")
+    return near.join(mixed, "key").select("key", "node", "n")
+
+
+def near_classes(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame], features: Callable[[pa.Array], Iterable], threshold: float) -> DataFrame:
+    """(node, root) of all nodes that are linked to another; root is one of the component's nodes.
+
+    members: (key, node, n), longs, see buckets_by_join. fetch: (node) to (node, text). compare: (a, b, a_text, b_text) to
+    (a, b, sim). features: see split_by_difference.
     """
-    members = materialize(with_central(materialize(members, "near-buckets")), "near-members")
-    star = members.filter(F.col("node") != F.col("rep")).select("node", "rep").distinct()
-    needed = star.select("node").unionByName(star.select(F.col("rep").alias("node"))).distinct()
-    texts = materialize(fetch(needed).select("node", "text"), "near-texts")
+    cut = lambda df: materialize(df, "near-edges")
+    members = materialize(members, "near-buckets")
+    texts = materialize(fetch(members.select("node").distinct()).select("node", "text"), "near-texts")
+    roots = None
 
     def verify(pairs: DataFrame) -> DataFrame:
+        """The pairs that are linked."""
         b = texts.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
         a = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
         return compare(pairs.join(b, "b").join(a, "a").select("a", "b", "a_text", "b_text"))
 
-    sims = materialize(verify(star.select(F.col("rep").alias("a"), F.col("node").alias("b"))), "near-sims")
-    cut = lambda df: materialize(df, "near-edges")
-    first = cut(connected_components(sims.filter(F.col("sim") >= threshold - EPS).select("a", "b"), cut))
-    placed = members.join(first, "node", "left").select("key", "node", "rep", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") != F.col("high")).select("key")
-    known = sims.select(F.col("a").alias("rep"), F.col("b").alias("node"), "sim")
-    rest = placed.filter(F.col("node") != F.col("rep")).join(mixed, "key", "left_semi").join(known, ["rep", "node"])
-    rest = materialize(rest.select("key", "node", "root", "sim"), "near-rest")
-    sketched = materialize(sketch(texts.join(rest.select("node").distinct(), "node").select("node", "text")), "near-sketches")
-    keys = rest.groupBy("node").agg(F.collect_set("key").alias("keys"))  # as many as there are bands at most
-    rest = rest.join(sketched, "node").join(keys, "node")
-    x, y = (rest.select("key", *[F.col(c).alias(f"{p}_{c}") for c in rest.columns if c != "key"]) for p in "xy")
-    near = (F.col("x_node") < F.col("y_node")) & (F.col("x_root") != F.col("y_root")) & (F.abs(F.col("x_sim") - F.col("y_sim")) <= 1 - threshold + EPS)
-    near = near & (agreeing("x_sketch", "y_sketch", SKETCH_LONGS) >= least_agreement(threshold, SKETCH))
-    if samples > SKETCH:
-        near = near & (agreeing_whole("x_sketch", "y_sketch") >= least_agreement(threshold, samples))
-    near = near & (x["key"] == F.array_min(F.array_intersect("x_keys", "y_keys")))  # a pair is met in its first common bucket only
-    apart = x.join(y, (x["key"] == y["key"]) & near)
-    pairs = apart.select(F.col("x_node").alias("a"), F.col("y_node").alias("b"), "x_root", "y_root")
-    found = verify(pairs.select("a", "b")).filter(F.col("sim") >= threshold - EPS).select("a", "b")
-    links = cut(pairs.join(found, ["a", "b"]).select(F.col("x_root").alias("a"), F.col("y_root").alias("b")).distinct())
-    if links.isEmpty():
-        return first
-    joint = connected_components(links, cut).select(F.col("node").alias("root"), F.col("root").alias("joint"))
-    every = first.unionByName(links.select(F.explode(F.array("a", "b")).alias("node")).select("node", F.col("node").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
-    return cut(every.join(joint, "root", "left").select("node", F.coalesce("joint", "root").alias("root")))
+    def placed(rows: DataFrame, by: str, name: str) -> DataFrame:
+        """rows with the root of the column `by`."""
+        if roots is None:
+            return rows.withColumn(name, F.col(by))
+        return rows.join(roots.select(F.col("node").alias(by), F.col("root").alias(name)), by, "left").withColumn(name, F.coalesce(name, by))
+
+    def linked(links: DataFrame) -> DataFrame | None:
+        """roots with links(a, b) added."""
+        links = placed(placed(links, "a", "x"), "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        links = cut(links.filter("a != b").distinct())
+        if links.isEmpty():
+            return roots
+        joint = cut(connected_components(links, cut))
+        if roots is None:
+            return joint
+        moved = roots.join(joint.select(F.col("node").alias("root"), F.col("root").alias("joint")), "root", "left").select("node", F.coalesce("joint", "root").alias("root"))
+        return cut(moved.unionByName(joint.join(roots.select("node"), "node", "left_anti")))
+
+    for number in range(MAX_ROUNDS + 1):
+        if number == MAX_ROUNDS:
+            x, y = (placed(members, "node", "root").select("key", F.col("node").alias(n), F.col("root").alias(f"{n}_root")) for n in "ab")
+            rest = x.join(y, "key").filter("a < b and a_root != b_root").select("a", "b").distinct()
+            roots = linked(verify(rest).filter(F.col("sim") >= threshold - EPS))
+            break
+        members = materialize(with_central(members), "near-members").filter("node != rep")
+        star = placed(placed(members.select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct(), "a", "x"), "b", "y")
+        sims = materialize(verify(star.filter("x != y").select("a", "b")), "near-sims")
+        roots = linked(sims.filter(F.col("sim") >= threshold - EPS))
+        mixed = lambda df: df.join(df.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key"), "key", "left_semi")
+        rest = materialize(mixed(placed(members, "node", "root")), "near-rest")
+        few = rest.filter(F.col("n") <= SMALL).join(sims.select(F.col("a").alias("rep"), F.col("b").alias("node"), "sim"), ["rep", "node"], "left")
+        x, y = (few.select("key", F.col("node").alias(n), F.col("root").alias(f"{n}_root"), F.col("sim").alias(f"{n}_sim")) for n in "ab")
+        close = F.coalesce(F.abs(F.col("a_sim") - F.col("b_sim")) <= 1 - threshold + EPS, F.lit(True))  # the triangle rule of the Jaccard distance
+        pairs = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & close).select("a", "b").distinct()
+        roots = linked(verify(pairs).filter(F.col("sim") >= threshold - EPS))
+        many = mixed(placed(rest.filter(F.col("n") > SMALL).drop("root"), "node", "root")).select("rep", "node", "root").distinct()
+        many = materialize(many, "near-many")
+        if many.isEmpty():
+            break
+        told = many.join(texts, "node").join(texts.select(F.col("node").alias("rep"), F.col("text").alias("rep_text")), "rep")
+        members = materialize(split_by_difference(told, features, threshold), "near-buckets")
+        if members.isEmpty():
+            break
+    if roots is None:
+        return texts.select("node", F.col("node").alias("root")).limit(0)
+    return roots

@@ -11,7 +11,7 @@ may then become a run of its own, and runs are compacted into one that keeps eac
 its sorted rows; what it holds are the windows of the anchor at hand.
 
 Defined cases: null or empty texts have no words; a text of fewer than n words has no windows; a null doc_id counts as less
-than all others; rows of one doc_id don't repeat each other, and are told apart by 16 bits of their text's hash;
+than all others; rows of one doc_id don't repeat each other, and are told apart by 31 bits of their text's hash;
 repeated rows are each returned with the same result.
 """
 
@@ -34,7 +34,7 @@ _SPACE = separators("space")
 _BYTES = 8
 #: at: the tag of the document in the upper half, the first window's word in the lower; -1 in rows of history.
 ROW = "ah long, doc_id long, at long, sig binary"
-COVERED = "doc_id long, tag short, first int, mask int"
+COVERED = "doc_id long, tag int, first int, mask int"
 
 
 def anchor_rows(docs: DataFrame, n: int, anchor: int) -> DataFrame:
@@ -77,7 +77,8 @@ def anchor_rows(docs: DataFrame, n: int, anchor: int) -> DataFrame:
 
 
 def tag_of(text):
-    return F.shiftrightunsigned(text_key(text), 48).cast("int").bitwiseAND(0x7FFF).cast("short")
+    """31 bits of the text's hash, by which texts of one doc_id are told apart."""
+    return text_key(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
 
 
 def _windows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +135,7 @@ def _covered(batches):
         mask = np.bincount(row, bit, batch.num_rows).astype(np.int64)
         some = np.flatnonzero(mask)
         place = place[some]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(some)), pa.array((place >> 32).astype(np.int16)), pa.array((place & 0xFFFFFFFF).astype(np.int32)), pa.array(mask[some].astype(np.int32))], names=["doc_id", "tag", "first", "mask"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(some)), pa.array((place >> 32).astype(np.int32)), pa.array((place & 0xFFFFFFFF).astype(np.int32)), pa.array(mask[some].astype(np.int32))], names=["doc_id", "tag", "first", "mask"])
 
 
 def _kept(batches):
