@@ -12,6 +12,28 @@ def _written(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def ordered_edges(edges: DataFrame) -> DataFrame:
+    """(u, v) with u >= v of edges(a, b), each once."""
+    both = edges.filter("a is not null and b is not null")
+    return both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+
+def star_roots(now: DataFrame, cut: Callable[[DataFrame], DataFrame] = _written, max_rounds: int = 60) -> DataFrame:
+    """(node, root) of ordered_edges that have been written."""
+    for _ in range(max_rounds):
+        inner = now.filter("u <> v")
+        ends = inner.selectExpr("u", "1 as up", "0 as down").unionByName(inner.selectExpr("v as u", "0 as up", "1 as down"))
+        if ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)").isEmpty():  # all trees are stars
+            return inner.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        both = inner.unionByName(inner.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(now.filter("u = v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        now = cut(small.distinct())
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
 def connected_components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] = _written, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges(a, b); root is the least node of the component.
 
@@ -20,23 +42,4 @@ def connected_components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame]
     number of rounds logarithmic in the longest path. `cut` writes a round's edges to reliable storage; minima are
     aggregated before they are shuffled, so a hub's neighbours never gather in one task. Self-loops add their node.
     """
-    pair = lambda df, u, v: df.select(F.col(u).alias("u"), F.col(v).alias("v"))
-    now = cut(pair(edges, "a", "b").filter("u is not null and v is not null").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    sign = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = sign(now)
-    for _ in range(max_rounds):
-        both = now.unionByName(pair(now, "v", "u")).filter(F.col("u") != F.col("v"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(now.filter(F.col("u") == F.col("v"))).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = cut(small.distinct())
-        after = sign(now)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return now.filter(F.col("u") != F.col("v")).select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots).groupBy("node").agg(F.min("root").alias("root"))
+    return star_roots(cut(ordered_edges(edges)), cut, max_rounds)
