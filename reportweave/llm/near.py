@@ -1,9 +1,9 @@
 """Classes of near duplicates from hash buckets: star candidates, exact verification, union-find, and the rest exactly.
 
-Nodes are longs. A round starts with buckets of nodes and compares each bucket's members with its most central member
+Nodes are longs. A round starts with buckets of nodes and compares each bucket's members with one central node
 only, which is linear in the bucket. Central is who meets most others over all buckets: in a group of copies that is a copy
 with few changes, to which most others are linked. A link between two others, x and y, can still be missing where not both are
-linked to the central member c. Buckets that hold several components then are finished exactly, without looking at their pairs:
+linked to the central node c. Buckets that hold several components then are finished exactly, without looking at their pairs:
 
 * A bucket of at most SMALL members is compared pair by pair, a bounded number of pairs for each row.
 * In a larger one each member is described by its difference from c, a signed weight for each shingle: D(x) = x - c. Likeness
@@ -12,8 +12,8 @@ linked to the central member c. Buckets that hold several components then are fi
   e = |D| - h|x|. That is above zero if one of the two isn't linked to c. So a link needs a common difference: copies of
   one text that were each changed elsewhere are far from meeting again, however many they are. Differences that only one
   component has are dropped, the others of a member put in order, rare ones first; with w the first that x and y share, what
-  they have in common lies in w and what follows it. A member whose rest is too light for any partner under w
-  leaves w's bucket. What stays are the buckets of the next round, each with a new central member.
+  they have in common lies in w and what follows it. A member whose rest is too light for any partner under w, in
+  another component than c's if it is in c's itself, leaves w's bucket. What stays are the buckets of the next round, with new central nodes.
 
 So every pair of a bucket is linked, compared or ruled out by a bound that holds for certain. Were buckets left after MAX_ROUNDS,
 their pairs of different components would be compared one by one.
@@ -29,13 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reportweave.operators.components import connected_components
+from reportweave.operators.components import ordered_edges, star_roots
 
 from .common import materialize
 from .wordbytes import mix
 
 EPS = 1e-9
-SMALL = 8
+#: Up to so many members, a bucket's pairs are looked at one by one: of nodes, and of nodes with bounds of what they have in common.
+SMALL, BOUNDED = 8, 64
 MAX_ROUNDS = 12
 
 
@@ -46,14 +47,24 @@ def buckets_by_join(rows: DataFrame) -> DataFrame:
 
 
 def with_central(members: DataFrame) -> DataFrame:
-    """(key, node, n, rep) of members(key, node, n): rep has the greatest sum of n over its buckets, any of equals."""
+    """(key, node, n, rep) of members(key, node, n). A node's mass is the sum of n over its buckets.
+
+    The rep of a bucket of at most SMALL nodes is its member of the greatest mass. In a larger one it is the node of the greatest mass that
+    any member meets in any bucket: copies of one text fall into many buckets, but nearly all meet the central copy somewhere, so that
+    they are compared with that one and not with another in every bucket. Any of equals may be chosen.
+    """
     mass = members.groupBy("node").agg(F.sum("n").alias("mass"))
-    reps = members.join(mass, "node").groupBy("key").agg(F.max_by("node", "mass").alias("rep"))
-    return members.join(reps, "key").select("key", "node", "n", "rep")
+    weighed = members.join(mass, "node")
+    top = lambda df, by, c: df.groupBy(by).agg(F.max_by(c, "mass").alias(c), F.max("mass").alias("mass"))
+    own = top(weighed.select("key", F.col("node").alias("rep"), "mass"), "key", "rep")
+    inside = materialize(members.join(own, "key"), "near-inside")
+    met = top(inside.select("node", F.col("rep").alias("far"), "mass"), "node", "far")
+    wide = top(inside.filter(F.col("n") > SMALL).select("key", "node").join(met, "node").select("key", "far", "mass"), "key", "far")
+    return inside.join(wide.select("key", "far"), "key", "left").select("key", "node", "n", F.coalesce("far", "rep").alias("rep"))
 
 
 def split_by_difference(rows: DataFrame, features: Callable[[pa.Array], Iterable], threshold: float) -> DataFrame:
-    """(rep, node, root, rep_text, text) to the buckets (key, node, n) of the next round, see the module's text.
+    """(rep, node, root, own, rep_text, text) to smaller buckets (key, node, root, e, slack, n), see the module's text; own: the root is rep's.
 
     features gives each text's shingles: ascending hashes and their weights.
     """
@@ -83,20 +94,30 @@ def split_by_difference(rows: DataFrame, features: Callable[[pa.Array], Iterable
                 token = np.concatenate([t for t, _ in some]).astype(np.uint64).view(np.int64)
                 offsets = pa.array(edges, pa.int32())
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (token, np.concatenate([w for _, w in some]))]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("rep", "node", "root")], pa.array(excess, pa.float64()), *lists], names=["rep", "node", "root", "e", "keys", "weights"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("rep", "node", "root", "own")], pa.array(excess, pa.float64()), *lists], names=["rep", "node", "root", "own", "e", "keys", "weights"])
 
-    kind = "rep long, node long, root long, e double, keys array<long>, weights array<double>"
-    apart = materialize(rows.select("rep", "node", "root", "rep_text", "text").mapInArrow(run, kind), "near-apart")
-    flat = apart.select("rep", "node", "root", "e", F.explode(F.arrays_zip("keys", "weights")).alias("x")).select("rep", "node", "root", "e", F.col("x.keys").alias("key"), F.col("x.weights").alias("w"))
+    kind = "rep long, node long, root long, own boolean, e double, keys array<long>, weights array<double>"
+    apart = materialize(rows.select("rep", "node", "root", "own", "rep_text", "text").mapInArrow(run, kind), "near-apart")
+    names = ["rep", "node", "root", "own", "e"]
+    flat = apart.select(*names, F.explode(F.arrays_zip("keys", "weights")).alias("x")).select(*names, F.col("x.keys").alias("key"), F.col("x.weights").alias("w"))
     common = flat.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("df")).filter("low != high").select("key", "df")
     order = W.partitionBy("rep", "node").orderBy(F.col("df").desc(), F.col("key").desc())
     # slack: twice the weight of this difference and the commoner ones, less e
     ranked = flat.join(common, "key").withColumn("slack", 2 * F.sum("w").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("e") + 1e-6)
-    ranked = materialize(ranked.select("key", "node", "root", "e", "slack"), "near-ranked")
-    limits = ranked.groupBy("key").agg(F.min("e").alias("least"), F.max("slack").alias("most"))
-    near = ranked.join(limits, "key").filter("least <= slack and e <= most").select("key", "node", "root")
+    ranked = materialize(ranked.select("key", "node", "root", "own", "e", "slack"), "near-ranked")
+    inner, outer = F.col("own"), ~F.col("own")
+    bound = lambda f, c, where, name: f(F.when(where, F.col(c))).alias(name)
+    limits = ranked.groupBy("key").agg(bound(F.min, "e", inner, "e_in"), bound(F.min, "e", outer, "e_out"), bound(F.max, "slack", inner, "slack_in"), bound(F.max, "slack", outer, "slack_out"))
+    least, most = F.when(inner, F.col("e_out")).otherwise(F.least("e_in", "e_out")), F.when(inner, F.col("slack_out")).otherwise(F.greatest("slack_in", "slack_out"))
+    near = ranked.join(limits, "key").filter((least <= F.col("slack")) & (F.col("e") <= most)).select("key", "node", "root", "e", "slack")
     mixed = near.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low != high").select("key", "n")
-    return near.join(mixed, "key").select("key", "node", "n")
+    return near.join(mixed, "key").select("key", "node", "root", "e", "slack", "n")
+
+
+def _pairs_in(rows: DataFrame, *more: str) -> DataFrame:
+    """(a, b, and more columns of both as a_ and b_) of the pairs of a bucket that are of different roots. rows: key, node, root."""
+    x, y = (rows.select("key", F.col("node").alias(s), F.col("root").alias(f"{s}_root"), *[F.col(c).alias(f"{s}_{c}") for c in more]) for s in "ab")
+    return x.join(y, "key").filter("a < b and a_root != b_root")
 
 
 def near_classes(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame], features: Callable[[pa.Array], Iterable], threshold: float) -> DataFrame:
@@ -124,41 +145,47 @@ def near_classes(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], co
 
     def linked(links: DataFrame) -> DataFrame | None:
         """roots with links(a, b) added."""
-        links = placed(placed(links, "a", "x"), "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        links = cut(links.filter("a != b").distinct())
+        links = placed(placed(links, "a", "x"), "b", "y").filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        links = cut(ordered_edges(links))
         if links.isEmpty():
             return roots
-        joint = cut(connected_components(links, cut))
+        joint = star_roots(links, cut)
         if roots is None:
-            return joint
+            return cut(joint)
         moved = roots.join(joint.select(F.col("node").alias("root"), F.col("root").alias("joint")), "root", "left").select("node", F.coalesce("joint", "root").alias("root"))
         return cut(moved.unionByName(joint.join(roots.select("node"), "node", "left_anti")))
 
-    for number in range(MAX_ROUNDS + 1):
-        if number == MAX_ROUNDS:
-            x, y = (placed(members, "node", "root").select("key", F.col("node").alias(n), F.col("root").alias(f"{n}_root")) for n in "ab")
-            rest = x.join(y, "key").filter("a < b and a_root != b_root").select("a", "b").distinct()
-            roots = linked(verify(rest).filter(F.col("sim") >= threshold - EPS))
-            break
+    near = F.col("sim") >= threshold - EPS
+    mixed = lambda df: df.join(df.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key"), "key", "left_semi")
+    open_pairs = None
+    for _ in range(MAX_ROUNDS):
         members = materialize(with_central(members), "near-members").filter("node != rep")
-        star = placed(placed(members.select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct(), "a", "x"), "b", "y")
-        sims = materialize(verify(star.filter("x != y").select("a", "b")), "near-sims")
-        roots = linked(sims.filter(F.col("sim") >= threshold - EPS))
-        mixed = lambda df: df.join(df.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key"), "key", "left_semi")
+        star = members.select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
+        if roots is not None:
+            star = placed(placed(star, "a", "x"), "b", "y").filter("x != y").select("a", "b")
+        sims = materialize(verify(star), "near-sims")
+        found = sims.filter(near).select("a", "b")
+        roots = linked(found if open_pairs is None else found.unionByName(open_pairs))
         rest = materialize(mixed(placed(members, "node", "root")), "near-rest")
         few = rest.filter(F.col("n") <= SMALL).join(sims.select(F.col("a").alias("rep"), F.col("b").alias("node"), "sim"), ["rep", "node"], "left")
-        x, y = (few.select("key", F.col("node").alias(n), F.col("root").alias(f"{n}_root"), F.col("sim").alias(f"{n}_sim")) for n in "ab")
         close = F.coalesce(F.abs(F.col("a_sim") - F.col("b_sim")) <= 1 - threshold + EPS, F.lit(True))  # the triangle rule of the Jaccard distance
-        pairs = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & close).select("a", "b").distinct()
-        roots = linked(verify(pairs).filter(F.col("sim") >= threshold - EPS))
-        many = mixed(placed(rest.filter(F.col("n") > SMALL).drop("root"), "node", "root")).select("rep", "node", "root").distinct()
-        many = materialize(many, "near-many")
-        if many.isEmpty():
-            break
-        told = many.join(texts, "node").join(texts.select(F.col("node").alias("rep"), F.col("text").alias("rep_text")), "rep")
-        members = materialize(split_by_difference(told, features, threshold), "near-buckets")
-        if members.isEmpty():
+        pairs = _pairs_in(few, "sim").filter(close).select("a", "b")
+        many = rest.filter(F.col("n") > SMALL).select("rep", "node", "root")
+        split = None
+        if not many.isEmpty():
+            told = placed(many.distinct(), "rep", "rep_root").withColumn("own", F.col("root") == F.col("rep_root"))
+            told = told.join(texts, "node").join(texts.select(F.col("node").alias("rep"), F.col("text").alias("rep_text")), "rep")
+            split = materialize(split_by_difference(told, features, threshold), "near-split")
+            bounded = _pairs_in(split.filter(F.col("n") <= BOUNDED), "e", "slack").filter("a_e <= b_slack and b_e <= a_slack")
+            pairs = pairs.unionByName(bounded.select("a", "b"))
+        open_pairs = materialize(verify(pairs.distinct()).filter(near).select("a", "b"), "near-pairs")
+        members = None if split is None else split.filter(F.col("n") > BOUNDED).select("key", "node", "n")
+        if members is None or members.isEmpty():
             break
+    else:
+        rest = _pairs_in(placed(members, "node", "root")).select("a", "b").distinct()
+        open_pairs = open_pairs.unionByName(verify(rest).filter(near).select("a", "b"))
+    roots = linked(open_pairs)
     if roots is None:
         return texts.select("node", F.col("node").alias("root")).limit(0)
     return roots

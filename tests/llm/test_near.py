@@ -108,8 +108,8 @@ def test_difference_filter_leaves_few_pairs(spark, texts):
     words = ["w%d" % i for i in range(100000)]
     base = [rng.choice(words) for _ in range(200)]
     far = [" ".join(t) for t in copies(rng, base, 300, 5, 9, words)]
-    rows = [(0, i + 1, i + 1, " ".join(base), t) for i, t in enumerate(far)]
-    told = spark.createDataFrame(rows, "rep long, node long, root long, rep_text string, text string")
+    rows = [(0, i + 1, i + 1, False, " ".join(base), t) for i, t in enumerate(far)]
+    told = spark.createDataFrame(rows, "rep long, node long, root long, own boolean, rep_text string, text string")
     idf = np.ones(minhash_dedup.CELLS, np.float32)
     left = near.split_by_difference(told, lambda t: minhash_dedup.weighted(t, idf), 0.8)
     assert left.count() < 300
