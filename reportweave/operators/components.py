@@ -7,9 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _written(df: DataFrame) -> DataFrame:
-    return df.checkpoint()
+from .durable import materialize
 
 
 def ordered_edges(edges: DataFrame) -> DataFrame:
@@ -18,7 +16,7 @@ def ordered_edges(edges: DataFrame) -> DataFrame:
     return both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
 
-def star_roots(now: DataFrame, cut: Callable[[DataFrame], DataFrame] = _written, max_rounds: int = 60) -> DataFrame:
+def star_roots(now: DataFrame, cut: Callable[[DataFrame], DataFrame] = materialize, max_rounds: int = 60) -> DataFrame:
     """(node, root) of ordered_edges that have been written."""
     for _ in range(max_rounds):
         inner = now.filter("u <> v")
@@ -34,7 +32,7 @@ def star_roots(now: DataFrame, cut: Callable[[DataFrame], DataFrame] = _written,
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def connected_components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] = _written, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] = materialize, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges(a, b); root is the least node of the component.
 
     Nodes are of any type that can be ordered and compared. Each round relinks every node to the least of its

@@ -44,15 +44,39 @@ def match_virtual(m: DataFrame, bank: DataFrame) -> DataFrame:
     return v.join(names, (F.col("v") == F.col("k")) & (F.col("subdomain") == F.col("s"))).select("mention_id", "kpi_id").distinct()
 
 
-def match_fuzzy(m: DataFrame, bank: DataFrame, ratio: Callable[[Column, Column], Column] = X.lev_ratio, threshold: float = 0.85) -> DataFrame:
-    """(mention_id, kpi_id, ratio) of names at least threshold alike within the subdomain.
+def _pieces(df: DataFrame, name: str, length: Column, edits: Column) -> DataFrame:
+    """df with one row for each of the edits + 1 pieces that a name of this length is cut into: i, start (from 1) and size."""
+    cut = df.withColumns({"l": length.cast("int"), "e": edits.cast("int")}).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("e"))))
+    at = lambda i: F.floor(i * F.col("l") / (F.col("e") + 1)).cast("int")
+    return cut.withColumns({"start": at(F.col("i")) + 1, "size": at(F.col("i") + 1) - at(F.col("i"))})
+
 
-    Pairs are blocked by subdomain and the first letters' counts of length before the ratio is taken, whatever it is.
+def near_names(a: DataFrame, b: DataFrame, ratio: Callable[[Column, Column], Column], threshold: float, sides: int = 1) -> DataFrame:
+    """(subdomain, x, y, ratio) of the names of a(subdomain, x) and b(subdomain, y) that are at least threshold alike.
+
+    A name y of length l that is so like x differs by at most e edits, e growing with l. Cut into e + 1 pieces, one of them stands unchanged in x,
+    at most e places off. So names meet through an equal piece, an equi-join, and ratios are taken of those that met only. `sides` is 1 for
+    Levenshtein's ratio; matching blocks (2) allow twice the edits and lengths farther apart.
     """
+    edits = lambda l: F.floor(F.lit((1 - threshold) / threshold * sides) * l + 1e-9)
+    shortest = threshold if sides == 1 else threshold / (2 - threshold)
+    y = b.select("subdomain", "y").filter("y <> ''").distinct()
+    y = _pieces(y, "y", F.length("y"), edits(F.length("y"))).select("subdomain", "y", "l", "i", F.expr("substring(y, start, size)").alias("piece"))
+    x = a.select("subdomain", "x").filter("x <> ''").distinct()
+    m = F.length("x")
+    x = x.withColumn("other", F.explode(F.sequence(F.ceil(m * shortest - 1e-9).cast("int"), F.floor(m / shortest + 1e-9).cast("int"))))
+    x = _pieces(x, "x", F.col("other"), edits(F.col("other"))).withColumn("at", F.explode(F.sequence(F.col("start") - F.col("e"), F.col("start") + F.col("e"))))
+    x = x.filter((F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.length("x"))).select("subdomain", "x", "l", "i", F.expr("substring(x, at, size)").alias("piece")).distinct()
+    met = x.join(y, ["subdomain", "l", "i", "piece"]).select("subdomain", "x", "y").distinct()
+    return met.withColumn("ratio", ratio(F.col("x"), F.col("y"))).filter(F.col("ratio") >= threshold)
+
+
+def match_fuzzy(m: DataFrame, bank: DataFrame, ratio: Callable[[Column, Column], Column] = X.lev_ratio, threshold: float = 0.85) -> DataFrame:
+    """(mention_id, kpi_id, ratio) of names at least threshold alike within the subdomain."""
     a = m.select("mention_id", "subdomain", name_key(F.col("name")).alias("x"))
     b = bank.select("kpi_id", "subdomain", name_key(F.col("name")).alias("y"))
-    near = a.join(b, "subdomain").filter(X.seq_ratio_bound(F.col("x"), F.col("y")) >= threshold)
-    return near.withColumn("ratio", ratio(F.col("x"), F.col("y"))).filter(F.col("ratio") >= threshold).select("mention_id", "kpi_id", F.round("ratio", 6).alias("ratio"))
+    near = near_names(a, b, ratio, threshold, 1 if ratio is X.lev_ratio else 2)
+    return a.join(near, ["subdomain", "x"]).join(b, ["subdomain", "y"]).select("mention_id", "kpi_id", F.round("ratio", 6).alias("ratio"))
 
 
 def match_fuzzy_any(m: DataFrame, bank: DataFrame, ratio: Callable[[Column, Column], Column] = X.seq_ratio, threshold: float = 0.85) -> DataFrame:
@@ -61,6 +85,10 @@ def match_fuzzy_any(m: DataFrame, bank: DataFrame, ratio: Callable[[Column, Colu
     return match_fuzzy(m.filter("name <> ''"), names, ratio, threshold).groupBy("mention_id", "kpi_id").agg(F.max("ratio").alias("ratio"))
 
 
+def match_fuzzy_levenshtein(m: DataFrame, bank: DataFrame) -> DataFrame:
+    return match_fuzzy_any(m, bank, X.lev_ratio)
+
+
 def match_waterfall(m: DataFrame, bank: DataFrame, phases: list[tuple[str, Callable]], accept: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """(mention_id, kpi_id, phase): the first phase that hits wins, then the least kpi_id. accept filters candidates before."""
     every = None
@@ -70,11 +98,34 @@ def match_waterfall(m: DataFrame, bank: DataFrame, phases: list[tuple[str, Calla
     return latest(accept(every), ["mention_id"], "n", "kpi_id").select("mention_id", "kpi_id", "phase")
 
 
-def match_scoped(m: DataFrame, bank: DataFrame, found: DataFrame) -> DataFrame:
-    """found, and for mentions without a match the same name in any other subdomain."""
-    rest = m.join(found, "mention_id", "left_anti")
-    wide = rest.join(bank.select("kpi_id", name_key(F.col("name")).alias("k")), name_key(rest["name"]) == F.col("k")).groupBy("mention_id").agg(F.min("kpi_id").alias("kpi_id"))
-    return found.unionByName(wide.withColumn("phase", F.lit("sector")))
+#: Confidence of a match by its phase.
+PHASE_CONFIDENCE = {"exact": 1.0, "alias": 0.97, "lineage": 0.95, "virtual": 0.9, "fuzzy": 0.88}
+
+
+def phase_confidence(phase: Column) -> Column:
+    out = F.lit(0.0)
+    for name, value in PHASE_CONFIDENCE.items():
+        out = F.when(phase == name, value).otherwise(out)
+    return out
+
+
+def match_scoped(m: DataFrame, bank: DataFrame, found: DataFrame, rematch: Callable[[DataFrame, DataFrame, DataFrame], DataFrame], least: float = 0.9, k: int = 10) -> DataFrame:
+    """(mention_id, kpi_id, phase, confidence, widened) after mentions without a match, or below `least`, were matched in the whole sector too.
+
+    Their candidates there are the k bank rows of other subdomains whose names are nearest by the cosine of hash embeddings; rematch(mentions,
+    bank, candidates) runs the phases over those, with subdomains set aside. The wider match counts if it is strictly more confident.
+    """
+    scored = found.withColumn("confidence", phase_confidence(F.col("phase")))
+    open_ = m.join(scored.filter(F.col("confidence") >= least).select("mention_id"), "mention_id", "left_anti")
+    mine, theirs = (df.select(name_key(F.col("name")).alias("n")).distinct() for df in (open_, bank))
+    near = cosine_sparse(hash_embed(mine, "n", "n").withColumnRenamed("n", "x"), hash_embed(theirs, "n", "n").withColumnRenamed("n", "y"), "x", "y").withColumn("cosine", F.round("cosine", 6))
+    rows = open_.select("mention_id", "subdomain", name_key(F.col("name")).alias("x")).join(near, "x").join(bank.select("kpi_id", F.col("subdomain").alias("s"), name_key(F.col("name")).alias("y")), "y").filter("s <> subdomain")
+    top = latest(rows, ["mention_id"], F.desc("cosine"), "kpi_id") if k == 1 else rows.withColumn("_n", F.row_number().over(W.partitionBy("mention_id").orderBy(F.desc("cosine"), "kpi_id"))).filter(F.col("_n") <= k)
+    anywhere = lambda df: df.withColumn("subdomain", F.lit("*"))
+    wide = rematch(anywhere(open_), anywhere(bank), top.select("mention_id", "kpi_id"))
+    wide = wide.select("mention_id", "kpi_id", "phase", phase_confidence(F.col("phase")).alias("confidence"), F.lit(True).alias("widened"))
+    both = scored.select("mention_id", "kpi_id", "phase", "confidence", F.lit(False).alias("widened")).unionByName(wide)
+    return latest(both, ["mention_id"], F.desc("confidence"), "widened")
 
 
 def hash_embed(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -129,14 +180,23 @@ def embed_decision(sim: Column, lineage_equal: Column, has_definition: Column, s
 
 def judge_requests(m: DataFrame, candidates: DataFrame, budget: int = 200, width: int = 120) -> DataFrame:
     """(mention_id, request): JSON with the mention and its five best candidates, for the first `budget` mentions."""
-    chosen = m.withColumn("_n", F.row_number().over(W.orderBy("mention_id"))).filter(F.col("_n") <= budget) if budget else m
+    chosen = m.orderBy("mention_id").limit(budget) if budget else m
     best = candidates.filter("rank <= 5").groupBy("mention_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "kpi_id", "name"))), lambda x: F.struct(x["kpi_id"], F.substring(x["name"], 1, width).alias("name"))).alias("candidates"))
     return chosen.join(best, "mention_id").select("mention_id", F.to_json(F.struct("name", "candidates")).alias("request"))
 
 
 def with_judge(requests: DataFrame, judge: Callable, schema: str = "mention_id long, reply string") -> DataFrame:
-    """Replies of a judge: a function over iterators of pandas batches of requests."""
-    return requests.mapInPandas(judge, schema)
+    """Replies of a judge: a function from a pandas batch of requests to one of (mention_id, reply). Where it fails, the batch's replies are null, for which the embeddings decide."""
+    import pandas as pd
+
+    def safe(batches):
+        for batch in batches:
+            try:
+                yield judge(batch)
+            except Exception:  # the judge is the caller's and may be a remote service
+                yield pd.DataFrame({"mention_id": batch["mention_id"], "reply": pd.Series([None] * len(batch), dtype=object)})
+
+    return requests.mapInPandas(safe, schema)
 
 
 def with_memo(m: DataFrame, memo: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -112,8 +112,8 @@ def fill_lineage(bank: DataFrame, accepted: DataFrame) -> DataFrame:
 
 
 def upsert_bank(bank: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(bank after changes, conflicts). Names are unique in a subdomain; a change to another row's name is a conflict."""
-    clash = changes.join(bank.select(F.col("kpi_id").alias("other"), "name", "subdomain"), ["name", "subdomain"]).filter("other <> kpi_id").select("kpi_id", "other")
+    """(bank after changes, conflicts). Names are unique in a subdomain; a change to another row's name is a conflict, and a change with a new kpi_id is inserted."""
+    clash = changes.join(bank.select(F.col("kpi_id").alias("other"), "name", "subdomain"), ["name", "subdomain"]).filter("other <> kpi_id").groupBy("kpi_id").agg(F.min("other").alias("other"))
     good = latest(changes.join(clash, "kpi_id", "left_anti"), ["name", "subdomain"], "kpi_id")
     kept = bank.select("kpi_id", "name", "subdomain").join(good, "kpi_id", "left_anti")
     return kept.unionByName(good.select("kpi_id", "name", "subdomain")), clash
@@ -131,7 +131,7 @@ def search_bank(bank: DataFrame, text: str) -> DataFrame:
 
 
 def filter_mappings(m: DataFrame, text: str = "", band: str = "") -> DataFrame:
-    bands = {"high": F.col("confidence") >= 0.8, "medium": F.col("confidence").between(0.5, 0.79999), "low": F.col("confidence") < 0.5}
+    bands = {"high": F.col("confidence") >= 0.8, "medium": (F.col("confidence") >= 0.5) & (F.col("confidence") < 0.8), "low": F.col("confidence") < 0.5}
     return m.filter(F.lower("kpi").contains(text.lower()) & bands.get(band, F.lit(True)))
 
 

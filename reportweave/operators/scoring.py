@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from reportweave.functions import text as X
 
-#: Weights of the layers in the composite.
+from .durable import materialize
+
+# The weights of the layers in the composite.
 WEIGHTS = {"source": 0.25, "model": 0.20, "kpi": 0.20, "structure": 0.10, "visual": 0.15, "filter": 0.10}
 #: What a layer scores when neither side has items: none of them but the filter layer says anything then.
 EMPTY = {"filter": 0.5}
@@ -43,41 +45,72 @@ def candidate_pairs(reports: DataFrame, block: list[str]) -> DataFrame:
     return a.join(b, block).filter("a < b").select("a", "b")
 
 
-def shared_counts(items: DataFrame, pairs: DataFrame, layers: list[str] | None = None) -> DataFrame:
-    """(layer, a, b, met, n_a, n_b) for the pairs and all layers of items(layer, report_id, item).
+def item_sets(items: DataFrame, layers: list[str]) -> DataFrame:
+    """(report_id, one sorted array of distinct items a layer) of items(layer, report_id, item). A report's items are one row."""
+    return items.groupBy("report_id").agg(*[F.array_sort(F.collect_set(F.when(F.col("layer") == x, F.col("item")))).alias(x) for x in layers])
+
+
+def _sides(layers: list[str]) -> tuple[list[Column], list[Column]]:
+    return tuple([F.coalesce(x, F.array().cast("array<string>")).alias(f"{side}_{x}") for x in layers] for side in "ab")
+
+
+def _met(layers: list[str]) -> Column:
+    """array<struct(layer, met, n_a, n_b)> of a pair's sets."""
+    one = lambda x: F.struct(F.lit(x).alias("layer"), F.size(F.array_intersect(f"a_{x}", f"b_{x}")).alias("met"), F.size(f"a_{x}").alias("n_a"), F.size(f"b_{x}").alias("n_b"))
+    return F.array(*[one(x) for x in layers])
+
+
+def block_counts(reports: DataFrame, items: DataFrame, block: list[str], layers: list[str]) -> DataFrame:
+    """(a, b, counts) with a < b for every pair of a block; counts as _met's. Reports meet once, with their sets, and a pair is one row."""
+    rows = reports.select("report_id", *block).join(item_sets(items.filter(F.col("layer").isin(layers)), layers), "report_id", "left")
+    left, right = _sides(layers)
+    a, b = rows.select(F.col("report_id").alias("a"), *block, *left), rows.select(F.col("report_id").alias("b"), *block, *right)
+    return a.join(b, block).filter("a < b").select("a", "b", _met(layers).alias("counts"))
+
+
+def pair_counts(pairs: DataFrame, items: DataFrame, layers: list[str]) -> DataFrame:
+    """(a, b, counts) of given pairs(a, b)."""
+    sets = item_sets(items.filter(F.col("layer").isin(layers)), layers)
+    left, right = _sides(layers)
+    none = lambda side: [F.coalesce(f"{side}_{x}", F.array().cast("array<string>")).alias(f"{side}_{x}") for x in layers]
+    met = pairs.select("a", "b").join(sets.select(F.col("report_id").alias("a"), *left), "a", "left").join(sets.select(F.col("report_id").alias("b"), *right), "b", "left")
+    return met.select("a", "b", *none("a"), *none("b")).select("a", "b", _met(layers).alias("counts"))
+
+
+def by_layer(counted: DataFrame) -> DataFrame:
+    """(layer, a, b, met, n_a, n_b) from block_counts or pair_counts: one row a layer."""
+    return counted.select("a", "b", F.explode("counts").alias("x")).select("x.layer", "a", "b", "x.met", "x.n_a", "x.n_b")
 
-    The sides' items are met through the candidate pairs, so nothing outside a block is compared.
-    """
-    sizes = items.groupBy("layer", "report_id").agg(F.count("*").alias("n"))
-    left = pairs.join(items.withColumnRenamed("report_id", "a"), "a")
-    both = left.join(items.withColumnRenamed("report_id", "b"), ["b", "layer", "item"]).groupBy("layer", "a", "b").agg(F.count("*").alias("met"))
-    if layers is None:
-        layers = [r["layer"] for r in items.select("layer").distinct().collect()]  # as many as there are kinds of likeness
-    every = pairs.withColumn("layer", F.explode(F.array(*[F.lit(x) for x in layers]))) if layers else pairs.withColumn("layer", F.lit(None).cast("string")).limit(0)
-    out = every.join(both, ["layer", "a", "b"], "left")
-    out = out.join(sizes.select("layer", F.col("report_id").alias("a"), F.col("n").alias("n_a")), ["layer", "a"], "left")
-    out = out.join(sizes.select("layer", F.col("report_id").alias("b"), F.col("n").alias("n_b")), ["layer", "b"], "left")
-    return out.select("layer", "a", "b", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("met", "n_a", "n_b")])
+
+def shared_counts(items: DataFrame, pairs: DataFrame, layers: list[str]) -> DataFrame:
+    """(layer, a, b, met, n_a, n_b) for the pairs and layers of items(layer, report_id, item)."""
+    return by_layer(pair_counts(pairs, items, layers))
+
+
+def layer_score(layer: Column, met: Column, n_a: Column, n_b: Column) -> Column:
+    """Jaccard likeness from counts, or what the layer scores if neither side has items."""
+    empty = F.lit(0.0)
+    for name, value in EMPTY.items():
+        empty = F.when(layer == name, value).otherwise(empty)
+    union = n_a + n_b - met
+    return F.when(union == 0, empty).otherwise(met / union)
 
 
 def layer_scores(counts: DataFrame) -> DataFrame:
     """(layer, a, b, score) from shared_counts."""
-    empty = F.lit(0.0)
-    for layer, value in EMPTY.items():
-        empty = F.when(F.col("layer") == layer, value).otherwise(empty)
-    union = F.col("n_a") + F.col("n_b") - F.col("met")
-    return counts.select("layer", "a", "b", F.when(union == 0, empty).otherwise(F.col("met") / union).alias("score"))
+    return counts.select("layer", "a", "b", layer_score(F.col("layer"), F.col("met"), F.col("n_a"), F.col("n_b")).alias("score"))
 
 
-#: Further layers by name: pairs to (a, b, score). A caller may add to it; the weight goes into `weights` of composite.
-LAYERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+def score_columns(counted: DataFrame, layers: list[str], *more: str) -> DataFrame:
+    """(a, b, one score a layer) from block_counts or pair_counts; `more` columns are kept."""
+    at = lambda i: F.col("counts")[i]
+    return counted.select("a", "b", *more, *[layer_score(F.lit(x), at(i)["met"], at(i)["n_a"], at(i)["n_b"]).alias(x) for i, x in enumerate(layers)])
 
 
 def composite(scores: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """(a, b, one column a layer, composite, spread); a missing layer counts 0, spread is the layers' deviation."""
+    """(a, b, one column a layer, composite, spread) of scores(a, b, one column a layer); a missing or null layer counts 0, spread is the layers' deviation."""
     names = list(weights)
-    wide = scores.groupBy("a", "b").pivot("layer", names).agg(F.first("score"))
-    wide = wide.select("a", "b", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
+    wide = scores.select("a", "b", *[F.coalesce(n, F.lit(0.0)).alias(n) if n in scores.columns else F.lit(0.0).alias(n) for n in names])
     total = sum((F.col(n) * w for n, w in weights.items()), F.lit(0.0))
     mean = sum((F.col(n) for n in names), F.lit(0.0)) / len(names)
     spread = F.sqrt(sum(((F.col(n) - mean) * (F.col(n) - mean) for n in names), F.lit(0.0)) / len(names))
@@ -85,6 +118,7 @@ def composite(scores: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFra
 
 
 def tier(score: Column) -> Column:
+    # The tiers' limits.
     return F.when(score > 0.95, "exact_clone").when(score > 0.80, "near_clone").when(score > 0.60, "functional_overlap").otherwise("unrelated")
 
 
@@ -98,7 +132,7 @@ def persistable(pairs: DataFrame, least: float = 0.60) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "composite").filter(F.col("composite") >= least).dropDuplicates(["a", "b"])
 
 
-def assign_greedy(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint(), max_rounds: int = 200) -> DataFrame:
+def assign_greedy(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] = materialize, max_rounds: int = 200) -> DataFrame:
     """One-to-one assignment within each group of edges(grp, l, r, score): best first, ties by l, then r.
 
     Rounds of mutual best: an edge that is first for both its ends is what a sequential pass would take before any
@@ -114,30 +148,11 @@ def assign_greedy(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] = lamb
         rest = ranked.join(best.select("grp", "l"), ["grp", "l"], "left_anti").join(best.select("grp", "r"), ["grp", "r"], "left_anti").select("grp", "l", "r", "score")
         if rest.isEmpty():
             return taken
-    raise RuntimeError(f"assignment did not end in {max_rounds} rounds")
-
+    raise RuntimeError(f"assignment did not end in {max_rounds} rounds: a chain of edges in which each waits for the one before is longer than that")
 
-def kpi_overlap(pairs: DataFrame, kpis: DataFrame, ratio: Callable[[Column, Column], Column] = X.seq_ratio, least: float = 0.8) -> DataFrame:
-    """(a, b, score) of all pairs(a, b): greedy one-to-one overlap of their kpis(report_id, item, base, canonical, definition), by the smaller side's size.
 
-    Equal base or canonical names (not empty) count 1.0, else definitions or names more than `least` alike 0.8. Edges are taken
-    best first, by that score, then by the names' likeness, then by the items' order, as assign_greedy does. Items meet within their pair only;
-    ratios are taken once for each two texts that meet, and a pair's edges are one value of a row.
-    """
-    k = kpis.select("report_id", "item", "base", "canonical", F.lower("item").alias("name"), F.lower("definition").alias("definition")).dropDuplicates(["report_id", "item"])
-    x, y = (k.select(*[F.col(c).alias(f"{p}_{c}") for c in k.columns]) for p in "xy")
-    met = pairs.select("a", "b").join(x, F.col("a") == F.col("x_report_id")).join(y, F.col("b") == F.col("y_report_id"))
-
-    def likeness(kind: str) -> DataFrame:
-        texts = met.select(f"x_{kind}", f"y_{kind}").filter(f"x_{kind} <> '' and y_{kind} <> ''").distinct()
-        return texts.withColumn(f"{kind}_ratio", ratio(F.col(f"x_{kind}"), F.col(f"y_{kind}")))
-
-    met = met.join(likeness("name"), ["x_name", "y_name"], "left").join(likeness("definition"), ["x_definition", "y_definition"], "left")
-    equal = lambda c: F.coalesce((F.col(f"x_{c}") == F.col(f"y_{c}")) & (F.col(f"x_{c}") != ""), F.lit(False))
-    alike = lambda c: F.coalesce(F.col(f"{c}_ratio") > least, F.lit(False))
-    score = F.when(equal("base") | equal("canonical"), 1.0).when(alike("definition") | alike("name"), 0.8)
-    edge = F.struct((-score).alias("worse"), (-F.coalesce("name_ratio", F.lit(0.0))).alias("farther"), F.col("x_item").alias("l"), F.col("y_item").alias("r"))
-    edges = met.withColumn("edge", F.when(score.isNotNull(), edge)).groupBy("a", "b").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+def assigned(edges: Column) -> Column:
+    """Sum of scores of a greedy one-to-one assignment over an array<struct(worse, farther, l, r)>, worse being a score's negative: best first, then in the struct's order."""
     none = F.array().cast("array<string>")
     start = F.struct(none.alias("ls"), none.alias("rs"), F.lit(0.0).alias("total"))
 
@@ -146,11 +161,119 @@ def kpi_overlap(pairs: DataFrame, kpis: DataFrame, ratio: Callable[[Column, Colu
         more = F.struct(F.concat(s["ls"], F.array(e["l"])).alias("ls"), F.concat(s["rs"], F.array(e["r"])).alias("rs"), (s["total"] - e["worse"]).alias("total"))
         return F.when(taken, s).otherwise(more)
 
-    total = edges.select("a", "b", F.aggregate("edges", start, take, lambda s: s["total"]).alias("total"))
-    n = k.groupBy("report_id").agg(F.count("*").alias("n"))
-    out = pairs.select("a", "b").join(total, ["a", "b"], "left").join(n.toDF("a", "n_a"), "a", "left").join(n.toDF("b", "n_b"), "b", "left")
-    smaller = F.least(F.coalesce("n_a", F.lit(0)), F.coalesce("n_b", F.lit(0)))
-    return out.select("a", "b", F.when(smaller == 0, 0.0).otherwise(F.coalesce("total", F.lit(0.0)) / smaller).alias("score"))
+    return F.aggregate(F.array_sort(edges), start, take, lambda s: s["total"])
+
+
+def alike_kpis(kpis: DataFrame, block: list[str], ratio: Callable[[Column, Column], Column], least: float) -> DataFrame:
+    """(x, y, score, near) of the distinct metrics that occur in one block and are alike. Ratios are taken once for two metrics, however many reports show them."""
+    kinds = kpis.select(*block, F.struct("item", "base", "canonical", "name", "definition").alias("x")).distinct()
+    met = kinds.join(kinds.withColumnRenamed("x", "y"), block).select("x", "y").distinct()
+    equal = lambda c: F.coalesce((F.col(f"x.{c}") == F.col(f"y.{c}")) & (F.col(f"x.{c}") != ""), F.lit(False))
+    near = lambda c: F.coalesce(F.when((F.col(f"x.{c}") != "") & (F.col(f"y.{c}") != ""), ratio(F.col(f"x.{c}"), F.col(f"y.{c}"))), F.lit(0.0))
+    told = met.select("x", "y", (equal("base") | equal("canonical")).alias("same"), near("name").alias("near"), near("definition").alias("meant"))
+    return told.select("x", "y", F.when(F.col("same"), 1.0).when((F.col("meant") > least) | (F.col("near") > least), 0.8).alias("score"), "near").filter("score is not null")
+
+
+def kpi_overlap(pairs: DataFrame, kpis: DataFrame, block: list[str], ratio: Callable[[Column, Column], Column] = X.seq_ratio, least: float = 0.8) -> DataFrame:
+    """(a, b, total, n_a, n_b, score) of all pairs(a, b): greedy one-to-one overlap of their kpis(report_id, item, base, canonical, definition, block columns), by the smaller side's size.
+
+    Equal base or canonical names (not empty) count 1.0, else definitions or names more than `least` alike 0.8. Edges are taken
+    best first, by that score, then by the names' likeness, then by the items' order, as assign_greedy does. A pair's sides are
+    met through the metrics that are alike, not item by item; its edges are one value of a row.
+    """
+    k = kpis.select("report_id", *block, "item", "base", "canonical", F.lower("item").alias("name"), F.lower("definition").alias("definition")).dropDuplicates(["report_id", "item"])
+    alike = alike_kpis(k, block, ratio, least)
+    mine = k.groupBy("report_id").agg(F.collect_list(F.struct("item", "base", "canonical", "name", "definition")).alias("kinds"))
+    side = lambda c: mine.select(F.col("report_id").alias(c), F.col("kinds").alias(f"kinds_{c}"))
+    both = pairs.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    met = both.select("a", "b", F.explode("kinds_a").alias("x"), "kinds_b").join(alike, "x").filter(F.array_contains("kinds_b", F.col("y")))
+    edge = F.struct((-F.col("score")).alias("worse"), (-F.col("near")).alias("farther"), F.col("x.item").alias("l"), F.col("y.item").alias("r"))
+    total = met.select("a", "b", edge.alias("edge")).groupBy("a", "b").agg(F.collect_list("edge").alias("edges")).select("a", "b", assigned(F.col("edges")).alias("total"))
+    n = lambda c: F.greatest(F.coalesce(F.size(f"kinds_{c}"), F.lit(0)), F.lit(0)).alias(f"n_{c}")
+    out = both.select("a", "b", n("a"), n("b")).join(total, ["a", "b"], "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
+    smaller = F.least("n_a", "n_b")
+    return out.select("a", "b", "total", "n_a", "n_b", F.when(smaller == 0, 0.0).otherwise(F.col("total") / smaller).alias("score"))
+
+
+def kpi_table_overlap(overlaps: DataFrame, tables: DataFrame) -> DataFrame:
+    """(report_id, other, overlap) in both directions: .7 of a report's assigned metrics and .3 of its shared tables; a side without metrics or tables counts by the other alone.
+
+    overlaps: see kpi_overlap; tables(a, b, met, n_a, n_b).
+    """
+    j = overlaps.join(tables.select("a", "b", "met", F.col("n_a").alias("t_a"), F.col("n_b").alias("t_b")), ["a", "b"])
+
+    def one(me: str, other: str, n: str, t: str) -> DataFrame:
+        kpi, table = F.col("total") / F.greatest(F.col(n), F.lit(1)), F.col("met") / F.greatest(F.col(t), F.lit(1))
+        score = F.when((F.col(n) > 0) & (F.col(t) > 0), 0.7 * kpi + 0.3 * table).when(F.col(n) > 0, kpi).when(F.col(t) > 0, table).otherwise(0.0)
+        return j.select(F.col(me).alias("report_id"), F.col(other).alias("other"), F.round(score, 6).alias("overlap"))
+
+    return one("a", "b", "n_a", "t_a").unionByName(one("b", "a", "n_b", "t_b"))
+
+
+# The words that name a level of detail rather than a subject.
+GRAIN_WORDS = ["by", "per", "state", "region", "gender", "category", "zone", "group", "country", "date", "year", "month"]
+
+
+def sheet_words(name: Column) -> Column:
+    return F.filter(F.array_distinct(F.split(X.clean_text(name), " ")), lambda w: w != "")
+
+
+def overlap_of(a: Column, b: Column) -> Column:
+    """Common part of two sets by the smaller; null if one is empty."""
+    least = F.least(F.size(a), F.size(b))
+    return F.when(least > 0, F.size(F.array_intersect(a, b)) / least)
+
+
+def worksheet_score(name_a: Column, name_b: Column, axes_a: Column, axes_b: Column, ratio: Callable[[Column, Column], Column]) -> Column:
+    """struct(score, exact): 2 + ratio if names and axes agree, 1 + ratio if they do but for words of grain, else 0.
+
+    Axes agree if one side has none, if they share 70% of the smaller side, or if so many of a's are alike one of b's (contained, or by Levenshtein's ratio).
+    """
+    x, y = X.clean_text(name_a), X.clean_text(name_b)
+    v, w = (F.filter(F.array_distinct(F.transform(c, X.clean_text)), lambda s: s != "") for c in (axes_a, axes_b))
+    near, words, shared = ratio(x, y), overlap_of(sheet_words(name_a), sheet_words(name_b)), overlap_of(v, w)
+    named = (near > 0.75) | (F.coalesce(words, F.lit(0.0)) > 0.65) | x.contains(y) | y.contains(x)
+    grain = F.array(*[F.lit(g) for g in GRAIN_WORDS])
+    core = F.coalesce(overlap_of(F.array_except(sheet_words(name_a), grain), F.array_except(sheet_words(name_b), grain)), F.lit(0.0))
+    loose = F.size(F.filter(v, lambda p: F.exists(w, lambda q: p.contains(q) | q.contains(p) | (X.lev_ratio(p, q) > 0.8)))) / F.least(F.size(v), F.size(w))
+    exact = named & (shared.isNull() | (shared >= 0.7) | (loose >= 0.7))
+    score = F.when(exact, 2 + near).when((core >= 0.7) & (shared.isNull() | (shared >= 0.5)), 1 + near).otherwise(0.0)
+    return F.struct(score.alias("score"), exact.alias("exact"))
+
+
+def alike_names(sheets: DataFrame, block: list[str], ratio: Callable[[Column, Column], Column]) -> DataFrame:
+    """(x, y) of the distinct sheet names of a block that can score above 0 at all, whatever their axes."""
+    names = sheets.select(*block, F.col("sheet").alias("x")).distinct()
+    met = names.join(names.withColumnRenamed("x", "y"), block).select("x", "y").distinct()
+    none = F.array().cast("array<string>")
+    return met.filter(worksheet_score(F.col("x"), F.col("y"), none, none, ratio)["score"] > 0)
+
+
+def sheet_matches(pairs: DataFrame, sheets: DataFrame, block: list[str], ratio: Callable[[Column, Column], Column] = X.seq_ratio) -> DataFrame:
+    """(a, b, l, r, score, exact) of the worksheets of pairs(a, b) that match. sheets: report_id, sheet, axes, block columns."""
+    named = alike_names(sheets, block, ratio)
+    left = pairs.select("a", "b").join(sheets.select(F.col("report_id").alias("a"), F.col("sheet").alias("x"), F.col("axes").alias("axes_a")), "a")
+    right = sheets.select(F.col("report_id").alias("b"), F.col("sheet").alias("y"), F.col("axes").alias("axes_b"))
+    met = left.join(named, "x").join(right, ["b", "y"])
+    return met.withColumn("s", worksheet_score(F.col("x"), F.col("y"), F.col("axes_a"), F.col("axes_b"), ratio)).select("a", "b", F.col("x").alias("l"), F.col("y").alias("r"), "s.score", "s.exact").filter("score > 0")
+
+
+def duplicate_reports(pairs: DataFrame, sheets: DataFrame, usage: DataFrame, block: list[str], ratio: Callable[[Column, Column], Column] = X.seq_ratio, least: float = 0.85, unknown_days: int = 9999) -> DataFrame:
+    """(report_id, kept, matched): reports at least `least` of whose worksheets match another's exactly, one to one, and the other way round.
+
+    The staler of the two goes, of equals the one with the greater id. Pairs whose counts differ too much to be duplicates are left out first.
+    """
+    n = sheets.groupBy("report_id").agg(F.count("*").alias("n"))
+    sized = pairs.select("a", "b").join(n.toDF("a", "n_a"), "a").join(n.toDF("b", "n_b"), "b")
+    sized = sized.filter(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b"))
+    edge = F.struct(F.lit(-1.0).alias("worse"), (-F.col("score")).alias("farther"), "l", "r")
+    met = sheet_matches(sized, sheets, block, ratio).filter("exact").groupBy("a", "b").agg(F.collect_list(edge).alias("edges"))
+    met = met.select("a", "b", assigned(F.col("edges")).cast("int").alias("matched"))
+    both = sized.join(met, ["a", "b"]).filter((F.col("matched") >= least * F.col("n_a")) & (F.col("matched") >= least * F.col("n_b")))
+    days = usage.select("report_id", "days_ago")
+    both = both.join(days.toDF("a", "d_a"), "a", "left").join(days.toDF("b", "d_b"), "b", "left")
+    stale = F.coalesce("d_a", F.lit(unknown_days)) > F.coalesce("d_b", F.lit(unknown_days))
+    return both.select(F.when(stale, F.col("a")).otherwise(F.col("b")).alias("report_id"), F.when(stale, F.col("b")).otherwise(F.col("a")).alias("kept"), "matched")
 
 
 def uniqueness(pairs: DataFrame, reports: DataFrame) -> DataFrame:
@@ -188,7 +311,7 @@ def ratio_to_max_in(df: DataFrame, cols: list[str], by: str) -> DataFrame:
     return df.select(*[F.when(F.max(c).over(w) == 0, 0.0).otherwise(F.col(c) / F.max(c).over(w)).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-#: Weights of a cluster's golden report.
+# The weights of a cluster's golden report.
 GOLDEN = {"completeness": 0.35, "usage": 0.25, "freshness": 0.20, "governance": 0.10, "recency": 0.10}
 
 

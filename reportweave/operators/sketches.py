@@ -6,8 +6,11 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .durable import materialize
+
 
 def minhash_pairs(items: DataFrame, block: DataFrame, bands: int = 32, rows: int = 8) -> DataFrame:
     """(a, b) of reports of one block that share a band of min-hashes. items: report_id, item; block: report_id, block."""
@@ -46,7 +49,7 @@ def simhash_near(hashes: DataFrame, block: str, most: int = 29, bands: int = 30)
     return near.filter(F.col("distance") <= most).distinct()
 
 
-def simhash_all(hashes: DataFrame, most: int = 29, bands: int = 10, cut: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
+def simhash_all(hashes: DataFrame, most: int = 29, bands: int = 10, cut: Callable[[DataFrame], DataFrame] = materialize) -> DataFrame:
     """(a, b, distance) of hashes(id, words) at most `most` bits apart, without a block.
 
     Equal hashes are one class: its least id is paired with each other member at distance 0, and stands for all of them in
@@ -72,13 +75,19 @@ def simhash_all(hashes: DataFrame, most: int = 29, bands: int = 10, cut: Callabl
 
 def trigram_similarity(names: DataFrame, least: float = 0.6) -> DataFrame:
     """(a, b, similarity) of distinct names by Jaccard of their character trigrams. names: name."""
-    n = names.select("name").distinct()
     padded = F.concat(F.lit("  "), F.lower("name"), F.lit(" "))
-    grams = n.select("name", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))).alias("g"))
-    size = grams.groupBy("name").agg(F.count("*").alias("n"))
-    met = grams.withColumnRenamed("name", "a").join(grams.withColumnRenamed("name", "b"), "g").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("met"))
-    out = met.join(size.toDF("a", "n_a"), "a").join(size.toDF("b", "n_b"), "b").withColumn("similarity", F.round(F.col("met") / (F.col("n_a") + F.col("n_b") - F.col("met")), 6))
-    return out.filter(F.col("similarity") >= least).select("a", "b", "similarity")
+    n = names.select("name").distinct().withColumn("gs", F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3)))))
+    grams = n.select("name", F.size("gs").alias("n"), F.explode("gs").alias("g"))
+    df = grams.groupBy("g").agg(F.count("*").alias("df"))
+    # two names so alike share one of the n - ceil(least * n) + 1 rarest trigrams of each: the frequent ones needn't meet
+    place = F.row_number().over(W.partitionBy("name").orderBy("df", "g"))
+    rare = grams.join(df, "g").withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    a, b = (rare.select("g", F.col("name").alias(s), F.col("n").alias(f"n_{s}")) for s in "ab")
+    near = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9)
+    met = a.join(b, "g").filter(near).select("a", "b").distinct()
+    sets = n.select("name", "gs")
+    both = met.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    return both.select("a", "b", F.round(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")), 6).alias("similarity")).filter(F.col("similarity") >= least)
 
 
 def fingerprints(items: DataFrame) -> DataFrame:
@@ -86,8 +95,8 @@ def fingerprints(items: DataFrame) -> DataFrame:
     return items.groupBy("report_id", "layer").agg(F.sha2(F.to_json(F.array_sort(F.collect_set("item"))), 256).alias("hash"))
 
 
-def signature_pairs(measures: DataFrame) -> DataFrame:
-    """(a, b) of measures with equal inputs, aggregation and type. measures: id, inputs, agg, type."""
+def signature_classes(measures: DataFrame) -> DataFrame:
+    """(id, class_id, n) of measures with equal inputs, aggregation and type as others: the least id of the class and its size. A class of any size is one row a member, not its pairs. measures: id, inputs, agg, type."""
     key = F.sha2(F.concat_ws("|", F.array_join(F.array_sort("inputs"), ","), "agg", "type"), 256)
     m = measures.select("id", key.alias("key"))
-    return m.withColumnRenamed("id", "a").join(m.withColumnRenamed("id", "b"), "key").filter("a < b").select("a", "b")
+    return m.join(m.groupBy("key").agg(F.min("id").alias("class_id"), F.count("*").alias("n")).filter("n > 1"), "key").select("id", "class_id", "n")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reportweave.functions import rules as R
 from reportweave.functions import text as X
 from reportweave.operators import matching as M
-from reportweave.plans.text_queries import NAME_SQL, VIRTUAL_SQL, sql_agg, sql_compatible
+from reportweave.plans.text_queries import NAME_SQL, VIRTUAL_SQL, conflict_sql, q, sql_agg, sql_compatible
 from reportweave.sources import adapters as A
 
 
@@ -51,65 +51,127 @@ def match_sequence(spark, d):
 
 
 PHASES = [("exact", M.match_exact), ("alias", M.match_alias), ("lineage", M.match_lineage), ("virtual", M.match_virtual)]
+WHOLE = [*PHASES, ("fuzzy", M.match_fuzzy_levenshtein)]
 
 
-def _waterfall(spark, d):
-    m, b = _m(spark, d), A.bank(spark, d)
-    about = m.select("mention_id", "raw", F.col("agg").alias("r")), b.select("kpi_id", F.col("agg").alias("o"))
+def _accept(m: DataFrame, b: DataFrame):
+    """Keeps candidates whose aggregations go together and that aren't false friends."""
+    about = m.select("mention_id", "raw", F.col("agg").alias("r"), F.concat_ws(" ", "raw", "name").alias("mine")), b.select("kpi_id", F.col("agg").alias("o"), F.col("name").alias("theirs"))
 
     def accept(hits):
         both = hits.join(about[0], "mention_id").join(about[1], "kpi_id")
-        return both.filter(R.agg_compatible(F.col("r"), F.col("o"), R.looks_like_ratio(F.col("raw")), R.has_money_hint(F.col("raw")))).select(hits.columns)
+        compatible = R.agg_compatible(F.col("r"), F.col("o"), R.looks_like_ratio(F.col("raw")), R.has_money_hint(F.col("raw")))
+        return both.filter(compatible & R.semantic_conflict(F.col("mine"), F.col("theirs")).isNull()).select(hits.columns)
+
+    return accept
 
-    return m, b, M.match_waterfall(m, b, PHASES, accept)
+
+def _waterfall(spark, d):
+    m, b = _m(spark, d), A.bank(spark, d)
+    return m, b, M.match_waterfall(m, b, WHOLE, _accept(m, b))
 
 
 def match_waterfall(spark, d):
+    """Exact, alias, lineage, virtual alias, fuzzy name or alias: the first phase with an acceptable candidate wins."""
     return _waterfall(spark, d)[2]
 
 
 def match_waterfall_fuzzy(spark, d):
-    """The waterfall with the fuzzy phase (names and aliases); false friends are passed over as candidates. No embedding phase."""
+    """The same with names compared by matching blocks."""
     m, b = _m(spark, d), A.bank(spark, d)
     return _fuzzy_waterfall(m, b)
 
 
 def _fuzzy_waterfall(m: DataFrame, b: DataFrame) -> DataFrame:
-    about = m.select("mention_id", "raw", F.col("agg").alias("r"), F.concat_ws(" ", "raw", "name").alias("mine")), b.select("kpi_id", F.col("agg").alias("o"), F.col("name").alias("theirs"))
+    return M.match_waterfall(m, b, [*PHASES, ("fuzzy", M.match_fuzzy_any)], _accept(m, b))
+
+
+_FUZZY = """SELECT DISTINCT mention_id, kpi_id FROM (SELECT mention_id, kpi_id, lower(trim(m.name)) AS x, lower(trim(n)) AS y, greatest(length(trim(m.name)), length(trim(n))) AS longer
+  FROM m JOIN (SELECT kpi_id, subdomain, unnest(list_concat([name], aliases)) AS n FROM bank) USING (subdomain)) WHERE (longer - levenshtein(x, y)) / longer::DOUBLE >= 0.85"""
+_OK = sql_compatible(f"({sql_agg('m0.agg')})", f"({sql_agg('b0.agg')})", f"regexp_matches(m0.raw, {q(R.RATIO)})", f"regexp_matches(m0.raw, {q(R.MONEY)})")
 
-    def accept(hits):
-        both = hits.join(about[0], "mention_id").join(about[1], "kpi_id")
-        compatible = R.agg_compatible(F.col("r"), F.col("o"), R.looks_like_ratio(F.col("raw")), R.has_money_hint(F.col("raw")))
-        return both.filter(compatible & R.semantic_conflict(F.col("mine"), F.col("theirs")).isNull()).select(hits.columns)
 
-    return M.match_waterfall(m, b, [*PHASES, ("fuzzy", M.match_fuzzy_any)], accept)
+def _won(name: str, hits: str) -> str:
+    """The first acceptable hit of each mention, of hits(mention_id, kpi_id, n, phase)."""
+    return f"""cd_{name} AS (SELECT h.mention_id, h.kpi_id, h.n, h.phase, m0.raw || ' ' || m0.name AS m, b0.name AS t FROM {hits} h JOIN m m0 USING (mention_id) JOIN bank b0 USING (kpi_id) WHERE {_OK}),
+{name} AS (SELECT mention_id, arg_min(kpi_id, (n, kpi_id)) AS kpi_id, arg_min(phase, (n, kpi_id)) AS phase FROM cd_{name} WHERE ({conflict_sql()}) IS NULL GROUP BY 1)"""
 
 
-_OK = sql_compatible(f"({sql_agg('m.agg')})", f"({sql_agg('bank.agg')})", "false", "false")
-_WATERFALL = f"""hits AS (SELECT mention_id, kpi_id, 0 AS n, 'exact' AS phase FROM ({_EXACT}) UNION ALL SELECT mention_id, kpi_id, 1, 'alias' FROM ({_ALIAS})
-  UNION ALL SELECT mention_id, kpi_id, 2, 'lineage' FROM ({_LINEAGE}) UNION ALL SELECT mention_id, kpi_id, 3, 'virtual' FROM ({_VIRTUAL})),
-won AS (SELECT mention_id, arg_min(kpi_id, (n, kpi_id)) AS kpi_id, arg_min(phase, (n, kpi_id)) AS phase FROM hits JOIN m USING (mention_id) JOIN bank USING (kpi_id) WHERE {_OK} GROUP BY 1)"""
+def _hits(name: str) -> str:
+    parts = [("exact", _EXACT), ("alias", _ALIAS), ("lineage", _LINEAGE), ("virtual", _VIRTUAL), ("fuzzy", _FUZZY)]
+    return f"{name} AS (" + " UNION ALL ".join(f"SELECT mention_id, kpi_id, {n} AS n, '{phase}' AS phase FROM ({sql})" for n, (phase, sql) in enumerate(parts)) + ")"
+
+
+_WATERFALL = f"{_hits('hits')}, {_won('won', 'hits')}"
 _ALL = lambda tail: A.with_views(f"WITH {_M}, vv AS ({VIRTUAL_SQL}), {_WATERFALL} {tail}", "mentions", "bank")
 
 
 def match_scoped(spark, d):
+    """The waterfall within the subdomain, and for open and doubtful mentions over the nearest names of the sector."""
     m, b, found = _waterfall(spark, d)
-    return M.match_scoped(m, b, found)
+
+    def rematch(mentions, bank, candidates):
+        accept = _accept(m, b)
+        return M.match_waterfall(mentions, bank, WHOLE, lambda hits: accept(hits.join(candidates, ["mention_id", "kpi_id"], "left_semi")))
+
+    return M.match_scoped(m, b, found, rematch)
+
+
+def _hash_sql(name: str, source: str) -> str:
+    """CTEs that end in {name}(key, slot, w), unit vectors of source(key, text)."""
+    return f"""{name}_h AS (SELECT key, sha256(t) AS h FROM (SELECT key, unnest(regexp_split_to_array(lower(trim(text)), '\\s+')) AS t FROM {source}) WHERE t <> ''),
+{name}_x AS (SELECT key, ('0x' || h[62:64])::INT AS low, list_sum(list_transform(range(1, 65), lambda i: ('0x' || h[i])::INT)) AS s FROM {name}_h),
+{name}_g AS (SELECT key, low % 512 + 512 * (((2 * (s - low % 512)) % 3 + 3) % 3) AS slot, sum(CASE WHEN (low >> 8) % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS w FROM {name}_x GROUP BY ALL HAVING sum(CASE WHEN (low >> 8) % 2 = 0 THEN 1.0 ELSE -1.0 END) <> 0),
+{name} AS (SELECT key, slot, w / sqrt(sum(w * w) OVER (PARTITION BY key)) AS w FROM {name}_g)"""
+
+
+_CONF = "CASE phase WHEN 'exact' THEN 1.0 WHEN 'alias' THEN 0.97 WHEN 'lineage' THEN 0.95 WHEN 'virtual' THEN 0.9 WHEN 'fuzzy' THEN 0.88 ELSE 0 END::DOUBLE"
+_ANYWHERE = _hits("hits2").replace(" AND m.subdomain = bank.subdomain", "").replace(" AND m.subdomain = b.subdomain", "").replace(" AND mentions.subdomain = b.subdomain", "").replace("USING (subdomain)", "ON true")
+MATCH_SCOPED = _ALL(f""", op AS (SELECT m.* FROM m LEFT JOIN won USING (mention_id) WHERE phase IS NULL OR phase = 'fuzzy'), {_hash_sql('ha', '(SELECT DISTINCT lower(trim(name)) AS key, lower(trim(name)) AS text FROM op)')}, {_hash_sql('hb', '(SELECT DISTINCT lower(trim(name)) AS key, lower(trim(name)) AS text FROM bank)')},
+  nr AS (SELECT ha.key AS x, hb.key AS y, round(sum(ha.w * hb.w), 6) AS c FROM ha JOIN hb USING (slot) GROUP BY 1, 2),
+  tp AS (SELECT mention_id, kpi_id FROM op JOIN nr ON x = lower(trim(op.name)) JOIN bank ON y = lower(trim(bank.name)) AND bank.subdomain <> op.subdomain QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY c DESC, kpi_id) <= 10),
+  {_ANYWHERE}, hits3 AS (SELECT hits2.* FROM hits2 JOIN tp USING (mention_id, kpi_id)), {_won("wide", "hits3")},
+  bo AS (SELECT mention_id, kpi_id, phase, {_CONF} AS confidence, false AS widened FROM won UNION ALL SELECT mention_id, kpi_id, phase, {_CONF}, true FROM wide)
+  SELECT * FROM bo QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY confidence DESC, widened) = 1""")
 
 
 def match_gated(spark, d):
     """Waterfall matches after the quality gates."""
     m, b, found = _waterfall(spark, d)
-    conf = F.when(F.col("phase") == "exact", 1.0).when(F.col("phase") == "alias", 0.97).when(F.col("phase") == "lineage", 0.95).otherwise(0.9)
+    conf = M.phase_confidence(F.col("phase"))
     note = F.when(F.col("phase") == "exact", "exact name match").when(F.col("phase") == "lineage", "lineage+agg match").otherwise(F.concat("phase", F.lit(" match")))
     j = found.join(m, "mention_id").join(b.select("kpi_id", F.col("name").alias("b_name"), F.col("agg").alias("b_agg")), "kpi_id")
     g = R.quality_gates(F.col("name"), F.col("raw"), F.col("agg"), F.col("b_agg"), F.concat_ws(" ", "raw", "name"), F.col("b_name"), F.lit(True), conf, conf, note)
     return j.select("mention_id", "kpi_id", g.alias("g")).select("mention_id", "kpi_id", "g.status", "g.confidence", "g.warning")
 
 
-MATCH_GATED = _ALL("""SELECT mention_id, kpi_id, CASE WHEN regexp_matches(raw, '(?i)^(Rank|Performance\\s+Level)\\s*\\|\\s*') THEN 'pending_review' WHEN phase = 'alias' THEN 'pending_review' WHEN phase = 'virtual' THEN 'pending_review' ELSE 'auto_accepted' END AS status,
-  CASE WHEN regexp_matches(raw, '(?i)^(Rank|Performance\\s+Level)\\s*\\|\\s*') THEN 0.79 WHEN phase = 'exact' THEN 1.0 WHEN phase = 'alias' THEN 0.88 WHEN phase = 'lineage' THEN 0.95 ELSE 0.9 END::DOUBLE AS confidence,
-  CASE WHEN regexp_matches(raw, '(?i)^(Rank|Performance\\s+Level)\\s*\\|\\s*') THEN 'derived helper' WHEN phase = 'alias' THEN 'fuzzy or weak match' END AS warning FROM won JOIN mentions USING (mention_id)""")
+_DERIVED = "regexp_matches(raw, '(?i)^(Rank|Performance\\s+Level)\\s*\\|\\s*')"
+MATCH_GATED = _ALL(f"""SELECT mention_id, kpi_id, CASE WHEN {_DERIVED} OR phase IN ('alias', 'virtual', 'fuzzy') THEN 'pending_review' ELSE 'auto_accepted' END AS status,
+  CASE WHEN {_DERIVED} THEN 0.79 WHEN phase = 'exact' THEN 1.0 WHEN phase = 'alias' THEN 0.88 WHEN phase = 'lineage' THEN 0.95 WHEN phase = 'virtual' THEN 0.9 ELSE 0.88 END::DOUBLE AS confidence,
+  CASE WHEN {_DERIVED} THEN 'derived helper' WHEN phase = 'alias' THEN 'fuzzy or weak match' END AS warning FROM won JOIN mentions USING (mention_id)""")
+
+#: One match for each gate: name, original, aggregations of both sides, texts of both, in the slice, confidence, likeness, note, and what becomes of it.
+GATED = [
+    ("Calculation_12345", "Calculation_12345", "SUM", "SUM", "x", "y", True, 0.99, 0.99, "exact name match", "not_found", 0.0, "opaque calculation"),
+    ("Order Date", "Order Date", "YEAR-TRUNC", "SUM", "x", "y", True, 0.99, 0.99, "exact name match", "not_found", 0.0, "non-mappable axis, filter or identifier"),
+    ("Premium", "Premium", "SUM", "SUM", "x", "y", False, 0.99, 0.99, "exact name match", "pending_review", 0.79, "id not in slice"),
+    ("Premium", "Premium", "SUM", "AVG", "x", "y", True, 0.99, 0.99, "exact name match", "not_found", 0.0, "aggregation mismatch"),
+    ("Budget", "Budget", "SUM", "SUM", "Budget", "net sales", True, 0.99, 0.99, "exact name match", "not_found", 0.0, R.BUDGET_REASON),
+    ("Premium", "Rank | Premium", "SUM", "SUM", "x", "y", True, 0.99, 0.99, "exact name match", "pending_review", 0.79, "derived helper"),
+    ("Premium", "Premium", "SUM", "SUM", "x", "y", True, 0.96, 0.96, "fuzzy name", "pending_review", 0.88, "fuzzy or weak match"),
+    ("Premium", "Premium", "SUM", "SUM", "x", "y", True, 0.99, 0.99, "exact name match", "auto_accepted", 0.99, None),
+]
+
+
+def gates(spark, d):
+    """Every mapping put through the gates as one of the cases above."""
+    case = F.element_at(F.array(*[F.struct(*[F.lit(v).cast(t).alias(n) for n, t, v in zip("abcdefghij", ["string"] * 6 + ["boolean", "double", "double", "string"], row)]) for row in GATED]), (F.col("mapping_id") % len(GATED) + 1).cast("int"))
+    rows = A.mappings(spark, d).select("mapping_id", case.alias("c"))
+    return rows.select("mapping_id", R.quality_gates(*[F.col(f"c.{n}") for n in "abcdefghij"]).alias("g")).select("mapping_id", "g.status", "g.confidence", "g.warning")
+
+
+_lit = lambda v: "NULL" if v is None else q(v) if isinstance(v, str) else f"{v}::DOUBLE"
+GATES = A.with_views("SELECT mapping_id, " + ", ".join(f"[{', '.join(_lit(row[i]) for row in GATED)}][(mapping_id % {len(GATED)} + 1)::INT] AS {n}" for i, n in ((10, "status"), (11, "confidence"), (12, "warning"))) + " FROM mappings", "mappings")
 
 
 def hash_embeddings(spark, d):
@@ -155,12 +217,18 @@ SELECT mention_id, kpi_id, mention_id % 3 <> 0 AND sim >= 0.3 AS accepted, round
 
 
 def judge_requests(spark, d):
-    """Requests for all mentions that matching leaves open (the budget is a parameter, here without limit)."""
+    """Requests for the first hundred mentions that matching leaves open; beyond the budget the embeddings decide."""
     m, b, found = _waterfall(spark, d)
     rest = m.join(found, "mention_id", "left_anti").select("mention_id", "name", "subdomain")
-    near = rest.join(b.select("kpi_id", F.col("name").alias("b_name"), "subdomain"), "subdomain").withColumn("r", F.levenshtein(F.lower("name"), F.lower("b_name")))
+    asked = rest.orderBy("mention_id").limit(100)
+    near = asked.join(b.select("kpi_id", F.col("name").alias("b_name"), "subdomain"), "subdomain").withColumn("r", F.levenshtein(F.lower("name"), F.lower("b_name")))
     ranked = near.withColumn("rank", F.row_number().over(M.W.partitionBy("mention_id").orderBy("r", "kpi_id"))).select("mention_id", "kpi_id", F.col("b_name").alias("name"), "rank")
-    return M.judge_requests(rest.select("mention_id", "name"), ranked, budget=0)
+    return M.judge_requests(rest.select("mention_id", "name"), ranked, budget=100)
+
+
+JUDGE_REQUESTS = _ALL("""SELECT mention_id, '{"name":"' || name || '","candidates":[' || string_agg('{"kpi_id":' || kpi_id || ',"name":"' || b_name || '"}', ',' ORDER BY r, kpi_id) || ']}' AS request FROM (
+  SELECT o.mention_id, o.name, b.kpi_id, b.name AS b_name, levenshtein(lower(o.name), lower(b.name)) AS r FROM (SELECT * FROM m WHERE mention_id NOT IN (SELECT mention_id FROM won) ORDER BY mention_id LIMIT 100) o JOIN bank b USING (subdomain)
+  QUALIFY row_number() OVER (PARTITION BY o.mention_id ORDER BY r, b.kpi_id) <= 5) GROUP BY mention_id, name""")
 
 
 def match_memo(spark, d):
@@ -188,14 +256,12 @@ QUERIES = {
     "match_sequence": (match_sequence, None),
     "match_waterfall": (match_waterfall, _ALL("SELECT mention_id, kpi_id, phase FROM won")),
     "match_waterfall_fuzzy": (match_waterfall_fuzzy, None),
-    "match_scoped": (
-        match_scoped,
-        _ALL("SELECT mention_id, kpi_id, phase FROM won UNION ALL SELECT mention_id, min(kpi_id), 'sector' FROM m JOIN bank ON lower(trim(m.name)) = lower(trim(bank.name)) WHERE mention_id NOT IN (SELECT mention_id FROM won) GROUP BY 1"),
-    ),
+    "match_scoped": (match_scoped, MATCH_SCOPED),
+    "quality_gates": (gates, GATES),
     "match_gated": (match_gated, MATCH_GATED),
     "match_memo": (match_memo, MATCH_MEMO),
     "hash_embeddings": (hash_embeddings, HASH_EMBEDDINGS),
     "cosine_topk": (cosine_topk, f"WITH {_TOPK} SELECT * FROM ranked WHERE rank <= 5"),
     "embed_accept": (embed_accept, EMBED_ACCEPT),
-    "judge_requests": (judge_requests, None),
+    "judge_requests": (judge_requests, JUDGE_REQUESTS),
 }

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reportweave.functions import text as X
+from reportweave.operators import catalog as C
 from reportweave.operators import lineage as L
 from reportweave.operators import scoring as S
 from reportweave.operators import sketches as K
@@ -48,15 +49,15 @@ def fingerprints(spark, d):
 FINGERPRINTS = A.with_views("""SELECT report_id, layer, sha256('["' || string_agg(item, '","' ORDER BY item) || '"]') AS hash FROM items GROUP BY ALL""", "items")
 
 
-def signature_pairs(spark, d):
+def signature_classes(spark, d):
     p = A.formulas(spark, d)
     m = p.select(F.col("calc_id").alias("id"), X.field_refs(F.col("formula")).alias("inputs"), X.infer_agg(F.col("formula")).alias("agg"), (F.col("calc_id") % 6).cast("string").alias("type"), "sheet")
-    return K.signature_pairs(m.withColumn("type", F.concat("type", "sheet")).drop("sheet"))
+    return K.signature_classes(m.withColumn("type", F.concat("type", "sheet")).drop("sheet"))
 
 
 SIGNATURES = A.with_views(
     """WITH s AS (SELECT calc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(formula, '\\[([^\\]]+)\\]', 1))), ',') || '|' || (calc_id % 6) || sheet AS k FROM formulas)
-    SELECT x.calc_id AS a, y.calc_id AS b FROM s x JOIN s y ON x.k = y.k AND x.calc_id < y.calc_id""",
+    SELECT calc_id AS id, min(calc_id) OVER (PARTITION BY k) AS class_id, count(*) OVER (PARTITION BY k) AS n FROM s QUALIFY count(*) OVER (PARTITION BY k) > 1""",
     "formulas",
 )
 
@@ -135,12 +136,12 @@ _REACH = f"WITH {_GRAPH}, e AS (SELECT src, dst FROM edges WHERE kind <> 'reads'
 
 
 def change_detect(spark, d):
-    """Layers whose items differ if every tenth report loses its metrics of one brand."""
+    """Layers whose items differ if every tenth report loses its metrics of one name."""
     i = A.items(spark, d)
-    return T.detect_changes(K.fingerprints(i), K.fingerprints(i.filter("not (report_id % 10 = 0 and item = 'Brand#11')")))
+    return T.detect_changes(K.fingerprints(i), K.fingerprints(i.filter("not (report_id % 10 = 0 and item like 'red widget%')")))
 
 
-_NEW = "SELECT * FROM items WHERE NOT (report_id % 10 = 0 AND item = 'Brand#11')"
+_NEW = "SELECT * FROM items WHERE NOT (report_id % 10 = 0 AND item like 'red widget%')"
 CHANGES = A.with_views(
     f"""WITH o AS (SELECT report_id, layer, string_agg(item, '|' ORDER BY item) AS h FROM items GROUP BY ALL), n AS (SELECT report_id, layer, string_agg(item, '|' ORDER BY item) AS h FROM ({_NEW}) GROUP BY ALL)
     SELECT report_id, layer, CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'removed' ELSE 'changed' END AS change FROM o FULL JOIN n USING (report_id, layer) WHERE o.h IS DISTINCT FROM n.h""",
@@ -149,24 +150,30 @@ CHANGES = A.with_views(
 
 
 def incremental_pairs(spark, d):
-    """Pair scores after the same change, by updating only touched pairs; equals a full run on the new items."""
+    """Pair scores after the same change and the loss of some reports, from the scores of before; equals a full run on what is left.
+
+    Only pairs with a changed side are scored: changed reports meet the rest of their block.
+    """
     i = A.items(spark, d).filter("layer = 'kpi'")
-    new = i.filter("not (report_id % 10 = 0 and item = 'Brand#11')")
-    pairs = S.candidate_pairs(A.reports(spark, d), BLOCK)
-    old = S.layer_scores(S.shared_counts(i, pairs, ["kpi"])).filter("score >= 0.3").select("a", "b", "score")
-    changed = i.filter("report_id % 10 = 0 and item = 'Brand#11'").select("report_id").distinct()
+    reports = A.reports(spark, d)
+    before = S.score_columns(S.block_counts(reports, i, BLOCK, ["kpi"]), ["kpi"]).filter("kpi >= 0.05").select("a", "b", F.col("kpi").alias("score"))
+    touched = i.filter("report_id % 10 = 0 and item like 'red widget%'").select("report_id").distinct()
+    deleted = reports.filter("report_id % 25 = 3").select("report_id")
+    left, new = reports.join(deleted, "report_id", "left_anti"), i.filter("not (report_id % 10 = 0 and item like 'red widget%')")
 
     def score(ids):
-        side = lambda c: pairs.join(ids.withColumnRenamed("report_id", c), c, "left_semi")
-        return S.layer_scores(S.shared_counts(new, side("a").unionByName(side("b")).distinct(), ["kpi"])).filter("score >= 0.3").select("a", "b", "score")
+        mine, all_ = (df.select("report_id", *BLOCK) for df in (left.join(ids, "report_id", "left_semi"), left))
+        met = mine.join(all_.withColumnRenamed("report_id", "other"), BLOCK).filter("report_id <> other")
+        pairs = met.select(F.least("report_id", "other").alias("a"), F.greatest("report_id", "other").alias("b")).distinct()
+        return S.score_columns(S.pair_counts(pairs, new, ["kpi"]), ["kpi"]).filter("kpi >= 0.05").select("a", "b", F.col("kpi").alias("score"))
 
-    return T.incremental_update(old, new, changed, changed.limit(0), score)
+    return T.incremental_update(before, new, touched, deleted, score)
 
 
 INCREMENTAL = A.with_views(
-    f"""WITH i AS (SELECT * FROM ({_NEW}) WHERE layer = 'kpi'), n AS (SELECT report_id, count(*) AS n FROM i GROUP BY 1), p AS (SELECT x.report_id AS a, y.report_id AS b FROM reports x JOIN reports y ON x.workbook = y.workbook AND x.segment = y.segment AND x.report_id < y.report_id),
+    f"""WITH i AS (SELECT * FROM ({_NEW}) WHERE layer = 'kpi'), n AS (SELECT report_id, count(*) AS n FROM i GROUP BY 1), r AS (SELECT * FROM reports WHERE report_id % 25 <> 3), p AS (SELECT x.report_id AS a, y.report_id AS b FROM r x JOIN r y ON x.workbook = y.workbook AND x.segment = y.segment AND x.report_id < y.report_id),
     m AS (SELECT a, b, count(*) AS met FROM p JOIN i x ON x.report_id = a JOIN i y ON y.report_id = b AND y.item = x.item GROUP BY ALL)
-    SELECT a, b, met / (na.n + nb.n - met)::DOUBLE AS score FROM m JOIN n na ON na.report_id = a JOIN n nb ON nb.report_id = b WHERE met / (na.n + nb.n - met)::DOUBLE >= 0.3""",
+    SELECT a, b, met / (na.n + nb.n - met)::DOUBLE AS score FROM m JOIN n na ON na.report_id = a JOIN n nb ON nb.report_id = b WHERE met / (na.n + nb.n - met)::DOUBLE >= 0.05""",
     "reports",
     "items",
 )
@@ -208,14 +215,22 @@ def preview_rows(spark, d):
     return e.withColumn("n", n).filter("n <= 5").select("event_type", "n", F.col("event_id").cast("string").alias("event_id"), F.col("user_id").cast("string").alias("user_id"))
 
 
-def user_roles(spark, d):
-    """Usage looked up by exact name, else by letters and digits only."""
-    c = A.table(spark, d, "customer").select("c_custkey", "c_name")
-    u = c.filter("c_custkey % 3 <> 0").select(F.when(F.col("c_custkey") % 3 == 1, F.col("c_name")).otherwise(F.upper(F.regexp_replace("c_name", "#", " - "))).alias("key"), F.col("c_custkey").alias("days"))
-    exact = u.select(F.lower("key").alias("k"), "days")
-    loose = u.groupBy(X.alnum_key(F.col("key")).alias("z")).agg(F.min("days").alias("days2"))
-    j = c.join(exact, F.lower("c_name") == F.col("k"), "left").join(loose, X.alnum_key(F.col("c_name")) == F.col("z"), "left")
-    return j.select("c_custkey", F.coalesce("days", "days2", F.lit(365)).alias("days"))
+def usage_lookup(spark, d):
+    """Usage of every customer by the sheet's exact name, else by letters and digits only, else by a name more than .85 alike, the first in the sheet; 365 days where none is."""
+    k = F.col("c_custkey")
+    c = A.table(spark, d, "customer").select("c_custkey", F.concat_ws(" ", "c_mktsegment", F.reverse(k.cast("string"))).alias("name"))
+    spelled = F.when(k % 4 == 1, F.upper("name")).when(k % 4 == 2, F.concat(F.lit("* "), F.regexp_replace("name", " ", " - "))).otherwise(F.concat("name", F.lit("x")))
+    sheet = c.filter("c_custkey % 4 <> 0").select(k.alias("row"), spelled.alias("key"), (k % 300).alias("days"))
+    return C.lookup_usage(c, sheet)
+
+
+USAGE_LOOKUP = """
+WITH c AS (SELECT c_custkey, c_mktsegment || ' ' || reverse(c_custkey::VARCHAR) AS name FROM customer),
+s AS (SELECT c_custkey AS row, CASE c_custkey % 4 WHEN 1 THEN upper(name) WHEN 2 THEN '* ' || replace(name, ' ', ' - ') ELSE name || 'x' END AS key, c_custkey % 300 AS days FROM c WHERE c_custkey % 4 <> 0),
+e AS (SELECT lower(key) AS k, arg_min(days, row) AS d FROM s GROUP BY 1), z AS (SELECT regexp_replace(lower(key), '[^a-z0-9]', '', 'g') AS k, arg_min(days, row) AS d FROM s GROUP BY 1),
+f AS (SELECT c.c_custkey, e.d AS d1, z.d AS d2, lower(name) AS x FROM c LEFT JOIN e ON e.k = lower(name) LEFT JOIN z ON z.k = regexp_replace(lower(name), '[^a-z0-9]', '', 'g')),
+n AS (SELECT c_custkey, arg_min(s.days, s.row) AS d3 FROM f JOIN s ON f.d1 IS NULL AND f.d2 IS NULL AND (greatest(length(x), length(key)) - levenshtein(x, lower(key))) / greatest(length(x), length(key))::DOUBLE > 0.85 GROUP BY 1)
+SELECT c_custkey, coalesce(d1, d2, d3, 365) AS days, CASE WHEN d1 IS NOT NULL THEN 'exact' WHEN d2 IS NOT NULL THEN 'letters' WHEN d3 IS NOT NULL THEN 'alike' ELSE 'none' END AS how FROM f LEFT JOIN n USING (c_custkey)"""
 
 
 def summary_order(spark, d):
@@ -230,7 +245,7 @@ QUERIES = {
     "simhash_near": (simhash_near, None),
     "trigram_block": (trigram_block, TRIGRAM),
     "fingerprints": (fingerprints, FINGERPRINTS),
-    "signature_pairs": (signature_pairs, SIGNATURES),
+    "signature_classes": (signature_classes, SIGNATURES),
     "mentions": (mentions_found, MENTIONS),
     "dedupe_mentions": (mentions_kept, KEPT),
     "switchers": (switchers, SWITCHERS),
@@ -251,7 +266,7 @@ QUERIES = {
         "WITH l AS (SELECT DISTINCT l_orderkey, p_type FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT x.p_type AS a, y.p_type AS b, count(*) AS orders FROM l x JOIN l y ON x.l_orderkey = y.l_orderkey AND x.p_type < y.p_type GROUP BY 1, 2",
     ),
     "preview_rows": (preview_rows, "SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n, event_id::VARCHAR AS event_id, user_id::VARCHAR AS user_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id) <= 5"),
-    "usage_lookup": (user_roles, "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey ELSE 365 END AS days FROM customer"),
+    "usage_lookup": (usage_lookup, USAGE_LOOKUP),
     "summary_order": (
         summary_order,
         "SELECT o_custkey, o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 0 WHEN o_orderpriority LIKE '5%' THEN 2 ELSE 1 END AS rank FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderpriority LIKE '1%' THEN 0 WHEN o_orderpriority LIKE '5%' THEN 2 ELSE 1 END, o_orderkey) = 1",

@@ -7,8 +7,10 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reportweave.functions import text as X
 from reportweave.operators import scoring as S
 from reportweave.operators.components import connected_components
+from reportweave.plans.text_queries import sql_fold, sql_trim
 from reportweave.sources import adapters as A
 
 BLOCK = ["workbook", "segment"]
@@ -18,32 +20,63 @@ met_ AS (SELECT p.a, p.b, i.layer, count(*) AS n FROM pairs p JOIN items i ON i.
 counts AS (SELECT l.layer, p.a, p.b, coalesce(t.n, 0) AS met, coalesce(x.n, 0) AS n_a, coalesce(y.n, 0) AS n_b FROM pairs p CROSS JOIN (SELECT DISTINCT layer FROM items) l
   LEFT JOIN met_ t ON t.a = p.a AND t.b = p.b AND t.layer = l.layer LEFT JOIN sizes x ON x.report_id = p.a AND x.layer = l.layer LEFT JOIN sizes y ON y.report_id = p.b AND y.layer = l.layer),
 scores AS (SELECT layer, a, b, CASE WHEN n_a + n_b - met = 0 THEN CASE WHEN layer = 'filter' THEN 0.5 ELSE 0.0 END ELSE met / (n_a + n_b - met)::DOUBLE END AS score FROM counts)"""
-_WIDE = f"""{_COUNTS}, every AS (SELECT * FROM scores UNION ALL SELECT 'structure', a, b, score FROM scores WHERE layer = 'kpi'),
+_BASE = lambda c: f"lower({sql_trim(sql_fold(c, X.BASE_METRIC))})"
+#: Greedy one-to-one assignment of edges(a, b, l, r, score, near): the best first, each end once.
+_GREEDY = lambda name, edges: f"""{name} AS (SELECT a, b, list_reduce(list({{'ls': [l], 'rs': [r], 'total': score}} ORDER BY score DESC, near DESC, l, r),
+  lambda x, y: CASE WHEN list_has_any(x.ls, y.ls) OR list_has_any(x.rs, y.rs) THEN x ELSE {{'ls': list_concat(x.ls, y.ls), 'rs': list_concat(x.rs, y.rs), 'total': x.total + y.total}} END).total AS total FROM {edges} GROUP BY a, b)"""
+_OVERLAP = f"""kp AS (SELECT report_id, item FROM items WHERE layer = 'kpi'), nm AS (SELECT DISTINCT item, {_BASE("item")} AS base FROM kp),
+al AS (SELECT l, r, near, CASE WHEN same THEN 1.0::DOUBLE WHEN near > 0.8 THEN 0.8::DOUBLE END AS score FROM (SELECT x.item AS l, y.item AS r, x.item = y.item OR (x.base = y.base AND x.base <> '') AS same,
+  (greatest(length(x.item), length(y.item)) - levenshtein(lower(x.item), lower(y.item))) / greatest(length(x.item), length(y.item))::DOUBLE AS near FROM nm x, nm y) WHERE same OR near > 0.8),
+ed AS (SELECT p.a, p.b, al.l, al.r, al.score, al.near FROM pairs p JOIN kp i ON i.report_id = p.a JOIN al ON al.l = i.item JOIN kp j ON j.report_id = p.b AND j.item = al.r),
+{_GREEDY("gr", "ed")},
+ko AS (SELECT p.a, p.b, coalesce(total, 0)::DOUBLE AS total, coalesce(x.n, 0) AS n_a, coalesce(y.n, 0) AS n_b, CASE WHEN least(coalesce(x.n, 0), coalesce(y.n, 0)) = 0 THEN 0.0 ELSE coalesce(total, 0) / least(x.n, y.n)::DOUBLE END AS score
+  FROM pairs p LEFT JOIN gr ON gr.a = p.a AND gr.b = p.b LEFT JOIN sizes x ON x.report_id = p.a AND x.layer = 'kpi' LEFT JOIN sizes y ON y.report_id = p.b AND y.layer = 'kpi')"""
+_WIDE = f"""{_COUNTS}, {_OVERLAP}, every AS (SELECT * FROM scores UNION ALL SELECT 'structure', a, b, score FROM ko),
 wide AS (SELECT a, b, {", ".join(f"coalesce(max(score) FILTER (layer = '{n}'), 0)::DOUBLE AS {n}" for n in S.WEIGHTS)} FROM every GROUP BY a, b),
 comp AS (SELECT *, round({" + ".join(f"{n} * {w}" for n, w in S.WEIGHTS.items())}, 6) AS composite, ({" + ".join(S.WEIGHTS)}) / 6 AS mean FROM wide)"""
 _TIER = "CASE WHEN composite > 0.95 THEN 'exact_clone' WHEN composite > 0.80 THEN 'near_clone' WHEN composite > 0.60 THEN 'functional_overlap' ELSE 'unrelated' END"
 
 
-def _counts(spark, d):
-    return S.shared_counts(A.items(spark, d), S.candidate_pairs(A.reports(spark, d), BLOCK), A.LAYERS)
+def _counted(spark, d, layers):
+    """(a, b, counts) of every pair of a block, for these layers."""
+    return S.block_counts(A.reports(spark, d), A.items(spark, d), BLOCK, layers)
+
+
+def _counts(spark, d, layers=A.LAYERS):
+    return S.by_layer(_counted(spark, d, layers))
+
+
+def _ratio(whole):
+    """Likeness of names: by matching blocks, or by Levenshtein's distance, which SQL has too."""
+    return X.seq_ratio if whole else X.lev_ratio
+
+
+def _overlap(spark, d, whole):
+    return S.kpi_overlap(S.candidate_pairs(A.reports(spark, d), BLOCK), A.kpis(spark, d), BLOCK, _ratio(whole))
 
 
 def kpi_overlap(spark, d):
-    """E18 of every pair of a block."""
-    return S.kpi_overlap(S.candidate_pairs(A.reports(spark, d), BLOCK), A.kpis(spark, d))
+    """E18 of every pair of a block, names compared by matching blocks."""
+    return _overlap(spark, d, True).select("a", "b", "score")
+
+
+def greedy_overlap(spark, d):
+    """E18 of every pair of a block, names compared by Levenshtein's ratio."""
+    return _overlap(spark, d, False).select("a", "b", "total", "n_a", "n_b", F.round("score", 6).alias("score"))
+
+
+GREEDY_OVERLAP = A.with_views(f"WITH {_COUNTS}, {_OVERLAP} SELECT a, b, total, n_a, n_b, round(score, 6) AS score FROM ko", "reports", "items")
 
 
 def _composite(spark, d, whole=False):
-    """Six layers. `whole` takes E18 as layer `structure`; without it the kpi layer stands in, as the SQL has it."""
-    scores = S.layer_scores(_counts(spark, d))
-    if whole:
-        return S.composite(scores.unionByName(kpi_overlap(spark, d).withColumn("layer", F.lit("structure"))))
-    return S.composite(scores.unionByName(scores.filter("layer = 'kpi'").withColumn("layer", F.lit("structure"))))
+    """Six layers, the structural one being E18."""
+    scores = S.score_columns(_counted(spark, d, A.LAYERS), A.LAYERS)
+    return S.composite(scores.join(_overlap(spark, d, whole).select("a", "b", F.col("score").alias("structure")), ["a", "b"], "left"))
 
 
 def report_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: every pair of a block with its shared metrics, Jaccard likeness, overlap and subsumption."""
-    c = _counts(spark, d).filter("layer = 'kpi'")
+    c = _counts(spark, d, ["kpi"])
     union = F.col("n_a") + F.col("n_b") - F.col("met")
     least = F.least("n_a", "n_b")
     return c.select(
@@ -127,10 +160,10 @@ UNIQUENESS = A.with_views(
 
 def shared_sources(spark, d):
     """Reports of a block that share a source, and which."""
-    src = A.items(spark, d).filter("layer = 'source'").select("report_id", "item")
-    pairs = S.candidate_pairs(A.reports(spark, d), BLOCK)
-    met = pairs.join(src.withColumnRenamed("report_id", "a"), "a").join(src.withColumnRenamed("report_id", "b"), ["b", "item"])
-    return met.groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_set("item")), "|").alias("sources"), F.count("*").alias("n"))
+    src = A.reports(spark, d).select("report_id", *BLOCK).join(S.item_sets(A.items(spark, d).filter("layer = 'source'"), ["source"]), "report_id")
+    a, b = (src.select(F.col("report_id").alias(c), *BLOCK, F.col("source").alias(f"s_{c}")) for c in "ab")
+    met = a.join(b, BLOCK).filter("a < b").select("a", "b", F.array_sort(F.array_intersect("s_a", "s_b")).alias("s")).filter(F.size("s") > 0)
+    return met.select("a", "b", F.array_join("s", "|").alias("sources"), F.size("s").cast("long").alias("n"))
 
 
 SHARED_SOURCES = A.with_views(
@@ -140,50 +173,94 @@ SHARED_SOURCES = A.with_views(
 )
 
 
+def _usage(spark, d):
+    """Usage of all reports, a copy's being that of its original."""
+    u = A.usage(spark, d)
+    return u.unionByName(u.withColumn("report_id", F.col("report_id") + A.SHIFT))
+
+
 def merge_candidates(spark, d, whole=False):
-    """Pairs that share a source and a user group and whose metrics overlap by more than the threshold.
-
-    The overlap is the greater of E18 and the Jaccard of ids if `whole`, else what equal ids make of the smaller side, as the SQL has it.
-    """
-    kpi = _counts(spark, d)
-    if whole:
-        same = S.layer_scores(kpi.filter("layer = 'kpi'")).select("a", "b", F.col("score").alias("same"))
-        k = kpi_overlap(spark, d).join(same, ["a", "b"]).select("a", "b", F.greatest("score", "same").alias("score"))
-    else:
-        k = kpi.filter("layer = 'kpi'").select("a", "b", F.when(F.least("n_a", "n_b") == 0, 0.0).otherwise(F.col("met") / F.least("n_a", "n_b")).alias("score"))
-    s = kpi.filter("layer = 'source' and met > 0").select("a", "b")
-    u = A.usage(spark, d).select("report_id", "groups")
-    twin = u.unionByName(u.select((F.col("report_id") + A.SHIFT).alias("report_id"), "groups"))
-    out = k.join(s, ["a", "b"], "left_semi").join(twin.withColumnsRenamed({"report_id": "a", "groups": "ga"}), "a").join(twin.withColumnsRenamed({"report_id": "b", "groups": "gb"}), "b")
-    return out.filter(F.arrays_overlap("ga", "gb") & (F.col("score") > 0.60)).select("a", "b", "score")
+    """Pairs that share a source and a user group and the greater of whose E18 and Jaccard of ids is above the threshold."""
+    c = S.score_columns(_counted(spark, d, ["kpi", "source"]).withColumn("met", F.col("counts")[1]["met"]), ["kpi"], "met").filter("met > 0")
+    k = c.join(_overlap(spark, d, whole).select("a", "b", "score"), ["a", "b"]).select("a", "b", F.greatest("score", "kpi").alias("score")).filter("score > 0.60")
+    u = _usage(spark, d).select("report_id", "groups")
+    out = k.join(u.toDF("a", "ga"), "a").join(u.toDF("b", "gb"), "b")
+    return out.filter(F.arrays_overlap("ga", "gb")).select("a", "b", F.round("score", 6).alias("score"))
 
 
 _USAGE2 = "u2 AS (SELECT report_id, days_ago, groups FROM usage UNION ALL SELECT report_id + 1000000, days_ago, groups FROM usage)"
-_MERGES = f"""{_COUNTS}, {_USAGE2}, merges AS (SELECT k.a, k.b, k.met / least(k.n_a, k.n_b)::DOUBLE AS score FROM counts k JOIN counts s ON s.a = k.a AND s.b = k.b AND s.layer = 'source' AND s.met > 0
-  JOIN u2 x ON x.report_id = k.a JOIN u2 y ON y.report_id = k.b WHERE k.layer = 'kpi' AND least(k.n_a, k.n_b) > 0 AND list_has_any(x.groups, y.groups) AND k.met / least(k.n_a, k.n_b)::DOUBLE > 0.6)"""
+_MERGES = f"""{_COUNTS}, {_OVERLAP}, {_USAGE2}, merges AS (SELECT k.a, k.b, round(greatest(k.score, i.score), 6) AS score FROM ko k JOIN scores i ON i.a = k.a AND i.b = k.b AND i.layer = 'kpi' JOIN counts s ON s.a = k.a AND s.b = k.b AND s.layer = 'source' AND s.met > 0
+  JOIN u2 x ON x.report_id = k.a JOIN u2 y ON y.report_id = k.b WHERE list_has_any(x.groups, y.groups) AND greatest(k.score, i.score) > 0.6)"""
 MERGE_CANDIDATES = A.with_views(f"WITH {_MERGES} SELECT a, b, score FROM merges", "reports", "items", "usage")
 
 
+def _block_sheets(spark, d):
+    return A.sheets(spark, d).join(A.reports(spark, d).select("report_id", *BLOCK), "report_id")
+
+
+def worksheet_matches(spark, d):
+    """E20 of every pair of a block: how many worksheets match, exactly or but for their grain, and the best score."""
+    m = S.sheet_matches(S.candidate_pairs(A.reports(spark, d), BLOCK), _block_sheets(spark, d), BLOCK, X.lev_ratio)
+    return m.groupBy("a", "b").agg(F.count_if("exact").alias("exact"), F.count_if(~F.col("exact")).alias("grain"), F.round(F.max("score"), 6).alias("best"))
+
+
+def duplicate_reports(spark, d, whole=False):
+    """E21: duplicates by their worksheets, and which of the two stays."""
+    return S.duplicate_reports(S.candidate_pairs(A.reports(spark, d), BLOCK), _block_sheets(spark, d), _usage(spark, d), BLOCK, _ratio(whole))
+
+
+_CLEAN = lambda c: f"lower({sql_trim(sql_fold(c, X.CLEAN_TEXT))})"
+_PART = lambda x, y: f"len(list_intersect({x}, {y})) / least(len({x}), len({y}))::DOUBLE"
+_SHEETS = f"""wn AS (SELECT sheet, {_CLEAN("sheet")} AS c FROM (SELECT DISTINCT sheet FROM sheets)), wd AS (SELECT sheet, c, list_distinct(regexp_split_to_array(c, ' ')) AS w FROM wn),
+sn AS (SELECT *, named AND true AS n2, core >= 0.7 AS g2 FROM (SELECT x.sheet AS l, y.sheet AS r, (greatest(length(x.c), length(y.c)) - levenshtein(x.c, y.c)) / greatest(length(x.c), length(y.c))::DOUBLE AS near,
+  near > 0.75 OR {_PART("x.w", "y.w")} > 0.65 OR contains(x.c, y.c) OR contains(y.c, x.c) AS named,
+  coalesce({_PART(f"list_filter(x.w, lambda z: z NOT IN {tuple(S.GRAIN_WORDS)})", f"list_filter(y.w, lambda z: z NOT IN {tuple(S.GRAIN_WORDS)})")}, 0) AS core FROM wd x, wd y) WHERE named OR core >= 0.7),
+ax AS (SELECT report_id, sheet, list_transform(axes, lambda z: {_CLEAN("z")}) AS v FROM sheets),
+mx AS (SELECT p.a, p.b, n.l, n.r, n.near, n.named, n.core, {_PART("i.v", "j.v")} AS shared,
+  len(list_filter(i.v, lambda z: len(list_filter(j.v, lambda u: contains(z, u) OR contains(u, z) OR (greatest(length(z), length(u)) - levenshtein(z, u)) / greatest(length(z), length(u))::DOUBLE > 0.8)) > 0)) / least(len(i.v), len(j.v))::DOUBLE AS loose
+  FROM pairs p JOIN ax i ON i.report_id = p.a JOIN sn n ON n.l = i.sheet JOIN ax j ON j.report_id = p.b AND j.sheet = n.r),
+sm AS (SELECT * FROM (SELECT a, b, l, r, named AND (shared >= 0.7 OR loose >= 0.7) AS exact, CASE WHEN named AND (shared >= 0.7 OR loose >= 0.7) THEN 2 + near WHEN core >= 0.7 AND shared >= 0.5 THEN 1 + near ELSE 0 END AS score FROM mx) WHERE score > 0)"""
+_MATCHED = f"{_PAIRS}, {_SHEETS}"
+WORKSHEET_MATCHES = A.with_views(f"WITH {_MATCHED} SELECT a, b, count(*) FILTER (exact) AS exact, count(*) FILTER (NOT exact) AS grain, round(max(score), 6) AS best FROM sm GROUP BY a, b", "reports", "sheets")
+_DUPLICATES = f"""se AS (SELECT a, b, l, r, 1.0::DOUBLE AS score, score AS near FROM sm WHERE exact), {_GREEDY("sg", "se")}, sc AS (SELECT report_id, count(*) AS n FROM sheets GROUP BY 1),
+du AS (SELECT g.a, g.b, total::INT AS matched FROM sg g JOIN sc x ON x.report_id = g.a JOIN sc y ON y.report_id = g.b WHERE total >= 0.85 * x.n AND total >= 0.85 * y.n),
+dd AS (SELECT CASE WHEN stale THEN a ELSE b END AS report_id, CASE WHEN stale THEN b ELSE a END AS kept, matched FROM (SELECT du.*, coalesce(x.days_ago, 9999) > coalesce(y.days_ago, 9999) AS stale FROM du LEFT JOIN u2 x ON x.report_id = a LEFT JOIN u2 y ON y.report_id = b))"""
+DUPLICATE_REPORTS = A.with_views(f"WITH {_MATCHED}, {_USAGE2}, {_DUPLICATES} SELECT report_id, kept, matched FROM dd", "reports", "sheets", "usage")
+
+
+def kpi_table_overlap(spark, d):
+    """E19 of every pair of a block in both directions; the tables are the layer `model`."""
+    return S.kpi_table_overlap(_overlap(spark, d, False), _counts(spark, d, ["model"]))
+
+
+KPI_TABLE_OVERLAP = A.with_views(
+    f"""WITH {_COUNTS}, {_OVERLAP}, j AS (SELECT ko.a, ko.b, total, ko.n_a, ko.n_b, met, c.n_a AS t_a, c.n_b AS t_b FROM ko JOIN counts c ON c.a = ko.a AND c.b = ko.b AND c.layer = 'model'),
+    two AS (SELECT a AS report_id, b AS other, total, n_a AS n, met, t_a AS t FROM j UNION ALL SELECT b, a, total, n_b, met, t_b FROM j)
+    SELECT report_id, other, round(CASE WHEN n > 0 AND t > 0 THEN 0.7 * total / n + 0.3 * met / t WHEN n > 0 THEN total / n WHEN t > 0 THEN met / t::DOUBLE ELSE 0 END, 6) AS overlap FROM two""",
+    "reports",
+    "items",
+)
+
+
 def recommendations(spark, d, whole=False):
-    m = merge_candidates(spark, d, whole)
+    """Keep, merge or discard; duplicates (E21) neither are merged nor merged into."""
+    dup = duplicate_reports(spark, d, whole).select("report_id").distinct()
+    m = merge_candidates(spark, d, whole).join(dup.toDF("a"), "a", "left_anti").join(dup.toDF("b"), "b", "left_anti")
     met = m.select(F.col("a").alias("report_id"), F.col("b").alias("partner"), "score").unionByName(m.select(F.col("b").alias("report_id"), F.col("a").alias("partner"), "score"))
-    dup = _composite(spark, d, whole).filter("composite > 0.95").select(F.greatest("a", "b").alias("report_id"))
-    u = A.usage(spark, d).select("report_id", "days_ago", "groups")
-    u = u.unionByName(u.withColumn("report_id", F.col("report_id") + A.SHIFT))
-    return S.recommend(A.reports(spark, d), u, dup, met)
+    return S.recommend(A.reports(spark, d), _usage(spark, d).select("report_id", "days_ago", "groups"), dup, met)
 
 
 RECOMMENDATIONS = A.with_views(
-    f"""WITH {_MERGES}, every AS (SELECT * FROM scores UNION ALL SELECT 'structure', a, b, score FROM scores WHERE layer = 'kpi'),
-    dup AS (SELECT DISTINCT b AS report_id FROM (SELECT a, b, round({" + ".join(f"coalesce(max(score) FILTER (layer = '{n}'), 0) * {w}" for n, w in S.WEIGHTS.items())}, 6) AS composite FROM every GROUP BY a, b) WHERE composite > 0.95),
+    f"""WITH {_MERGES}, {_SHEETS}, {_DUPLICATES}, dup AS (SELECT DISTINCT report_id FROM dd),
     m2 AS (SELECT a AS report_id, b AS partner, score FROM merges UNION ALL SELECT b, a, score FROM merges),
-    best AS (SELECT report_id, arg_max(partner, (score, -partner)) AS partner FROM m2 GROUP BY 1),
+    best AS (SELECT report_id, arg_max(partner, (score, -partner)) AS partner FROM m2 WHERE report_id NOT IN (SELECT report_id FROM dup) AND partner NOT IN (SELECT report_id FROM dup) GROUP BY 1),
     r AS (SELECT reports.report_id, coalesce(days_ago, 365) > 180 AS stale, coalesce(len(groups), 0) = 0 AS unused, dup.report_id IS NOT NULL AS dup, partner
       FROM reports LEFT JOIN u2 USING (report_id) LEFT JOIN dup USING (report_id) LEFT JOIN best USING (report_id))
     SELECT report_id, CASE WHEN stale OR unused OR dup THEN 'discard' WHEN partner IS NOT NULL THEN 'merge' ELSE 'keep' END AS action,
       array_to_string(list_filter([CASE WHEN stale THEN 'stale' END, CASE WHEN unused THEN 'no groups' END, CASE WHEN dup THEN 'duplicate' END, CASE WHEN partner IS NOT NULL THEN 'merge candidate' END], lambda x: x IS NOT NULL), ', ') AS reasons, partner FROM r""",
     "reports",
     "items",
+    "sheets",
     "usage",
 )
 
@@ -237,18 +314,16 @@ COMPONENTS_AT = _recursive(
 def golden_reports(spark, d, whole=False):
     cl = _clusters(spark, d, 0.6, whole).select("cluster", F.col("node").alias("report_id"))
     n = A.items(spark, d).groupBy("report_id").agg(F.count("*").alias("completeness"))
-    u = A.usage(spark, d)
-    u = u.unionByName(u.withColumn("report_id", F.col("report_id") + A.SHIFT))
-    m = cl.join(n, "report_id").join(u, "report_id")
-    m = m.select("cluster", "report_id", "completeness", F.col("n_orders").alias("usage"), (-F.col("days_ago")).alias("freshness"), F.size("groups").alias("governance"), F.round("total", 2).alias("recency"))
+    m = cl.join(n, "report_id").join(_usage(spark, d), "report_id")
+    m = m.select("cluster", "report_id", "completeness", F.col("n_orders").alias("usage"), (-F.col("days_ago")).alias("freshness"), F.size("groups").alias("governance"), F.col("created").alias("recency"))
     return S.select_golden(m).select("cluster", "report_id", "golden_score", "is_golden")
 
 
 _MM = lambda c: f"CASE WHEN max({c}) OVER w = min({c}) OVER w THEN 1.0 ELSE ({c} - min({c}) OVER w)::DOUBLE / (max({c}) OVER w - min({c}) OVER w) END"
 GOLDEN_REPORTS = _recursive(
     A.with_views(
-        f"""WITH {_WIDE}, {_CC(0.6)}, sz AS (SELECT report_id, count(*) AS completeness FROM items GROUP BY 1), u3 AS (SELECT * FROM usage UNION ALL SELECT report_id + 1000000, days_ago, groups, n_orders, total FROM usage),
-    m AS (SELECT cluster, report_id, completeness, n_orders AS usage, -days_ago AS freshness, len(groups) AS governance, round(total, 2) AS recency FROM cl JOIN sz ON sz.report_id = node JOIN u3 USING (report_id)),
+        f"""WITH {_WIDE}, {_CC(0.6)}, sz AS (SELECT report_id, count(*) AS completeness FROM items GROUP BY 1), u3 AS (SELECT * FROM usage UNION ALL SELECT report_id + 1000000, days_ago, groups, n_orders, total, created FROM usage),
+    m AS (SELECT cluster, report_id, completeness, n_orders AS usage, -days_ago AS freshness, len(groups) AS governance, created AS recency FROM cl JOIN sz ON sz.report_id = node JOIN u3 USING (report_id)),
     g AS (SELECT cluster, report_id, round({" + ".join(f"{_MM(c)} * {w}" for c, w in S.GOLDEN.items())}, 6) AS golden_score FROM m WINDOW w AS (PARTITION BY cluster))
     SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY golden_score DESC, report_id) = 1 AS is_golden FROM g""",
         "reports",
@@ -260,7 +335,7 @@ GOLDEN_REPORTS = _recursive(
 
 def gap_tasks(spark, d):
     """What the larger report of a subset pair has that the other lacks."""
-    c = _counts(spark, d).filter("layer = 'kpi'")
+    c = _counts(spark, d, ["kpi"])
     sub = S.subsumption(F.col("met"), F.col("n_a"), F.col("n_b"))
     p = c.select(F.when(sub == "a_in_b", F.col("b")).when(sub == "b_in_a", F.col("a")).alias("superset"), F.when(sub == "a_in_b", F.col("a")).when(sub == "b_in_a", F.col("b")).alias("golden")).filter("superset is not null")
     i = A.items(spark, d)
@@ -331,9 +406,13 @@ QUERIES = {
     "gap_tasks": (gap_tasks, GAP_TASKS),
     "schema_blocks": (schema_blocks, SCHEMA_BLOCKS),
     "idf_overlap": (idf_overlap, IDF_OVERLAP),
+    "greedy_overlap": (greedy_overlap, GREEDY_OVERLAP),
+    "kpi_table_overlap": (kpi_table_overlap, KPI_TABLE_OVERLAP),
+    "worksheet_matches": (worksheet_matches, WORKSHEET_MATCHES),
+    "duplicate_reports": (duplicate_reports, DUPLICATE_REPORTS),
 }
 
-#: With the structural layer (E18) computed; SQL has no matching-block ratio.
+#: With names compared by matching blocks, which SQL doesn't have.
 _WHOLE = [composite_pairs, tier_counts, score_details, persistable_pairs, uniqueness, merge_candidates, recommendations, components, components_at, golden_reports]
 QUERIES["kpi_overlap"] = (kpi_overlap, None)
 QUERIES.update({f"{run.__name__}_whole": (partial(run, whole=True), None) for run in _WHOLE})

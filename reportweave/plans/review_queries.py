@@ -187,7 +187,7 @@ def best_candidates(spark, d):
     """The best other report of each report by shared metrics, ties to the lesser."""
     from reportweave.operators import scoring as S
 
-    c = S.shared_counts(A.items(spark, d).filter("layer = 'kpi'"), S.candidate_pairs(A.reports(spark, d), ["workbook", "segment"]), ["kpi"]).filter("met > 0")
+    c = S.by_layer(S.block_counts(A.reports(spark, d), A.items(spark, d), ["workbook", "segment"], ["kpi"])).filter("met > 0").withColumn("met", F.col("met").cast("long"))
     two = c.select(F.col("a").alias("report_id"), F.col("b").alias("other"), "met").unionByName(c.select(F.col("b").alias("report_id"), F.col("a").alias("other"), "met"))
     return A.latest(two, ["report_id"], F.desc("met"), "other")
 
@@ -201,20 +201,35 @@ BEST = A.with_views(
 )
 
 
-def bank_upsert(spark, d):
+def _bank_changes(spark, d):
+    """New names, a new row for every seventh, and for every fifth that is odd the name of another row."""
     b = A.bank(spark, d).select("kpi_id", "name", "subdomain")
-    ch = b.filter("kpi_id % 5 = 0").select("kpi_id", F.when(F.col("kpi_id") % 2 == 0, F.concat("name", F.lit(" v2"))).otherwise(F.col("name")).alias("name"), "subdomain")
-    return V.upsert_bank(b, ch)[0]
+    other = b.groupBy("subdomain").agg(F.min_by("name", "kpi_id").alias("taken"))
+    renamed = b.filter("kpi_id % 5 = 0").join(other, "subdomain").select("kpi_id", F.when(F.col("kpi_id") % 2 == 0, F.concat("name", F.lit(" v2"))).otherwise(F.col("taken")).alias("name"), "subdomain")
+    return b, renamed.unionByName(b.filter("kpi_id % 7 = 1").select((F.col("kpi_id") + A.SHIFT).alias("kpi_id"), F.concat("name", F.lit(" new")).alias("name"), "subdomain"))
+
+
+def bank_upsert(spark, d):
+    return V.upsert_bank(*_bank_changes(spark, d))[0]
 
 
-BANK_UPSERT = A.with_views("SELECT kpi_id, CASE WHEN kpi_id % 10 = 0 THEN name || ' v2' ELSE name END AS name, subdomain FROM bank", "bank")
+def bank_conflicts(spark, d):
+    return V.upsert_bank(*_bank_changes(spark, d))[1]
+
+
+BANK_UPSERT = A.with_views(
+    """WITH o AS (SELECT subdomain, arg_min(name, kpi_id) AS taken, min(kpi_id) AS first FROM bank GROUP BY 1)
+    SELECT kpi_id, CASE WHEN kpi_id % 10 = 0 THEN name || ' v2' ELSE name END AS name, subdomain FROM bank UNION ALL SELECT kpi_id + 1000000, name || ' new', subdomain FROM bank WHERE kpi_id % 7 = 1""",
+    "bank",
+)
+BANK_CONFLICTS = A.with_views("WITH o AS (SELECT subdomain, min(kpi_id) AS first FROM bank GROUP BY 1) SELECT kpi_id, first AS other FROM bank JOIN o USING (subdomain) WHERE kpi_id % 10 = 5 AND kpi_id <> first", "bank")
 
 
 def bank_search(spark, d):
-    return V.search_bank(A.bank(spark, d), "STEEL").select("kpi_id", "name", "subdomain")
+    return V.search_bank(A.bank(spark, d), "Ring").select("kpi_id", "name", "subdomain")
 
 
-BANK_SEARCH = A.with_views("SELECT kpi_id, name, subdomain FROM bank WHERE contains(lower(name), 'steel') OR contains(lower(subdomain), 'steel') OR len(list_filter(aliases, lambda a: contains(lower(a), 'steel'))) > 0", "bank")
+BANK_SEARCH = A.with_views("SELECT kpi_id, name, subdomain FROM bank WHERE contains(lower(name), 'ring') OR contains(lower(subdomain), 'ring') OR len(list_filter(aliases, lambda a: contains(lower(a), 'ring'))) > 0", "bank")
 
 
 def mapping_upsert(spark, d):
@@ -286,7 +301,8 @@ QUERIES = {
     "flat_assets": (flat_assets, A.with_views("SELECT workbook, layer, item, count(*) AS reports FROM items JOIN reports USING (report_id) WHERE segment = 'BUILDING' GROUP BY ALL", "reports", "items")),
     "best_candidates": (best_candidates, BEST),
     "bank_upsert": (bank_upsert, BANK_UPSERT),
+    "bank_conflicts": (bank_conflicts, BANK_CONFLICTS),
     "bank_search": (bank_search, BANK_SEARCH),
     "mapping_upsert": (mapping_upsert, A.with_views("SELECT report, ws, kpi, CASE WHEN ws % 2 = 0 THEN round(min(confidence) / 2, 3) ELSE min(confidence) END AS confidence, CASE WHEN ws % 2 = 0 THEN 2 ELSE 1 END AS version FROM mappings GROUP BY report, ws, kpi", "mappings")),
-    "mapping_filter": (mapping_filter, A.with_views("SELECT kpi, count(*) AS n FROM mappings WHERE contains(lower(kpi), 'a') AND confidence BETWEEN 0.5 AND 0.79999 GROUP BY 1", "mappings")),
+    "mapping_filter": (mapping_filter, A.with_views("SELECT kpi, count(*) AS n FROM mappings WHERE contains(lower(kpi), 'a') AND confidence >= 0.5 AND confidence < 0.8 GROUP BY 1", "mappings")),
 }

@@ -193,7 +193,7 @@ def conflicts_by_text(spark: SparkSession, d: str) -> DataFrame:
     return c.select("conv_id", "turn", R.semantic_conflict(mine, theirs).alias("reason"), R.route_question(F.col("text")).alias("route"))
 
 
-def _conflict_sql() -> str:
+def conflict_sql() -> str:
     rules = " ".join(f"WHEN regexp_matches(m, {q(a)}) AND regexp_matches(t, {q(b)}) THEN {q(w)}" for a, b, w in R.CONFLICTS)
     return f"CASE WHEN regexp_matches(m, {q(R.BUDGET)}) AND regexp_matches(t, {q(R.BUDGET_NOT)}) AND NOT regexp_matches(t, {q(R.BUDGET)}) THEN {q(R.BUDGET_REASON)} {rules} END"
 
@@ -205,7 +205,7 @@ def _any(c: str, words) -> str:
 CONFLICTS_BY_TEXT = f"""
 WITH c AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS l, ['Invoice count', 'budget total', 'household income', 'opportunity stage', 'plain'][(conv_id % 5 + 1)::INT] AS m,
   ['outbound call', 'net sales', 'claim severity', 'quote count', 'cancellation reason', 'none'][(turn % 6 + 1)::INT] AS t FROM conversations)
-SELECT conv_id, turn, {_conflict_sql()} AS reason, CASE WHEN {_any("l", R.METADATA_WORDS)} THEN 'metadata' WHEN {_any("l", R.DATA_WORDS)} THEN 'data' ELSE 'llm' END AS route FROM c
+SELECT conv_id, turn, {conflict_sql()} AS reason, CASE WHEN {_any("l", R.METADATA_WORDS)} THEN 'metadata' WHEN {_any("l", R.DATA_WORDS)} THEN 'data' ELSE 'llm' END AS route FROM c
 """
 
 

@@ -1,8 +1,9 @@
 """Catalog-shaped views over the star-schema tables, as DataFrames and as the SQL that says the same.
 
-A report is a customer; its metrics, tables, sources, sheets and marks come from the lines of its larger orders. Every report
+A report is a customer; its metrics, tables, sources, sheets and marks come from all lines of its orders. Every report
 whose number ends the right way gets a planted copy in the same block, whole or thinned out, so that all degrees
-of likeness occur.
+of likeness occur. A workbook holds one nation's reports among WORKBOOK_RUN customers in a row: a larger estate has more workbooks, not
+larger ones, and pairs within a workbook grow in proportion to the estate.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from reportweave.functions import text as X
 
 SHIFT = 1_000_000
+WORKBOOK_RUN = 2000
+NATIONS = 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,41 +24,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a large order line: report_id, p_name, p_brand, p_type, l_suppkey, mark, quantity; with planted copies."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_quantity >= 45").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", F.concat("l_returnflag", "l_linestatus").alias("mark"))
+    """One row an order line: report_id, p_name, p_brand, p_type, p_size, l_suppkey, mark; with planted copies."""
+    mark = F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", mark.alias("mark"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     base = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).join(parts, lines["l_partkey"] == parts["p_partkey"])
     rest = F.col("o_custkey") % 20
     copied = (rest == 0) | ((rest == 5) & (F.col("l_partkey") % 7 != 0)) | ((rest == 10) & (F.col("l_partkey") % 3 != 0))
     ids = F.explode(F.when(copied, F.array(F.col("o_custkey"), F.col("o_custkey") + SHIFT)).otherwise(F.array("o_custkey")))
-    return base.select(ids.alias("report_id"), "p_name", "p_brand", "p_type", "l_suppkey", "mark", "l_quantity")
+    return base.select(ids.alias("report_id"), "p_name", "p_brand", "p_type", "p_size", "l_suppkey", "mark")
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     ids = F.explode(F.when((F.col("c_custkey") % 20).isin(0, 5, 10), F.array(F.col("c_custkey"), F.col("c_custkey") + SHIFT)).otherwise(F.array("c_custkey")))
-    return c.select(ids.alias("report_id"), F.col("c_nationkey").alias("workbook"), F.col("c_mktsegment").alias("segment"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    workbook = F.col("c_nationkey") + NATIONS * F.floor(F.col("c_custkey") / WORKBOOK_RUN)
+    return c.select(ids.alias("report_id"), workbook.alias("workbook"), F.col("c_mktsegment").alias("segment"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(layer, report_id, item) of all layers."""
-    large = F.col("l_quantity") >= 48
     entry = lambda name, item: F.struct(F.lit(name).alias("layer"), item.cast("string").alias("item"))
     all_ = F.array(
-        entry("kpi", F.col("p_brand")),
-        entry("model", F.col("p_type")),
-        F.when(large, entry("source", F.col("l_suppkey") % 20)),
-        F.when(large, entry("visual", F.col("p_name"))),
-        F.when(large, entry("filter", F.col("mark"))),
+        entry("kpi", F.concat_ws(" ", "p_name", "p_type")),
+        entry("model", F.concat_ws(" ", "p_type", F.col("p_size") % 10)),
+        entry("source", F.col("l_suppkey") % 100),
+        entry("visual", F.col("p_name")),
+        entry("filter", F.col("mark")),
     )
-    return facts(spark, sf_dir).select("report_id", F.explode(F.array_compact(all_)).alias("x")).select("x.layer", "report_id", "x.item").distinct()
+    return facts(spark, sf_dir).select("report_id", F.explode(all_).alias("x")).select("x.layer", "report_id", "x.item").distinct()
+
+
+def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(report_id, sheet, axes): worksheets and what they plot."""
+    return facts(spark, sf_dir).groupBy("report_id", F.col("p_name").alias("sheet")).agg(F.array_sort(F.collect_set(F.concat_ws(" ", F.lit("part"), "p_type"))).alias("axes"))
 
 
 def kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(report_id, item, base, canonical, definition) of the kpi layer; the tables spell a metric in one way and define none."""
-    k = items(spark, sf_dir).filter("layer = 'kpi'")
-    return k.select("report_id", "item", X.base_metric(F.col("item")).alias("base"), F.col("item").alias("canonical"), F.lit(None).cast("string").alias("definition"))
+    """(report_id, workbook, segment, item, base, canonical, definition) of the kpi layer; the tables spell a metric in one way and define none."""
+    k = items(spark, sf_dir).filter("layer = 'kpi'").join(reports(spark, sf_dir).select("report_id", "workbook", "segment"), "report_id")
+    return k.select("report_id", "workbook", "segment", "item", X.base_metric(F.col("item")).alias("base"), F.col("item").alias("canonical"), F.lit(None).cast("string").alias("definition"))
 
 
 #: The layers of items.
@@ -63,16 +72,16 @@ LAYERS = ["kpi", "model", "source", "visual", "filter"]
 
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(report_id, days_ago, groups): days since the last order before the last of all, and who used it."""
+    """(report_id, days_ago, groups, n_orders, total, created): days since the last order before the last of all, who used it, and the day of the first."""
     o = table(spark, sf_dir, "orders")
     last = o.agg(F.max("o_orderdate").alias("last"))
-    per = o.groupBy("o_custkey").agg(F.max("o_orderdate").alias("own"), F.array_sort(F.collect_set("o_orderpriority")).alias("groups"), F.count("*").alias("n_orders"), F.sum("o_totalprice").alias("total"))
-    return per.join(F.broadcast(last)).select(F.col("o_custkey").alias("report_id"), F.datediff("last", "own").alias("days_ago"), "groups", "n_orders", "total")
+    per = o.groupBy("o_custkey").agg(F.max("o_orderdate").alias("own"), F.array_sort(F.collect_set("o_orderpriority")).alias("groups"), F.count("*").alias("n_orders"), F.sum("o_totalprice").alias("total"), F.min("o_orderdate").alias("first"))
+    return per.join(F.broadcast(last)).select(F.col("o_custkey").alias("report_id"), F.datediff("last", "own").alias("days_ago"), "groups", "n_orders", "total", F.unix_date(F.to_date("first")).alias("created"))
 
 
 def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(kpi_id, name, subdomain, lineage, aliases, agg)"""
-    p = table(spark, sf_dir, "part").filter("p_partkey % 3 != 0")
+    p = table(spark, sf_dir, "part")
     g = p.groupBy("p_name", "p_type").agg(F.min("p_partkey").alias("kpi_id"), F.array_sort(F.collect_set("p_brand")).alias("lineage"))
     agg = F.element_at(F.array(*[F.lit(x) for x in ("SUM", "AVG", "COUNT", "UNKNOWN")]), (F.col("kpi_id") % 4 + 1).cast("int"))
     aliases = F.array(F.concat(F.col("p_name"), F.lit(" total")), F.reverse("p_name"))
@@ -141,22 +150,22 @@ def latest(df: DataFrame, key: list[str], *order) -> DataFrame:
 SQL = {
     "facts": """
       SELECT unnest(CASE WHEN o_custkey % 20 = 0 OR (o_custkey % 20 = 5 AND l_partkey % 7 <> 0) OR (o_custkey % 20 = 10 AND l_partkey % 3 <> 0)
-        THEN [o_custkey, o_custkey + 1000000] ELSE [o_custkey] END) AS report_id, p_name, p_brand, p_type, l_suppkey, l_returnflag || l_linestatus AS mark, l_quantity
-      FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 45""",
+        THEN [o_custkey, o_custkey + 1000000] ELSE [o_custkey] END) AS report_id, p_name, p_brand, p_type, p_size, l_suppkey, l_returnflag || l_linestatus || l_linenumber AS mark
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey""",
     "reports": """
       SELECT unnest(CASE WHEN c_custkey % 20 IN (0, 5, 10) THEN [c_custkey, c_custkey + 1000000] ELSE [c_custkey] END) AS report_id,
-        c_nationkey AS workbook, c_mktsegment AS segment, c_name AS name, c_acctbal AS balance FROM customer""",
+        c_nationkey + 25 * (c_custkey // 2000) AS workbook, c_mktsegment AS segment, c_name AS name, c_acctbal AS balance FROM customer""",
     "items": """
-      SELECT DISTINCT 'kpi' AS layer, report_id, p_brand AS item FROM facts UNION SELECT 'model', report_id, p_type FROM facts
-      UNION SELECT 'source', report_id, (l_suppkey % 20)::VARCHAR FROM facts WHERE l_quantity >= 48
-      UNION SELECT 'visual', report_id, p_name FROM facts WHERE l_quantity >= 48 UNION SELECT 'filter', report_id, mark FROM facts WHERE l_quantity >= 48""",
+      SELECT DISTINCT 'kpi' AS layer, report_id, p_name || ' ' || p_type AS item FROM facts UNION SELECT 'model', report_id, p_type || ' ' || (p_size % 10) FROM facts
+      UNION SELECT 'source', report_id, (l_suppkey % 100)::VARCHAR FROM facts UNION SELECT 'visual', report_id, p_name FROM facts UNION SELECT 'filter', report_id, mark FROM facts""",
+    "sheets": "SELECT report_id, p_name AS sheet, list_sort(list(DISTINCT 'part ' || p_type)) AS axes FROM facts GROUP BY 1, 2",
     "usage": """
       SELECT o_custkey AS report_id, date_diff('day', max(o_orderdate), (SELECT max(o_orderdate) FROM orders)) AS days_ago,
-        list_sort(list(DISTINCT o_orderpriority)) AS groups, count(*) AS n_orders, sum(o_totalprice) AS total FROM orders GROUP BY 1""",
+        list_sort(list(DISTINCT o_orderpriority)) AS groups, count(*) AS n_orders, sum(o_totalprice) AS total, date_diff('day', DATE '1970-01-01', min(o_orderdate)::DATE) AS created FROM orders GROUP BY 1""",
     "bank": """
       SELECT min(p_partkey) AS kpi_id, p_name AS name, p_type AS subdomain, list_sort(list(DISTINCT p_brand)) AS lineage,
         [p_name || ' total', reverse(p_name)] AS aliases, ['SUM','AVG','COUNT','UNKNOWN'][(min(p_partkey) % 4 + 1)::INT] AS agg
-      FROM part WHERE p_partkey % 3 <> 0 GROUP BY p_name, p_type""",
+      FROM part GROUP BY p_name, p_type""",
     "mentions": """
       SELECT p_partkey AS mention_id, p_brand AS report, p_type AS subdomain, CASE p_partkey % 7 WHEN 0 THEN upper(p_name) WHEN 1 THEN 'Rank | ' || p_name
         WHEN 2 THEN p_name || ' by ' || p_brand WHEN 3 THEN substr(p_name, 1, length(p_name) - 1) || 'x' WHEN 4 THEN p_name || ' total'
@@ -181,7 +190,7 @@ SQL = {
 
 def with_views(sql: str, *names: str) -> str:
     """sql (a select, or further CTEs and a select) after the CTEs of the named views."""
-    need = ["facts", *names] if "items" in names and "facts" not in names else list(names)
+    need = ["facts", *names] if {"items", "sheets"} & set(names) and "facts" not in names else list(names)
     head = ",\n".join(f"{n} AS ({SQL[n]})" for n in need)
     body = sql.strip()
     return f"WITH {head}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head}\n{body}"

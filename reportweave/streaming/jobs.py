@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reportweave.operators.durable import shared_dir
+
 
 def run_to_end(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Runs a stream over all that is there now, batch by batch, and ends."""
@@ -23,10 +25,7 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that all machines share."""
-    import tempfile
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def latest_state(actions: DataFrame) -> DataFrame:
@@ -34,7 +33,7 @@ def latest_state(actions: DataFrame) -> DataFrame:
     return actions.groupBy("mapping_id").agg(F.max(F.struct("ts", "action_id", "action")).alias("x"), F.count("*").alias("n"))
 
 
-def progress_windows(events: DataFrame, size: str = "1 day", lateness: str = "36500 days") -> DataFrame:
+def progress_windows(events: DataFrame, size: str = "1 day", lateness: str = "7 days") -> DataFrame:
     """Events by kind and window of event time; rows later than the watermark are dropped, repeated ids count once."""
     once = events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["event_id"])
     return once.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
@@ -50,7 +49,7 @@ def collect_updates(spark: SparkSession, df: DataFrame, keys: list[str], name: s
 
 
 def incremental_update(pairs: DataFrame, items: DataFrame, changed: DataFrame, deleted: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """pairs(a, b, score) after reports changed or went: touched pairs are dropped, those of changed reports scored anew.
+    """pairs(a, b, score), kept from the run before, after reports changed or went: touched pairs are dropped, those of changed reports scored anew.
 
     score makes (a, b, score) of the pairs with a side in changed; the result equals a full run.
     """

@@ -130,18 +130,56 @@ def test_structural_layer_is_greedy_overlap(spark):
     rows += [(2, "Net Payments", "paid", "", None), (2, "Days Open", "", "k7", None), (2, "Loss Ratio", "", "", None), (2, "omega", "", "", "sum of premium by months")]
     rows += [(3, "Paid Claims", "paid", "", None)]
     pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "a long, b long")
-    got = {(r["a"], r["b"]): round(r["score"], 6) for r in scoring.kpi_overlap(pairs, spark.createDataFrame(rows, kpi)).collect()}
+    kpis = spark.createDataFrame(rows, kpi).withColumn("block", F.lit(1))
+    got = {(r["a"], r["b"]): round(r["score"], 6) for r in scoring.kpi_overlap(pairs, kpis, ["block"]).collect()}
     assert got == {(1, 2): round((1 + 1 + 0.8 + 0.8) / 4, 6), (1, 3): 1.0, (1, 4): 0.0}
 
 
-def test_whole_composite_takes_the_structural_layer(spark):
+def test_overlap_folds_as_assignment_does(spark):
+    """A pair's fold takes the same edges as assign_greedy and a sequential pass."""
+    rng = random.Random(8)
+    rows = [(g, f"l{rng.randrange(6)}", f"r{rng.randrange(6)}", rng.choice([1.0, 0.8])) for g in range(6) for _ in range(16)]
+    rows = list({r[:3]: r for r in rows}.values())
+    edges = spark.createDataFrame(rows, "grp long, l string, r string, score double")
+    edge = F.struct((-F.col("score")).alias("worse"), F.lit(0.0).alias("farther"), "l", "r")
+    folded = {r["grp"]: round(r["total"], 6) for r in edges.groupBy("grp").agg(F.collect_list(edge).alias("e")).select("grp", scoring.assigned(F.col("e")).alias("total")).collect()}
+    taken = {r["grp"]: round(r["total"], 6) for r in scoring.assign_greedy(edges).groupBy("grp").agg(F.sum("score").alias("total")).collect()}
+    assert folded == taken
+
+
+def test_worksheets(spark):
+    none = F.array().cast("array<string>")
+
+    def score(a, b, x=none, y=none):
+        s = one(spark, scoring.worksheet_score(F.lit(a), F.lit(b), x, y, X.lev_ratio))
+        return round(s["score"], 2), s["exact"]
+
+    axes = lambda *names: F.array(*map(F.lit, names))
+    assert score("Total Premium", "total premium (Table - x)") == (3.0, True)
+    assert score("Premium", "Premium", axes("a", "b", "c"), axes("x", "y", "z")) == (0.0, False)
+    assert score("Premium", "Premium", axes("state", "month", "agent"), axes("states", "months", "agents")) == (3.0, True)
+    assert score("Lapse by State", "Lapse per Region")[1] is False and score("Lapse by State", "Lapse per Region")[0] > 1
+    assert score("Lapse", "Invoices", none, none)[0] == 0.0
+
+
+def test_duplicates_by_worksheets(spark):
+    names = [f"sheet {w}" for w in ("alpha", "bravo", "carbon", "delta", "echo", "foxtrot", "golf")]
+    rows = [(r, n, ["x"], 1) for r in (1, 2) for n in names] + [(3, n, ["x"], 1) for n in names[:4]] + [(4, n, ["x"], 1) for n in names]
+    sheets = spark.createDataFrame(rows, "report_id long, sheet string, axes array<string>, block long")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (1, 4), (2, 4)], "a long, b long")
+    usage = spark.createDataFrame([(1, 10), (2, 10), (4, 5)], "report_id long, days_ago int")
+    got = {tuple(r) for r in scoring.duplicate_reports(pairs, sheets, usage, ["block"], X.lev_ratio).collect()}
+    assert got == {(2, 1, 7), (1, 4, 7), (2, 4, 7)}
+
+
+def test_composite_takes_the_structural_layer(spark):
     import __spark_entry__
 
     q = __spark_entry__.queries()
-    layer = {(r["a"], r["b"]): r["score"] for r in q["kpi_overlap"](spark, SF).collect()}
-    got = {(r["a"], r["b"]): r["score"] for r in q["score_details_whole"](spark, SF).filter("layer = 'structure'").collect()}
-    copied = {(r["a"], r["b"]): r["score"] for r in q["score_details"](spark, SF).filter("layer = 'structure'").collect()}
-    assert got and all(abs(got[p] - layer[p]) < 1e-9 for p in got) and any(abs(got[p] - copied[p]) > 1e-9 for p in got if p in copied)
+    for twin, name in (("greedy_overlap", "score_details"), ("kpi_overlap", "score_details_whole")):
+        layer = {(r["a"], r["b"]): r["score"] for r in q[twin](spark, SF).collect()}
+        got = {(r["a"], r["b"]): r["score"] for r in q[name](spark, SF).filter("layer = 'structure'").collect()}
+        assert got and all(abs(got[p] - layer[p]) < 1e-6 for p in got)
 
 
 def test_simhash_pairs_equal_brute_force(spark):
