@@ -132,14 +132,14 @@ def persistable(pairs: DataFrame, least: float = 0.60) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "composite").filter(F.col("composite") >= least).dropDuplicates(["a", "b"])
 
 
-def assign_greedy(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] = materialize, max_rounds: int = 200) -> DataFrame:
+def assign_greedy(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] = materialize) -> DataFrame:
     """One-to-one assignment within each group of edges(grp, l, r, score): best first, ties by l, then r.
 
     Rounds of mutual best: an edge that is first for both its ends is what a sequential pass would take before any
     other edge of theirs, so all such edges are taken at once and their ends' other edges dropped.
     """
     rest, taken = cut(edges), None
-    for _ in range(max_rounds):
+    while True:  # every round takes the best edge of each group, so it ends; chains in which each edge waits for the one before take longest
         order = [F.desc("score"), "l", "r"]
         ranked = rest.withColumn("_l", F.row_number().over(W.partitionBy("grp", "l").orderBy(*order))).withColumn("_r", F.row_number().over(W.partitionBy("grp", "r").orderBy(*order)))
         ranked = cut(ranked)
@@ -148,7 +148,6 @@ def assign_greedy(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] = mate
         rest = ranked.join(best.select("grp", "l"), ["grp", "l"], "left_anti").join(best.select("grp", "r"), ["grp", "r"], "left_anti").select("grp", "l", "r", "score")
         if rest.isEmpty():
             return taken
-    raise RuntimeError(f"assignment did not end in {max_rounds} rounds: a chain of edges in which each waits for the one before is longer than that")
 
 
 def assigned(edges: Column) -> Column:
