@@ -5,10 +5,15 @@ of equals): equal windows have equal anchors, and neighbouring windows mostly sh
 anchor's occurrence form one row: the anchor's 64-bit hash, by which rows are sorted and met, and the 64 bits of each
 window's own hash, by which a meeting is verified: of a million windows of one anchor, two agree by chance once in 37 million. Words aren't compared.
 
-The index is a list of immutable runs of such rows, sorted by anchor. A new batch is merged with the runs in the order
-(anchor, runs before batch, doc_id); in that order the first row that has a window is its first place, and every later one repeats it. The batch
-may then become a run of its own, and runs are compacted into one that keeps each window once. A task streams through
-its sorted rows; what it holds are the windows of the anchor at hand.
+The index is a list of immutable runs of such rows, each a table that is bucketed and sorted by anchor, and a manifest, both in a folder
+that all machines share; another session opens it there. A new batch is merged with the runs bucket by bucket in the order
+(anchor, runs before batch, doc_id), for which the runs aren't shuffled again; in that order the first row that has a window is its
+first place, and every later one repeats it. The batch becomes a run of its own, with the windows that it is the first to have, and
+runs are compacted two by two before there are too many. A task streams through its sorted rows; what it holds are the windows of the
+anchor at hand.
+
+An anchor that very many documents have is dealt to SALTS parts by document, so that it isn't one task's. A window is then
+first in its part at most; which of those are first of all is found by a grouping over the windows of such anchors.
 
 Defined cases: null or empty texts have no words; a text of fewer than n words has no windows; a null doc_id counts as less
 than all others; rows of one doc_id don't repeat each other, and are told apart by 31 bits of their text's hash;
@@ -24,26 +29,34 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shared_dir, text_key
+from reportweave.operators.durable import without_shuffle_files
+
+from .common import materialize, shared_dir, shuffle_partitions, text_key
 from .travel import packed, unpacked
 from .wordbytes import blocks, gram_hashes, mix, separators, whole_grams, word_hashes, words
 
 _SPACE = separators("space")
 _BYTES = 8
-#: at: the tag of the document in the upper half, the first window's word in the lower; -1 in rows of history.
-ROW = "ah long, doc_id long, at long, sig binary"
+SALTS = 64
+#: ah: the anchor's hash, salted if it is frequent, hot: then the hash itself. at: the tag of the document in the upper half, the first window's word in the lower.
+ROW = "ah long, doc_id long, at long, sig binary, hot long"
+#: A run's rows keep the windows that no earlier row has; late has a bit for each of the others.
+RUN = f"{ROW}, late int"
 COVERED = "doc_id long, tag int, first int, mask int"
 
 
-def anchor_rows(docs: DataFrame, n: int, anchor: int) -> DataFrame:
-    """ROW's columns: for each anchor occurrence its windows, from the one at word `first` on."""
+def anchor_rows(docs: DataFrame, n: int, anchor: int, hot: tuple = ()) -> DataFrame:
+    """ROW's columns: for each anchor occurrence its windows, from the one at word `first` on. hot: anchors to be salted."""
     reach = n - anchor + 1
+    frequent = np.sort(np.array(hot, np.int64))
 
     def run(batches):
         for batch in batches:
             tags = batch.column("tag").to_numpy().astype(np.int64)
+            ids = batch.column("doc_id").fill_null(0).to_numpy().view(np.uint64)
             for b in blocks(batch.column("text")):
                 w = words(b, _SPACE)
                 at = whole_grams(w, n)
@@ -62,14 +75,18 @@ def anchor_rows(docs: DataFrame, n: int, anchor: int) -> DataFrame:
                 offsets = np.append(new, len(at)).astype(np.int32) * _BYTES
                 row = w.row[at[new]]
                 doc = pa.array(b.first + row)
+                ah = best[new].view(np.int64)
+                often = np.isin(ah, frequent)
+                salted = mix(ah.view(np.uint64) ^ (mix(ids[b.first + row]) % np.uint64(SALTS) + np.uint64(1))).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(best[new].view(np.int64)),
+                        pa.array(np.where(often, salted, ah)),
                         batch.column("doc_id").take(doc),
                         pa.array(tags[b.first + row] << 32 | (at[new] - w.first[row])),
                         pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())]),
+                        pa.array(ah, mask=~often),
                     ],
-                    names=["ah", "doc_id", "at", "sig"],
+                    names=["ah", "doc_id", "at", "sig", "hot"],
                 )
 
     tagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag_of(F.col("text")).alias("tag"), "text")
@@ -123,81 +140,149 @@ def _stream(batches, order: str):
         last = ah[-1]
 
 
-def _covered(batches):
-    """COVERED's rows: which windows of a batch's rows repeat an earlier place."""
-    for batch, _, row, late in _stream(batches, "place"):
-        place = batch.column("at").to_numpy()
-        late &= place[row] >= 0
-        if not late.any():
+def _sigs(row: np.ndarray, wh: np.ndarray, rows: int) -> pa.Array:
+    """Binary column of so many rows: the window hashes of each."""
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))]).astype(np.int32) * _BYTES
+    return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(wh.astype("<u8")).tobytes())])
+
+
+def _merged(batches):
+    """RUN's rows of those that are new among sorted rows of runs and batch."""
+    for batch, wh, row, late in _stream(batches, "place"):
+        new = ~batch.column("old").to_numpy(zero_copy_only=False)
+        if not new.any():
             continue
         start = np.searchsorted(row, np.arange(batch.num_rows))
         bit = np.where(late, 1 << np.minimum(np.arange(len(row)) - start[row], 30), 0)
-        mask = np.bincount(row, bit, batch.num_rows).astype(np.int64)
-        some = np.flatnonzero(mask)
-        place = place[some]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(some)), pa.array((place >> 32).astype(np.int32)), pa.array((place & 0xFFFFFFFF).astype(np.int32)), pa.array(mask[some].astype(np.int32))], names=["doc_id", "tag", "first", "mask"])
+        mask = np.bincount(row, bit, batch.num_rows).astype(np.int32)
+        some = np.flatnonzero(new)
+        number = np.cumsum(new) - 1
+        stay = ~late & new[row]
+        take = pa.array(some)
+        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in ("ah", "doc_id", "at")], _sigs(number[row[stay]], wh[stay], len(some)), batch.column("hot").take(take), pa.array(mask[some])], names=["ah", "doc_id", "at", "sig", "hot", "late"])
+
+
+def _single(batches):
+    """(hot, wh, doc_id, tag, first, mask) of the windows that a run's rows keep, one by one."""
+    for batch in batches:
+        wh, row = _windows(batch)
+        late = batch.column("late").to_numpy().astype(np.int64)
+        free = (~late[:, None] >> np.arange(31)) & 1 == 1  # a row's windows in order are its free bits
+        place = np.cumsum(free, 1)
+        nth = np.arange(len(row)) - np.searchsorted(row, np.arange(batch.num_rows))[row] + 1
+        word = (place[row] < nth[:, None]).sum(1)
+        at, take = batch.column("at").to_numpy()[row], pa.array(row)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("hot").take(take), pa.array(wh.view(np.int64)), batch.column("doc_id").take(take), pa.array((at >> 32).astype(np.int32)), pa.array(((at & 0xFFFFFFFF) + word).astype(np.int32)), pa.array(np.ones(len(row), np.int32))],
+            names=["hot", "wh", "doc_id", "tag", "first", "mask"],
+        )
 
 
 def _kept(batches):
-    """ROW's rows without the windows that an earlier row has."""
-    seen_rows = 0
+    """RUN's rows without the windows that an earlier row has; rows without windows go."""
+    seen = 0
+
     def number():
-        nonlocal seen_rows
+        nonlocal seen
         for batch in batches:
-            yield batch.append_column("number", pa.array(np.arange(seen_rows, seen_rows + batch.num_rows)))
-            seen_rows += batch.num_rows
+            yield batch.append_column("number", pa.array(np.arange(seen, seen + batch.num_rows)))
+            seen += batch.num_rows
 
     for batch, wh, row, late in _stream(number(), "number"):
         row, wh = row[~late], wh[~late]
-        count = np.bincount(row, minlength=batch.num_rows)
-        some = np.flatnonzero(count)
-        offsets = np.concatenate([[0], np.cumsum(count[some])]).astype(np.int32) * _BYTES
-        raw = np.ascontiguousarray(wh.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :_BYTES]
+        some = np.unique(row)
         take = pa.array(some)
-        sig = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())])
-        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in ("ah", "doc_id", "at")], sig], names=["ah", "doc_id", "at", "sig"])
+        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in ("ah", "doc_id", "at")], _sigs(np.searchsorted(some, row), wh, len(some)), batch.column("hot").take(take), pa.array(np.zeros(len(some), np.int32))], names=["ah", "doc_id", "at", "sig", "hot", "late"])
+
+
+def frequent_anchors(docs: DataFrame, n: int, anchor: int, share: float = 0.001, fraction: float = 0.01, least: int = 64) -> tuple:
+    """Anchors with more than this share of a sample's rows, fewer than 1 / share. Which they are changes how work is dealt out, not what comes of it."""
+    rows = anchor_rows(docs.select("doc_id", "text").sample(fraction, 1), n, anchor).groupBy("ah").agg(F.count("*").alias("n"))
+    counted = materialize(rows, "anchor-counts")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    return tuple(r["ah"] for r in counted.filter(F.col("n") > max(least, share * total)).select("ah").collect())
 
 
 @dataclass
 class WindowIndex:
-    """Sorted runs of window fingerprints in the shared folder."""
+    """Sorted runs of window fingerprints and their manifest in a folder that all machines share."""
 
     spark: SparkSession
+    folder: str
     n: int = 13
     anchor: int = 3
-    max_runs: int = 1
+    buckets: int = 200
+    max_runs: int = 3
+    hot: tuple = ()
     runs: list[str] = field(default_factory=list)
+    version: int = 0
+
+    @staticmethod
+    def create(spark: SparkSession, n: int = 13, anchor: int = 3, hot: tuple = (), folder: str | None = None) -> WindowIndex:
+        return WindowIndex(spark, folder or f"{shared_dir(spark)}/window-index-{uuid.uuid4().hex}", n, anchor, shuffle_partitions(spark), hot=tuple(hot))
+
+    @staticmethod
+    def open(spark: SparkSession, folder: str) -> WindowIndex:
+        """The index as its newest manifest has it."""
+        m = spark.read.parquet(f"{folder}/manifest").orderBy(F.desc("version")).first()
+        index = WindowIndex(spark, folder, m["n"], m["anchor"], m["buckets"], hot=tuple(m["hot"]), runs=list(m["runs"]), version=m["version"])
+        for run in index.runs:
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {run} ({RUN.replace(' long', ' bigint')}) USING parquet OPTIONS (path '{folder}/{run}') CLUSTERED BY (ah) SORTED BY (ah) INTO {m['buckets']} BUCKETS")
+        return index
 
     def _write(self, rows: DataFrame) -> str:
-        path = f"{shared_dir(self.spark)}/window-run-{uuid.uuid4().hex}"
-        rows.write.parquet(path)
-        return path
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(ROW).parquet(*paths)
-
-    def add(self, docs: DataFrame, keep: bool = True) -> DataFrame:
-        """COVERED's rows for docs(doc_id, text) against history and each other; keep: docs become part of it."""
-        fresh = anchor_rows(docs, self.n, self.anchor)
-        history = list(self.runs)
-        if keep:
-            self.runs.append(self._write(fresh.repartition("ah").sortWithinPartitions("ah", "doc_id", "at")))
-            fresh = self._read(self.runs[-1:])
-        rows = fresh
-        if history:
-            rows = self._read(history).withColumn("at", F.lit(-1).cast("long")).unionByName(rows)
-        # history comes first, then documents in order, null before all
-        place = F.when(F.col("at") >= 0, F.coalesce("doc_id", F.lit(-(1 << 63) + 1))).otherwise(F.lit(-(1 << 63)))
-        rows = rows.repartition("ah").withColumn("place", place).sortWithinPartitions("ah", "place", "at")
-        out = rows.mapInArrow(_covered, COVERED)
-        if keep and len(self.runs) > self.max_runs:
+        """A new run of rows that are dealt to buckets and sorted."""
+        name = f"window_run_{uuid.uuid4().hex}"
+        with without_shuffle_files(self.spark):
+            rows.write.bucketBy(self.buckets, "ah").sortBy("ah").option("path", f"{self.folder}/{name}").saveAsTable(name)
+        return name
+
+    def _publish(self, runs: list[str], gone: list[str] = ()) -> None:
+        """A manifest with these runs; then what the runs that are gone hold is removed."""
+        self.runs, self.version = runs, self.version + 1
+        row = [(self.n, self.anchor, self.buckets, list(self.hot), runs)]
+        self.spark.createDataFrame(row, "n int, anchor int, buckets int, hot array<long>, runs array<string>").coalesce(1).write.parquet(f"{self.folder}/manifest/version={self.version}")
+        for run in gone:
+            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+            self.spark.createDataFrame([], RUN).write.mode("overwrite").parquet(f"{self.folder}/{run}")
+
+    def _sorted(self, rows: DataFrame, *order: str) -> DataFrame:
+        """rows with all of an anchor in one task, in this order. Tables that are bucketed stay where they are."""
+        return rows.withColumn("nth", F.row_number().over(W.partitionBy("ah").orderBy(*order))).filter("nth > 0")
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """COVERED's rows for docs(doc_id, text) against history and each other; docs become part of it."""
+        if len(self.runs) >= self.max_runs:
             self.compact()
+        rows = anchor_rows(docs, self.n, self.anchor, self.hot).repartition(self.buckets, "ah").withColumn("old", F.lit(False))
+        for run in self.runs:
+            rows = rows.unionByName(self.spark.table(run).filter("length(sig) > 0").drop("late").withColumn("old", F.lit(True)))
+        # history comes first, then documents in order, null before all
+        place = F.when(F.col("old"), F.lit(-(1 << 63))).otherwise(F.coalesce("doc_id", F.lit(-(1 << 63) + 1)))
+        run = self._write(self._sorted(rows.withColumn("place", place), "place", "at").drop("nth").mapInArrow(_merged, RUN))
+        new = self.spark.table(run)
+        out = new.filter("late <> 0").select("doc_id", F.shiftright("at", 32).cast("int").alias("tag"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("first"), F.col("late").alias("mask"))
+        if self.hot:
+            single = lambda t: t.filter("hot is not null and length(sig) > 0").mapInArrow(_single, f"hot long, wh long, {COVERED}")
+            own = single(new).withColumn("place", F.coalesce("doc_id", F.lit(-(1 << 63) + 1)))
+            all_ = own.select("hot", "wh", "place")
+            for r in self.runs:
+                all_ = all_.unionByName(single(self.spark.table(r)).select("hot", "wh", F.lit(-(1 << 63)).alias("place")))
+            first = all_.groupBy("hot", "wh").agg(F.min("place").alias("least"))
+            out = out.unionByName(own.join(first, ["hot", "wh"]).filter("place > least").select("doc_id", "tag", "first", "mask"))
+        out = materialize(out, "covered")
+        self._publish([*self.runs, run])
         return out
 
     def compact(self) -> None:
-        """One run in place of all, each window once. Old runs stay on disk for readers that hold them."""
-        rows = self._read(self.runs).repartition("ah").sortWithinPartitions("ah", "doc_id", "at")
-        self.runs = [self._write(rows.mapInArrow(_kept, ROW))]
+        """The two newest runs become one, each window once."""
+        two = self.runs[-2:]
+        rows = None
+        for run in two:
+            t = self.spark.table(run).filter("length(sig) > 0")
+            rows = t if rows is None else rows.unionByName(t)
+        run = self._write(self._sorted(rows, "doc_id", "at").drop("nth").mapInArrow(_kept, RUN))
+        self._publish([*self.runs[:-2], run], two)
 
 
 def remove_covered(docs: DataFrame, covered: DataFrame, n: int, keep: list[str] | None = None, with_text: bool = False) -> DataFrame:
@@ -260,21 +345,21 @@ def joined_words(data: np.ndarray, w, stay: np.ndarray) -> tuple[bytes, np.ndarr
     return out.tobytes(), size[w.first]
 
 
-def dedup_substrings(docs: DataFrame, n: int = 13, shares: tuple = (0.04, 0.08), keep: list[str] | None = None, with_text: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, n: int = 13, batches: int = 4, keep: list[str] | None = None, with_text: bool = False) -> DataFrame:
     """Removes each word in a window that also starts in a document with a smaller doc_id.
 
-    docs are added to a new index in batches of ascending doc_id that end at these shares of all documents; the
-    last batch takes the rest.
+    docs are added to a new index in so many batches of ascending doc_id, of about the same number of documents; all of them become part of it.
     """
-    index = WindowIndex(docs.sparkSession, n)
     ids = F.col("doc_id").cast("long")
-    cuts = sorted(set(docs.select(ids.alias("doc_id")).approxQuantile("doc_id", list(shares), 0.005)))
+    index = WindowIndex.create(docs.sparkSession, n, hot=frequent_anchors(docs, n, 3))
+    ends = [i / batches for i in range(1, batches)]
+    cuts = sorted(set(docs.select(ids.alias("doc_id")).approxQuantile("doc_id", ends, 0.005))) if ends else []
     covered, below = None, None
     for i in range(len(cuts) + 1):
         mine = F.lit(True) if below is None else ids > below
         if i < len(cuts):
             below = int(cuts[i])
             mine = mine & ((ids <= below) | ids.isNull() if i == 0 else ids <= below)
-        part = index.add(docs.filter(mine).select("doc_id", "text"), keep=i < len(cuts))
+        part = index.add(docs.filter(mine).select("doc_id", "text"))
         covered = part if covered is None else covered.unionByName(part)
     return remove_covered(docs, covered, n, keep, with_text)

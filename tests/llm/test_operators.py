@@ -106,21 +106,60 @@ def test_substrings_equal_brute_force(spark, odd):
         w = split(t)
         gone = {j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for j in range(k, k + 13)}
         want.add((i, len(w), len(gone), sha(" ".join(x for j, x in enumerate(w) if j not in gone))))
-    for shares in ((0.04, 0.08), (0.3, 0.5, 0.7)):
-        got = {(-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.dedup_substrings(odd, shares=shares).collect()}
+    for batches in (1, 5):
+        got = {(-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.dedup_substrings(odd, batches=batches).collect()}
         assert got == want
 
 
+def test_frequent_anchors_are_split_without_a_change(spark):
+    """One passage that most documents hold, between words of their own: the same result whether its anchors are salted or not."""
+    rng = random.Random(4)
+    common = " ".join("c%d" % rng.randrange(50) for _ in range(40))
+    rows = [(i, " ".join([*("u%d_%d" % (i, j) for j in range(20)), common, *("v%d_%d" % (i, j) for j in range(15 if i % 3 else 0))])) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hot = substring_dedup.frequent_anchors(docs, 13, 3, fraction=1.0, least=20)
+    assert 0 < len(hot) < 40
+
+    def covered(hot):
+        index = substring_dedup.WindowIndex.create(spark, hot=hot)
+        parts = [index.add(docs.filter(f"doc_id >= {lo} and doc_id < {lo + 30}")) for lo in (0, 30, 60)]
+        return {(r["doc_id"], r["first"] + bit) for p in parts for r in p.collect() for bit in range(31) if r["mask"] >> bit & 1}
+
+    want = {(i, 20 + k) for i in range(1, 90) for k in range(28)}
+    assert covered(()) == covered(hot) == want
+
+
+def test_index_is_opened_again_from_its_folder(spark):
+    rng = random.Random(6)
+    texts = [" ".join("w%d" % rng.randrange(1000) for _ in range(40)) for _ in range(8)]
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    index = substring_dedup.WindowIndex.create(spark)
+    for i, t in enumerate(texts[:5]):  # compacts on the way
+        assert index.add(docs([(i, t)])).count() == 0
+    assert len(index.runs) <= index.max_runs
+    other = spark.newSession()
+    for run in index.runs:
+        other.sql(f"DROP TABLE {run}")
+    again = substring_dedup.WindowIndex.open(other, index.folder)
+    assert again.runs == index.runs and again.version == index.version
+    other_docs = other.createDataFrame([(9, texts[0] + " " + texts[6]), (10, texts[7])], "doc_id long, text string")
+    found = again.add(other_docs).collect()
+    assert {r["doc_id"] for r in found} == {9} and sum(bin(r["mask"]).count("1") for r in found) == 28
+    assert other.read.parquet(f"{index.folder}/manifest").agg(F.max("version")).first()[0] == again.version
+
+
 def test_windows_differ_in_their_high_bits_too():
     import numpy as np
     import pyarrow as pa
 
     def rows(first, second):
         sig = [np.array([h], "<u8").tobytes() for h in (first, second)]
-        return pa.RecordBatch.from_arrays([pa.array([7, 7]), pa.array([1, 2]), pa.array([0, 0]), pa.array(sig, pa.binary()), pa.array([1, 2])], names=["ah", "doc_id", "at", "sig", "place"])
+        none = pa.array([None, None], pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([7, 7]), pa.array([1, 2]), pa.array([0, 0]), pa.array(sig, pa.binary()), none, pa.array([False, False]), pa.array([1, 2])], names=["ah", "doc_id", "at", "sig", "hot", "old", "place"])
 
-    assert [b.column("doc_id").to_pylist() for b in substring_dedup._covered([rows(5, 5)])] == [[2]]
-    assert list(substring_dedup._covered([rows(5, 5 + (1 << 45))])) == []
+    late = lambda batch: [b.column("late").to_pylist() for b in substring_dedup._merged([batch])]
+    assert late(rows(5, 5)) == [[0, 1]]
+    assert late(rows(5, 5 + (1 << 45))) == [[0, 0]]
 
 
 def test_window_rows_carry_whole_hashes(spark):
