@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions
@@ -93,6 +93,13 @@ def likeness(strict_a, soft_a, strict_b, soft_b) -> np.ndarray:
     return np.where((strict_a == strict_b).all(1), 1.0, out)
 
 
+def at_most(cuts: list[int], x: Column) -> Column:
+    """How many of the ascending cuts are at most x, by halving."""
+    array, n = F.array(*[F.lit(int(c)).cast("long") for c in cuts]), len(cuts)
+    steps = [1 << i for i in reversed(range(n.bit_length()))]
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda lo, s: F.when((lo + s <= n) & F.coalesce(F.get(array, lo + s - 1) <= x, F.lit(False)), lo + s).otherwise(lo))
+
+
 def with_next(docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
     """(bucket, ahead, doc_id, text) laid out so that each row's next document follows it in its partition.
 
@@ -106,8 +113,7 @@ def with_next(docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
     ids = docs.select("doc_id")
     bucket = F.lit(0)
     if cuts:
-        array = F.array(*[F.lit(int(c)) for c in cuts])
-        bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(array, lambda c: c <= F.col("doc_id"))))
+        bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(at_most(cuts, F.col("doc_id")))
     firsts = ids.groupBy(bucket.alias("bucket")).agg(F.min("doc_id").alias("low"), F.bool_or(F.col("doc_id").isNull()).alias("nulls")).orderBy("bucket").collect()
     rows = rows.withColumn("bucket", bucket)
     if not firsts:
