@@ -192,7 +192,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = 16_000) -> tuple
             yield pa.RecordBatch.from_pydict({"label_id": batch.column("label_id"), "quality": batch.column("quality"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
     joined = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("label_id")).select("label_id", "quality", "text")
-    got = joined.mapInArrow(run, "label_id long, quality double, x binary").toPandas().drop_duplicates("label_id").sort_values("label_id")
+    joined = joined.groupBy("label_id").agg(F.min("quality").alias("quality"), F.min(F.coalesce("text", F.lit(""))).alias("text"))  # of several texts of one doc_id the least
+    got = joined.mapInArrow(run, "label_id long, quality double, x binary").toPandas().sort_values("label_id")
     x = np.stack([np.frombuffer(b, np.float32) for b in got["x"]]).astype(float) if len(got) else np.zeros((0, FEATURES))
     return vectors, Network(x, got["quality"].to_numpy(float))
 
