@@ -6,7 +6,7 @@ sources and one of its duplicate clusters; from the tightest bin that is large e
 successors until one has neither the document's source nor its cluster. If none is left, a bin is opened.
 
 Documents are dealt by hash to shards of about `shard_rows`, packed independently, so that no task grows with the corpus and
-no key (a source with a third of all rows, say) gathers in one.
+no key (a source with a third of all rows, say) gathers in one; rows that are repeated more often than that are dealt on.
 
 Defined cases: a null text is empty; a document without words takes no room and has a null bin_id; a null source or
 cluster conflicts with nothing; equal sizes are packed in the order of doc_id (null first); repeated rows are packed
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key
+from .common import materialize, text_key
 from .minhash_dedup import near_duplicates
 from .wordbytes import blocks, mix, separators, word_hashes, words
 
@@ -101,6 +101,7 @@ RESULT = "bin_id long, doc_id long, piece long, start_word long, n_words long"
 
 def pack(measured: DataFrame, capacity: int = 2048, shard_rows: int = 4096, n_rows: int | None = None) -> DataFrame:
     """One row a piece: bin_id, doc_id, piece, start_word, n_words. measured: doc_id, source, n_words, cluster."""
+    measured = materialize(measured, "packing-measured")
     n_rows = measured.count() if n_rows is None else n_rows
     shards = max(1, math.ceil(n_rows / shard_rows))
 
@@ -127,8 +128,11 @@ def pack(measured: DataFrame, capacity: int = 2048, shard_rows: int = 4096, n_ro
             "n_words": np.concatenate([rest[order], np.full(len(whole), capacity), np.zeros(len(empty), np.int64)]),
         })
 
-    shard = F.pmod(F.xxhash64("doc_id", "cluster", "n_words"), F.lit(shards)).cast("int")
-    return measured.withColumn("shard", shard).groupBy("shard").applyInPandas(run, RESULT)
+    keyed = measured.withColumns({"row_hash": F.xxhash64("doc_id", "cluster", "n_words"), "row_number": F.monotonically_increasing_id()})
+    repeated = keyed.groupBy("row_hash").agg(F.count("*").alias("copies")).filter(F.col("copies") > shard_rows)
+    part = F.when(F.col("copies").isNotNull(), F.pmod("row_number", F.ceil(F.col("copies") / shard_rows))).otherwise(0)
+    shard = F.pmod(F.xxhash64("row_hash", part), F.lit(shards)).cast("int")
+    return keyed.join(repeated, "row_hash", "left").withColumn("shard", shard).select("doc_id", "source", "n_words", "cluster", "shard").groupBy("shard").applyInPandas(run, RESULT)
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, shard_rows: int = 4096, near: bool = False) -> DataFrame:
