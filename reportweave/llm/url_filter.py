@@ -100,24 +100,41 @@ def _build_level(keys: DataFrame, level: int, bits: int, k: int) -> np.ndarray:
     return words
 
 
+def _inside_udf(spark, level: int, bits: int, k: int, words: np.ndarray):
+    """Whether one level's filter has a key."""
+    shared = spark.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def inside(h1: pd.Series, h2: pd.Series) -> pd.Series:
+        x, y = h1.to_numpy().view(np.uint64), h2.to_numpy().view(np.uint64)
+        out = np.ones(len(x), bool)
+        for i in range(k):
+            p = positions(x, y, level, i, bits)
+            out &= (shared.value[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+        return pd.Series(out)
+
+    return inside
+
+
 def build_cascade(universe: DataFrame) -> list:
-    """Levels (bits, hashes, words) for universe(h1, h2, listed), exact for each of its keys."""
-    levels: list = []
+    """Levels (bits, hashes, words) for universe(h1, h2, listed), exact for each of its keys.
+
+    A level encodes the keys of one side that all levels before it have; what it has wrongly of the other side, which is written down and
+    about halves each time, is encoded by the next. So no level looks at more than the keys that the one before left.
+    """
+    spark, levels = universe.sparkSession, []
     n_listed, n_all = universe.agg(F.count_if("listed"), F.count("*")).first()
     if not n_listed:
         return levels
-    rate = min(0.5, n_listed / (math.sqrt(2) * max(1, n_all - n_listed)))
-    size = n_listed
+    rate, size = min(0.5, n_listed / (math.sqrt(2) * max(1, n_all - n_listed))), n_listed
+    inside, other = (universe.filter(F.col("listed") == F.lit(x)).select("h1", "h2") for x in (True, False))
     while size:
         k = max(1, round(math.log2(1 / rate)))
         bits = max(64, math.ceil(size * k / math.log(2)))
-        inside = universe.filter(F.col("listed") == F.lit(len(levels) % 2 == 0))
-        if levels:
-            inside = inside.filter(_absent_udf(universe.sparkSession, levels)("h1", "h2") == len(levels))
-        levels.append((bits, k, _build_level(inside, len(levels), bits, k)))
-        other = universe.filter(F.col("listed") == F.lit(len(levels) % 2 == 0))
-        size = other.filter(_absent_udf(universe.sparkSession, levels)("h1", "h2") == len(levels)).count()
-        rate = 0.5
+        words = _build_level(inside, len(levels), bits, k)
+        wrong = materialize(other.filter(_inside_udf(spark, len(levels), bits, k, words)("h1", "h2")), "url-level")
+        levels.append((bits, k, words))
+        inside, other, size, rate = wrong, inside, wrong.count(), 0.5
     return levels
 
 
@@ -125,7 +142,8 @@ def listed_by_cascade(rows: DataFrame, universe: DataFrame, max_bytes: int = 64
     """rows(h1, h2, ...) with a boolean column in_list, exact for keys of universe(h1, h2, listed).
 
     max_bytes bounds what is broadcast at once: about 4 bytes a listed key are taken as the need, and keys are
-    dealt by hash to as many shards as that calls for, each with its own cascade and its own pass.
+    dealt by hash to as many shards as that calls for, each with its own cascade and its own pass. A cascade that turns out
+    larger than that is an error, not a larger broadcast.
     """
     spark = rows.sparkSession
     n_listed = universe.filter("listed").count()
@@ -134,6 +152,8 @@ def listed_by_cascade(rows: DataFrame, universe: DataFrame, max_bytes: int = 64
     for s in range(shards):
         mine = F.pmod(F.col("h1"), F.lit(shards)) == s
         levels = build_cascade(universe.filter(mine) if shards > 1 else universe)
+        if sum(words.nbytes for _, _, words in levels) > max(max_bytes, 1 << 16):
+            raise MemoryError(f"a cascade takes more than {max_bytes} bytes")
         part = rows.filter(mine) if shards > 1 else rows
         absent = _absent_udf(spark, levels)("h1", "h2")
         flag = (absent % 2 == 1) if levels else F.lit(False)
