@@ -338,3 +338,82 @@ def test_bands_miss_few_lines_at_the_threshold():
     _, _, keys = line_dedup.signatures(codes.ravel(), np.arange(2 * n) * 52, np.arange(2 * n) * 52 + 52)
     assert (1 - 0.8**line_dedup.ROWS) ** line_dedup.BANDS <= 0.0032
     assert (~(keys[::2] == keys[1::2]).any(1)).sum() <= 0.0032 * n
+
+
+def test_spans_of_a_text_with_very_many_matches(spark):
+    """Time stays in proportion: a hundred thousand runs of digits, and thousands of matches of every kind."""
+    import time
+
+    card, mail, ip, phone = "4111111111111111", "a.b@c.de", "10.0.0.1", "+1 (555) 010-9999"
+    texts = ["1a " * 100_000, f"{card}; " * 4000, f"{mail} {ip}, " * 4000, f"{phone} x " * 4000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in pii.find_pii(rows, {}).collect()}
+    assert time.time() - began < 60
+    assert [len(got[0][k]) for k in pii.PATTERNS] == [0, 0, 0, 0]
+    assert len(got[1]["card"]) == 4000 and (got[1]["card"][3999]["start"], got[1]["card"][3999]["end"]) == (3999 * 18, 3999 * 18 + 16)
+    assert len(got[2]["email"]) == len(got[2]["ip"]) == 4000 and got[2]["ip"][3999]["start"] == 3999 * 19 + 9
+    assert len(got[3]["phone"]) == 4000
+
+
+def test_card_runs_are_taken_whole(spark):
+    run = "4111 1111 1111 1111"
+    texts = [run, f"7 {run}", f"{run}  {run}", f"12-{run}", f"x{run}y", f"{run} 1 2 3", "4111-1111-1111-1111-1", f"- {run}"]
+    got = [len(r["card"]) for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), {}).orderBy("doc_id").collect()]
+
+    def luhn(d):
+        return sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+    want = []
+    for t in texts:
+        digits = [re.sub("[^0-9]", "", m) for m in re.findall(r"[0-9](?:[\x20-]?[0-9])+", t)]
+        want.append(sum(16 <= len(d) <= 19 and luhn(d) for d in digits))
+    assert got == want
+
+
+def test_context_of_added_spans(spark):
+    text = "password: Abc123Def456Ghi " * 3 + "é" * 30 + " token=Abc123Def456Ghj"
+    rows = spark.createDataFrame([(text,)], "text string")
+    found = rows.select(pii.candidates(F.col("text"), "secret").alias("c")).first()["c"]
+    assert [text[s["start"] : s["end"]] for s in found] == [s["match"] for s in found] and len(found) == 4
+    assert [s["before"] for s in found] == [text[max(0, s["start"] - 24) : s["start"]] for s in found]
+
+
+def test_votes_of_reliable_labelers_count_more():
+    """Expectation-maximisation without labels: two labelers that agree with each other outweigh one that answers at random."""
+    rng = random.Random(2)
+    counts = {}
+    for _ in range(4000):
+        real = rng.random() < 0.4
+        vote = lambda right: int(real) if rng.random() < right else int(not real)  # noqa: E731, B023
+        v = (vote(0.95), vote(0.9), vote(0.5), -1)
+        counts[v] = counts.get(v, 0) + 1
+    post = pii.reliabilities([("secret", v, n) for v, n in counts.items()])["secret"]
+    assert post[1, 1, 0, -1] > 0.9 and post[0, 0, 1, -1] < 0.1
+
+
+def test_repeated_rows_are_dealt_on(spark):
+    measured = spark.createDataFrame([(1, "s", 10, 5)] * 300 + [(i, "t", 20, i) for i in range(100, 140)], "doc_id long, source string, n_words long, cluster long")
+    out = packing.pack(measured, capacity=100, shard_rows=32).collect()
+    assert len(out) == 340
+    shards = {}
+    for r in out:
+        shards.setdefault(r["bin_id"] >> 32, []).append(r)
+    assert max(len(s) for s in shards.values()) < 150
+    bins = {}
+    for r in out:
+        bins.setdefault(r["bin_id"], []).append(r)
+    assert all(sum(r["n_words"] for r in b) <= 100 and sum(r["doc_id"] == 1 for r in b) <= 1 for b in bins.values())
+
+
+def test_empty_pages_and_conversations(spark):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert url_filter.filter_urls(pages, spark.createDataFrame([], "key string")).count() == 0
+    talks = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat_format.format_chats(chat_format.as_events(talks)).count() == 0
+
+
+def test_cuts_are_found_by_halving(spark):
+    cuts = [3, 7, 7, 20]
+    rows = spark.createDataFrame([(i,) for i in (-5, 3, 6, 7, 19, 20, 99)], "x long")
+    assert [r[0] for r in rows.select(fingerprint.at_most(cuts, F.col("x"))).collect()] == [sum(c <= i for c in cuts) for i in (-5, 3, 6, 7, 19, 20, 99)]
