@@ -6,8 +6,8 @@ are put into classes by length; each class has a shift table over hashed blocks
 by their suffix block, and a direct comparison. A block of text is searched by many cursors at once, each over
 its own stretch of end positions, so that the shifts are taken in vectors.
 
-The patterns of up to max_bytes of item text form one table; a larger benchmark makes several, which each task
-searches one after another. Documents aren't shuffled.
+The patterns of up to max_bytes of item text form one table, for which documents aren't shuffled. A larger benchmark makes several
+tables, of which one at a time is built and broadcast.
 
 Defined cases: a null or empty text has no words and no hits; an item without words matches nothing; a null item_id
 counts as hit but isn't listed; repeated items and rows change nothing; documents of any length are searched whole.
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .wordbytes import LOWER, blocks, separators, words
 
 _SEP = separators("alnum")
@@ -122,53 +123,97 @@ class Benchmark:
         self.searchers = [(WuManber(ps), [(size[p], tuple(sorted(owners[p]))) for p in ps]) for ps in classes.values()]
 
 
-def load_benchmark(benchmark: DataFrame, n: int, max_bytes: int) -> list:
-    """Broadcast searchers, each over at most about max_bytes of item text."""
-    spark = benchmark.sparkSession
+def _groups_of(benchmark: DataFrame, max_bytes: int) -> list[DataFrame]:
+    """The items in parts of at most about max_bytes of text, by hash."""
     rows = benchmark.select("item_id", "text").filter("text is not null").distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, math.ceil(total / max_bytes))
-    return [spark.sparkContext.broadcast(Benchmark([tuple(r) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g).collect()], n)) for g in range(groups)]
+    return [rows if groups == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g) for g in range(groups)]
+
+
+def _search(block, searchers) -> tuple[np.ndarray, np.ndarray, dict]:
+    """(first word of each row, how many windows cover each word, items found by row) of a block."""
+    data, begin, first = canonical(block)
+    raw = data.tobytes()
+    cover, found = np.zeros(len(begin) + 1, np.int64), defaultdict(set)
+    for searcher, about in searchers:
+        for start, i in searcher.find(data, raw):
+            k, names = about[i]
+            at = int(np.searchsorted(begin, start + 1))
+            cover[at] += 1
+            cover[at + k] -= 1
+            found[int(np.searchsorted(first, at, "right")) - 1].update(names)
+    return first, np.cumsum(cover[:-1]), found
+
+
+def _hits(docs: DataFrame, shared) -> DataFrame:
+    """(row_id, words, items) of docs(row_id, text) with hits: the numbers of the words that are hit, and the items."""
+
+    def run(batches):
+        for batch in batches:
+            ids, words, items = [], [], []
+            for b in blocks(batch.column("text")):
+                first, cover, found = _search(b, shared.value.searchers)
+                for r, names in found.items():
+                    ids.append(batch.column("row_id")[b.first + r].as_py())
+                    words.append(np.flatnonzero(cover[first[r] : first[r + 1]]).astype(np.int32))
+                    items.append(sorted(names))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=["row_id", "words", "items"])
+
+    return docs.mapInArrow(run, "row_id long, words array<int>, items array<string>")
+
+
+def _digest(names: list) -> str:
+    return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
 
 
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_bytes: int = 32 << 20, keep: list[str] | None = None) -> DataFrame:
-    """docs' columns keep (doc_id unless said otherwise) with RESULT's columns, one row for each row of docs."""
+    """docs' columns keep (doc_id unless said otherwise) with RESULT's columns, one row for each row of docs.
+
+    max_bytes bounds the item text that is read by the driver and searched at once. A larger benchmark is searched part by part: each part's
+    table is built, broadcast, used to the end and given up before the next, and what the parts found is put together by document.
+    """
     keep = ["doc_id"] if keep is None else keep
-    shared = load_benchmark(benchmark, n, max_bytes)
-    used = list(dict.fromkeys([*keep, "text"]))
+    spark, parts = docs.sparkSession, _groups_of(benchmark, max_bytes)
+    names = [*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    table = lambda part: spark.sparkContext.broadcast(Benchmark([tuple(r) for r in part.collect()], n))
+    if len(parts) == 1:
+        shared, extra = table(parts[0]), []
+        inner = docs.select(*dict.fromkeys([*keep, "text"]))
+        found = inner
+    else:
+        keyed = materialize(docs.select(*[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)], "text").withColumn("row_id", F.monotonically_increasing_id()), "leaks-docs")
+        hits = None
+        for part in parts:
+            one = table(part)
+            some = materialize(_hits(keyed.select("row_id", "text"), one), "leaks-hits")
+            one.destroy()
+            hits = some if hits is None else hits.unionByName(some)
+        union = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+        shared, extra = None, ["words", "items"]
+        inner = docs.select(*keep)
+        found = keyed.join(hits.groupBy("row_id").agg(union("words"), union("items")), "row_id", "left")
 
     def run(batches):
         for batch in batches:
             n_words, n_hit = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             items: list = [()] * batch.num_rows
             for b in blocks(batch.column("text")):
-                data, begin, first = canonical(b)
-                raw = data.tobytes()
+                first, cover, hit = _search(b, shared.value.searchers if shared else ())
                 n_words[b.first : b.first + b.rows] = np.diff(first)
-                cover, found = np.zeros(len(begin) + 1, np.int64), defaultdict(set)
-                for s in shared:
-                    for searcher, about in s.value.searchers:
-                        for start, i in searcher.find(data, raw):
-                            k, names = about[i]
-                            at = int(np.searchsorted(begin, start + 1))
-                            cover[at] += 1
-                            cover[at + k] -= 1
-                            found[int(np.searchsorted(first, at, "right")) - 1].update(names)
-                if found:
-                    hits = np.concatenate([[0], np.cumsum(np.cumsum(cover[:-1]) > 0)])
+                if hit:
+                    hits = np.concatenate([[0], np.cumsum(cover > 0)])
                     n_hit[b.first : b.first + b.rows] = np.diff(hits[first])
-                    for r, names in found.items():
-                        items[b.first + r] = sorted(names)
-            none = hashlib.sha256(b"").hexdigest()
-            digest = [hashlib.sha256(",".join(x).encode()).hexdigest() if x else none for x in items]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in keep], pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(digest, pa.string()), pa.array(n_hit > 0)],
-                names=[*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
-
-    inner = docs.select(*used)
+                    for r, some in hit.items():
+                        items[b.first + r] = some
+            if extra:
+                n_hit = batch.column("words").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                items = [x or () for x in batch.column("items").to_pylist()]
+            kept = [batch.column(f"kept_{i}" if extra else c) for i, c in enumerate(keep)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array([_digest(x) for x in items], pa.string()), pa.array(n_hit > 0)], names=names)
+
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema if f.name in keep)
-    return inner.mapInArrow(run, f"{fields}, {RESULT}")
+    return found.mapInArrow(run, f"{fields}, {RESULT}")

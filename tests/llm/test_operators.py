@@ -167,11 +167,12 @@ def test_window_rows_carry_whole_hashes(spark):
     assert sum(len(r["sig"]) for r in substring_dedup.anchor_rows(docs, 13, 3).collect()) == 18 * 8
 
 
-def test_leaks_equal_brute_force(spark, odd):
+@pytest.mark.parametrize("max_bytes", [32 << 20, 60])
+def test_leaks_equal_brute_force(spark, odd, max_bytes):
     texts = {r["doc_id"]: r["text"] for r in odd.collect()}
     w = texts[5].split()
     items = [(1, " ".join(w[3:20]).upper()), (2, "w1"), (3, "no such words"), (4, None), (5, "!!"), (None, " ".join(w[40:52]))]
-    got = {r["doc_id"]: r for r in decontaminate.find_leaks(odd, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    got = {r["doc_id"]: r for r in decontaminate.find_leaks(odd, spark.createDataFrame(items, "item_id long, text string"), max_bytes=max_bytes).collect()}
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     for i, t in texts.items():
         words, hit, names = split(t), set(), set()
