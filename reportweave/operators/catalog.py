@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,17 +45,14 @@ def load_usage(rows: DataFrame) -> DataFrame:
     return rows.select(F.lower(F.trim("name")).alias("key"), F.trim("days").try_cast("int").alias("days_ago"), clean.alias("groups")).filter("key <> ''")
 
 
-def load_seed(spark: SparkSession, path: str, bank: DataFrame) -> DataFrame:
-    """The bank, or if it is empty the seed file's rows (kpi_id, name, subdomain, aliases, embedding); vectors are packed floats in base64."""
-    import numpy as np
-    import pandas as pd
+def _floats(raw: pd.Series) -> pd.Series:
+    return raw.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
 
-    @F.pandas_udf("array<float>")
-    def unpack(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
 
+def load_seed(spark: SparkSession, path: str, bank: DataFrame) -> DataFrame:
+    """The bank, or if it is empty the seed file's rows (kpi_id, name, subdomain, aliases, embedding); vectors are packed floats in base64."""
     seed = spark.read.schema("kpi_id long, name string, subdomain string, aliases string, embedding string").json(path, multiLine=True)
-    rows = seed.select("kpi_id", "name", "subdomain", X.split_list(F.col("aliases")).alias("aliases"), unpack(F.unbase64("embedding")).alias("embedding"))
+    rows = seed.select("kpi_id", "name", "subdomain", X.split_list(F.col("aliases")).alias("aliases"), F.pandas_udf(_floats, "array<float>")(F.unbase64("embedding")).alias("embedding"))
     have = bank.select("kpi_id", "name", "subdomain", "aliases", "embedding")
     return rows.filter(F.lit(have.isEmpty())).unionByName(have)
 
