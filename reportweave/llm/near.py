@@ -36,7 +36,7 @@ from .wordbytes import mix
 
 EPS = 1e-9
 #: Up to so many members, a bucket's pairs are looked at one by one: of nodes, and of nodes with bounds of what they have in common.
-SMALL, BOUNDED = 8, 64
+SMALL, BOUNDED = 8, 512
 MAX_ROUNDS = 12
 
 
@@ -49,18 +49,18 @@ def buckets_by_join(rows: DataFrame) -> DataFrame:
 def with_central(members: DataFrame) -> DataFrame:
     """(key, node, n, rep) of members(key, node, n). A node's mass is the sum of n over its buckets.
 
-    The rep of a bucket of at most SMALL nodes is its member of the greatest mass. In a larger one it is the node of the greatest mass that
-    any member meets in any bucket: copies of one text fall into many buckets, but nearly all meet the central copy somewhere, so that
-    they are compared with that one and not with another in every bucket. Any of equals may be chosen.
+    The rep of a bucket of at most SMALL nodes is its member of the greatest mass. In a larger one it is the node of the greatest mass among
+    the reps that at least half of its members meet in any bucket: copies of one text fall into many buckets, but most of them meet the
+    central copy somewhere, so that they are compared with that one and not with another in every bucket. Any of equals may be chosen.
     """
     mass = members.groupBy("node").agg(F.sum("n").alias("mass"))
-    weighed = members.join(mass, "node")
-    top = lambda df, by, c: df.groupBy(by).agg(F.max_by(c, "mass").alias(c), F.max("mass").alias("mass"))
-    own = top(weighed.select("key", F.col("node").alias("rep"), "mass"), "key", "rep")
+    own = members.join(mass, "node").groupBy("key").agg(F.max_by("node", "mass").alias("rep"), F.max("mass").alias("mass"))
     inside = materialize(members.join(own, "key"), "near-inside")
-    met = top(inside.select("node", F.col("rep").alias("far"), "mass"), "node", "far")
-    wide = top(inside.filter(F.col("n") > SMALL).select("key", "node").join(met, "node").select("key", "far", "mass"), "key", "far")
-    return inside.join(wide.select("key", "far"), "key", "left").select("key", "node", "n", F.coalesce("far", "rep").alias("rep"))
+    large = inside.filter(F.col("n") > SMALL).select("key", "node", "n")
+    met = inside.select("node", F.col("rep").alias("far"), "mass").distinct()
+    often = large.join(met, "node").groupBy("key", "far").agg((2 * F.count("*") >= F.first("n")).alias("often"), F.first("mass").alias("mass")).filter("often")
+    wide = often.groupBy("key").agg(F.max_by("far", "mass").alias("far"))
+    return inside.join(wide, "key", "left").select("key", "node", "n", F.coalesce("far", "rep").alias("rep"))
 
 
 def split_by_difference(rows: DataFrame, features: Callable[[pa.Array], Iterable], threshold: float) -> DataFrame:
