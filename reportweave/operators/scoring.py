@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from reportweave.functions import text as X
 
 from .durable import materialize
+from .matching import near_names
 
 # The weights of the layers in the composite.
 WEIGHTS = {"source": 0.25, "model": 0.20, "kpi": 0.20, "structure": 0.10, "visual": 0.15, "filter": 0.10}
@@ -163,33 +164,50 @@ def assigned(edges: Column) -> Column:
     return F.aggregate(F.array_sort(edges), start, take, lambda s: s["total"])
 
 
-def alike_kpis(kpis: DataFrame, block: list[str], ratio: Callable[[Column, Column], Column], least: float) -> DataFrame:
-    """(x, y, score, near) of the distinct metrics that occur in one block and are alike. Ratios are taken once for two metrics, however many reports show them."""
-    kinds = kpis.select(*block, F.struct("item", "base", "canonical", "name", "definition").alias("x")).distinct()
-    met = kinds.join(kinds.withColumnRenamed("x", "y"), block).select("x", "y").distinct()
-    equal = lambda c: F.coalesce((F.col(f"x.{c}") == F.col(f"y.{c}")) & (F.col(f"x.{c}") != ""), F.lit(False))
-    near = lambda c: F.coalesce(F.when((F.col(f"x.{c}") != "") & (F.col(f"y.{c}") != ""), ratio(F.col(f"x.{c}"), F.col(f"y.{c}"))), F.lit(0.0))
-    told = met.select("x", "y", (equal("base") | equal("canonical")).alias("same"), near("name").alias("near"), near("definition").alias("meant"))
-    return told.select("x", "y", F.when(F.col("same"), 1.0).when((F.col("meant") > least) | (F.col("near") > least), 0.8).alias("score"), "near").filter("score is not null")
+_KIND = ["item", "base", "canonical", "name", "definition"]
 
 
-def kpi_overlap(pairs: DataFrame, kpis: DataFrame, block: list[str], ratio: Callable[[Column, Column], Column] = X.seq_ratio, least: float = 0.8) -> DataFrame:
-    """(a, b, total, n_a, n_b, score) of all pairs(a, b): greedy one-to-one overlap of their kpis(report_id, item, base, canonical, definition, block columns), by the smaller side's size.
+def alike_kpis(kinds: DataFrame, ratio: Callable[[Column, Column], Column], least: float) -> DataFrame:
+    """(x, y, l, r, score, near) of distinct metrics(kind, item, base, canonical, name, definition) that are alike.
+
+    They meet through an equal base or canonical name or through names or definitions that share a piece (see matching.near_names), so that
+    ratios are taken once for two metrics that may be alike, however many reports show them.
+    """
+    x, y = (kinds.select(*[F.col(c).alias(f"{p}_{c}") for c in ["kind", *_KIND]]) for p in "xy")
+    sides = 1 if ratio is X.lev_ratio else 2
+    met = None
+    for c in ("base", "canonical"):
+        equal = x.filter(f"x_{c} <> ''").join(y, F.col(f"x_{c}") == F.col(f"y_{c}")).select("x_kind", "y_kind")
+        met = equal if met is None else met.unionByName(equal)
+    for c in ("name", "definition"):
+        near = near_names(x.select(F.lit("").alias("subdomain"), F.col(f"x_{c}").alias("x")), y.select(F.lit("").alias("subdomain"), F.col(f"y_{c}").alias("y")), ratio, least, sides)
+        met = met.unionByName(x.join(near.select(F.col("x").alias(f"x_{c}"), F.col("y").alias(f"y_{c}")), f"x_{c}").join(y, f"y_{c}").select("x_kind", "y_kind"))
+    both = met.distinct().join(x, "x_kind").join(y, "y_kind")
+    same = lambda c: F.coalesce((F.col(f"x_{c}") == F.col(f"y_{c}")) & (F.col(f"x_{c}") != ""), F.lit(False))
+    like = lambda c: F.coalesce(F.when((F.col(f"x_{c}") != "") & (F.col(f"y_{c}") != ""), ratio(F.col(f"x_{c}"), F.col(f"y_{c}"))), F.lit(0.0))
+    told = both.select(F.col("x_kind").alias("x"), F.col("y_kind").alias("y"), F.col("x_item").alias("l"), F.col("y_item").alias("r"), (same("base") | same("canonical")).alias("same"), like("name").alias("near"), like("definition").alias("meant"))
+    return told.select("x", "y", "l", "r", F.when(F.col("same"), 1.0).when((F.col("meant") > least) | (F.col("near") > least), 0.8).alias("score"), "near").filter("score is not null")
+
+
+def kpi_overlap(pairs: DataFrame, kpis: DataFrame, ratio: Callable[[Column, Column], Column] = X.seq_ratio, least: float = 0.8) -> DataFrame:
+    """(a, b, total, n_a, n_b, score) of all pairs(a, b): greedy one-to-one overlap of their kpis(report_id, item, base, canonical, definition), by the smaller side's size.
 
     Equal base or canonical names (not empty) count 1.0, else definitions or names more than `least` alike 0.8. Edges are taken
-    best first, by that score, then by the names' likeness, then by the items' order, as assign_greedy does. A pair's sides are
-    met through the metrics that are alike, not item by item; its edges are one value of a row.
+    best first, by that score, then by the names' likeness, then by the items' order, as assign_greedy does. A pair's sides are sets of
+    numbers (a hash of what is known of a metric) and are met through the metrics that are alike; its edges are one value of a row.
     """
-    k = kpis.select("report_id", *block, "item", "base", "canonical", F.lower("item").alias("name"), F.lower("definition").alias("definition")).dropDuplicates(["report_id", "item"])
-    alike = alike_kpis(k, block, ratio, least)
-    mine = k.groupBy("report_id").agg(F.collect_list(F.struct("item", "base", "canonical", "name", "definition")).alias("kinds"))
-    side = lambda c: mine.select(F.col("report_id").alias(c), F.col("kinds").alias(f"kinds_{c}"))
-    both = pairs.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    met = both.select("a", "b", F.explode("kinds_a").alias("x"), "kinds_b").join(alike, "x").filter(F.array_contains("kinds_b", F.col("y")))
-    edge = F.struct((-F.col("score")).alias("worse"), (-F.col("near")).alias("farther"), F.col("x.item").alias("l"), F.col("y.item").alias("r"))
-    total = met.select("a", "b", edge.alias("edge")).groupBy("a", "b").agg(F.collect_list("edge").alias("edges")).select("a", "b", assigned(F.col("edges")).alias("total"))
-    n = lambda c: F.greatest(F.coalesce(F.size(f"kinds_{c}"), F.lit(0)), F.lit(0)).alias(f"n_{c}")
-    out = both.select("a", "b", n("a"), n("b")).join(total, ["a", "b"], "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
+    k = kpis.select("report_id", "item", "base", "canonical", F.lower("item").alias("name"), F.lower("definition").alias("definition")).dropDuplicates(["report_id", "item"])
+    k = materialize(k.withColumn("kind", F.xxhash64(*_KIND)), "kpis")
+    alike = materialize(alike_kpis(k.select("kind", *_KIND).distinct(), ratio, least), "alike-kpis")
+    partners = alike.groupBy("x").agg(F.collect_list(F.struct("y", (-F.col("score")).alias("worse"), (-F.col("near")).alias("farther"), "l", "r")).alias("partners"))
+    mine = k.select("report_id", F.col("kind").alias("x")).join(partners, "x").groupBy("report_id").agg(F.flatten(F.collect_list("partners")).alias("edges"))
+    sets = k.groupBy("report_id").agg(F.collect_set("kind").alias("kinds"))
+    n = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    a = sets.join(mine, "report_id", "left").select(F.col("report_id").alias("a"), n("kinds").alias("n_a"), "edges")
+    both = pairs.select("a", "b").join(a, "a", "left").join(sets.select(F.col("report_id").alias("b"), "kinds"), "b", "left")
+    met = F.filter("edges", lambda e: F.array_contains("kinds", e["y"]))
+    edges = F.transform(met, lambda e: F.struct(e["worse"].alias("worse"), e["farther"].alias("farther"), e["l"].alias("l"), e["r"].alias("r")))
+    out = both.select("a", "b", F.coalesce("n_a", F.lit(0)).alias("n_a"), n("kinds").alias("n_b"), F.coalesce(assigned(edges), F.lit(0.0)).alias("total"))
     smaller = F.least("n_a", "n_b")
     return out.select("a", "b", "total", "n_a", "n_b", F.when(smaller == 0, 0.0).otherwise(F.col("total") / smaller).alias("score"))
 
