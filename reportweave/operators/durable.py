@@ -35,10 +35,21 @@ def without_shuffle_files(spark: SparkSession):
         spark.conf.set(_CLEANUP, before)
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df to the shared folder and read it back."""
+def materialize(df: DataFrame, name: str = "step", files: list[str] | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back. The path is noted in files, for `remove`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with without_shuffle_files(spark):
         df.write.parquet(path)
+    if files is not None:
+        files.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, files: list[str]) -> None:
+    """Deletes results that nothing will read again, and forgets them."""
+    context = spark.sparkContext
+    jvm, conf = context._jvm, context._jsc.hadoopConfiguration()
+    while files:
+        path = jvm.org.apache.hadoop.fs.Path(files.pop())
+        path.getFileSystem(conf).delete(path, True)
