@@ -30,6 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reportweave.operators.components import ordered_edges, star_roots
+from reportweave.operators.durable import remove
 
 from .common import materialize
 from .wordbytes import mix
@@ -46,7 +47,7 @@ def buckets_by_join(rows: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key").select("key", "node", "n")
 
 
-def with_central(members: DataFrame) -> DataFrame:
+def with_central(members: DataFrame, files: list[str] | None = None) -> DataFrame:
     """(key, node, n, rep) of members(key, node, n). A node's mass is the sum of n over its buckets.
 
     The rep of a bucket of at most SMALL nodes is its member of the greatest mass. In a larger one it is the node of the greatest mass among
@@ -55,7 +56,7 @@ def with_central(members: DataFrame) -> DataFrame:
     """
     mass = members.groupBy("node").agg(F.sum("n").alias("mass"))
     own = members.join(mass, "node").groupBy("key").agg(F.max_by("node", "mass").alias("rep"), F.max("mass").alias("mass"))
-    inside = materialize(members.join(own, "key"), "near-inside")
+    inside = materialize(members.join(own, "key"), "near-inside", files)
     large = inside.filter(F.col("n") > SMALL).select("key", "node", "n")
     met = inside.select("node", F.col("rep").alias("far"), "mass").distinct()
     often = large.join(met, "node").groupBy("key", "far").agg((2 * F.count("*") >= F.first("n")).alias("often"), F.first("mass").alias("mass")).filter("often")
@@ -63,7 +64,7 @@ def with_central(members: DataFrame) -> DataFrame:
     return inside.join(wide, "key", "left").select("key", "node", "n", F.coalesce("far", "rep").alias("rep"))
 
 
-def split_by_difference(rows: DataFrame, features: Callable[[pa.Array], Iterable], threshold: float) -> DataFrame:
+def split_by_difference(rows: DataFrame, features: Callable[[pa.Array], Iterable], threshold: float, files: list[str] | None = None) -> DataFrame:
     """(rep, node, root, own, rep_text, text) to smaller buckets (key, node, root, e, slack, n), see the module's text; own: the root is rep's.
 
     features gives each text's shingles: ascending hashes and their weights.
@@ -97,14 +98,14 @@ def split_by_difference(rows: DataFrame, features: Callable[[pa.Array], Iterable
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("rep", "node", "root", "own")], pa.array(excess, pa.float64()), *lists], names=["rep", "node", "root", "own", "e", "keys", "weights"])
 
     kind = "rep long, node long, root long, own boolean, e double, keys array<long>, weights array<double>"
-    apart = materialize(rows.select("rep", "node", "root", "own", "rep_text", "text").mapInArrow(run, kind), "near-apart")
+    apart = materialize(rows.select("rep", "node", "root", "own", "rep_text", "text").mapInArrow(run, kind), "near-apart", files)
     names = ["rep", "node", "root", "own", "e"]
     flat = apart.select(*names, F.explode(F.arrays_zip("keys", "weights")).alias("x")).select(*names, F.col("x.keys").alias("key"), F.col("x.weights").alias("w"))
     common = flat.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("df")).filter("low != high").select("key", "df")
     order = W.partitionBy("rep", "node").orderBy(F.col("df").desc(), F.col("key").desc())
     # slack: twice the weight of this difference and the commoner ones, less e
     ranked = flat.join(common, "key").withColumn("slack", 2 * F.sum("w").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("e") + 1e-6)
-    ranked = materialize(ranked.select("key", "node", "root", "own", "e", "slack"), "near-ranked")
+    ranked = materialize(ranked.select("key", "node", "root", "own", "e", "slack"), "near-ranked", files)
     inner, outer = F.col("own"), ~F.col("own")
     bound = lambda f, c, where, name: f(F.when(where, F.col(c))).alias(name)
     limits = ranked.groupBy("key").agg(bound(F.min, "e", inner, "e_in"), bound(F.min, "e", outer, "e_out"), bound(F.max, "slack", inner, "slack_in"), bound(F.max, "slack", outer, "slack_out"))
@@ -126,8 +127,10 @@ def near_classes(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], co
     members: (key, node, n), longs, see buckets_by_join. fetch: (node) to (node, text). compare: (a, b, a_text, b_text) to
     (a, b, sim). features: see split_by_difference.
     """
+    spark = members.sparkSession
     cut = lambda df: materialize(df, "near-edges")
-    members = materialize(members, "near-buckets")
+    files, passed = [], []  # of this round, and what the next one reads of the one before
+    members = materialize(members, "near-buckets", passed)
     texts = materialize(fetch(members.select("node").distinct()).select("node", "text"), "near-texts")
     roots = None
 
@@ -159,14 +162,15 @@ def near_classes(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], co
     mixed = lambda df: df.join(df.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key"), "key", "left_semi")
     open_pairs = None
     for _ in range(MAX_ROUNDS):
-        members = materialize(with_central(members), "near-members").filter("node != rep")
+        members = materialize(with_central(members, files), "near-members", files).filter("node != rep")
         star = members.select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
         if roots is not None:
             star = placed(placed(star, "a", "x"), "b", "y").filter("x != y").select("a", "b")
-        sims = materialize(verify(star), "near-sims")
+        sims = materialize(verify(star), "near-sims", files)
         found = sims.filter(near).select("a", "b")
         roots = linked(found if open_pairs is None else found.unionByName(open_pairs))
-        rest = materialize(mixed(placed(members, "node", "root")), "near-rest")
+        remove(spark, passed)
+        rest = materialize(mixed(placed(members, "node", "root")), "near-rest", files)
         few = rest.filter(F.col("n") <= SMALL).join(sims.select(F.col("a").alias("rep"), F.col("b").alias("node"), "sim"), ["rep", "node"], "left")
         close = F.coalesce(F.abs(F.col("a_sim") - F.col("b_sim")) <= 1 - threshold + EPS, F.lit(True))  # the triangle rule of the Jaccard distance
         pairs = _pairs_in(few, "sim").filter(close).select("a", "b")
@@ -175,10 +179,11 @@ def near_classes(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], co
         if not many.isEmpty():
             told = placed(many.distinct(), "rep", "rep_root").withColumn("own", F.col("root") == F.col("rep_root"))
             told = told.join(texts, "node").join(texts.select(F.col("node").alias("rep"), F.col("text").alias("rep_text")), "rep")
-            split = materialize(split_by_difference(told, features, threshold), "near-split")
+            split = materialize(split_by_difference(told, features, threshold, files), "near-split", passed)
             bounded = _pairs_in(split.filter(F.col("n") <= BOUNDED), "e", "slack").filter("a_e <= b_slack and b_e <= a_slack")
             pairs = pairs.unionByName(bounded.select("a", "b"))
-        open_pairs = materialize(verify(pairs.distinct()).filter(near).select("a", "b"), "near-pairs")
+        open_pairs = materialize(verify(pairs.distinct()).filter(near).select("a", "b"), "near-pairs", passed)
+        remove(spark, files)
         members = None if split is None else split.filter(F.col("n") > BOUNDED).select("key", "node", "n")
         if members is None or members.isEmpty():
             break
@@ -186,6 +191,7 @@ def near_classes(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], co
         rest = _pairs_in(placed(members, "node", "root")).select("a", "b").distinct()
         open_pairs = open_pairs.unionByName(verify(rest).filter(near).select("a", "b"))
     roots = linked(open_pairs)
+    remove(spark, passed)
     if roots is None:
         return texts.select("node", F.col("node").alias("root")).limit(0)
     return roots
