@@ -252,7 +252,8 @@ def worksheet_score(name_a: Column, name_b: Column, axes_a: Column, axes_b: Colu
     named = (near > 0.75) | (F.coalesce(words, F.lit(0.0)) > 0.65) | x.contains(y) | y.contains(x)
     grain = F.array(*[F.lit(g) for g in GRAIN_WORDS])
     core = F.coalesce(overlap_of(F.array_except(sheet_words(name_a), grain), F.array_except(sheet_words(name_b), grain)), F.lit(0.0))
-    loose = F.size(F.filter(v, lambda p: F.exists(w, lambda q: p.contains(q) | q.contains(p) | (X.lev_ratio(p, q) > 0.8)))) / F.least(F.size(v), F.size(w))
+    least = F.least(F.size(v), F.size(w))
+    loose = F.when(least > 0, F.size(F.filter(v, lambda p: F.exists(w, lambda q: p.contains(q) | q.contains(p) | (X.lev_ratio(p, q) > 0.8)))) / least).otherwise(1.0)
     exact = named & (shared.isNull() | (shared >= 0.7) | (loose >= 0.7))
     score = F.when(exact, 2 + near).when((core >= 0.7) & (shared.isNull() | (shared >= 0.5)), 1 + near).otherwise(0.0)
     return F.struct(score.alias("score"), exact.alias("exact"))
