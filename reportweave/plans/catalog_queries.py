@@ -309,13 +309,13 @@ def visual_equivalence(spark, d):
     two = v.withColumn("slot", slot).select("report_id", F.explode(F.array(F.struct(F.lit("same").alias("layer"), F.concat_ws("|", "field", "class").alias("item")), F.struct(F.lit("field").alias("layer"), F.concat_ws("|", "field", F.col("slot").cast("string")).alias("item")))).alias("x"))
     c = S.block_counts(A.reports(spark, d), two.select("report_id", "x.*"), BLOCK, ["same", "field"])
     same, field, n = F.col("counts")[0]["met"], F.col("counts")[1]["met"], F.greatest(F.col("counts")[0]["n_a"], F.col("counts")[0]["n_b"])
-    return c.select("a", "b", F.when(n == 0, 0.0).otherwise(F.round((same + 0.7 * (field - same)) / n, 6)).alias("score"))
+    return c.select("a", "b", F.when(n == 0, 0.0).otherwise((3 * same + 7 * field) / (10 * n)).alias("score"))  # one and .7, in tenths
 
 
 VISUAL_EQUIVALENCE = A.with_views(
     f"""WITH {P._PAIRS}, v AS (SELECT DISTINCT report_id, mark[1] AS class, p_name AS field FROM facts), n AS (SELECT report_id, count(*) AS n FROM v GROUP BY 1), k AS (SELECT report_id, field, count(*) AS n FROM v GROUP BY 1, 2),
     s AS (SELECT a, b, count(*) AS same FROM pairs JOIN v x ON x.report_id = a JOIN v y ON y.report_id = b AND y.field = x.field AND y.class = x.class GROUP BY 1, 2), f AS (SELECT a, b, sum(least(x.n, y.n)) AS field FROM pairs JOIN k x ON x.report_id = a JOIN k y ON y.report_id = b AND y.field = x.field GROUP BY 1, 2)
-    SELECT p.a, p.b, CASE WHEN greatest(coalesce(x.n, 0), coalesce(y.n, 0)) = 0 THEN 0 ELSE round((coalesce(same, 0) + 0.7 * (coalesce(field, 0) - coalesce(same, 0))) / greatest(x.n, y.n)::DOUBLE, 6) END::DOUBLE AS score
+    SELECT p.a, p.b, CASE WHEN greatest(coalesce(x.n, 0), coalesce(y.n, 0)) = 0 THEN 0 ELSE (3 * coalesce(same, 0) + 7 * coalesce(field, 0))::DOUBLE / (10 * greatest(x.n, y.n))::DOUBLE END::DOUBLE AS score
     FROM pairs p LEFT JOIN s ON s.a = p.a AND s.b = p.b LEFT JOIN f ON f.a = p.a AND f.b = p.b LEFT JOIN n x ON x.report_id = p.a LEFT JOIN n y ON y.report_id = p.b""",
     "reports",
     "facts",
