@@ -177,6 +177,24 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align_tokens
+
+    return align_tokens(read_table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import collapse
+
+    return collapse(read_table(spark, sf_dir, "documents"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import token_files
+
+    return token_files(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_pii": op2_pii,
@@ -188,5 +206,8 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_token_files": op13_token_files,
 }
 ORACLE = {"op4_decontaminate": OP4_SQL, "op3_chat_format": OP3_SQL, "op8_substring_dedup": OP8_SQL, "op9_url_filter": OP9_SQL}
