@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .word_tokens import WordMemo, byte_bpe, once, public_path
+from .word_tokens import ByteBpe, WordMemo, byte_level, forget, once, public_path
 
 BLOCK_CHARS = 1 << 22
 RADIXES = 16
@@ -41,35 +41,24 @@ _OWN = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def byte_level_bytes(token: str) -> bytes:
-    """The bytes that an entry of a byte-level vocabulary stands for: printable ones for themselves, others from U+0100 on in order."""
-    return bytes(once(("byte level",), _byte_level)[c] for c in token)
-
-
-def _byte_level() -> dict[str, int]:
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(rest)}
-
-
 class Aligner:
     """Encodes a text that begins with the space by both tokenizers and links the tokens."""
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
 
-        self.a = byte_bpe(a_path, special_as_text=True)
+        self.a = ByteBpe(a_path, special_as_text=True)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        special = self.a.get_added_tokens_decoder()
-        self.a_bytes = {i: t.encode() if i in special else byte_level_bytes(t) for t, i in self.a.get_vocab().items()}
+        special = self.a.tokenizer.get_added_tokens_decoder()
+        byte = {c: b for b, c in enumerate(byte_level())}
+        self.a_bytes = {i: t.encode() if i in special else bytes(byte[c] for c in t) for t, i in self.a.tokenizer.get_vocab().items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
 
     def __call__(self, texts: list[str]) -> list[tuple[bytes, bytes, bytes] | None]:
         """For each text: groups, counts of A tokens, B tokens and groups, link keys; None where it doesn't come back."""
-        ours = self.a.encode_batch_fast(texts, add_special_tokens=False)
         theirs = self.b.encode([t[1:] for t in texts], num_threads=1)
-        return [self.align(t.encode(), x.ids, y) for t, x, y in zip(texts, ours, theirs)]
+        return [self.align(t.encode(), x, y) for t, x, y in zip(texts, self.a.ids(texts), theirs)]
 
     def align(self, raw: bytes, a: list[int], b: list[int]) -> tuple[bytes, bytes, bytes] | None:
         a_parts, b_parts = [self.a_bytes[x] for x in a], [self.b_bytes[y] for y in b]
@@ -282,6 +271,7 @@ def _parent(groups: int):
 
 def _merged(runs: DataFrame, groups: int) -> DataFrame:
     def join(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        forget()
         heads = put_frames(merge([get_frames(h) for h in table.column("heads").to_pylist()]))
         return pa.Table.from_batches([_rows([(key[0].as_py(), key[1].as_py(), heads)], _NODE)])
 

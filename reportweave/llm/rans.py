@@ -20,7 +20,7 @@ STEPS = 256  # between two checkpoints
 SEGMENTS = 4  # of a block
 BLOCK_IDS = LANES * STEPS * SEGMENTS
 #: Blocks that are coded at once: bounds the memory of a task.
-AT_ONCE = 128
+AT_ONCE = 64
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 _HEAD = struct.Struct("<5I")
@@ -70,17 +70,21 @@ def _blocks(ids: np.ndarray, table: Table) -> list[bytes]:
     for t in range(steps - 1, -1, -1):
         column = grid[:, t]
         live = column >= 0
-        if live.any():
-            at = np.maximum(column, 0)
-            share = np.where(live, table.share[at], np.uint64(1))
-            full = live & (states >= share << np.uint64(63 - SCALE_BITS))
+        every = live[-1].all()
+        if every or live.any():
+            at = column if every else np.maximum(column, 0)
+            share = table.share[at] if every else np.where(live, table.share[at], np.uint64(1))
+            full = states >= share << np.uint64(63 - SCALE_BITS)
+            if not every:
+                full &= live
             rows = np.nonzero(full)[0]
             owner.append(rows)
             words.append((states[full] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
             written += np.bincount(rows, minlength=n_blocks)
-            states = np.where(full, states >> _WORD, states)
+            states[full] >>= _WORD
             quotient = states // share
-            states = np.where(live, (quotient << bits) + (states - quotient * share) + table.begin[at], states)
+            moved = (quotient << bits) + (states - quotient * share) + table.begin[at]
+            states = moved if every else np.where(live, moved, states)
         if t % STEPS == 0:
             marks[t // STEPS] = (states.copy(), written.copy())
     owner = np.concatenate(owner[::-1]) if owner else np.zeros(0, np.int64)

@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 
 from . import rans
 from .common import materialize, shared_dir, shuffle_partitions
-from .word_tokens import WordMemo, byte_bpe, once, public_path
+from .word_tokens import ByteBpe, WordMemo, forget, once, public_path
 
 MAGIC = b"RWTOKEN1"
 _TOP = struct.Struct("<8sII")
 _TAIL = struct.Struct("<III")
-FILE_IDS = 1 << 22
-_BLOCK_CHARS = 1 << 20
+FILE_IDS = 1 << 21
+_BLOCK_CHARS = 1 << 19
 _ROWS = "part int, seq int, n_ids long, doc_ids array<bigint>, lengths binary, ids binary"
 
 
@@ -45,8 +45,8 @@ def bpe_words(path: str) -> WordMemo:
     """Ids as bytes (unsigned 32 bits each) of a tokenizers file, special tokens read as the library does by itself."""
 
     def make() -> WordMemo:
-        tokenizer = byte_bpe(path, special_as_text=False)
-        return WordMemo(lambda texts: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        tokenizer = ByteBpe(path, special_as_text=False)
+        return WordMemo(lambda texts: [np.array(x, "<u4").tobytes() for x in tokenizer.ids(texts)])
 
     return once(("ids", path), make)
 
@@ -104,6 +104,7 @@ def id_shares(rows: DataFrame) -> np.ndarray:
     """The shared frequency table. What comes to the driver is a number for each id that occurs, which the vocabulary bounds."""
 
     def count(batches):
+        forget()
         total = np.zeros(1, np.int64)
         for batch in batches:
             for raw in batch.column("ids"):
@@ -163,6 +164,7 @@ def write_files(docs: DataFrame, out_dir: str, words: Callable[[], WordMemo], en
     shares = id_shares(rows)
 
     def write(batches):
+        forget()
         store, folder = _open(out_dir)
         store.create_dir(folder, recursive=True)
         table = once(("table", shares.tobytes()), lambda: rans.Table.of(shares))

@@ -7,6 +7,7 @@ space or ends the text aren't cut but encoded whole. So the ids are those of the
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable
@@ -16,7 +17,7 @@ _UNCUT = re.compile(r" (?=\s|\Z)")
 #: Longer words aren't remembered.
 LONG_WORD = 100
 #: Words that a Python worker remembers at most; beyond it those of the block at hand stay.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 
 class WordMemo:
@@ -52,14 +53,65 @@ def once(key: tuple, make: Callable[[], Any]) -> Any:
     return _loaded[key]
 
 
-def byte_bpe(path: str, special_as_text: bool):
-    """The tokenizer of a tokenizers file. special_as_text: the strings of special tokens are ordinary text."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
+def forget() -> None:
+    """Frees what a Python worker holds from earlier stages."""
+    _loaded.clear()
+
+
+#: Letters of old scripts and punctuation without apostrophes: their runs, with a space before, are what byte-level pre-tokenization makes of
+#: such a text; so is a line feed before a letter. Then the model alone gives the ids, without the work around it.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏΑ-ΡΣ-Ωα-ωА-я"
+_PLAIN = re.compile(rf" ?(?:[{_LETTERS}]+|[.,;:!?$*()\"-]+|\n(?=[{_LETTERS}]))+")
+_PARTS = re.compile(rf" ?[{_LETTERS}]+| ?[.,;:!?$*()\"-]+|\n")
+_AT_ONCE = 2000
+
+
+class ByteBpe:
+    """A byte-level file of the tokenizers library. special_as_text: the strings of special tokens are ordinary text."""
+
+    def __init__(self, path: str, special_as_text: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = special_as_text
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        before = spec.get("pre_tokenizer") or {}
+        self.plain = spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+        self.model, self.marks, self.table = self.tokenizer.model, {}, byte_level()
+
+    def _part(self, part: str) -> list[int]:
+        return [t.id for t in self.model.tokenize("".join(map(self.table.__getitem__, part.encode())))]
+
+    def _mark(self, part: str) -> list[int]:
+        if part not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+            self.marks[part] = self._part(part)
+        return self.marks[part]
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        """The ids of whole texts."""
+        out: list = [None] * len(texts)
+        hard = []
+        for k, t in enumerate(texts):
+            if self.plain and len(t) < LONG_WORD and _PLAIN.fullmatch(t):
+                out[k] = [i for p in _PARTS.findall(t) for i in (self._part(p) if p[-1].isalpha() else self._mark(p))]
+            else:
+                hard.append(k)
+        for lo in range(0, len(hard), _AT_ONCE):
+            some = hard[lo : lo + _AT_ONCE]
+            for k, e in zip(some, self.tokenizer.encode_batch_fast([texts[k] for k in some], add_special_tokens=False)):
+                out[k] = e.ids
+        return out
+
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = special_as_text
-    return tokenizer
+def byte_level() -> list[str]:
+    """The character that a byte-level vocabulary has for each byte: printable ones stand for themselves, others from U+0100 on in order."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
 
 
 def public_path(name: str) -> str:

@@ -42,8 +42,8 @@ def test_empty_tables(spark):
 def test_words_are_encoded_as_whole_texts(rows):
     memo = token_files.bpe_words(word_tokens.public_path(A))
     rng = random.Random(2)
-    texts = [t or "" for _, t in rows] + ["".join(rng.choice("ab '\n\t1.é \x1f\x85") for _ in range(30)) for _ in range(3000)]
-    whole = word_tokens.byte_bpe(word_tokens.public_path(A), False)
+    texts = [t or "" for _, t in rows] + ["".join(rng.choice("ab '\n\t1.é \x1f\x85") for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    whole = word_tokens.ByteBpe(word_tokens.public_path(A), False).tokenizer
     assert [np.frombuffer(b"".join(x), "<u4").tolist() for x in memo(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
     small = word_tokens.WordMemo(memo.encode, 3)
     assert [b"".join(x) for x in small(texts)] == [b"".join(x) for x in memo(texts)] and len(small.memo) < 3000
@@ -89,7 +89,7 @@ def test_a_share_for_every_id():
 
 @pytest.mark.parametrize("file_ids", [1, 500, 1 << 22])
 def test_token_files(spark, docs, rows, file_ids, tmp_path):
-    whole = word_tokens.byte_bpe(word_tokens.public_path(A), False)
+    whole = word_tokens.ByteBpe(word_tokens.public_path(A), False).tokenizer
     got = token_files.token_files(docs, file_ids=file_ids, out_dir=f"file:{tmp_path}/ids").collect()
     ordered = sorted(got, key=lambda r: r["start"])
     key = lambda d: (d is not None, d or 0)
@@ -108,7 +108,7 @@ def aligned(rows):
     out, counts = [], collections.Counter()
     for d, t in rows:
         t = t or ""
-        a, b = aligner.a.encode(" " + t, add_special_tokens=False).ids, aligner.b.encode(t)
+        a, b = aligner.a.tokenizer.encode(" " + t, add_special_tokens=False).ids, aligner.b.encode(t)
         if not t or not b"".join(aligner.a_bytes[x] for x in a) == b"".join(aligner.b_bytes[y] for y in b) == (" " + t).encode():
             out.append((d, None))
             continue
