@@ -280,7 +280,8 @@ def collapse(docs: DataFrame, long_bytes: int = LONG_BYTES, tile_words: int = TI
     runs = runs_of(docs, long_bytes, tile_words).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "period", "length"))).alias("runs"))
     runs = materialize(runs, "periodic-runs").withColumnsRenamed({"doc_id": "own_id", "text_hash": "own_hash"})
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    joined = packed(keyed).join(runs, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")), "left")
+    # a merge at every size: a broadcast would depend on how many documents have runs
+    joined = packed(keyed).join(runs.hint("merge"), F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")), "left")
 
     def run(batches):
         for batch in batches:

@@ -31,22 +31,22 @@ from pyspark.sql import functions as F
 
 from . import rans
 from .common import materialize, shared_dir, shuffle_partitions
-from .word_tokens import ByteBpe, WordMemo, forget, once, public_path
+from .word_tokens import ByteBpe, WordIds, forget, once, public_path
 
 MAGIC = b"RWTOKEN1"
 _TOP = struct.Struct("<8sII")
 _TAIL = struct.Struct("<III")
 FILE_IDS = 1 << 21
-_BLOCK_CHARS = 1 << 19
+_BLOCK_CHARS = 1 << 21
 _ROWS = "part int, seq int, n_ids long, doc_ids array<bigint>, lengths binary, ids binary"
 
 
-def bpe_words(path: str) -> WordMemo:
+def bpe_words(path: str) -> WordIds:
     """Ids as bytes (unsigned 32 bits each) of a tokenizers file, special tokens read as the library does by itself."""
 
-    def make() -> WordMemo:
+    def make() -> WordIds:
         tokenizer = ByteBpe(path, special_as_text=False)
-        return WordMemo(lambda texts: [np.array(x, "<u4").tobytes() for x in tokenizer.ids(texts)])
+        return WordIds(lambda texts: [np.array(x, "<u4").tobytes() for x in tokenizer.ids(texts)])
 
     return once(("ids", path), make)
 
@@ -64,7 +64,7 @@ def _text_blocks(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield lo, own
 
 
-def encoded_rows(docs: DataFrame, words: Callable[[], WordMemo], end_id: int, file_ids: int = FILE_IDS) -> DataFrame:
+def encoded_rows(docs: DataFrame, words: Callable[[], WordIds], end_id: int, file_ids: int = FILE_IDS) -> DataFrame:
     """Rows of consecutive documents' ids, numbered by part and seq in the order of doc_id."""
     salt = "__salt"
     keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("__hash"), F.rand(7).alias(salt))
@@ -85,8 +85,10 @@ def encoded_rows(docs: DataFrame, words: Callable[[], WordMemo], end_id: int, fi
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64()).to_pylist()
             for first, texts in _text_blocks(batch.column("text")):
-                for k, got in enumerate(memo(texts)):
-                    own = b"".join(got) + end
+                found, many = memo(texts)
+                at = np.cumsum(many) - many
+                for k, (lo, n) in enumerate(zip(at.tolist(), many.tolist())):
+                    own = found[lo : lo + n].tobytes() + end
                     if chunks and size + len(own) // 4 > file_ids:
                         yield row()
                         names, lengths, chunks, size, seq = [], [], [], 0, seq + 1
@@ -158,7 +160,7 @@ def file_content(raw: bytes, table: rans.Table, name: str = "") -> tuple[list, n
     return [None if x else d for d, x in zip(known, null)], lengths, rans.decode(blocks, table, name)
 
 
-def write_files(docs: DataFrame, out_dir: str, words: Callable[[], WordMemo], end_id: int, file_ids: int = FILE_IDS) -> tuple[DataFrame, np.ndarray]:
+def write_files(docs: DataFrame, out_dir: str, words: Callable[[], WordIds], end_id: int, file_ids: int = FILE_IDS) -> tuple[DataFrame, np.ndarray]:
     """Writes the files. Returns the manifest (path, n_docs, n_ids, n_bytes, start: ids of all files before it) and the table."""
     rows = materialize(encoded_rows(docs, words, end_id, file_ids), "token-rows")
     shares = id_shares(rows)

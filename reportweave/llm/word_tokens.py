@@ -13,6 +13,10 @@ import re
 from collections.abc import Callable
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 _UNCUT = re.compile(r" (?=\s|\Z)")
 #: Longer words aren't remembered.
 LONG_WORD = 100
@@ -43,6 +47,35 @@ class WordMemo:
         return out
 
 
+class WordIds:
+    """Ids of texts as bytes of unsigned 32-bit numbers; Python sees a block's distinct words only."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = REMEMBERED):
+        self.encode, self.limit, self.memo = encode, limit, {}
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids (unsigned 32 bits), and each text's number of them."""
+        whole = [bool(_UNCUT.search(t)) for t in texts]
+        cut = pc.split_pattern(pa.array(["" if w else t for w, t in zip(whole, texts)], pa.large_string()), " ")
+        coded = cut.values.dictionary_encode()
+        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        new = [w for w in words if w not in self.memo]
+        if len(self.memo) + len(new) > self.limit:
+            self.memo = {w: self.memo[w] for w in words if w in self.memo}
+        self.memo.update(zip(new, self.encode([" " + w for w in new])))
+        first = cut.offsets.to_numpy()[:-1]
+        heads = self.encode([t if w else t.split(" ", 1)[0] for w, t in zip(whole, texts)])
+        parts = [*map(self.memo.__getitem__, words), *heads]
+        for w in new:
+            if len(w) > LONG_WORD:
+                del self.memo[w]
+        codes[first] = len(words) + np.arange(len(texts))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        begin, size = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
+        at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return np.frombuffer(b"".join(parts), "<u4")[at], np.add.reduceat(size, first)
+
+
 _loaded: dict[tuple, Any] = {}
 
 
@@ -58,11 +91,10 @@ def forget() -> None:
     _loaded.clear()
 
 
-#: Letters of old scripts and punctuation without apostrophes: their runs, with a space before, are what byte-level pre-tokenization makes of
-#: such a text; so is a line feed before a letter. Then the model alone gives the ids, without the work around it.
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏΑ-ΡΣ-Ωα-ωА-я"
-_PLAIN = re.compile(rf" ?(?:[{_LETTERS}]+|[.,;:!?$*()\"-]+|\n(?=[{_LETTERS}]))+")
-_PARTS = re.compile(rf" ?[{_LETTERS}]+| ?[.,;:!?$*()\"-]+|\n")
+#: Byte-level pre-tokenization parts a word of letters from the marks behind it, and both from a line feed between them. Then the model alone
+#: gives the ids, without the work around it. Only letters that every version of Unicode has; no apostrophes, which have rules of their own.
+_MARKS = '.,;:!?$*()"-'
+_LAST_LETTER = "\u0250"
 _AT_ONCE = 2000
 
 
@@ -81,25 +113,41 @@ class ByteBpe:
         self.plain = spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
         self.model, self.marks, self.table = self.tokenizer.model, {}, byte_level()
 
-    def _part(self, part: str) -> list[int]:
-        return [t.id for t in self.model.tokenize("".join(map(self.table.__getitem__, part.encode())))]
+    def _model_ids(self, text: str) -> list[int]:
+        return [t.id for t in self.model.tokenize("Ġ" + text[1:] if text[0] == " " and text.isascii() else "".join(map(self.table.__getitem__, text.encode())))]
 
-    def _mark(self, part: str) -> list[int]:
-        if part not in self.marks:
+    def _mark(self, text: str) -> list[int]:
+        if text not in self.marks:
             if len(self.marks) > 10_000:
                 self.marks.clear()
-            self.marks[part] = self._part(part)
-        return self.marks[part]
+            self.marks[text] = self._model_ids(text)
+        return self.marks[text]
+
+    def _plain_ids(self, text: str) -> list[int] | None:
+        """Ids of a space, letters and marks, lines of letters and marks behind them; None for any other text."""
+        if "\n" in text:
+            first, *rest = text.split("\n")
+            out = self._plain_ids(first) if first else None
+            for line in rest:
+                more = self._plain_ids(line) if out is not None and line and line[0] != " " else None
+                out = None if more is None else out + self._mark("\n") + more
+            return out
+        word = text.rstrip(_MARKS)
+        letters = word[1:] if word[:1] == " " else word
+        if not letters.isalpha() or not (letters.isascii() or max(letters) < _LAST_LETTER):
+            return None
+        return self._model_ids(word) + (self._mark(text[len(word) :]) if len(word) < len(text) else [])
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         """The ids of whole texts."""
         out: list = [None] * len(texts)
         hard = []
         for k, t in enumerate(texts):
-            if self.plain and len(t) < LONG_WORD and _PLAIN.fullmatch(t):
-                out[k] = [i for p in _PARTS.findall(t) for i in (self._part(p) if p[-1].isalpha() else self._mark(p))]
-            else:
+            got = self._plain_ids(t) if self.plain and len(t) < LONG_WORD else None
+            if got is None:
                 hard.append(k)
+            else:
+                out[k] = got
         for lo in range(0, len(hard), _AT_ONCE):
             some = hard[lo : lo + _AT_ONCE]
             for k, e in zip(some, self.tokenizer.encode_batch_fast([texts[k] for k in some], add_special_tokens=False)):

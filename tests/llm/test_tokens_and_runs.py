@@ -44,9 +44,15 @@ def test_words_are_encoded_as_whole_texts(rows):
     rng = random.Random(2)
     texts = [t or "" for _, t in rows] + ["".join(rng.choice("ab '\n\t1.é \x1f\x85") for _ in range(rng.randint(1, 30))) for _ in range(3000)]
     whole = word_tokens.ByteBpe(word_tokens.public_path(A), False).tokenizer
-    assert [np.frombuffer(b"".join(x), "<u4").tolist() for x in memo(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
-    small = word_tokens.WordMemo(memo.encode, 3)
-    assert [b"".join(x) for x in small(texts)] == [b"".join(x) for x in memo(texts)] and len(small.memo) < 3000
+    texts += [" ".join(rng.choice(["ab.", "b\nc", "\nd", "e\n", "x.\ny,", "a'b", "é-", "ǅa", "ʰa", "a\n\nb", "-a", "9", "()"]) for _ in range(12)) for _ in range(2000)]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, sizes = memo(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+    for limit in (3, 10**6):  # word by word
+        small = word_tokens.WordMemo(memo.encode, limit)
+        assert [np.frombuffer(b"".join(x), "<u4").tolist() for x in small(texts)] == want
+    few = word_tokens.WordIds(memo.encode, 3)
+    assert (few(texts)[0] == ids).all() and (few(texts[:9])[1] == sizes[:9]).all()
 
 
 @pytest.mark.parametrize("n", [0, 1, 15, 16, 17, 4096, 4097, rans.BLOCK_IDS, rans.BLOCK_IDS + 1, 2 * rans.BLOCK_IDS + 4321])
