@@ -14,6 +14,7 @@ from reportweave.operators import sketches as K
 from reportweave.plans.pair_queries import BLOCK
 from reportweave.plans.text_queries import NAME_SQL
 from reportweave.sources import adapters as A
+from reportweave.streaming import incremental as I
 from reportweave.streaming import jobs as T
 
 
@@ -179,6 +180,64 @@ INCREMENTAL = A.with_views(
 )
 
 
+#: Pairs from here on are kept; clusters are of pairs from CLUSTERED on.
+KEPT, CLUSTERED = 0.05, 0.3
+
+
+def block_scores(spark, d):
+    """What scores the pairs of a block with a side in some reports, by their metrics' Jaccard likeness."""
+    reports = A.reports(spark, d).select("report_id", *BLOCK)
+
+    def score(ids, items):
+        mine = reports.join(ids, "report_id", "left_semi")
+        met = mine.join(reports.withColumnRenamed("report_id", "other"), BLOCK).filter("report_id <> other")
+        pairs = met.select(F.least("report_id", "other").alias("a"), F.greatest("report_id", "other").alias("b")).distinct()
+        scored = S.score_columns(S.pair_counts(pairs, items.withColumn("layer", F.lit("kpi")), ["kpi"]), ["kpi"])
+        return scored.filter(F.col("kpi") >= KEPT).select("a", "b", F.col("kpi").alias("score"))
+
+    return score
+
+
+def estate_stream(spark, d, files=3):
+    """Orders as a stream of several batches, later orders later."""
+    landing = T.shared_path(spark, "orders")
+    o = A.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    o.repartitionByRange(files, "o_orderkey").write.parquet(landing)
+    return spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+
+
+def incremental_estate(spark, d):
+    """Pairs and clusters after a stream of orders: each brings its report its lines' metrics, urgent open ones of every ninth report take the report away for good."""
+    store = I.ClusterStore(spark, T.shared_path(spark, "estate"), block_scores(spark, d), CLUSTERED)
+    lines = A.table(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(A.table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("item")), F.col("l_partkey") == F.col("p_partkey"))
+
+    def each(batch, number):
+        base = batch.join(lines, batch["o_orderkey"] == lines["l_orderkey"])
+        rest = F.col("o_custkey") % 20
+        copied = (rest == 0) | ((rest == 5) & (F.col("l_partkey") % 7 != 0)) | ((rest == 10) & (F.col("l_partkey") % 3 != 0))
+        added = base.select(F.explode(F.when(copied, F.array(F.col("o_custkey"), F.col("o_custkey") + A.SHIFT)).otherwise(F.array("o_custkey"))).alias("report_id"), "item")
+        gone = batch.filter("o_orderstatus = 'O' and o_orderpriority = '1-URGENT' and o_custkey % 9 = 0").select(F.col("o_custkey").alias("report_id"))
+        store.apply(number, added, gone)
+
+    T.run_to_end(estate_stream(spark, d), each, T.shared_path(spark, "estate-log"))
+    pairs = store.pairs().select(F.lit("pair").alias("kind"), "a", "b", F.round("score", 6).alias("score"))
+    return pairs.unionByName(store.clusters().select(F.lit("cluster").alias("kind"), F.col("node").alias("a"), F.col("root").alias("b"), F.lit(None).cast("double").alias("score")))
+
+
+INCREMENTAL_ESTATE = A.with_views(
+    f"""WITH away AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' AND o_custkey % 9 = 0),
+    i AS (SELECT report_id, item FROM items WHERE layer = 'kpi' AND report_id NOT IN (SELECT o_custkey FROM away)), n AS (SELECT report_id, count(*) AS n FROM i GROUP BY 1),
+    p AS (SELECT x.report_id AS a, y.report_id AS b FROM reports x JOIN reports y ON x.workbook = y.workbook AND x.segment = y.segment AND x.report_id < y.report_id),
+    m AS (SELECT a, b, count(*) AS met FROM p JOIN i x ON x.report_id = a JOIN i y ON y.report_id = b AND y.item = x.item GROUP BY ALL),
+    s AS (SELECT a, b, met / (na.n + nb.n - met)::DOUBLE AS score FROM m JOIN n na ON na.report_id = a JOIN n nb ON nb.report_id = b WHERE met / (na.n + nb.n - met)::DOUBLE >= {KEPT}),
+    edges AS (SELECT a, b FROM s WHERE score >= {CLUSTERED} UNION SELECT b, a FROM s WHERE score >= {CLUSTERED}),
+    reach AS (SELECT a AS node, a AS seen FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.seen)
+    SELECT 'pair' AS kind, a, b, round(score, 6) AS score FROM s UNION ALL SELECT 'cluster', node, min(seen), NULL FROM reach GROUP BY node""",
+    "reports",
+    "items",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def stream_latest(spark, d):
     """Latest action per mapping, from the events as a stream."""
     e = T.stream_table(spark, d, "events")
@@ -254,6 +313,7 @@ QUERIES = {
     "deep_lineage": (deep_lineage, A.with_views(_REACH, "reports", "items")),
     "shared_metrics": (shared_metrics, A.with_views("SELECT 'kpi:' || item AS dst, count(DISTINCT report_id) AS n FROM items JOIN reports USING (report_id) WHERE layer = 'kpi' GROUP BY 1 HAVING count(DISTINCT report_id) > 1", "reports", "items")),
     "change_detect": (change_detect, CHANGES),
+    "incremental_estate": (incremental_estate, INCREMENTAL_ESTATE),
     "incremental_pairs": (incremental_pairs, INCREMENTAL),
     "stream_latest": (stream_latest, A.with_views("SELECT mapping_id, arg_max(action, (ts, action_id)) AS action, count(*) AS n FROM actions GROUP BY 1", "actions")),
     "stream_windows": (stream_windows, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"),
