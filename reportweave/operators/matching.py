@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reportweave.functions import text as X
+from reportweave.operators.durable import materialize
+from reportweave.operators.retrieval import topk_dense, topk_sparse
 from reportweave.sources.adapters import latest
 
 DIMS = 1536
@@ -115,14 +117,19 @@ def match_scoped(m: DataFrame, bank: DataFrame, found: DataFrame, rematch: Calla
     Their candidates there are the k bank rows of other subdomains whose names are nearest by the cosine of hash embeddings; rematch(mentions,
     bank, candidates) runs the phases over those, with subdomains set aside. The wider match counts if it is strictly more confident.
     """
-    scored = found.withColumn("confidence", phase_confidence(F.col("phase")))
-    open_ = m.join(scored.filter(F.col("confidence") >= least).select("mention_id"), "mention_id", "left_anti")
-    mine, theirs = (df.select(name_key(F.col("name")).alias("n")).distinct() for df in (open_, bank))
-    near = cosine_sparse(hash_embed(mine, "n", "n").withColumnRenamed("n", "x"), hash_embed(theirs, "n", "n").withColumnRenamed("n", "y"), "x", "y").withColumn("cosine", F.round("cosine", 6))
-    rows = open_.select("mention_id", "subdomain", name_key(F.col("name")).alias("x")).join(near, "x").join(bank.select("kpi_id", F.col("subdomain").alias("s"), name_key(F.col("name")).alias("y")), "y").filter("s <> subdomain")
-    top = latest(rows, ["mention_id"], F.desc("cosine"), "kpi_id") if k == 1 else rows.withColumn("_n", F.row_number().over(W.partitionBy("mention_id").orderBy(F.desc("cosine"), "kpi_id"))).filter(F.col("_n") <= k)
+    scored = materialize(found.withColumn("confidence", phase_confidence(F.col("phase"))), "found")
+    open_ = materialize(m.join(scored.filter(F.col("confidence") >= least).select("mention_id"), "mention_id", "left_anti"), "open")
+    q = F.concat_ws("|", "subdomain", name_key(F.col("name")))
+    asked = open_.select(q.alias("q"), F.col("subdomain").alias("own"), name_key(F.col("name")).alias("n")).distinct()
+    named = bank.select(F.col("kpi_id"), F.col("subdomain").alias("s"), name_key(F.col("name")).alias("y"))
+    holders = named.groupBy("y").agg(F.collect_set("s").alias("scopes"))
+    vectors = materialize(hash_embed(holders.select("y", F.col("y").alias("n")), "y", "n"), "bank-vectors")
+    near = topk_sparse(hash_embed(asked, "q", "n"), vectors, k, asked.select("q", "own"), holders)
+    firsts = named.withColumn("_n", F.row_number().over(W.partitionBy("y", "s").orderBy("kpi_id"))).filter(F.col("_n") <= k).drop("_n")  # others can't be among k
+    rows = open_.select("mention_id", "subdomain", q.alias("q")).join(near, "q").join(firsts, "y").filter("s <> subdomain")
+    top = materialize(rows.withColumn("_n", F.row_number().over(W.partitionBy("mention_id").orderBy(F.desc("cosine"), "kpi_id"))).filter(F.col("_n") <= k).select("mention_id", "kpi_id"), "near")
     anywhere = lambda df: df.withColumn("subdomain", F.lit("*"))
-    wide = rematch(anywhere(open_), anywhere(bank), top.select("mention_id", "kpi_id"))
+    wide = rematch(anywhere(open_), anywhere(bank), top)
     wide = wide.select("mention_id", "kpi_id", "phase", phase_confidence(F.col("phase")).alias("confidence"), F.lit(True).alias("widened"))
     both = scored.select("mention_id", "kpi_id", "phase", "confidence", F.lit(False).alias("widened")).unionByName(wide)
     return latest(both, ["mention_id"], F.desc("confidence"), "widened")
@@ -157,10 +164,9 @@ def cosine_sparse(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFram
     return left.join(right.withColumnRenamed("w", "v"), "slot").groupBy(a, b).agg(F.sum(F.col("w") * F.col("v")).alias("cosine"))
 
 
-def topk_cosine(m: DataFrame, bank: DataFrame, k: int = 5) -> DataFrame:
-    """(mention_id, kpi_id, sim, rank) within the scope. m and bank: id, scope, vec."""
-    pairs = m.join(bank, "scope").select("mention_id", "kpi_id", F.round(cosine(F.col("m_vec"), F.col("b_vec")), 6).alias("sim"))
-    return pairs.withColumn("rank", F.row_number().over(W.partitionBy("mention_id").orderBy(F.desc("sim"), "kpi_id"))).filter(F.col("rank") <= k)
+def topk_cosine(m: DataFrame, bank: DataFrame, k: int = 5, scored: list[int] | None = None) -> DataFrame:
+    """(mention_id, kpi_id, sim, rank) within the scope: see retrieval.topk_dense. m and bank: id, scope, vec."""
+    return topk_dense(m, bank, k, scored)
 
 
 def embed_missing(bank: DataFrame, embedder: Callable[[DataFrame], DataFrame], force: bool = False) -> DataFrame:
