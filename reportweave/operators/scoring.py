@@ -241,39 +241,101 @@ def overlap_of(a: Column, b: Column) -> Column:
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least)
 
 
-def worksheet_score(name_a: Column, name_b: Column, axes_a: Column, axes_b: Column, ratio: Callable[[Column, Column], Column]) -> Column:
-    """struct(score, exact): 2 + ratio if names and axes agree, 1 + ratio if they do but for words of grain, else 0.
+#: From which share of the smaller side's words on names are alike, with all words (more than) and without those of grain.
+WORDS_SHARED, CORE_SHARED, NAMES_NEAR = 0.65, 0.7, 0.75
+_GRAM = 4
+
+
+def core_words(words: Column) -> Column:
+    return F.array_except(words, F.array(*[F.lit(g) for g in GRAIN_WORDS]))
+
+
+def name_likeness(x: Column, y: Column, words_x: Column, words_y: Column, ratio: Callable[[Column, Column], Column]) -> Column:
+    """struct(near, named, core) of two cleaned names with their words: likeness, whether they name the same, the share of words that aren't of grain."""
+    near = ratio(x, y)
+    named = (near > NAMES_NEAR) | (F.coalesce(overlap_of(words_x, words_y), F.lit(0.0)) > WORDS_SHARED) | x.contains(y) | y.contains(x)
+    core = F.coalesce(overlap_of(core_words(words_x), core_words(words_y)), F.lit(0.0))
+    return F.struct(near.alias("near"), named.alias("named"), core.alias("core"))
+
+
+def clean_axes(axes: Column) -> Column:
+    return F.filter(F.array_distinct(F.transform(axes, X.clean_text)), lambda s: s != "")
+
+
+def axes_score(like: Column, v: Column, w: Column) -> Column:
+    """struct(score, exact) from a name_likeness and two sides' cleaned axes: 2 + ratio if names and axes agree, 1 + ratio if they do but for words of grain, else 0.
 
     Axes agree if one side has none, if they share 70% of the smaller side, or if so many of a's are alike one of b's (contained, or by Levenshtein's ratio).
     """
-    x, y = X.clean_text(name_a), X.clean_text(name_b)
-    v, w = (F.filter(F.array_distinct(F.transform(c, X.clean_text)), lambda s: s != "") for c in (axes_a, axes_b))
-    near, words, shared = ratio(x, y), overlap_of(sheet_words(name_a), sheet_words(name_b)), overlap_of(v, w)
-    named = (near > 0.75) | (F.coalesce(words, F.lit(0.0)) > 0.65) | x.contains(y) | y.contains(x)
-    grain = F.array(*[F.lit(g) for g in GRAIN_WORDS])
-    core = F.coalesce(overlap_of(F.array_except(sheet_words(name_a), grain), F.array_except(sheet_words(name_b), grain)), F.lit(0.0))
-    least = F.least(F.size(v), F.size(w))
+    shared, least = overlap_of(v, w), F.least(F.size(v), F.size(w))
     loose = F.when(least > 0, F.size(F.filter(v, lambda p: F.exists(w, lambda q: p.contains(q) | q.contains(p) | (X.lev_ratio(p, q) > 0.8)))) / least).otherwise(1.0)
-    exact = named & (shared.isNull() | (shared >= 0.7) | (loose >= 0.7))
-    score = F.when(exact, 2 + near).when((core >= 0.7) & (shared.isNull() | (shared >= 0.5)), 1 + near).otherwise(0.0)
+    exact = like["named"] & (shared.isNull() | (shared >= 0.7) | (loose >= 0.7))
+    score = F.when(exact, 2 + like["near"]).when((like["core"] >= CORE_SHARED) & (shared.isNull() | (shared >= 0.5)), 1 + like["near"]).otherwise(0.0)
     return F.struct(score.alias("score"), exact.alias("exact"))
 
 
+def worksheet_score(name_a: Column, name_b: Column, axes_a: Column, axes_b: Column, ratio: Callable[[Column, Column], Column]) -> Column:
+    """struct(score, exact) of two worksheets by their names and axes as they are written: see name_likeness and axes_score."""
+    like = name_likeness(X.clean_text(name_a), X.clean_text(name_b), sheet_words(name_a), sheet_words(name_b), ratio)
+    return axes_score(like, clean_axes(axes_a), clean_axes(axes_b))
+
+
+def _overlapping(names: DataFrame, words: str, least: Callable[[Column], Column]) -> DataFrame:
+    """(where, c, d) of cleaned names that have least(n) of the smaller side's n words in common, and some that haven't.
+
+    Of the smaller side's words, rare ones first, one of the first n - least(n) + 1 must be among the other's: an equi-join by those.
+    """
+    each = names.select("where", "c", F.size(words).alias("n"), F.explode(words).alias("word"))
+    rare = each.groupBy("where", "word").agg(F.count("*").alias("df"))
+    at = F.row_number().over(W.partitionBy("where", "c").orderBy("df", "word"))
+    first = each.join(rare, ["where", "word"]).withColumn("at", at).filter(F.col("at") <= F.col("n") - least(F.col("n")) + 1)
+    met = first.select("where", "word", "c", "n").join(each.select("where", "word", F.col("c").alias("d"), F.col("n").alias("m")), ["where", "word"]).filter("n <= m")
+    return met.select("where", "c", "d").distinct()
+
+
+def _containing(names: DataFrame) -> DataFrame:
+    """(where, c, d) of cleaned names c that may stand in d: c's rarest piece of _GRAM characters (all of a shorter one) stands there."""
+    grams = lambda size: F.when(F.length("c") >= size, F.transform(F.sequence(F.lit(1), F.length("c") - (size - 1)), lambda i: F.substring("c", i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    whole = names.select("where", F.col("c").alias("d"), F.explode(F.array_distinct(F.concat(*[grams(n) for n in range(1, _GRAM + 1)]))).alias("gram"))
+    rare = whole.groupBy("where", "gram").agg(F.count("*").alias("df"))
+    own = names.filter("c <> ''").select("where", "c", F.explode(F.array_distinct(F.when(F.length("c") < _GRAM, F.array("c")).otherwise(grams(_GRAM)))).alias("gram"))
+    pick = own.join(rare, ["where", "gram"]).groupBy("where", "c").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"))
+    inside = pick.join(whole, ["where", "gram"]).select("where", "c", "d")
+    return inside.unionByName(names.filter("c = ''").select("where", "c").join(names.select("where", F.col("c").alias("d")), "where"))  # nothing stands everywhere
+
+
+def _where(block: list[str]) -> Column:
+    return F.concat_ws("|", *[F.coalesce(F.col(b).cast("string"), F.lit("")) for b in block])
+
+
 def alike_names(sheets: DataFrame, block: list[str], ratio: Callable[[Column, Column], Column]) -> DataFrame:
-    """(x, y) of the distinct sheet names of a block that can score above 0 at all, whatever their axes."""
-    names = sheets.select(*block, F.col("sheet").alias("x")).distinct()
-    met = names.join(names.withColumnRenamed("x", "y"), block).select("x", "y").distinct()
-    none = F.array().cast("array<string>")
-    return met.filter(worksheet_score(F.col("x"), F.col("y"), none, none, ratio)["score"] > 0)
+    """(where, x, y, like) of the distinct sheet names of a block (where) that can score above 0 at all, whatever their axes; like: see name_likeness.
+
+    Names are cleaned once. They meet through rare words of the smaller side, through a piece of a name that stands in the other, or through a piece that
+    Levenshtein's ratio leaves unchanged (matching.near_names): names that share nothing never meet, and likeness is taken of those that met only.
+    """
+    raw = materialize(sheets.select(_where(block).alias("where"), F.col("sheet").alias("x"), X.clean_text(F.col("sheet")).alias("c"), sheet_words(F.col("sheet")).alias("words")).distinct(), "sheet-names")
+    names = raw.select("where", "c", "words", core_words(F.col("words")).alias("core")).distinct()
+    met = _overlapping(names, "words", lambda n: F.floor(n * WORDS_SHARED) + 1)
+    met = met.unionByName(_overlapping(names, "core", lambda n: F.ceil(n * CORE_SHARED))).unionByName(_containing(names))
+    near = near_names(names.select(F.col("where").alias("subdomain"), F.col("c").alias("x")), names.select(F.col("where").alias("subdomain"), F.col("c").alias("y")), ratio, NAMES_NEAR, 1 if ratio is X.lev_ratio else 2)
+    met = met.unionByName(near.select(F.col("subdomain").alias("where"), F.col("x").alias("c"), F.col("y").alias("d")))
+    met = materialize(met.unionByName(met.select("where", F.col("d").alias("c"), F.col("c").alias("d"))).distinct(), "met-names")
+    words = names.select("c", "words").distinct()
+    both = met.select("c", "d").distinct().join(words.withColumnRenamed("words", "v"), "c").join(words.select(F.col("c").alias("d"), F.col("words").alias("w")), "d")
+    like = both.select("c", "d", name_likeness(F.col("c"), F.col("d"), F.col("v"), F.col("w"), ratio).alias("like")).filter(f"like.named or like.core >= {CORE_SHARED}")
+    like = materialize(met.join(like, ["c", "d"]), "alike-names")
+    spelled = raw.select("where", "x", "c")
+    return spelled.join(like, ["where", "c"]).join(spelled.select("where", F.col("x").alias("y"), F.col("c").alias("d")), ["where", "d"]).select("where", "x", "y", "like")
 
 
 def sheet_matches(pairs: DataFrame, sheets: DataFrame, block: list[str], ratio: Callable[[Column, Column], Column] = X.seq_ratio) -> DataFrame:
-    """(a, b, l, r, score, exact) of the worksheets of pairs(a, b) that match. sheets: report_id, sheet, axes, block columns."""
+    """(a, b, l, r, score, exact) of the worksheets of pairs(a, b) of a block that match. sheets: report_id, sheet, axes, block columns."""
     named = alike_names(sheets, block, ratio)
-    left = pairs.select("a", "b").join(sheets.select(F.col("report_id").alias("a"), F.col("sheet").alias("x"), F.col("axes").alias("axes_a")), "a")
-    right = sheets.select(F.col("report_id").alias("b"), F.col("sheet").alias("y"), F.col("axes").alias("axes_b"))
-    met = left.join(named, "x").join(right, ["b", "y"])
-    return met.withColumn("s", worksheet_score(F.col("x"), F.col("y"), F.col("axes_a"), F.col("axes_b"), ratio)).select("a", "b", F.col("x").alias("l"), F.col("y").alias("r"), "s.score", "s.exact").filter("score > 0")
+    cleaned = sheets.select(_where(block).alias("where"), "report_id", "sheet", clean_axes(F.col("axes")).alias("axes"))
+    left = pairs.select("a", "b").join(cleaned.toDF("where", "a", "x", "v"), "a")
+    met = left.join(named, ["where", "x"]).join(cleaned.toDF("where", "b", "y", "w"), ["where", "b", "y"])
+    return met.withColumn("s", axes_score(F.col("like"), F.col("v"), F.col("w"))).select("a", "b", F.col("x").alias("l"), F.col("y").alias("r"), "s.score", "s.exact").filter("score > 0")
 
 
 def duplicate_reports(pairs: DataFrame, sheets: DataFrame, usage: DataFrame, block: list[str], ratio: Callable[[Column, Column], Column] = X.seq_ratio, least: float = 0.85, unknown_days: int = 9999) -> DataFrame:

@@ -181,7 +181,7 @@ INCREMENTAL = A.with_views(
 
 
 #: Pairs from here on are kept; clusters are of pairs from CLUSTERED on.
-KEPT, CLUSTERED = 0.05, 0.3
+PAIR_KEPT, CLUSTERED = 0.05, 0.3
 
 
 def block_scores(spark, d):
@@ -193,7 +193,7 @@ def block_scores(spark, d):
         met = mine.join(reports.withColumnRenamed("report_id", "other"), BLOCK).filter("report_id <> other")
         pairs = met.select(F.least("report_id", "other").alias("a"), F.greatest("report_id", "other").alias("b")).distinct()
         scored = S.score_columns(S.pair_counts(pairs, items.withColumn("layer", F.lit("kpi")), ["kpi"]), ["kpi"])
-        return scored.filter(F.col("kpi") >= KEPT).select("a", "b", F.col("kpi").alias("score"))
+        return scored.filter(F.col("kpi") >= PAIR_KEPT).select("a", "b", F.col("kpi").alias("score"))
 
     return score
 
@@ -229,7 +229,7 @@ INCREMENTAL_ESTATE = A.with_views(
     i AS (SELECT report_id, item FROM items WHERE layer = 'kpi' AND report_id NOT IN (SELECT o_custkey FROM away)), n AS (SELECT report_id, count(*) AS n FROM i GROUP BY 1),
     p AS (SELECT x.report_id AS a, y.report_id AS b FROM reports x JOIN reports y ON x.workbook = y.workbook AND x.segment = y.segment AND x.report_id < y.report_id),
     m AS (SELECT a, b, count(*) AS met FROM p JOIN i x ON x.report_id = a JOIN i y ON y.report_id = b AND y.item = x.item GROUP BY ALL),
-    s AS (SELECT a, b, met / (na.n + nb.n - met)::DOUBLE AS score FROM m JOIN n na ON na.report_id = a JOIN n nb ON nb.report_id = b WHERE met / (na.n + nb.n - met)::DOUBLE >= {KEPT}),
+    s AS (SELECT a, b, met / (na.n + nb.n - met)::DOUBLE AS score FROM m JOIN n na ON na.report_id = a JOIN n nb ON nb.report_id = b WHERE met / (na.n + nb.n - met)::DOUBLE >= {PAIR_KEPT}),
     edges AS (SELECT a, b FROM s WHERE score >= {CLUSTERED} UNION SELECT b, a FROM s WHERE score >= {CLUSTERED}),
     reach AS (SELECT a AS node, a AS seen FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.seen)
     SELECT 'pair' AS kind, a, b, round(score, 6) AS score FROM s UNION ALL SELECT 'cluster', node, min(seen), NULL FROM reach GROUP BY node""",
