@@ -18,8 +18,10 @@ Further columns are ignored. An empty table gives an empty manifest. Memory of a
 from __future__ import annotations
 
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,7 +39,7 @@ MAGIC = b"RWTOKEN1"
 _TOP = struct.Struct("<8sII")
 _TAIL = struct.Struct("<III")
 FILE_IDS = 1 << 21
-_BLOCK_CHARS = 1 << 21
+_BLOCK_CHARS = 1 << 20
 _ROWS = "part int, seq int, n_ids long, doc_ids array<bigint>, lengths binary, ids binary"
 
 
@@ -46,7 +48,8 @@ def bpe_words(path: str) -> WordIds:
 
     def make() -> WordIds:
         tokenizer = ByteBpe(path, special_as_text=False)
-        return WordIds(lambda texts: [np.array(x, "<u4").tobytes() for x in tokenizer.ids(texts)])
+        pack = (lambda x: array("I", x).tobytes()) if array("I").itemsize == 4 and sys.byteorder == "little" else (lambda x: np.array(x, "<u4").tobytes())
+        return WordIds(lambda texts: [pack(x) for x in tokenizer.ids(texts)])
 
     return once(("ids", path), make)
 
