@@ -20,7 +20,7 @@ STEPS = 256  # between two checkpoints
 SEGMENTS = 4  # of a block
 BLOCK_IDS = LANES * STEPS * SEGMENTS
 #: Blocks that are coded at once: bounds the memory of a task.
-AT_ONCE = 128
+AT_ONCE = 64
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 _HEAD = struct.Struct("<5I")

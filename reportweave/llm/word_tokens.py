@@ -51,30 +51,7 @@ class WordIds:
     """Ids of texts as bytes of unsigned 32-bit numbers; Python sees a block's distinct words only."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = REMEMBERED):
-        self.encode, self.limit = encode, limit
-        self.known: dict[str, bytes] = {}  # words of two blocks at least, which outlast those of one
-        self.fresh: dict[str, bytes] = {}
-
-    def _of(self, words: list[str]) -> list[bytes]:
-        known, fresh, new, out = self.known, self.fresh, [], [b""] * len(words)
-        for k, w in enumerate(words):
-            v = known.get(w)
-            if v is None:
-                v = fresh.pop(w, None)
-                if v is None:
-                    new.append(k)
-                    continue
-                known[w] = v
-            out[k] = v
-        for k, v in zip(new, self.encode([" " + words[k] for k in new])):
-            out[k] = v
-            if len(words[k]) <= LONG_WORD:
-                fresh[words[k]] = v
-        if len(fresh) > self.limit // 2:
-            self.fresh = {}
-        if len(known) > self.limit:
-            self.known = {w: known[w] for w in words if w in known}
-        return out
+        self.encode, self.limit, self.memo = encode, limit, {}
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids (unsigned 32 bits), and each text's number of them."""
@@ -82,9 +59,16 @@ class WordIds:
         cut = pc.split_pattern(pa.array(["" if w else t for w, t in zip(whole, texts)], pa.large_string()), " ")
         coded = cut.values.dictionary_encode()
         words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        new = [w for w in words if w not in self.memo]
+        if len(self.memo) + len(new) > self.limit:
+            self.memo = {w: self.memo[w] for w in words if w in self.memo}
+        self.memo.update(zip(new, self.encode([" " + w for w in new])))
         first = cut.offsets.to_numpy()[:-1]
         heads = self.encode([t if w else t.split(" ", 1)[0] for w, t in zip(whole, texts)])
-        parts = self._of(words) + heads
+        parts = [*map(self.memo.__getitem__, words), *heads]
+        for w in new:
+            if len(w) > LONG_WORD:
+                del self.memo[w]
         codes[first] = len(words) + np.arange(len(texts))
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         begin, size = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
