@@ -67,7 +67,7 @@ def risk_rules(dash: DataFrame) -> DataFrame:
             F.when((calcs == 0) & (ws > 3), row("GOV-R004", "Raw Data Exposure", "Low")),
         )
     )
-    none = F.array(row("GOV-R000", "Low Risk", "Low"))
+    none = F.array(row("GOV-R000", "Low Risk Profile", "Low"))
     return dash.select("report", F.explode(F.when(F.size(hit) > 0, hit).otherwise(none)).alias("x")).select("report", "x.*")
 
 

@@ -76,7 +76,7 @@ _RISK = """SELECT report, rule_id, risk_type, severity FROM (
   UNION ALL SELECT report, 'GOV-R002', CASE WHEN calcs > 30 THEN 'Heavy Calculation Overhead' ELSE 'Calculation Overlap' END, CASE WHEN calcs > 30 THEN 'High' ELSE 'Medium' END FROM dashboards WHERE calcs > 15
   UNION ALL SELECT report, 'GOV-R003', 'Empty Dashboard', 'Medium' FROM dashboards WHERE worksheets = 0
   UNION ALL SELECT report, 'GOV-R004', 'Raw Data Exposure', 'Low' FROM dashboards WHERE calcs = 0 AND worksheets > 3
-  UNION ALL SELECT report, 'GOV-R000', 'Low Risk', 'Low' FROM dashboards WHERE worksheets <= 6 AND worksheets > 0 AND calcs <= 15 AND NOT (calcs = 0 AND worksheets > 3))"""
+  UNION ALL SELECT report, 'GOV-R000', 'Low Risk Profile', 'Low' FROM dashboards WHERE worksheets <= 6 AND worksheets > 0 AND calcs <= 15 AND NOT (calcs = 0 AND worksheets > 3))"""
 
 
 def duplicate_mappings(spark, d):

@@ -153,13 +153,11 @@ def _in(c: str, values) -> str:
 
 
 def sql_compatible(r: str, o: str, ratio: str, money: str) -> str:
-    free = f"({_in(r, ['UNKNOWN', 'NONE', ''])} OR {_in(o, ['UNKNOWN', 'NONE', ''])})"
-    clash = [
-        f"({_in(r, R.TEMPORAL)} AND NOT {_in(o, R.TEMPORAL)})", f"({_in(r, R.AVERAGES)} AND {_in(o, R.ADDITIVE)})", f"({_in(r, R.ADDITIVE)} AND {_in(o, R.AVERAGES)})",
-        f"({_in(r, R.COUNTS)} AND {_in(o, R.RATES)})", f"({_in(r, R.RATES)} AND {_in(o, R.COUNTS)})", f"({r} = 'SUM' AND {_in(o, R.RATES)} AND NOT {ratio})",
-        f"({_in(r, R.RATES)} AND {o} = 'SUM' AND NOT {ratio})", f"({r} = 'SUM' AND {_in(o, R.COUNTS)} AND {money})",
-    ]
-    return f"({free} OR NOT ({' OR '.join(clash)}))"
+    needs = {None: "true", "no ratio": f"NOT {ratio}", "money": money}
+    clash = [f"({_in(r, R.TEMPORAL)} AND NOT {_in(o, R.TEMPORAL)})"]
+    for one, other, both, when in R.CLASHES:
+        clash += [f"({_in(x, one)} AND {_in(y, other)} AND {needs[when]})" for x, y in ([(r, o), (o, r)] if both else [(r, o)])]
+    return f"({_in(r, R.OPEN_AGGS)} OR {_in(o, R.OPEN_AGGS)} OR NOT ({' OR '.join(clash)}))"
 
 
 AGG_COMPATIBILITY = A.with_views(
