@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -108,13 +109,39 @@ def score_columns(counted: DataFrame, layers: list[str], *more: str) -> DataFram
     return counted.select("a", "b", *more, *[layer_score(F.lit(x), at(i)["met"], at(i)["n_a"], at(i)["n_b"]).alias(x) for i, x in enumerate(layers)])
 
 
-def composite(scores: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """(a, b, one column a layer, composite, spread) of scores(a, b, one column a layer); a missing or null layer counts 0, spread is the layers' deviation."""
-    names = list(weights)
-    wide = scores.select("a", "b", *[F.coalesce(n, F.lit(0.0)).alias(n) if n in scores.columns else F.lit(0.0).alias(n) for n in names])
-    total = sum((F.col(n) * w for n, w in weights.items()), F.lit(0.0))
-    mean = sum((F.col(n) for n in names), F.lit(0.0)) / len(names)
-    spread = F.sqrt(sum(((F.col(n) - mean) * (F.col(n) - mean) for n in names), F.lit(0.0)) / len(names))
+@dataclass(frozen=True)
+class Layer:
+    """A layer of the composite: its share, and its score from a row of pairs with their layers' columns."""
+
+    weight: float
+    score: Callable[[DataFrame], Column]
+
+
+def stored(name: str) -> Callable[[DataFrame], Column]:
+    """A layer that is a column of its own; where it is missing or null it scores 0."""
+    return lambda pairs: F.coalesce(F.col(name), F.lit(0.0)) if name in pairs.columns else F.lit(0.0)
+
+
+def with_layer(name: str, weight: float, score: Callable[[DataFrame], Column] | None = None, layers: dict[str, Layer] | None = None) -> dict[str, Layer]:
+    """layers (the six, if none are given) and one more with this share; the others keep their proportions, so that all shares add up to 1."""
+    rest = {n: x for n, x in (layers or LAYERS).items() if n != name}
+    if not 0 <= weight <= 1:
+        raise ValueError("a layer's share lies in 0..1")
+    scale = (1 - weight) / sum(x.weight for x in rest.values())
+    return {n: Layer(x.weight * scale, x.score) for n, x in rest.items()} | {name: Layer(weight, score or stored(name))}
+
+
+#: The six layers; with_layer adds others.
+LAYERS = {name: Layer(weight, stored(name)) for name, weight in WEIGHTS.items()}
+
+
+def composite(scores: DataFrame, layers: dict[str, Layer] | None = None) -> DataFrame:
+    """(a, b, one column a layer, composite, spread) of scores(a, b, what the layers need); spread is the layers' deviation."""
+    layers = layers or LAYERS
+    wide = scores.select("a", "b", *[x.score(scores).alias(n) for n, x in layers.items()])
+    total = sum((F.col(n) * x.weight for n, x in layers.items()), F.lit(0.0))
+    mean = sum((F.col(n) for n in layers), F.lit(0.0)) / len(layers)
+    spread = F.sqrt(sum(((F.col(n) - mean) * (F.col(n) - mean) for n in layers), F.lit(0.0)) / len(layers))
     return wide.withColumn("composite", F.round(total, 6)).withColumn("spread", F.round(spread, 6))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reportweave.functions import text as X
 from reportweave.operators import scoring as S
 from reportweave.operators.components import connected_components
+from reportweave.operators.durable import materialize
 from reportweave.plans.text_queries import sql_fold, sql_trim
 from reportweave.sources import adapters as A
 
@@ -244,10 +245,10 @@ KPI_TABLE_OVERLAP = A.with_views(
 
 def recommendations(spark, d, whole=False):
     """Keep, merge or discard; duplicates (E21) neither are merged nor merged into."""
-    dup = duplicate_reports(spark, d, whole).select("report_id").distinct()
-    m = merge_candidates(spark, d, whole).join(dup.toDF("a"), "a", "left_anti").join(dup.toDF("b"), "b", "left_anti")
+    dup = materialize(duplicate_reports(spark, d, whole).select("report_id").distinct(), "duplicates")
+    m = materialize(merge_candidates(spark, d, whole), "merges").join(dup.toDF("a"), "a", "left_anti").join(dup.toDF("b"), "b", "left_anti")
     met = m.select(F.col("a").alias("report_id"), F.col("b").alias("partner"), "score").unionByName(m.select(F.col("b").alias("report_id"), F.col("a").alias("partner"), "score"))
-    return S.recommend(A.reports(spark, d), _usage(spark, d).select("report_id", "days_ago", "groups"), dup, met)
+    return S.recommend(A.reports(spark, d), materialize(_usage(spark, d).select("report_id", "days_ago", "groups"), "usage"), dup, met)
 
 
 RECOMMENDATIONS = A.with_views(
@@ -265,8 +266,9 @@ RECOMMENDATIONS = A.with_views(
 )
 
 
-def _clusters(spark, d, t, whole=False):
-    edges = _composite(spark, d, whole).filter(F.col("composite") >= t).select("a", "b")
+def _clusters(spark, d, t, whole=False, pairs=None):
+    """Clusters of pairs(a, b, composite), computed here where they aren't given."""
+    edges = (_composite(spark, d, whole) if pairs is None else pairs).filter(F.col("composite") >= t).select("a", "b")
     return connected_components(edges).select("node", F.col("root").alias("cluster"))
 
 
@@ -289,8 +291,9 @@ COMPONENTS = _recursive(A.with_views(f"WITH {_WIDE}, {_CC(0.7)} SELECT node, clu
 def components_at(spark, d, whole=False):
     """Components at several thresholds, with a stable key of the members."""
     out = None
+    pairs = materialize(_composite(spark, d, whole).filter("composite >= 0.6").select("a", "b", "composite"), "composite")
     for t in (0.6, 0.8, 0.95):
-        c = _clusters(spark, d, t, whole).groupBy("cluster").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("node")), "|"), 256).alias("cluster_key"), F.count("*").alias("members"))
+        c = _clusters(spark, d, t, whole, pairs).groupBy("cluster").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("node")), "|"), 256).alias("cluster_key"), F.count("*").alias("members"))
         c = c.select(F.lit(t).alias("threshold"), "cluster", "cluster_key", "members")
         out = c if out is None else out.unionByName(c)
     return out

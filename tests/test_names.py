@@ -29,3 +29,14 @@ def test_names_that_share_nothing_never_meet(spark):
     table = spark.createDataFrame(names, "c string").select(F.lit("w").alias("where"), "c", F.array("c").alias("words"))
     met = scoring._overlapping(table, "words", lambda n: F.floor(n * 0.65) + 1).unionByName(scoring._containing(table))
     assert {(r["c"], r["d"]) for r in met.collect()} <= {(a, b) for (a,) in names for (b,) in names if a[0] == b[0]}
+
+
+def test_a_seventh_layer(spark):
+    pairs = spark.createDataFrame([(1, 2, 1.0, 0.5, 30, 40), (1, 3, None, 0.2, 7, 7)], "a long, b long, kpi double, visual double, rows_a int, rows_b int")
+    six = {(r["a"], r["b"]): r for r in scoring.composite(pairs).collect()}
+    assert [six[1, b]["composite"] for b in (2, 3)] == [round(0.2 + 0.15 * 0.5, 6), round(0.15 * 0.2, 6)]
+    layers = scoring.with_layer("size", 0.2, lambda p: F.least("rows_a", "rows_b") / F.greatest("rows_a", "rows_b"))
+    assert abs(sum(x.weight for x in layers.values()) - 1) < 1e-9
+    seven = {(r["a"], r["b"]): r for r in scoring.composite(pairs, layers).collect()}
+    for b, size in ((2, 0.75), (3, 1.0)):
+        assert seven[1, b]["size"] == size and abs(seven[1, b]["composite"] - (0.8 * six[1, b]["composite"] + 0.2 * size)) < 1e-6
