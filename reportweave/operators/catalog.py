@@ -226,3 +226,33 @@ def approve_scopes(dash: DataFrame, approvals: DataFrame) -> DataFrame:
     """dash(report, sector, subdomain) with the latest approval(report, sector, subdomain, ts) of each report in place of what was open."""
     last = latest(approvals, ["report"], F.desc("ts")).select("report", F.col("sector").alias("new_sector"), F.col("subdomain").alias("new_subdomain"))
     return dash.join(last, "report", "left").select("report", F.coalesce("sector", "new_sector").alias("sector"), F.coalesce("subdomain", "new_subdomain").alias("subdomain"))
+
+
+# The aggregations that a shelf's text may name before a field; truncated dates are dimensions and not among them.
+SHELF_AGGS = ["sum", "avg", "cnt", "count", "countd", "min", "max", "attr", "median", "pct", "stdev", "var", "sum_sqr"]
+SHELF_FIELD = rf"(?i)({'|'.join(SHELF_AGGS)}):\s*\[([^\]]+)\]"
+
+
+def field_name(ref: Column) -> Column:
+    """The field of a reference: the last bracket's content, and of `aggregation:field:kind` the middle."""
+    last = F.regexp_replace(F.element_at(F.split(ref, r"\]\.\["), -1), r"^[\[\]]+|[\[\]]+$", "")
+    return F.when(last.contains(":"), F.split(last, ":")[1]).otherwise(last)
+
+
+def shelf_bindings(sheets: DataFrame, columns: DataFrame) -> DataFrame:
+    """(sheet_id, field, aggregation, table, lineage) of the measures on shelves, one for each aggregation and lineage of a sheet, the first.
+
+    sheets: sheet_id, columns and rows (shelf text, `aggregation:[field]`), instances (array of derivation, column). columns(name, table) says
+    which table has a field; lineage is table.field where it is known. CNT is COUNT; derivations None and User say nothing.
+    """
+    found = lambda text, group: F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SHELF_FIELD), F.lit(group))
+    on_shelf = [F.arrays_zip(found(F.col(c), 1).alias("agg"), F.transform(found(F.col(c), 2), lambda r: F.trim(r)).alias("ref")) for c in ("columns", "rows")]
+    told = F.filter("instances", lambda i: i["column"].isNotNull() & ~F.upper(F.coalesce(i["derivation"], F.lit(""))).isin("NONE", "USER", ""))
+    derived = F.coalesce(F.transform(told, lambda i: F.struct(i["derivation"].alias("agg"), i["column"].alias("ref"))), F.array().cast("array<struct<agg:string,ref:string>>"))
+    each = sheets.select("sheet_id", F.posexplode(F.concat(*[F.transform(x, lambda e: F.struct(e["agg"].alias("agg"), e["ref"].alias("ref"))) for x in on_shelf], derived)).alias("at", "x"))
+    agg = F.upper("x.agg")
+    named = each.select("sheet_id", "at", F.when(agg == "CNT", "COUNT").otherwise(agg).alias("aggregation"), field_name(F.col("x.ref")).alias("field"))
+    placed = named.join(columns.select(F.col("name").alias("field"), "table"), "field", "left")
+    lineage = F.when(F.coalesce("table", F.lit("")) != "", F.concat_ws(".", "table", "field")).otherwise(F.col("field"))
+    first = placed.withColumn("lineage", lineage).groupBy("sheet_id", "aggregation", "lineage").agg(F.min_by(F.struct("field", F.coalesce("table", F.lit("")).alias("table")), "at").alias("x"))
+    return first.select("sheet_id", "x.field", "aggregation", "x.table", "lineage")

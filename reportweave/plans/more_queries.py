@@ -274,6 +274,29 @@ def preview_rows(spark, d):
     return e.withColumn("n", n).filter("n <= 5").select("event_type", "n", F.col("event_id").cast("string").alias("event_id"), F.col("user_id").cast("string").alias("user_id"))
 
 
+def shelf_bindings(spark, d):
+    """Measures on the shelves of a sheet for each part, whose brands are columns of a known table."""
+    p = A.table(spark, d, "part")
+    text = lambda form, *names: F.format_string(form, *[F.col(n) for n in names])
+    instance = lambda derivation, ref: F.struct(F.lit(derivation).alias("derivation"), ref.alias("column"))
+    sheets = p.select(
+        F.col("p_partkey").alias("sheet_id"),
+        text("sum:[%s] * Cnt: [%s]", "p_name", "p_brand").alias("columns"),
+        text("yr:[ship] + avg:[avg:%s:qk] + SUM:[%s]", "p_name", "p_name").alias("rows"),
+        F.array(instance("Avg", text("[src].[avg:%s:qk]", "p_name")), instance("None", F.lit("[x]")), instance("Cnt", text("[%s]", "p_type")), instance("CountD", text("[%s]", "p_brand"))).alias("instances"),
+    )
+    tables = p.groupBy(F.col("p_brand").alias("name")).agg(F.min("p_type").alias("table"))
+    return C.shelf_bindings(sheets, tables)
+
+
+SHELF_BINDINGS = """
+WITH s AS (SELECT p_partkey AS id, p_name AS n, p_brand AS b, p_type AS t FROM part),
+f AS (SELECT id, 0 AS pos, 'SUM' AS agg, n AS field FROM s UNION ALL SELECT id, 1, 'COUNT', b FROM s UNION ALL SELECT id, 2, 'AVG', n FROM s UNION ALL SELECT id, 3, 'SUM', n FROM s
+  UNION ALL SELECT id, 4, 'AVG', n FROM s UNION ALL SELECT id, 5, 'COUNT', t FROM s UNION ALL SELECT id, 6, 'COUNTD', b FROM s),
+c AS (SELECT p_brand AS name, min(p_type) AS tab FROM part GROUP BY 1)
+SELECT id AS sheet_id, agg AS aggregation, coalesce(tab || '.', '') || field AS lineage, arg_min(field, pos) AS field, coalesce(arg_min(tab, pos), '') AS "table" FROM f LEFT JOIN c ON c.name = field GROUP BY 1, 2, 3"""
+
+
 def usage_lookup(spark, d):
     """Usage of every customer by the sheet's exact name, else by letters and digits only, else by a name more than .85 alike, the first in the sheet; 365 days where none is."""
     k = F.col("c_custkey")
@@ -313,6 +336,7 @@ QUERIES = {
     "deep_lineage": (deep_lineage, A.with_views(_REACH, "reports", "items")),
     "shared_metrics": (shared_metrics, A.with_views("SELECT 'kpi:' || item AS dst, count(DISTINCT report_id) AS n FROM items JOIN reports USING (report_id) WHERE layer = 'kpi' GROUP BY 1 HAVING count(DISTINCT report_id) > 1", "reports", "items")),
     "change_detect": (change_detect, CHANGES),
+    "shelf_bindings": (shelf_bindings, SHELF_BINDINGS),
     "incremental_estate": (incremental_estate, INCREMENTAL_ESTATE),
     "incremental_pairs": (incremental_pairs, INCREMENTAL),
     "stream_latest": (stream_latest, A.with_views("SELECT mapping_id, arg_max(action, (ts, action_id)) AS action, count(*) AS n FROM actions GROUP BY 1", "actions")),

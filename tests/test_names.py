@@ -40,3 +40,15 @@ def test_a_seventh_layer(spark):
     seven = {(r["a"], r["b"]): r for r in scoring.composite(pairs, layers).collect()}
     for b, size in ((2, 0.75), (3, 1.0)):
         assert seven[1, b]["size"] == size and abs(seven[1, b]["composite"] - (0.8 * six[1, b]["composite"] + 0.2 * size)) < 1e-6
+
+
+def test_measures_on_shelves(spark):
+    from reportweave.operators import catalog
+
+    kind = "sheet_id long, columns string, rows string, instances array<struct<derivation:string,column:string>>"
+    rows = [
+        (1, "SUM:[Sales] sum: [ Sales ] mn:[Day]", "pct:[none:Rate:qk]x countd:[Id]", [("Sum", "[t].[sum:Sales:qk]"), ("User", "[a]"), (None, "[b]"), ("cnt", "[fed].[Id]"), ("Max", None)]),
+        (2, None, "", None),
+    ]
+    got = catalog.shelf_bindings(spark.createDataFrame(rows, kind), spark.createDataFrame([("Id", "people"), ("Id2", "x")], "name string, table string"))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "Id", "COUNT", "people", "people.Id"), (1, "Id", "COUNTD", "people", "people.Id"), (1, "Rate", "PCT", "", "Rate"), (1, "Sales", "SUM", "", "Sales")]
