@@ -189,12 +189,13 @@ def fenced_json(c: Column, schema: str) -> Column:
     return F.from_json(F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), r"^```(?:json)?\s*", ""), r"\s*```$", "")), schema)
 
 
-def parse_reply(c: Column) -> Column:
-    """A judge's reply: the outermost braces, typed; an empty or null id is a rejection with a confidence of .79 at most."""
+def parse_reply(c: Column, missing: Column | None = None) -> Column:
+    """A judge's reply: the outermost braces, typed; an empty or null id is a rejection with a confidence of .79 at most. missing stands for scores that aren't given (0)."""
+    missing = F.lit(0.0) if missing is None else missing
     fields = F.from_json(F.regexp_extract(c, r"(?s)(\{.*\})", 1), "matched_kpi_id string, similarity_score double, confidence_score double, rationale string")
     kpi = F.when(F.trim(F.coalesce(fields["matched_kpi_id"], F.lit(""))).isin("", "null", "None"), F.lit(None).cast("string")).otherwise(F.trim(fields["matched_kpi_id"]))
-    conf = F.coalesce(fields["confidence_score"], F.lit(0.0))
-    return F.struct(kpi.alias("matched_kpi_id"), F.coalesce(fields["similarity_score"], F.lit(0.0)).alias("similarity_score"), F.when(kpi.isNull(), F.least(conf, F.lit(0.79))).otherwise(conf).alias("confidence_score"))
+    conf = F.coalesce(fields["confidence_score"], missing)
+    return F.struct(kpi.alias("matched_kpi_id"), F.coalesce(fields["similarity_score"], missing).alias("similarity_score"), F.when(kpi.isNull(), F.least(conf, F.lit(0.79))).otherwise(conf).alias("confidence_score"))
 
 
 def lev_ratio(a: Column, b: Column) -> Column:

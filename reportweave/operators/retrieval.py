@@ -70,7 +70,8 @@ def unit(vec: Column) -> Column:
     """The vector in length one, as doubles; a zero vector stays."""
     v = F.transform(vec, lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+    # the norm is bound to a variable: written into the inner function it would be computed for every element
+    return F.transform(F.array(norm), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v))[0]
 
 
 _BLOCK = 4096  # queries that meet a list in one task

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from reportweave.functions import rules as R
 from reportweave.functions import text as X
+from reportweave.operators import judging as J
 from reportweave.operators import matching as M
+from reportweave.operators.durable import materialize
 from reportweave.plans.text_queries import NAME_SQL, VIRTUAL_SQL, conflict_sql, q, sql_agg, sql_compatible
 from reportweave.sources import adapters as A
 
@@ -231,6 +233,63 @@ JUDGE_REQUESTS = _ALL("""SELECT mention_id, '{"name":"' || name || '","candidate
   QUALIFY row_number() OVER (PARTITION BY o.mention_id ORDER BY r, b.kpi_id) <= 5) GROUP BY mention_id, name""")
 
 
+#: The judge's calls in a run, and where vectors that mean something accept by themselves.
+JUDGE_BUDGET, EMBEDDED = 300, 0.8
+
+
+def by_last_word(batch):
+    """A judge that takes the first candidate whose name ends in a word of the mention's, and that can't be understood about totals."""
+    import json
+
+    def reply(request):
+        asked = json.loads(request)
+        words = asked["name"].lower().split(" ")
+        if "total" in words:
+            return "I can't tell."
+        hit = next((c["kpi_id"] for c in asked["candidates"] if c["name"].split(" ")[-1] in words), None)
+        return "My answer:\n" + json.dumps({"matched_kpi_id": hit, "confidence_score": 0.96 if hit is not None and hit % 2 else 0.85})
+
+    return batch[["mention_id"]].assign(reply=batch["request"].map(reply))
+
+
+def match_judged(spark, d):
+    """What the waterfall leaves open: embeddings of names, sheets, aliases and lineage, the judge within its budget, embeddings beyond it.
+
+    Vectors of two subdomains are taken for meaningful, so that both kinds of vectors are met.
+    """
+    m, b, found = _waterfall(spark, d)
+    open_ = materialize(m.join(found, "mention_id", "left_anti"), "judged-mentions")
+    none = F.array().cast("array<string>")
+    mine = open_.withColumn("text", X.embedding_text(F.col("name"), F.lit(""), F.col("sheet"), none, none, F.col("lineage")))
+    theirs = b.withColumn("text", F.concat_ws(" ", "name", F.array_join("aliases", " ")))
+    vectors, memo = J.with_vectors(theirs, "text", J.hash_embedder)
+    asked, _ = J.with_vectors(mine, "text", J.hash_embedder, memo)
+    near = M.topk_cosine(asked.select("mention_id", F.col("subdomain").alias("scope"), F.col("vec").alias("m_vec")), vectors.select("kpi_id", F.col("subdomain").alias("scope"), F.col("vec").alias("b_vec")))
+    return J.judged_matches(open_, b, materialize(near, "judged-near"), by_last_word, JUDGE_BUDGET, F.col("subdomain").isin("ECONOMY", "MEDIUM"), EMBEDDED)
+
+
+_REPORT = f"({_OK})".replace(f"regexp_matches(m0.raw, {q(R.RATIO)})", f"regexp_matches(m0.raw || ' ' || m0.name, {q(R.RATIO)})").replace(f"regexp_matches(m0.raw, {q(R.MONEY)})", f"regexp_matches(m0.raw || ' ' || m0.name, {q(R.MONEY)})")
+MATCH_JUDGED = _ALL(f""", op AS (SELECT *, name || CASE WHEN sheet <> '' THEN ' displayed on worksheet ' || sheet ELSE '' END || ' ' || array_to_string(lineage, ' ') AS text FROM m WHERE mention_id NOT IN (SELECT mention_id FROM won)),
+  {_hash_sql('ja', '(SELECT mention_id AS key, text FROM op)')}, {_hash_sql('jb', "(SELECT kpi_id AS key, name || ' ' || array_to_string(aliases, ' ') AS text FROM bank)")},
+  dots AS (SELECT ja.key AS mention_id, jb.key AS kpi_id, sum(ja.w * jb.w) AS c FROM ja JOIN jb USING (slot) GROUP BY 1, 2),
+  near AS (SELECT op.mention_id, bank.kpi_id, bank.name AS b_name, round(coalesce(c, 0), 6) AS sim, row_number() OVER (PARTITION BY op.mention_id ORDER BY round(coalesce(c, 0), 6) DESC, bank.kpi_id) AS rank
+    FROM op JOIN bank USING (subdomain) LEFT JOIN dots ON dots.mention_id = op.mention_id AND dots.kpi_id = bank.kpi_id QUALIFY rank <= 5),
+  base AS (SELECT op.*, near.kpi_id AS best, sim, op.subdomain IN ('ECONOMY', 'MEDIUM') AS semantic, least(1.0, 0.95 * sim + CASE WHEN list_sort(op.lineage) = bank.lineage THEN 0.02 ELSE 0 END)::DOUBLE AS e
+    FROM op LEFT JOIN near ON near.mention_id = op.mention_id AND rank = 1 LEFT JOIN bank ON bank.kpi_id = near.kpi_id),
+  turn AS (SELECT mention_id, row_number() OVER (ORDER BY mention_id) <= {JUDGE_BUDGET} AS within FROM base WHERE best IS NOT NULL AND NOT (semantic AND sim >= {EMBEDDED})),
+  hit AS (SELECT base.mention_id, arg_min(near.kpi_id, rank) AS hit FROM base JOIN near ON near.mention_id = base.mention_id AND list_contains(string_split(lower(base.name), ' '), string_split(near.b_name, ' ')[-1]) GROUP BY 1),
+  br AS (SELECT base.*, hit, CASE WHEN best IS NULL THEN 'no_candidates' WHEN semantic AND sim >= {EMBEDDED} THEN 'embedding' WHEN NOT within THEN 'over_budget'
+    WHEN list_contains(string_split(lower(name), ' '), 'total') THEN 'judge_failed' ELSE 'judge' END AS branch FROM base LEFT JOIN turn USING (mention_id) LEFT JOIN hit USING (mention_id)),
+  cf AS (SELECT *, CASE branch WHEN 'embedding' THEN e WHEN 'judge' THEN CASE WHEN hit IS NULL THEN least(0.85, 0.79) WHEN hit % 2 = 1 THEN 0.96 ELSE 0.85 END ELSE coalesce(CASE WHEN semantic THEN sim ELSE least(sim, 0.5) END, 0) END::DOUBLE AS conf FROM br),
+  kp AS (SELECT cf.* EXCLUDE (lineage), CASE branch WHEN 'embedding' THEN best WHEN 'judge' THEN hit ELSE CASE WHEN conf >= 0.7 THEN best END END AS kpi_id FROM cf),
+  gt AS (SELECT m0.mention_id, m0.kpi_id, branch, coalesce(sim, 0)::DOUBLE AS sim, conf, {_DERIVED.replace('raw', 'm0.raw')} AS derived, {_REPORT} AS ok, m0.raw || ' ' || m0.name AS m, coalesce(b0.name, '') AS t,
+    CASE WHEN conf >= 0.95 THEN 'auto_accepted' WHEN conf >= 0.8 THEN 'pending_review' ELSE 'not_found' END AS plain FROM kp m0 LEFT JOIN bank b0 ON b0.kpi_id = m0.kpi_id),
+  st AS (SELECT *, {conflict_sql()} AS why, CASE WHEN kpi_id IS NULL THEN 'none' WHEN NOT ok THEN 'agg' WHEN ({conflict_sql()}) IS NOT NULL THEN 'false' WHEN derived THEN 'derived' WHEN plain = 'auto_accepted' AND sim < 0.98 THEN 'weak' ELSE 'plain' END AS gate FROM gt)
+  SELECT mention_id, kpi_id, branch, round(sim, 6) AS similarity, round(CASE gate WHEN 'agg' THEN 0 WHEN 'false' THEN 0 WHEN 'derived' THEN least(conf, 0.79) WHEN 'weak' THEN least(conf, 0.88) ELSE conf END, 6)::DOUBLE AS confidence,
+    CASE WHEN gate IN ('none', 'agg', 'false') THEN 'not_found' WHEN gate IN ('derived', 'weak') OR branch = 'over_budget' THEN 'pending_review' ELSE plain END AS status,
+    CASE gate WHEN 'agg' THEN 'aggregation mismatch' WHEN 'false' THEN why WHEN 'derived' THEN 'derived helper' WHEN 'weak' THEN 'fuzzy or weak match' END AS warning FROM st""")
+
+
 def match_memo(spark, d):
     """Mentions looked up in a memo of even ones' keys; misses are matched and added, one row a key."""
     m, b, found = _waterfall(spark, d)
@@ -264,4 +323,5 @@ QUERIES = {
     "cosine_topk": (cosine_topk, f"WITH {_TOPK} SELECT * FROM ranked WHERE rank <= 5"),
     "embed_accept": (embed_accept, EMBED_ACCEPT),
     "judge_requests": (judge_requests, JUDGE_REQUESTS),
+    "match_judged": (match_judged, MATCH_JUDGED),
 }
