@@ -152,6 +152,17 @@ def json_list(c: Column) -> Column:
     return F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
 
 
+def ragged_list(c: Column, path: str = "$") -> Column:
+    """The value at a path of a JSON text as strings, whatever its shape: an array's elements, a single value, of an object its JSON. [] for null, for what isn't there and for what isn't JSON.
+
+    Elements that are null stay; nested arrays and objects are JSON texts.
+    """
+    v = F.try_variant_get(F.try_parse_json(c), path, "variant")
+    nested = F.try_variant_get(v, "$", "array<variant>")
+    items = F.transform(nested, lambda x: F.try_variant_get(x, "$", "string"))
+    return F.coalesce(items, F.array_compact(F.array(F.try_variant_get(v, "$", "string"))), F.array().cast("array<string>"))
+
+
 def fallback_lineage(table: Column, column: Column, explicit: Column, required: Column) -> Column:
     """Explicit lineage, else required fields, else table.column, else column."""
     some = lambda a: F.when(F.size(a) > 0, a)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,7 +32,6 @@ def hash_embedder(texts: DataFrame) -> DataFrame:
 
 def embedder_of(function: Callable, dims: int) -> Embedder:
     """An embedder of a function from a pandas series of texts to one of vectors, fed in Arrow batches. A vector of another length than dims is an error."""
-    import pandas as pd
 
     def vectors(texts: pd.Series) -> pd.Series:
         out = function(texts)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reportweave.functions import text as X
+from reportweave.operators.durable import materialize, shared_dir, without_shuffle_files
 from reportweave.sources.adapters import latest
 
 SOURCES = ["named_measure", "visual_binding", "visual_breakdown", "mark_card", "summary"]
@@ -63,14 +65,35 @@ def graph(nodes: list[DataFrame], edges: list[DataFrame]) -> tuple[DataFrame, Da
     return n, reduce(DataFrame.unionByName, edges).distinct()
 
 
-def deep_lineage(edges: DataFrame, depth: int = 6) -> DataFrame:
-    """(src, dst, depth) of all nodes reachable within `depth` steps, at the least depth."""
-    reach = edges.select("src", "dst", F.lit(1).alias("depth"))
-    out = reach
-    for n in range(2, depth + 1):
-        reach = reach.filter(F.col("depth") == n - 1).join(edges.toDF("dst", "to"), "dst").select("src", F.col("to").alias("dst"), F.lit(n).alias("depth")).distinct()
-        out = out.unionByName(reach)
-    return out.groupBy("src", "dst").agg(F.min("depth").alias("depth"))
+def calc_edges(calcs: DataFrame) -> DataFrame:
+    """(src, dst): what each calculated field refers to, as `calc:` where a calculated field has that name in any case, else as `column:`. calcs: name, formula."""
+    refs = calcs.select(F.concat(F.lit("calc:"), F.lower("name")).alias("src"), F.explode(X.field_refs(F.col("formula"))).alias("ref"))
+    known = calcs.select(F.lower("name").alias("k")).distinct()
+    named = refs.join(known, F.lower("ref") == F.col("k"), "left")
+    return named.select("src", F.when(F.col("k").isNotNull(), F.concat(F.lit("calc:"), F.col("k"))).otherwise(F.concat(F.lit("column:"), "ref")).alias("dst")).distinct()
+
+
+def deep_lineage(edges: DataFrame) -> DataFrame:
+    """(src, dst, depth) of all that is reachable over any number of steps, at the least number. Cycles end, and may lead back to their start.
+
+    Each round extends the last one's new pairs only and leaves out those reached before. It is written as a folder of its own beside the others,
+    so that no round's plan holds another's.
+    """
+    spark = edges.sparkSession
+    steps = materialize(edges.select("src", "dst").filter("src is not null and dst is not null").distinct(), "lineage-steps")
+    path = f"{shared_dir(spark)}/lineage-{uuid.uuid4().hex}"
+    reached = lambda: spark.read.schema("src string, dst string, depth int").option("basePath", path).parquet(path)
+    depth, fresh = 1, steps.select(F.col("src").cast("string"), F.col("dst").cast("string"))
+    while True:
+        at = f"{path}/depth={depth}"
+        with without_shuffle_files(spark):
+            fresh.write.mode("overwrite").parquet(at)
+        last = spark.read.schema("src string, dst string").parquet(at)
+        if last.isEmpty():
+            return reached()
+        met = last.join(steps.toDF("dst", "to"), "dst").select("src", F.col("to").alias("dst")).distinct()
+        fresh = met.join(reached().select("src", "dst"), ["src", "dst"], "left_anti")
+        depth += 1
 
 
 def shared_in_graph(edges: DataFrame) -> DataFrame:

@@ -90,6 +90,40 @@ def trigram_similarity(names: DataFrame, least: float = 0.6) -> DataFrame:
     return both.select("a", "b", F.round(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")), 6).alias("similarity")).filter(F.col("similarity") >= least)
 
 
+def source_matches(columns: DataFrame, like: float = 0.6, rate: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """((a, b, rate) of sources whose columns match at a rate above `rate`, (source, class)). columns: source, column.
+
+    Sources with equal sets of names are one class, named by its least member; pairs are those of classes. Names match if they are equal or their trigrams are
+    more than `like` alike; the rate is the share of both sides' names that match one of the other side. Null and blank names don't count.
+
+    At the rate wanted one side has a match for that share of its names, and so for one of its n - ceil(rate * n) + 1 names that fewest classes can match:
+    only those are joined, so that a name that every source has doesn't make all sources meet.
+    """
+    clean = columns.select("source", F.lower(F.trim("column")).alias("column")).filter("source is not null and column <> ''")
+    sets = clean.groupBy("source").agg(F.array_sort(F.collect_set("column")).alias("cols"))
+    sets = materialize(sets, "source-sets")
+    classes = sets.groupBy("cols").agg(F.min("source").alias("class"))
+    members = sets.join(classes, "cols").select("source", "class")
+    one = materialize(classes.select("class", F.size("cols").alias("n"), F.explode("cols").alias("column")), "source-columns")
+    names = one.select(F.col("column").alias("name")).distinct()
+    near = materialize(trigram_similarity(names, like).filter(F.col("similarity") > like).select("a", "b"), "source-names")
+    matching = near.toDF("x", "y").unionByName(near.toDF("y", "x")).unionByName(names.select(F.col("name").alias("x"), F.col("name").alias("y")))
+    held = one.groupBy("column").agg(F.count("*").alias("held"))
+    wide = matching.join(held, F.col("y") == F.col("column")).groupBy("x").agg(F.collect_set("y").alias("likes"), F.sum("held").alias("spread"))
+    one = materialize(one.join(wide, F.col("column") == F.col("x")).drop("x"), "source-wide")
+    place = F.row_number().over(W.partitionBy("class").orderBy("spread", "column"))
+    rare = one.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * rate - 1e-9) + 1)
+    asked = rare.select("class", F.explode("likes").alias("column"))
+    met = asked.join(one.select(F.col("class").alias("other"), "column"), "column").filter(F.col("class") != F.col("other"))
+    met = met.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
+    sides = one.groupBy("class").agg(F.collect_list("column").alias("cols"), F.collect_list("likes").alias("likes"))
+    x, y = (sides.select(F.col("class").alias(s), F.col("cols").alias(f"cols_{s}"), F.col("likes").alias(f"likes_{s}")) for s in "ab")
+    both = met.join(x, "a").join(y, "b")
+    hits = lambda mine, theirs: F.size(F.filter(mine, lambda l: F.arrays_overlap(l, theirs)))
+    share = (hits(F.col("likes_a"), F.col("cols_b")) + hits(F.col("likes_b"), F.col("cols_a"))) / (F.size("cols_a") + F.size("cols_b"))
+    return both.select("a", "b", share.alias("rate")).filter(F.col("rate") > rate), members
+
+
 def fingerprints(items: DataFrame) -> DataFrame:
     """(report_id, layer, hash) of the sorted items of each layer."""
     return items.groupBy("report_id", "layer").agg(F.sha2(F.to_json(F.array_sort(F.collect_set("item"))), 256).alias("hash"))

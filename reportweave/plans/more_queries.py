@@ -126,7 +126,57 @@ def lineage_edges(spark, d):
 
 def deep_lineage(spark, d):
     """What every workbook reaches through its reports, and how far."""
-    return L.deep_lineage(_graph(spark, d)[1].filter("kind <> 'reads'").select("src", "dst"), 3)
+    return L.deep_lineage(_graph(spark, d)[1].filter("kind <> 'reads'").select("src", "dst"))
+
+
+def calc_lineage(spark, d):
+    """From every tenth part's metric through calculated fields, which refer to others of half and a third of their number, to base columns."""
+    p = A.table(spark, d, "part")
+    k = F.col("p_partkey")
+    ref = lambda by: F.concat(F.lit("[Calc "), F.floor(k / by).cast("string"), F.lit("]"))
+    brand = F.concat(F.lit("["), "p_brand", F.lit("]"))
+    formula = F.when(k < 2, F.concat(F.lit("SUM(["), "p_type", F.lit("])"))).when(k % 5 == 0, F.concat(F.lit("IF "), brand, F.lit(" > 0 THEN "), ref(2), F.lit(" END"))).otherwise(F.concat(F.lit("SUM("), ref(2), F.lit(") / "), ref(3)))
+    calcs = p.select(F.concat(F.lit("calc "), k.cast("string")).alias("name"), formula.alias("formula"))
+    shown = p.filter("p_partkey % 10 = 0").select(F.concat(F.lit("kpi:"), k.cast("string")).alias("src"), F.concat(F.lit("calc:calc "), k.cast("string")).alias("dst"))
+    return L.deep_lineage(L.calc_edges(calcs).unionByName(shown)).filter("src like 'kpi:%'")
+
+
+CALC_LINEAGE = """WITH RECURSIVE c AS (SELECT p_partkey AS k, p_brand, p_type FROM part),
+e AS (SELECT 'calc:calc ' || k AS src, 'calc:calc ' || (k // 2) AS dst FROM c WHERE k >= 2 UNION SELECT 'calc:calc ' || k, 'calc:calc ' || (k // 3) FROM c WHERE k >= 2 AND k % 5 <> 0
+  UNION SELECT 'calc:calc ' || k, 'column:' || p_brand FROM c WHERE k >= 2 AND k % 5 = 0 UNION SELECT 'calc:calc ' || k, 'column:' || p_type FROM c WHERE k < 2),
+r AS (SELECT 'kpi:' || k AS src, 'calc:calc ' || k AS dst, 1 AS depth FROM c WHERE k % 10 = 0 UNION SELECT r.src, e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.dst WHERE r.depth < 100)
+SELECT src, dst, min(depth)::INT AS depth FROM r GROUP BY 1, 2"""
+
+
+def source_matches(spark, d):
+    """Orders as sources of the columns that their lines name, some in the plural: pairs that match at a rate above .8, and how many orders stand behind each side."""
+    p = A.table(spark, d, "part").select("p_partkey", "p_name", "p_type")
+    l = A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(p, F.col("l_partkey") == F.col("p_partkey"))
+    plural = F.when((F.col("l_orderkey") + F.col("l_linenumber")) % 3 == 0, "s").otherwise("")
+    pairs, members = K.source_matches(l.select(F.col("l_orderkey").alias("source"), F.concat("p_name", plural, F.lit(" "), "p_type").alias("column")))
+    sizes = members.groupBy("class").agg(F.count("*").alias("n"))
+    return pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b").select("a", "b", "n_a", "n_b", F.round("rate", 6).alias("rate"))
+
+
+SOURCE_MATCHES = """WITH s AS (SELECT l_orderkey AS source, list_sort(list(DISTINCT lower(p_name || CASE WHEN (l_orderkey + l_linenumber) % 3 = 0 THEN 's' ELSE '' END || ' ' || p_type))) AS cols FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+k AS (SELECT cols, min(source) AS id, count(*) AS n FROM s GROUP BY 1), c AS (SELECT id, len(cols) AS n, unnest(cols) AS name FROM k), names AS (SELECT DISTINCT name FROM c),
+g AS (SELECT DISTINCT name, substr('  ' || name || ' ', i, 3) AS g FROM (SELECT name, unnest(range(1, length(name) + 2)) AS i FROM names)), z AS (SELECT name, count(*) AS n FROM g GROUP BY 1),
+sim AS (SELECT x.name AS x, y.name AS y, count(*) AS met FROM g x JOIN g y USING (g) GROUP BY 1, 2), ok AS (SELECT x, y FROM sim JOIN z a ON a.name = x JOIN z b ON b.name = y WHERE x = y OR round(met / (a.n + b.n - met)::DOUBLE, 6) > 0.6),
+hit AS (SELECT DISTINCT p.id AS a, q.id AS b, p.name FROM c p JOIN ok ON ok.x = p.name JOIN c q ON q.name = ok.y WHERE p.id <> q.id), m AS (SELECT least(a, b) AS a, greatest(a, b) AS b, count(*) AS met FROM hit GROUP BY 1, 2)
+SELECT m.a, m.b, x.n AS n_a, y.n AS n_b, round(met / (len(x.cols) + len(y.cols))::DOUBLE, 6) AS rate FROM m JOIN k x ON x.id = m.a JOIN k y ON y.id = m.b WHERE met / (len(x.cols) + len(y.cols))::DOUBLE > 0.8"""
+
+
+def ragged_json(spark, d):
+    """Properties of events whose value is now a number, now a text, a list, an object, missing or no JSON at all."""
+    e, k = A.table(spark, d, "events"), F.get_json_object("props", "$.k")
+    shapes = ["{\"k\": %s}", "{\"k\": \"%s\"}", "{\"k\": [%s, \"x\", null]}", "{\"k\": {\"v\": %s}}", "{\"j\": %s}", "{\"k\": %s", "[%s]"]
+    text = F.element_at(F.array(*[F.format_string(s, k) for s in shapes]), (F.col("event_id") % len(shapes) + 1).cast("int"))
+    some = lambda path: F.array_join(X.ragged_list(text, path), "|", "~")
+    return e.select("event_id", some("$.k").alias("k"), some("$.k.v").alias("v"), some("$[0]").alias("first"))
+
+
+RAGGED_JSON = """WITH e AS (SELECT event_id, event_id % 7 AS s, props->>'k' AS k FROM events)
+SELECT event_id, CASE WHEN s IN (0, 1) THEN k WHEN s = 2 THEN k || '|x|~' WHEN s = 3 THEN '{"v":' || k || '}' ELSE '' END AS k, CASE WHEN s = 3 THEN k ELSE '' END AS v, CASE WHEN s = 6 THEN k ELSE '' END AS first FROM e"""
 
 
 def shared_metrics(spark, d):
@@ -334,6 +384,9 @@ QUERIES = {
     "lineage_nodes": (lineage_nodes, A.with_views(f"WITH {_GRAPH} SELECT * FROM nodes", "reports", "items")),
     "lineage_edges": (lineage_edges, A.with_views(f"WITH {_GRAPH} SELECT * FROM edges", "reports", "items")),
     "deep_lineage": (deep_lineage, A.with_views(_REACH, "reports", "items")),
+    "calc_lineage": (calc_lineage, CALC_LINEAGE),
+    "source_matches": (source_matches, SOURCE_MATCHES),
+    "ragged_json": (ragged_json, RAGGED_JSON),
     "shared_metrics": (shared_metrics, A.with_views("SELECT 'kpi:' || item AS dst, count(DISTINCT report_id) AS n FROM items JOIN reports USING (report_id) WHERE layer = 'kpi' GROUP BY 1 HAVING count(DISTINCT report_id) > 1", "reports", "items")),
     "change_detect": (change_detect, CHANGES),
     "shelf_bindings": (shelf_bindings, SHELF_BINDINGS),
