@@ -14,6 +14,7 @@ from reportweave.operators import sketches as K
 from reportweave.plans.pair_queries import BLOCK
 from reportweave.plans.text_queries import NAME_SQL
 from reportweave.sources import adapters as A
+from reportweave.streaming import catalog as P
 from reportweave.streaming import incremental as I
 from reportweave.streaming import jobs as T
 
@@ -297,6 +298,37 @@ def stream_latest(spark, d):
     return out.select("mapping_id", F.col("x.action").alias("action"), "n")
 
 
+def stream_states(spark, d):
+    """The same from a state of its own for each mapping; actions come out of order in several batches, and every third of them comes again."""
+    e = A.table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "click", "accept").when(F.col("event_type") == "error", "reject").when(F.col("event_type") == "purchase", "reassign")
+    a = e.select(F.col("user_id").cast("long").alias("mapping_id"), F.col("event_id").cast("long").alias("action_id"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("action")).filter("action is not null")
+    again = F.explode(F.sequence(F.lit(0), (F.col("action_id") % 3 == 0).cast("int")))
+    landing = T.shared_path(spark, "actions")
+    a.withColumn("again", again).repartition(3, F.pmod(F.xxhash64("action_id", "again"), F.lit(3))).drop("again").write.parquet(landing)
+    stream = spark.readStream.schema(a.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    out = T.collect_updates(spark, T.action_states(stream), ["mapping_id"], "states")
+    return out.select("mapping_id", "action_id", "action", "n")
+
+
+def page_catalog(spark, d):
+    """Pages streamed into a catalog; then every third comes again, with a heading more or, every ninth, with nothing in it."""
+    p = A.table(spark, d, "pages").select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    landing, catalog, log = (T.shared_path(spark, n) for n in ("pages", "catalog", "catalog-log"))
+    p.write.mode("append").parquet(landing)
+    P.ingest_pages(spark, landing, catalog, log)
+    changed = F.when(F.col("page_id") % 9 == 0, "").otherwise(F.concat("html", F.lit("<h2>Added</h2>")))
+    p.filter("page_id % 3 = 0").withColumn("html", changed).write.mode("append").parquet(landing)
+    P.ingest_pages(spark, landing, catalog, log)
+    return P.read_catalog(spark, catalog)
+
+
+PAGE_CATALOG = r"""WITH p AS (SELECT page_id, url, CASE WHEN page_id % 9 = 0 THEN '' WHEN page_id % 3 = 0 THEN html || '<h2>Added</h2>' ELSE html END AS html FROM pages),
+k AS (SELECT page_id, 'page' AS kind, [url] AS v FROM p UNION ALL SELECT page_id, 'title', regexp_extract_all(html, '(?is)<title>(.*?)</title>', 1)[:1] FROM p
+  UNION ALL SELECT page_id, 'link', regexp_extract_all(html, '(?i)<a\s+href="([^"]*)"', 1) FROM p UNION ALL SELECT page_id, 'heading', regexp_extract_all(html, '(?is)<h[1-6]>(.*?)</h[1-6]>', 1) FROM p)
+SELECT page_id, kind, (unnest(range(len(v))))::INT AS pos, unnest(v) AS value FROM k"""
+
+
 def stream_windows(spark, d):
     """Events by day and kind, from the events as a stream."""
     e = T.stream_table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -393,6 +425,8 @@ QUERIES = {
     "incremental_estate": (incremental_estate, INCREMENTAL_ESTATE),
     "incremental_pairs": (incremental_pairs, INCREMENTAL),
     "stream_latest": (stream_latest, A.with_views("SELECT mapping_id, arg_max(action, (ts, action_id)) AS action, count(*) AS n FROM actions GROUP BY 1", "actions")),
+    "stream_states": (stream_states, A.with_views("SELECT mapping_id, arg_max(action_id, (ts, action_id)) AS action_id, arg_max(action, (ts, action_id)) AS action, count(*) AS n FROM actions GROUP BY 1", "actions")),
+    "page_catalog": (page_catalog, PAGE_CATALOG),
     "stream_windows": (stream_windows, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"),
     "bank_bootstrap": (
         bank_bootstrap,

@@ -1,10 +1,12 @@
-"""Streams: latest state of an action log, windowed progress with late rows dropped, incremental pair updates."""
+"""Streams: latest state of an action log, by a grouping and by a state of its own for each mapping, windowed progress with late rows dropped, incremental pair updates."""
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,44 @@ def latest_state(actions: DataFrame) -> DataFrame:
     return actions.groupBy("mapping_id").agg(F.max(F.struct("ts", "action_id", "action")).alias("x"), F.count("*").alias("n"))
 
 
+#: Of one mapping: its latest action, how many there were, and the ids (with microseconds) that can still come again.
+_STATE = "ts long, action_id long, action string, n long, ids array<long>, times array<long>"
+
+
+def action_states(actions: DataFrame, remember: timedelta = timedelta(days=365)) -> DataFrame:
+    """(mapping_id, ts, action_id, action, n) in update mode: a mapping's latest action by (ts, action_id), however late others come, and how many there were.
+
+    An id that comes again isn't counted again. Ids are remembered while their action is at most `remember` older than the mapping's latest one; an
+    action that comes when it is older than that can't be told from a repetition and is left out. So a state holds one mapping's ids of that time, however long the
+    stream runs. Actions: mapping_id, action_id, ts, action; rows without one of the first three are left out.
+    """
+    keep = int(remember.total_seconds() * 1e6)
+
+    def fold(key, frames, state):
+        ts, last, action, n, known = None, None, None, 0, {}
+        if state.exists:
+            ts, last, action, n, ids, times = state.get
+            known = dict(zip(ids, times))
+        before = n
+        for frame in frames:
+            for number, at, kind in zip(frame["action_id"].tolist(), frame["us"].tolist(), frame["action"]):
+                if number in known or (ts is not None and at < ts - keep):
+                    continue
+                known[number] = at
+                n += 1
+                if ts is None or (ts, last) < (at, number):
+                    ts, last, action = at, number, kind
+        if n > before:
+            known = {i: t for i, t in known.items() if t >= ts - keep}
+            state.update((ts, last, action, n, list(known), list(known.values())))
+            yield pd.DataFrame({"mapping_id": [key[0]], "us": [ts], "action_id": [last], "action": [action], "n": [n]})
+
+    whole = actions.filter("mapping_id is not null and action_id is not null and ts is not null")
+    rows = whole.select(F.col("mapping_id").cast("long"), F.col("action_id").cast("long"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "action")
+    out = rows.groupBy("mapping_id").applyInPandasWithState(fold, "mapping_id long, us long, action_id long, action string, n long", _STATE, "update", "NoTimeout")
+    return out.select("mapping_id", F.timestamp_micros("us").alias("ts"), "action_id", "action", "n")
+
+
 def progress_windows(events: DataFrame, size: str = "1 day", lateness: str = "7 days") -> DataFrame:
     """Events by kind and window of event time; rows later than the watermark are dropped, repeated ids count once."""
     once = events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["event_id"])
