@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reportweave.functions import rules as R
 from reportweave.functions import text as X
 from reportweave.operators.durable import materialize
 from reportweave.operators.retrieval import topk_dense, topk_sparse
@@ -210,6 +211,28 @@ def with_memo(m: DataFrame, memo: DataFrame) -> tuple[DataFrame, DataFrame]:
     return m.join(memo, "cache_key"), m.join(memo, "cache_key", "left_anti")
 
 
+def bank_version(bank: DataFrame) -> str:
+    """A fingerprint of a bank's rows, in any order: it changes when a row is added, changed or removed."""
+    h = F.xxhash64(F.to_json(F.struct(*sorted(bank.columns))))
+    low, high = F.sum(F.pmod(h, F.lit(1 << 31))), F.sum(F.shiftrightunsigned(h, 31))  # neither sum overflows below 2^30 rows
+    return bank.agg(F.concat_ws("-", F.count("*"), F.coalesce(low, F.lit(0)), F.coalesce(high, F.lit(0))).alias("v")).first()["v"]
+
+
+def recalled(m: DataFrame, memo: DataFrame, bank: DataFrame, version: str) -> tuple[DataFrame, DataFrame]:
+    """((mention_id, kpi_id, status, confidence, warning) of hits, misses) of mentions with a cache_key.
+
+    memo: cache_key, version, kpi_id, confidence, similarity, rationale. Rows of another version of the bank count as wiped. A hit is put through the quality gates
+    anew with the mention's own spelling, as mentions of one key may differ in it and the rules may have changed; one that they reject stays a hit. m: mention_id,
+    cache_key, name, raw, agg.
+    """
+    valid = memo.filter(F.col("version") == version).drop("version")
+    theirs = bank.select("kpi_id", F.col("name").alias("b_name"), F.col("agg").alias("b_agg"))
+    hits = m.join(valid, "cache_key").join(theirs, "kpi_id", "left")
+    g = R.quality_gates(F.col("name"), F.col("raw"), F.col("agg"), F.coalesce("b_agg", F.lit("")), F.concat_ws(" ", "raw", "name"), F.coalesce("b_name", F.lit("")), F.col("b_name").isNotNull(), F.col("confidence"), F.col("similarity"), F.col("rationale"))
+    gated = hits.select("mention_id", "kpi_id", g.alias("g")).select("mention_id", "kpi_id", "g.status", "g.confidence", "g.warning")
+    return gated, m.join(valid.select("cache_key"), "cache_key", "left_anti")
+
+
 def append_memo(memo: DataFrame, results: DataFrame) -> DataFrame:
     """memo with the results whose key it lacks, one a key."""
     fresh = results.select("cache_key", "kpi_id").join(memo, "cache_key", "left_anti").groupBy("cache_key").agg(F.min("kpi_id").alias("kpi_id"))

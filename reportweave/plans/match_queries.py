@@ -302,6 +302,27 @@ def match_memo(spark, d):
 MATCH_MEMO = _ALL("""SELECT cache_key, coalesce(min(kpi_id) FILTER (mention_id % 2 = 0), min(kpi_id)) AS kpi_id FROM (SELECT w.mention_id, w.kpi_id,
   sha256(lower(trim(m.name)) || '["' || m.lineage[1] || '"]' || CASE WHEN m.agg IN ('UNKNOWN', 'NONE') THEN '' ELSE m.agg END || 'insurance' || m.subdomain || 'v1') AS cache_key FROM won w JOIN m USING (mention_id)) GROUP BY 1""")
 
+def memo_recall(spark, d):
+    """What a memo of even mentions' matches says of all matched mentions, gated by each one's spelling. Rows of an older bank, with other matches, lie in it too."""
+    m, b, found = _waterfall(spark, d)
+    key = X.match_key(F.col("name"), F.col("lineage"), F.col("agg"), F.lit("insurance"), F.col("subdomain"))
+    keyed = materialize(m.withColumn("cache_key", key).join(found, "mention_id"), "memo-keyed")
+    note = F.when(F.col("phase") == "exact", "exact name match").when(F.col("phase") == "lineage", "lineage+agg match").otherwise(F.concat("phase", F.lit(" match")))
+    conf = M.phase_confidence(F.col("phase"))
+    rows = A.latest(keyed.filter("mention_id % 2 = 0"), ["cache_key"], "kpi_id", "phase").select("cache_key", "kpi_id", conf.alias("confidence"), conf.alias("similarity"), note.alias("rationale"))
+    version = M.bank_version(b)
+    old = M.bank_version(b.filter("kpi_id % 2 = 0"))
+    memo = rows.withColumn("version", F.lit(version)).unionByName(rows.withColumns({"version": F.lit(old), "kpi_id": F.col("kpi_id") + 1}))
+    hits, misses = M.recalled(keyed.drop("kpi_id", "phase"), memo, b, version)
+    missed = misses.select("mention_id", F.lit(None).cast("long").alias("kpi_id"), F.lit("miss").alias("status"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("warning"))
+    return hits.unionByName(missed)
+
+
+MEMO_RECALL = _ALL(f"""SELECT mention_id, kpi_id, CASE WHEN kpi_id IS NULL THEN 'miss' WHEN {_DERIVED} OR phase IN ('alias', 'virtual', 'fuzzy') THEN 'pending_review' ELSE 'auto_accepted' END AS status,
+  CASE WHEN kpi_id IS NULL THEN NULL WHEN {_DERIVED} THEN 0.79 WHEN phase = 'exact' THEN 1.0 WHEN phase = 'alias' THEN 0.88 WHEN phase = 'lineage' THEN 0.95 WHEN phase = 'virtual' THEN 0.9 ELSE 0.88 END::DOUBLE AS confidence,
+  CASE WHEN kpi_id IS NULL THEN NULL WHEN {_DERIVED} THEN 'derived helper' WHEN phase = 'alias' THEN 'fuzzy or weak match' END AS warning
+  FROM (SELECT mention_id, raw, (min((w.kpi_id, w.phase)) FILTER (mention_id % 2 = 0) OVER (PARTITION BY lower(trim(m.name)), m.lineage[1], CASE WHEN m.agg IN ('UNKNOWN', 'NONE') THEN '' ELSE m.agg END, m.subdomain)) AS x, x[1] AS kpi_id, x[2] AS phase FROM won w JOIN m USING (mention_id))""")
+
 QUERIES = {
     "match_exact": (match_exact, _ALL(_EXACT)),
     "match_alias": (match_alias, _ALL(_ALIAS)),
@@ -319,6 +340,7 @@ QUERIES = {
     "quality_gates": (gates, GATES),
     "match_gated": (match_gated, MATCH_GATED),
     "match_memo": (match_memo, MATCH_MEMO),
+    "memo_recall": (memo_recall, MEMO_RECALL),
     "hash_embeddings": (hash_embeddings, HASH_EMBEDDINGS),
     "cosine_topk": (cosine_topk, f"WITH {_TOPK} SELECT * FROM ranked WHERE rank <= 5"),
     "embed_accept": (embed_accept, EMBED_ACCEPT),
