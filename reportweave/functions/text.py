@@ -43,6 +43,12 @@ ABBREVIATIONS = [
     (r"\bavg\.?\b", "average"),
     (r"\bopportunities\b", "opportunity"),
 ]
+#: What a metric's name loses once each, in this order, on the way to the metric that several reports share; fixed values.
+SHARED_METRIC = [
+    r"\blevel\b",
+    r"\baging\b",
+    r"\b(variance from|rank of|percentage change in|total|change from previous year|year-over-year change in|% hit target for|claims|states|national|regions|region|state)\b",
+]
 WORKSHEET_NAME = [
     (r"(?i)^(kpi\s*-\s*|kpi:\s*|sheet\s*|table\s*-\s*)", ""),
     (r"[^a-zA-Z0-9\s]", ""),
@@ -85,6 +91,14 @@ def expand_abbreviations(c: Column) -> Column:
     return trim_ws(fold(trim_ws(F.lower(c)), ABBREVIATIONS))
 
 
+def shared_metric(c: Column) -> Column:
+    """The metric that a name is about: abbreviations spelled out, without its grain, and without the first of each of SHARED_METRIC."""
+    out = trim_ws(F.regexp_replace(expand_abbreviations(c), r"\b(by|per)\b.*$", ""))
+    for phrase in SHARED_METRIC:
+        out = trim_ws(F.regexp_replace(out, f"(?s)^(.*?){phrase}", "$1"))
+    return trim_ws(F.regexp_replace(out, r"\s+", " "))
+
+
 def clean_worksheet_name(c: Column) -> Column:
     return F.lower(trim_ws(fold(c, WORKSHEET_NAME)))
 

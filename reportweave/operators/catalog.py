@@ -39,6 +39,30 @@ def import_bank(rows: DataFrame, bank: DataFrame, update: bool = False) -> DataF
     return scoped.withColumn("first", first).join(known, ["k", "scope"], "left").select("row_id", "name", "definition", "scope", outcome.alias("outcome"))
 
 
+def upsert_bank(rows: DataFrame, bank: DataFrame, values: list[str], update: bool = False) -> DataFrame:
+    """(name, scope, *values, outcome, n_updated, n_skipped): the bank(name, scope, *values) after an import of rows(row_id, name, scope, *values).
+
+    A row meets the bank's row of the same name and scope; names are unique in the bank. Of rows whose names differ in case only, the first is inserted if the bank
+    lacks it, and others of another spelling that the bank lacks are skipped. With `update` each further row of a known spelling writes all
+    values, so the last row's remain; without it they are skipped. Outcomes are kept, updated, inserted and skipped; the new bank is
+    what isn't skipped. Rows without a name are left out; null scopes are one scope.
+
+    Rows are grouped by spelling first, so a name that a third of the rows hold is one row before it meets anything.
+    """
+    scope = F.coalesce("scope", F.lit(""))
+    named = rows.select("row_id", F.trim("name").alias("name"), scope.alias("scope"), F.struct(*values).alias("v")).filter("name <> ''")
+    spelled = named.groupBy("name", "scope").agg(F.max_by("v", "row_id").alias("last"), F.min_by("v", "row_id").alias("one"), F.min("row_id").alias("at"), F.count("*").alias("n"))
+    spelled = spelled.withColumn("leads", F.row_number().over(W.partitionBy(F.lower("name"), "scope").orderBy("at")) == 1)
+    had = bank.select("name", scope.alias("scope"), F.struct(*values).alias("old"), F.lit(True).alias("had"))
+    met = had.join(spelled, ["name", "scope"], "full_outer").withColumn("had", F.coalesce("had", F.lit(False)))
+    met = met.withColumns({"n": F.coalesce("n", F.lit(0)), "lives": F.col("had") | F.col("leads")})
+    change = F.lit(update) & F.col("lives") & (F.col("n") > 0)
+    v = F.when(change, F.col("last")).when(F.col("had"), F.col("old")).otherwise(F.col("one"))
+    outcome = F.when(~F.col("lives"), "skipped").when(~F.col("had"), "inserted").when(change, "updated").otherwise("kept")
+    extra = F.col("n") - F.when(F.col("lives") & ~F.col("had"), 1).otherwise(0)
+    return met.withColumn("v", v).select("name", "scope", *[F.col(f"v.{c}").alias(c) for c in values], outcome.alias("outcome"), F.when(change, extra).otherwise(0).alias("n_updated"), F.when(change, 0).otherwise(extra).alias("n_skipped"))
+
+
 def load_usage(rows: DataFrame) -> DataFrame:
     """(key, days_ago, groups) of sheet rows(name, days, groups array): trimmed, lower-cased; a bad number is null."""
     clean = F.array_compact(F.transform("groups", lambda g: F.nullif(F.trim(g), F.lit(""))))

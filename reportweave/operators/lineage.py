@@ -59,6 +59,17 @@ def expand_switchers(calcs: DataFrame, depth: int = 3) -> DataFrame:
     return out.groupBy("calc_id", "ref").agg(F.min("depth").alias("depth"))
 
 
+def qualified_lineage(calcs: DataFrame, columns: DataFrame) -> DataFrame:
+    """(calc_id, lineage) of calcs(calc_id, formula): its field references, sorted, as `table.reference` where columns(column, table) has the
+    reference, or else its lower-cased form, as a column; of several tables the least. A formula without references has an empty list."""
+    known = columns.groupBy("column").agg(F.min("table").alias("table"))
+    refs = calcs.select("calc_id", F.explode_outer(X.field_refs(F.col("formula"))).alias("ref"))
+    exact, lower = known.toDF("ref", "t1"), known.toDF("low", "t2")
+    met = refs.withColumn("low", F.lower("ref")).join(exact, "ref", "left").join(lower, "low", "left")
+    name = F.concat(F.coalesce(F.concat(F.coalesce("t1", "t2"), F.lit(".")), F.lit("")), "ref")
+    return met.groupBy("calc_id").agg(F.array_sort(F.collect_set(name)).alias("lineage"))
+
+
 def graph(nodes: list[DataFrame], edges: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Distinct (id, kind, label) and (src, dst, kind) of the parts; equal ids are one node with the least label."""
     n = reduce(DataFrame.unionByName, nodes).groupBy("id", "kind").agg(F.min("label").alias("label"))
