@@ -418,3 +418,31 @@ def test_cuts_are_found_by_halving(spark):
     cuts = [3, 7, 7, 20]
     rows = spark.createDataFrame([(i,) for i in (-5, 3, 6, 7, 19, 20, 99)], "x long")
     assert [r[0] for r in rows.select(fingerprint.at_most(cuts, F.col("x"))).collect()] == [sum(c <= i for c in cuts) for i in (-5, 3, 6, 7, 19, 20, 99)]
+
+
+def test_benchmark_pieces_hold_each_window_and_items_share_them(spark):
+    words = [f"w{i % 37}x{i // 91}" for i in range(400)]
+    items = [(1, " ".join(words)), (2, " ".join(words[100:250])), (3, " ".join(words).upper()), (None, " ".join(words[5:9])), (4, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    pieces = decontaminate.materialize(decontaminate.item_pieces(bench, 10, most=64).withColumn("piece_id", F.monotonically_increasing_id()))
+    want = {}
+    for item, text in items:
+        p = text.lower().split()
+        for i in range(max(0, len(p) - 10) + 1 if p else 0):
+            want.setdefault(" ".join(p[i : i + 10]), set()).update([str(item)] if item else [])
+    table = decontaminate.Benchmark(pieces.toArrow(), decontaminate.distinct_windows(pieces, 10).toArrow())
+    got = {}
+    for searcher, number in table.searchers:
+        for i, w in enumerate(number.tolist()):
+            s, n = int(searcher.start[i]), int(searcher.length[i])
+            assert searcher.text[s : s + n].startswith(b" ") and int(table.k[w]) == len(searcher.text[s : s + n].split())
+            assert got.setdefault(searcher.text[s : s + n].decode().strip(), set(table.items(w))) == set(table.items(w))
+    assert got == want
+
+
+def test_a_window_of_many_items_is_one_pattern(spark):
+    shared = " ".join(f"s{i}" for i in range(12))
+    bench = spark.createDataFrame([(i, f"{shared} own{i}") for i in range(300)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"before {shared} after"), (2, f"{shared} own7"), (3, "s1 s2")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert got == {1: (12, 300), 2: (13, 300), 3: (0, 0)}
