@@ -86,10 +86,9 @@ def distinct_windows(pieces: DataFrame, n: int) -> DataFrame:
                 k = min(n, len(space) - 1)
                 at, end = space[: len(space) - k], space[k:] + 1
                 found = [piece[a:b] for a, b in zip(at.tolist(), end.tolist())]
-                same = [pa.array(np.full(len(at), v)) for v in (piece_id, k)]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), same[0], pa.array(at), same[1]], names=["window", "piece_id", "at", "k"])
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(np.full(len(at), piece_id)), pa.array(at.astype(np.int32)), pa.array(np.full(len(at), k, np.int32))], names=["window", "piece_id", "at", "k"])
 
-    rows = pieces.select("piece_id", "piece").mapInArrow(run, "window binary, piece_id long, at long, k long")
+    rows = pieces.select("piece_id", "piece").mapInArrow(run, "window binary, piece_id long, at int, k int")
     one = rows.groupBy("window").agg(F.min(F.struct("piece_id", "at", "k")).alias("x"), F.collect_set("piece_id").alias("owners"))
     return one.select("x.*", F.octet_length("window").alias("length"), "owners")
 
