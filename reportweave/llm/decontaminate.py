@@ -120,23 +120,25 @@ class WuManber:
         h ^= h >> np.uint32(15)
         return ((h * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - self.bits)).astype(np.int64)
 
-    def _same(self, raw: bytes, at: int, i: int) -> bool:
-        s, n = int(self.start[i]), int(self.length[i])
-        return raw[at : at + n] == self.text[s : s + n]
-
     def find(self, data: np.ndarray, raw: bytes) -> list[tuple[int, int]]:
         """(start, pattern) of every occurrence in data."""
         m, b = self.m, self.b
         pos = np.arange(m - 1, len(data), _STRETCH)
         stop = np.minimum(pos + _STRETCH, len(data))
-        back = np.arange(b - 1, -1, -1)
+        back, text = np.arange(b - 1, -1, -1), np.frombuffer(self.text, np.uint8)
         out = []
         while len(pos):
             key = self._key(data[pos[:, None] - back])
             step = self.shift[key]
-            for at in np.flatnonzero(step == 0):
-                begin, k = int(pos[at]) - m + 1, int(key[at])
-                out += [(begin, i) for i in self.order[self.first[k] : self.first[k + 1]].tolist() if self._same(raw, begin, i)]
+            still = np.flatnonzero(step == 0)
+            low, count = self.first[key[still]], self.first[key[still] + 1] - self.first[key[still]]
+            if count.any():  # each position with each pattern of its bucket; two bytes are compared before the whole
+                begin = np.repeat(pos[still] - m + 1, count)
+                which = self.order[np.repeat(low - np.cumsum(count) + count, count) + np.arange(len(begin))]
+                s = self.start[which]
+                alike = np.flatnonzero((data[begin + 1] == text[s + 1]) & (data[begin + m - 1] == text[s + m - 1]))
+                near = (begin[alike].tolist(), which[alike].tolist(), s[alike].tolist(), self.length[which[alike]].tolist())
+                out += [(at, i) for at, i, s0, n in zip(*near) if raw[at : at + n] == self.text[s0 : s0 + n]]
             pos = pos + np.maximum(step, 1)
             live = pos < stop
             pos, stop = pos[live], stop[live]
