@@ -38,6 +38,8 @@ _TOP = struct.Struct("<8sII")
 _TAIL = struct.Struct("<III")
 FILE_IDS = 1 << 21
 _BLOCK_CHARS = 1 << 20
+#: Words that a worker remembers at most: some 40 MB.
+_WORDS = 200_000
 _ROWS = "part int, seq int, n_ids long, doc_ids array<bigint>, lengths binary, ids binary"
 
 
@@ -46,7 +48,7 @@ def bpe_words(path: str) -> WordIds:
 
     def make() -> WordIds:
         tokenizer = ByteBpe(path, special_as_text=False)
-        return WordIds(lambda texts: [np.array(x, "<u4").tobytes() for x in tokenizer.ids(texts)])
+        return WordIds(lambda texts: [np.array(x, "<u4").tobytes() for x in tokenizer.ids(texts)], _WORDS)
 
     return once(("ids", path), make)
 

@@ -87,8 +87,9 @@ def once(key: tuple, make: Callable[[], Any]) -> Any:
 
 
 def forget() -> None:
-    """Frees what a Python worker holds from earlier stages."""
+    """Frees what a Python worker holds from earlier stages, Arrow's unused memory too."""
     _loaded.clear()
+    pa.default_memory_pool().release_unused()
 
 
 #: Byte-level pre-tokenization parts a word of letters from the marks behind it, and both from a line feed between them. Then the model alone
