@@ -38,7 +38,7 @@ _TOP = struct.Struct("<8sII")
 _TAIL = struct.Struct("<III")
 FILE_IDS = 1 << 21
 _BLOCK_CHARS = 1 << 20
-#: Words that a worker remembers at most: some 40 MB.
+#: Words that a worker remembers at most; with more, two workers and the JVM come near an executor's memory.
 _WORDS = 200_000
 _ROWS = "part int, seq int, n_ids long, doc_ids array<bigint>, lengths binary, ids binary"
 
