@@ -125,3 +125,11 @@ def test_shared_metrics(spark):
     cases = {"Avg. Claims by Region": "average.", "Avg Claims": "average", "No. of Oppty per State": "number of opportunity", "Rank of Total Sales level level": "total sales level", "total total": "total", "State  of   aging aging": "of aging", "Statement": "statement", "": "", None: None}
     df = spark.createDataFrame([(k,) for k in cases], "x string").withColumn("y", X.shared_metric(F.col("x")))
     assert {r["x"]: r["y"] for r in df.collect()} == cases
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) > 100, set(e.oracle_sql()) <= set(e.queries()))"], capture_output=True, text=True, timeout=60, cwd=__file__.rsplit("/", 2)[0])
+    assert out.stdout.split() == ["True", "True"], out.stderr[-500:]
