@@ -39,11 +39,12 @@ def _estate(spark, d):
     return books, boards, sheets, sources, tables, joins
 
 
-_NODE = ["owner", "id", "label", "type", F.array_join("columns", ",").alias("columns")]
+def _nodes(graph):
+    return graph[0].withColumn("columns", F.array_join("columns", ","))
 
 
 def workbook_graph_nodes(spark, d):
-    return G.workbook_graph(*_estate(spark, d))[0].select(*_NODE)
+    return _nodes(G.workbook_graph(*_estate(spark, d)))
 
 
 def workbook_graph_edges(spark, d):
@@ -62,7 +63,7 @@ def workbook_graph_views(spark, d):
 
 
 def dashboard_graph_nodes(spark, d):
-    return G.dashboard_graph(*_estate(spark, d))[0].select(*_NODE)
+    return _nodes(G.dashboard_graph(*_estate(spark, d)))
 
 
 def dashboard_graph_edges(spark, d):
