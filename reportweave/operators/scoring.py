@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from reportweave.functions import text as X
 
 from .durable import materialize
+from .greedy import greedy_totals, in_groups, shuffled
 from .matching import near_names
 
 # The weights of the layers in the composite.
@@ -40,11 +41,11 @@ def subsumption(both: Column, n_a: Column, n_b: Column, threshold: float = 0.9)
     return F.when((n_a > 0) & (both / n_a >= threshold), "a_in_b").when((n_b > 0) & (both / n_b >= threshold), "b_in_a")
 
 
-def candidate_pairs(reports: DataFrame, block: list[str]) -> DataFrame:
-    """(a, b) with a < b of one block."""
+def candidate_pairs(reports: DataFrame, block: list[str], named: bool = False) -> DataFrame:
+    """(a, b) with a < b of one block; named: and `where`, the block's name."""
     a = reports.select(F.col("report_id").alias("a"), *block)
     b = reports.select(F.col("report_id").alias("b"), *block)
-    return a.join(b, block).filter("a < b").select("a", "b")
+    return a.join(shuffled(b), block).filter("a < b").select("a", "b", *[_where(block).alias("where")] * named)
 
 
 def item_sets(items: DataFrame, layers: list[str]) -> DataFrame:
@@ -64,10 +65,10 @@ def _met(layers: list[str]) -> Column:
 
 def block_counts(reports: DataFrame, items: DataFrame, block: list[str], layers: list[str]) -> DataFrame:
     """(a, b, counts) with a < b for every pair of a block; counts as _met's. Reports meet once, with their sets, and a pair is one row."""
-    rows = reports.select("report_id", *block).join(item_sets(items.filter(F.col("layer").isin(layers)), layers), "report_id", "left")
+    rows = reports.select("report_id", *block).join(shuffled(item_sets(items.filter(F.col("layer").isin(layers)), layers)), "report_id", "left")
     left, right = _sides(layers)
     a, b = rows.select(F.col("report_id").alias("a"), *block, *left), rows.select(F.col("report_id").alias("b"), *block, *right)
-    return a.join(b, block).filter("a < b").select("a", "b", _met(layers).alias("counts"))
+    return a.join(shuffled(b), block).filter("a < b").select("a", "b", _met(layers).alias("counts"))
 
 
 def pair_counts(pairs: DataFrame, items: DataFrame, layers: list[str]) -> DataFrame:
@@ -75,7 +76,7 @@ def pair_counts(pairs: DataFrame, items: DataFrame, layers: list[str]) -> DataFr
     sets = item_sets(items.filter(F.col("layer").isin(layers)), layers)
     left, right = _sides(layers)
     none = lambda side: [F.coalesce(f"{side}_{x}", F.array().cast("array<string>")).alias(f"{side}_{x}") for x in layers]
-    met = pairs.select("a", "b").join(sets.select(F.col("report_id").alias("a"), *left), "a", "left").join(sets.select(F.col("report_id").alias("b"), *right), "b", "left")
+    met = pairs.select("a", "b").join(shuffled(sets.select(F.col("report_id").alias("a"), *left)), "a", "left").join(shuffled(sets.select(F.col("report_id").alias("b"), *right)), "b", "left")
     return met.select("a", "b", *none("a"), *none("b")).select("a", "b", _met(layers).alias("counts"))
 
 
@@ -217,24 +218,18 @@ def alike_kpis(kinds: DataFrame, ratio: Callable[[Column, Column], Column], leas
 
 
 def kpi_overlap(pairs: DataFrame, kpis: DataFrame, ratio: Callable[[Column, Column], Column] = X.seq_ratio, least: float = 0.8) -> DataFrame:
-    """(a, b, total, n_a, n_b, score) of all pairs(a, b): greedy one-to-one overlap of their kpis(report_id, item, base, canonical, definition), by the smaller side's size.
+    """(a, b, total, n_a, n_b, score) of all pairs(a, b, perhaps where): greedy one-to-one overlap of their kpis(report_id, item, base, canonical, definition), by the smaller side's size.
 
     Equal base or canonical names (not empty) count 1.0, else definitions or names more than `least` alike 0.8. Edges are taken
-    best first, by that score, then by the names' likeness, then by the items' order, as assign_greedy does. A pair's sides are sets of
-    numbers (a hash of what is known of a metric) and are met through the metrics that are alike; its edges are one value of a row.
+    best first, by that score, then by the names' likeness, then by the items' order, as assign_greedy does. A report is a set of
+    numbers (a hash of what is known of a metric); pairs meet in groups of a block, each with the edges of its metrics (greedy.greedy_totals).
     """
     k = kpis.select("report_id", "item", "base", "canonical", F.lower("item").alias("name"), F.lower("definition").alias("definition")).dropDuplicates(["report_id", "item"])
     k = materialize(k.withColumn("kind", F.xxhash64(*_KIND)), "kpis")
-    alike = materialize(alike_kpis(k.select("kind", *_KIND).distinct(), ratio, least), "alike-kpis")
-    partners = alike.groupBy("x").agg(F.collect_list(F.struct("y", (-F.col("score")).alias("worse"), (-F.col("near")).alias("farther"), "l", "r")).alias("partners"))
-    mine = k.select("report_id", F.col("kind").alias("x")).join(partners, "x").groupBy("report_id").agg(F.flatten(F.collect_list("partners")).alias("edges"))
+    kinds = materialize(k.select("kind", *_KIND).distinct(), "kinds")
+    alike = materialize(alike_kpis(kinds, ratio, least).select("x", "y", "score", "near"), "alike-kpis")
     sets = k.groupBy("report_id").agg(F.collect_set("kind").alias("kinds"))
-    n = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
-    a = sets.join(mine, "report_id", "left").select(F.col("report_id").alias("a"), n("kinds").alias("n_a"), "edges")
-    both = pairs.select("a", "b").join(a, "a", "left").join(sets.select(F.col("report_id").alias("b"), "kinds"), "b", "left")
-    met = F.filter("edges", lambda e: F.array_contains("kinds", e["y"]))
-    edges = F.transform(met, lambda e: F.struct(e["worse"].alias("worse"), e["farther"].alias("farther"), e["l"].alias("l"), e["r"].alias("r")))
-    out = both.select("a", "b", F.coalesce("n_a", F.lit(0)).alias("n_a"), n("kinds").alias("n_b"), F.coalesce(assigned(edges), F.lit(0.0)).alias("total"))
+    out = greedy_totals(materialize(in_groups(pairs), "grouped-pairs"), sets, kinds.select("kind", "item"), alike)
     smaller = F.least("n_a", "n_b")
     return out.select("a", "b", "total", "n_a", "n_b", F.when(smaller == 0, 0.0).otherwise(F.col("total") / smaller).alias("score"))
 

@@ -53,7 +53,7 @@ def _ratio(whole):
 
 
 def _overlap(spark, d, whole):
-    return S.kpi_overlap(S.candidate_pairs(A.reports(spark, d), BLOCK), A.kpis(spark, d), _ratio(whole))
+    return S.kpi_overlap(S.candidate_pairs(A.reports(spark, d), BLOCK, named=True), A.kpis(spark, d), _ratio(whole))
 
 
 def kpi_overlap(spark, d):
