@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from reportweave.functions import text as X
 
 from .durable import materialize
-from .greedy import greedy_totals, in_groups, shuffled
+from .greedy import greedy_totals, in_groups, sheet_totals, shuffled
 from .matching import near_names
 
 # The weights of the layers in the composite.
@@ -239,7 +239,7 @@ def kpi_table_overlap(overlaps: DataFrame, tables: DataFrame) -> DataFrame:
 
     overlaps: see kpi_overlap; tables(a, b, met, n_a, n_b).
     """
-    j = overlaps.join(tables.select("a", "b", "met", F.col("n_a").alias("t_a"), F.col("n_b").alias("t_b")), ["a", "b"])
+    j = overlaps.join(shuffled(tables.select("a", "b", "met", F.col("n_a").alias("t_a"), F.col("n_b").alias("t_b"))), ["a", "b"])
 
     def one(me: str, other: str, n: str, t: str) -> DataFrame:
         kpi, table = F.col("total") / F.greatest(F.col(n), F.lit(1)), F.col("met") / F.greatest(F.col(t), F.lit(1))
@@ -336,7 +336,8 @@ def alike_names(sheets: DataFrame, block: list[str], ratio: Callable[[Column, Co
     Names are cleaned once. They meet through rare words of the smaller side, through a piece of a name that stands in the other, or through a piece that
     Levenshtein's ratio leaves unchanged (matching.near_names): names that share nothing never meet, and likeness is taken of those that met only.
     """
-    raw = materialize(sheets.select(_where(block).alias("where"), F.col("sheet").alias("x"), X.clean_text(F.col("sheet")).alias("c"), sheet_words(F.col("sheet")).alias("words")).distinct(), "sheet-names")
+    spelled = sheets.select(_where(block).alias("where"), F.col("sheet").alias("x")).distinct()
+    raw = materialize(spelled.select("where", "x", X.clean_text(F.col("x")).alias("c"), sheet_words(F.col("x")).alias("words")), "sheet-names")
     names = raw.select("where", "c", "words", core_words(F.col("words")).alias("core")).distinct()
     met = _overlapping(names, "words", lambda n: F.floor(n * WORDS_SHARED) + 1)
     met = met.unionByName(_overlapping(names, "core", lambda n: F.ceil(n * CORE_SHARED))).unionByName(_containing(names))
@@ -351,29 +352,35 @@ def alike_names(sheets: DataFrame, block: list[str], ratio: Callable[[Column, Co
     return spelled.join(like, ["where", "c"]).join(spelled.select("where", F.col("x").alias("y"), F.col("c").alias("d")), ["where", "d"]).select("where", "x", "y", "like")
 
 
-def sheet_matches(pairs: DataFrame, sheets: DataFrame, block: list[str], ratio: Callable[[Column, Column], Column] = X.seq_ratio) -> DataFrame:
-    """(a, b, l, r, score, exact) of the worksheets of pairs(a, b) of a block that match. sheets: report_id, sheet, axes, block columns."""
-    named = alike_names(sheets, block, ratio)
-    cleaned = sheets.select(_where(block).alias("where"), "report_id", "sheet", clean_axes(F.col("axes")).alias("axes"))
-    left = pairs.select("a", "b").join(cleaned.toDF("where", "a", "x", "v"), "a")
-    met = left.join(named, ["where", "x"]).join(cleaned.toDF("where", "b", "y", "w"), ["where", "b", "y"])
-    return met.withColumn("s", axes_score(F.col("like"), F.col("v"), F.col("w"))).select("a", "b", F.col("x").alias("l"), F.col("y").alias("r"), "s.score", "s.exact").filter("score > 0")
+def sheet_matches(pairs: DataFrame, sheets: DataFrame, ratio: Callable[[Column, Column], Column] = X.seq_ratio) -> DataFrame:
+    """(a, b, exact, grain, best, matched) of pairs(a, b, perhaps where) with worksheets that match: how many combinations match exactly, how many but for their grain,
+    the best score, and how many sheets match exactly one to one (best first). sheets: report_id, sheet, axes; a report has a sheet's name once.
+
+    Names are compared over the whole estate; pairs meet in groups of a block, each with its sheets and the likeness of their names (greedy.sheet_totals).
+    """
+    kind = lambda c: F.xxhash64(c)
+    known = materialize(sheets.filter("sheet is not null").select("report_id", "sheet", kind("sheet").alias("kind"), clean_axes(F.col("axes")).alias("axes")), "sheets")
+    alike = alike_names(known, [], ratio).select(kind("x").alias("x"), kind("y").alias("y"), "like.near", "like.named", (F.col("like.core") >= CORE_SHARED).alias("core"))
+    names = materialize(known.select("kind", F.col("sheet").alias("item")).distinct(), "names")
+    return sheet_totals(materialize(in_groups(pairs), "grouped-pairs"), known, names, materialize(alike, "alike-sheets")).filter("exact + grain > 0")
 
 
-def duplicate_reports(pairs: DataFrame, sheets: DataFrame, usage: DataFrame, block: list[str], ratio: Callable[[Column, Column], Column] = X.seq_ratio, least: float = 0.85, unknown_days: int = 9999) -> DataFrame:
+def duplicate_reports(pairs: DataFrame, sheets: DataFrame, usage: DataFrame, block: list[str] | None = None, ratio: Callable[[Column, Column], Column] = X.seq_ratio, least: float = 0.85, unknown_days: int = 9999) -> DataFrame:
     """(report_id, kept, matched): reports at least `least` of whose worksheets match another's exactly, one to one, and the other way round.
 
     The staler of the two goes, of equals the one with the greater id. Pairs whose counts differ too much to be duplicates are left out first.
+    With `block`, columns of sheets, pairs of two blocks don't match.
     """
-    n = sheets.groupBy("report_id").agg(F.count("*").alias("n"))
-    sized = pairs.select("a", "b").join(n.toDF("a", "n_a"), "a").join(n.toDF("b", "n_b"), "b")
-    sized = sized.filter(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b"))
-    edge = F.struct(F.lit(-1.0).alias("worse"), (-F.col("score")).alias("farther"), "l", "r")
-    met = sheet_matches(sized, sheets, block, ratio).filter("exact").groupBy("a", "b").agg(F.collect_list(edge).alias("edges"))
-    met = met.select("a", "b", assigned(F.col("edges")).cast("int").alias("matched"))
-    both = sized.join(met, ["a", "b"]).filter((F.col("matched") >= least * F.col("n_a")) & (F.col("matched") >= least * F.col("n_b")))
+    if block:
+        homes = sheets.select("report_id", _where(block).alias("where")).distinct()
+        pairs = pairs.select("a", "b").join(shuffled(homes.withColumnRenamed("report_id", "a")), "a").join(shuffled(homes.withColumnRenamed("report_id", "b")), ["b", "where"])
+    n = materialize(sheets.groupBy("report_id").agg(F.count("*").alias("n")), "sheet-counts")
+    sized = pairs.join(shuffled(n.toDF("a", "n_a")), "a").join(shuffled(n.toDF("b", "n_b")), "b")
+    sized = materialize(sized.filter(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")), "sized-pairs")
+    met = sheet_matches(sized.drop("n_a", "n_b"), sheets, ratio).filter("matched > 0").select("a", "b", "matched")
+    both = met.join(shuffled(sized.select("a", "b", "n_a", "n_b")), ["a", "b"]).filter((F.col("matched") >= least * F.col("n_a")) & (F.col("matched") >= least * F.col("n_b")))
     days = usage.select("report_id", "days_ago")
-    both = both.join(days.toDF("a", "d_a"), "a", "left").join(days.toDF("b", "d_b"), "b", "left")
+    both = both.join(shuffled(days.toDF("a", "d_a")), "a", "left").join(shuffled(days.toDF("b", "d_b")), "b", "left")
     stale = F.coalesce("d_a", F.lit(unknown_days)) > F.coalesce("d_b", F.lit(unknown_days))
     return both.select(F.when(stale, F.col("a")).otherwise(F.col("b")).alias("report_id"), F.when(stale, F.col("b")).otherwise(F.col("a")).alias("kept"), "matched")
 
@@ -382,7 +389,7 @@ def uniqueness(pairs: DataFrame, reports: DataFrame) -> DataFrame:
     """(report_id, uniqueness): what is left of 1 after the best likeness to any other report."""
     both = pairs.select(F.col("a").alias("report_id"), "composite").unionByName(pairs.select(F.col("b").alias("report_id"), "composite"))
     best = both.groupBy("report_id").agg(F.max("composite").alias("best"))
-    return reports.select("report_id").join(best, "report_id", "left").select("report_id", F.round(F.greatest(F.lit(0.0), 1 - F.coalesce("best", F.lit(0.0))), 6).alias("uniqueness"))
+    return reports.select("report_id").join(shuffled(best), "report_id", "left").select("report_id", F.round(F.greatest(F.lit(0.0), 1 - F.coalesce("best", F.lit(0.0))), 6).alias("uniqueness"))
 
 
 def recommend(reports: DataFrame, usage: DataFrame, duplicates: DataFrame, merges: DataFrame, stale_days: int = 180, unknown_days: int = 365) -> DataFrame:
@@ -391,8 +398,8 @@ def recommend(reports: DataFrame, usage: DataFrame, duplicates: DataFrame, merge
     duplicates(report_id) are to go; merges(report_id, partner, score) are candidates, of which the best is named.
     """
     best = merges.groupBy("report_id").agg(F.max_by("partner", F.struct("score", -F.col("partner"))).alias("partner"))
-    r = reports.select("report_id").join(usage.select("report_id", "days_ago", "groups"), "report_id", "left")
-    r = r.join(duplicates.select("report_id").distinct().withColumn("dup", F.lit(True)), "report_id", "left").join(best, "report_id", "left")
+    r = reports.select("report_id").join(shuffled(usage.select("report_id", "days_ago", "groups")), "report_id", "left")
+    r = r.join(shuffled(duplicates.select("report_id").distinct().withColumn("dup", F.lit(True))), "report_id", "left").join(shuffled(best), "report_id", "left")
     stale = F.coalesce("days_ago", F.lit(unknown_days)) > stale_days
     unused = F.coalesce(F.size("groups"), F.lit(0)) <= 0
     dup = F.coalesce("dup", F.lit(False))
@@ -428,9 +435,9 @@ def select_golden(members: DataFrame, weights: dict[str, float] = GOLDEN) -> Dat
 def cluster_recommendation(members: DataFrame, pairs: DataFrame, stale_days: int = 90) -> DataFrame:
     """(cluster, report_id, advice) for members(cluster, report_id, is_golden, days_ago) and pairs(a, b, composite, subset)."""
     golden = members.filter("is_golden").select("cluster", F.col("report_id").alias("golden"))
-    m = members.join(golden, "cluster")
+    m = members.join(shuffled(golden), "cluster")
     both = pairs.select("a", "b", "composite", "subset").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "composite", F.when(F.col("subset") == "a_in_b", "b_in_a").when(F.col("subset") == "b_in_a", "a_in_b").alias("subset")))
-    m = m.join(both, (F.col("report_id") == F.col("a")) & (F.col("golden") == F.col("b")), "left")
+    m = m.join(shuffled(both), (F.col("report_id") == F.col("a")) & (F.col("golden") == F.col("b")), "left")
     t = tier(F.coalesce("composite", F.lit(0.0)))
     advice = (
         F.when(F.col("is_golden"), "keep")

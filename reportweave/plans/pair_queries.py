@@ -72,7 +72,7 @@ GREEDY_OVERLAP = A.with_views(f"WITH {_COUNTS}, {_OVERLAP} SELECT a, b, total, n
 def _composite(spark, d, whole=False):
     """Six layers, the structural one being E18."""
     scores = S.score_columns(_counted(spark, d, A.LAYERS), A.LAYERS)
-    return S.composite(scores.join(_overlap(spark, d, whole).select("a", "b", F.col("score").alias("structure")), ["a", "b"], "left"))
+    return S.composite(scores.join(S.shuffled(_overlap(spark, d, whole).select("a", "b", F.col("score").alias("structure"))), ["a", "b"], "left"))
 
 
 def report_overlap(spark: SparkSession, d: str) -> DataFrame:
@@ -183,9 +183,9 @@ def _usage(spark, d):
 def merge_candidates(spark, d, whole=False):
     """Pairs that share a source and a user group and the greater of whose E18 and Jaccard of ids is above the threshold."""
     c = S.score_columns(_counted(spark, d, ["kpi", "source"]).withColumn("met", F.col("counts")[1]["met"]), ["kpi"], "met").filter("met > 0")
-    k = c.join(_overlap(spark, d, whole).select("a", "b", "score"), ["a", "b"]).select("a", "b", F.greatest("score", "kpi").alias("score")).filter("score > 0.60")
+    k = c.join(S.shuffled(_overlap(spark, d, whole).select("a", "b", "score")), ["a", "b"]).select("a", "b", F.greatest("score", "kpi").alias("score")).filter("score > 0.60")
     u = _usage(spark, d).select("report_id", "groups")
-    out = k.join(u.toDF("a", "ga"), "a").join(u.toDF("b", "gb"), "b")
+    out = k.join(S.shuffled(u.toDF("a", "ga")), "a").join(S.shuffled(u.toDF("b", "gb")), "b")
     return out.filter(F.arrays_overlap("ga", "gb")).select("a", "b", F.round("score", 6).alias("score"))
 
 
@@ -195,19 +195,15 @@ _MERGES = f"""{_COUNTS}, {_OVERLAP}, {_USAGE2}, merges AS (SELECT k.a, k.b, roun
 MERGE_CANDIDATES = A.with_views(f"WITH {_MERGES} SELECT a, b, score FROM merges", "reports", "items", "usage")
 
 
-def _block_sheets(spark, d):
-    return A.sheets(spark, d).join(A.reports(spark, d).select("report_id", *BLOCK), "report_id")
-
-
 def worksheet_matches(spark, d):
     """E20 of every pair of a block: how many worksheets match, exactly or but for their grain, and the best score."""
-    m = S.sheet_matches(S.candidate_pairs(A.reports(spark, d), BLOCK), _block_sheets(spark, d), BLOCK, X.lev_ratio)
-    return m.groupBy("a", "b").agg(F.count_if("exact").alias("exact"), F.count_if(~F.col("exact")).alias("grain"), F.round(F.max("score"), 6).alias("best"))
+    m = S.sheet_matches(S.candidate_pairs(A.reports(spark, d), BLOCK, named=True), A.sheets(spark, d), X.lev_ratio)
+    return m.select("a", "b", "exact", "grain", F.round("best", 6).alias("best"))
 
 
 def duplicate_reports(spark, d, whole=False):
     """E21: duplicates by their worksheets, and which of the two stays."""
-    return S.duplicate_reports(S.candidate_pairs(A.reports(spark, d), BLOCK), _block_sheets(spark, d), _usage(spark, d), BLOCK, _ratio(whole))
+    return S.duplicate_reports(S.candidate_pairs(A.reports(spark, d), BLOCK, named=True), A.sheets(spark, d), _usage(spark, d), None, _ratio(whole))
 
 
 _CLEAN = lambda c: f"lower({sql_trim(sql_fold(c, X.CLEAN_TEXT))})"
@@ -317,7 +313,7 @@ COMPONENTS_AT = _recursive(
 def golden_reports(spark, d, whole=False):
     cl = _clusters(spark, d, 0.6, whole).select("cluster", F.col("node").alias("report_id"))
     n = A.items(spark, d).groupBy("report_id").agg(F.count("*").alias("completeness"))
-    m = cl.join(n, "report_id").join(_usage(spark, d), "report_id")
+    m = cl.join(S.shuffled(n), "report_id").join(S.shuffled(_usage(spark, d)), "report_id")
     m = m.select("cluster", "report_id", "completeness", F.col("n_orders").alias("usage"), (-F.col("days_ago")).alias("freshness"), F.size("groups").alias("governance"), F.col("created").alias("recency"))
     return S.select_golden(m).select("cluster", "report_id", "golden_score", "is_golden")
 
