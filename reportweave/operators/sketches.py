@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .durable import materialize
+from .greedy import shuffled
 
 
 def minhash_pairs(items: DataFrame, block: DataFrame, bands: int = 32, rows: int = 8) -> DataFrame:
@@ -19,7 +20,7 @@ def minhash_pairs(items: DataFrame, block: DataFrame, bands: int = 32, rows: int
     keys = F.array(*[F.xxhash64(F.lit(b), *[f"h{b * rows + r}" for r in range(rows)]) for b in range(bands)])
     banded = sig.select("report_id", F.explode(keys).alias("key")).join(block, "report_id")
     a, b = banded.withColumnRenamed("report_id", "a"), banded.withColumnRenamed("report_id", "b")
-    return a.join(b, ["block", "key"]).filter("a < b").select("a", "b").distinct()
+    return a.join(shuffled(b), ["block", "key"]).filter("a < b").select("a", "b").distinct()
 
 
 def simhash(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -45,7 +46,7 @@ def simhash_near(hashes: DataFrame, block: str, most: int = 29, bands: int = 30)
     keys = F.array(*[F.concat(F.lit(f"{b}:"), *[bit(i) for i in range(edge[b], edge[b + 1])]) for b in range(bands)])
     rows = hashes.select("id", block, "words", F.explode(keys).alias("key"))
     a, b = rows.select(F.col("id").alias("a"), block, "key", F.col("words").alias("x")), rows.select(F.col("id").alias("b"), block, "key", F.col("words").alias("y"))
-    near = a.join(b, [block, "key"]).filter("a < b").select("a", "b", hamming(F.col("x"), F.col("y")).alias("distance"))
+    near = a.join(shuffled(b), [block, "key"]).filter("a < b").select("a", "b", hamming(F.col("x"), F.col("y")).alias("distance"))
     return near.filter(F.col("distance") <= most).distinct()
 
 
@@ -60,7 +61,7 @@ def simhash_all(hashes: DataFrame, most: int = 29, bands: int = 10, cut: Callabl
         raise ValueError("more bands are needed to miss no pair")
     h = cut(hashes.select("id", "words"))
     least = h.groupBy("words").agg(F.min("id").alias("a"))
-    copies = h.join(least, "words").filter(F.col("id") != F.col("a")).select("a", F.col("id").alias("b"), F.lit(0).alias("distance"))
+    copies = h.join(shuffled(least), "words").filter(F.col("id") != F.col("a")).select("a", F.col("id").alias("b"), F.lit(0).alias("distance"))
     edge = [256 * i // bands for i in range(bands + 1)]
     bit = lambda i, at: F.shiftleft(F.getbit(F.col("words")[i // 64], F.lit(i % 64)).cast("long"), at)
     values = [reduce(lambda x, y: x.bitwiseOR(y), [bit(i, i - edge[b]) for i in range(edge[b], edge[b + 1])]) for b in range(bands)]
@@ -69,7 +70,7 @@ def simhash_all(hashes: DataFrame, most: int = 29, bands: int = 10, cut: Callabl
     rows = banded.withColumn("flip", flips).withColumn("value", F.when(F.col("flip") < 0, F.col("x.value")).otherwise(F.col("x.value").bitwiseXOR(F.expr("shiftleft(1L, greatest(flip, 0))"))))
     x, y = (rows.select(F.col("id").alias(f"{p}_id"), F.col("words").alias(f"{p}_words"), F.col("flip").alias(f"{p}_flip"), F.col("x.band").alias("band"), "value") for p in "xy")
     once = ((F.col("y_flip") < 0) | ((F.col("x_flip") >= 0) & (F.col("x_flip") < F.col("y_flip")))) & (F.col("x_id") != F.col("y_id"))
-    met = x.join(y, ["band", "value"]).filter(once).select("x_id", "y_id", hamming(F.col("x_words"), F.col("y_words")).alias("distance")).filter(F.col("distance") <= most)
+    met = x.join(shuffled(y), ["band", "value"]).filter(once).select("x_id", "y_id", hamming(F.col("x_words"), F.col("y_words")).alias("distance")).filter(F.col("distance") <= most)
     return met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"), "distance").distinct().unionByName(copies)
 
 
