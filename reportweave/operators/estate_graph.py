@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reportweave.operators.greedy import shuffled
+
 VIEWS = {"full": ("worksheets", "tables"), "worksheets": ("worksheets",), "tables": ("tables",)}
 
 
@@ -54,14 +56,14 @@ def resolve_joins(tables: DataFrame, joins: DataFrame) -> DataFrame:
     left = first.select("source", F.col("name").alias("left_table"), F.col("id").alias("left_id"))
     right = first.select("source", F.col("name").alias("right_table"), F.col("id").alias("right_id"))
     typed = joins.withColumn("join_type", F.coalesce("join_type", F.lit("inner")))
-    return typed.join(left, ["source", "left_table"]).join(right, ["source", "right_table"])
+    return typed.join(shuffled(left), ["source", "left_table"]).join(shuffled(right), ["source", "right_table"])
 
 
 def _source_parts(datasources: DataFrame, tables: DataFrame, joins: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of the datasources and what is under them, owned by the workbook; without the edges that lead to datasources."""
     home = datasources.select("source", "workbook")
-    held = tables.join(home, "source")
-    met = resolve_joins(tables, joins).join(home, "source")
+    held = tables.join(shuffled(home), "source")
+    met = resolve_joins(tables, joins).join(shuffled(home), "source")
     shown = datasources.withColumn("shown", F.coalesce(F.nullif("caption", F.lit("")), "name"))
     says = F.concat(F.upper("join_type"), F.lit(" JOIN\n"), "left_column", F.lit(" = "), "right_column")
     nodes = [_nodes(shown, "workbook", _id("ds", "source"), "shown", "Datasource"), _nodes(held, "workbook", _id("tbl", "table_id"), "name", "Table", F.coalesce("columns", F.array().cast("array<string>")))]
