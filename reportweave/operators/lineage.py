@@ -5,11 +5,12 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reportweave.functions import text as X
 from reportweave.operators.durable import materialize, shared_dir, without_shuffle_files
+from reportweave.operators.greedy import shuffled
 from reportweave.sources.adapters import latest
 
 SOURCES = ["named_measure", "visual_binding", "visual_breakdown", "mark_card", "summary"]
@@ -84,17 +85,18 @@ def calc_edges(calcs: DataFrame) -> DataFrame:
     return named.select("src", F.when(F.col("k").isNotNull(), F.concat(F.lit("calc:"), F.col("k"))).otherwise(F.concat(F.lit("column:"), "ref")).alias("dst")).distinct()
 
 
-def deep_lineage(edges: DataFrame) -> DataFrame:
+def deep_lineage(edges: DataFrame, starts: Column | None = None) -> DataFrame:
     """(src, dst, depth) of all that is reachable over any number of steps, at the least number. Cycles end, and may lead back to their start.
 
-    Each round extends the last one's new pairs only and leaves out those reached before. It is written as a folder of its own beside the others,
-    so that no round's plan holds another's.
+    starts: a condition on src; others are passed through but nothing is followed from them. Each round extends the last one's new pairs only and leaves out those reached before. It is written as a folder of its own beside the others,
+    so that no round's plan holds another's. Edges and what was reached grow with the graph and are never broadcast.
     """
     spark = edges.sparkSession
     steps = materialize(edges.select("src", "dst").filter("src is not null and dst is not null").distinct(), "lineage-steps")
     path = f"{shared_dir(spark)}/lineage-{uuid.uuid4().hex}"
     reached = lambda: spark.read.schema("src string, dst string, depth int").option("basePath", path).parquet(path)
-    depth, fresh = 1, steps.select(F.col("src").cast("string"), F.col("dst").cast("string"))
+    begun = steps if starts is None else steps.filter(starts)
+    depth, fresh = 1, begun.select(F.col("src").cast("string"), F.col("dst").cast("string"))
     while True:
         at = f"{path}/depth={depth}"
         with without_shuffle_files(spark):
@@ -102,8 +104,8 @@ def deep_lineage(edges: DataFrame) -> DataFrame:
         last = spark.read.schema("src string, dst string").parquet(at)
         if last.isEmpty():
             return reached()
-        met = last.join(steps.toDF("dst", "to"), "dst").select("src", F.col("to").alias("dst")).distinct()
-        fresh = met.join(reached().select("src", "dst"), ["src", "dst"], "left_anti")
+        met = last.join(shuffled(steps.toDF("dst", "to")), "dst").select("src", F.col("to").alias("dst")).distinct()
+        fresh = met.join(shuffled(reached().select("src", "dst")), ["src", "dst"], "left_anti")
         depth += 1
 
 

@@ -139,7 +139,7 @@ def calc_lineage(spark, d):
     formula = F.when(k < 2, F.concat(F.lit("SUM(["), "p_type", F.lit("])"))).when(k % 5 == 0, F.concat(F.lit("IF "), brand, F.lit(" > 0 THEN "), ref(2), F.lit(" END"))).otherwise(F.concat(F.lit("SUM("), ref(2), F.lit(") / "), ref(3)))
     calcs = p.select(F.concat(F.lit("calc "), k.cast("string")).alias("name"), formula.alias("formula"))
     shown = p.filter("p_partkey % 10 = 0").select(F.concat(F.lit("kpi:"), k.cast("string")).alias("src"), F.concat(F.lit("calc:calc "), k.cast("string")).alias("dst"))
-    return L.deep_lineage(L.calc_edges(calcs).unionByName(shown)).filter("src like 'kpi:%'")
+    return L.deep_lineage(L.calc_edges(calcs).unionByName(shown), F.col("src").startswith("kpi:"))
 
 
 CALC_LINEAGE = """WITH RECURSIVE c AS (SELECT p_partkey AS k, p_brand, p_type FROM part),
