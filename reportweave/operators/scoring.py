@@ -53,19 +53,27 @@ def item_sets(items: DataFrame, layers: list[str]) -> DataFrame:
     return items.groupBy("report_id").agg(*[F.array_sort(F.collect_set(F.when(F.col("layer") == x, F.col("item")))).alias(x) for x in layers])
 
 
+def _numbers(items: DataFrame, layers: list[str]) -> DataFrame:
+    """item_sets, unsorted and of 64-bit hashes: only counted, never shown. Two different items of a pair agree by chance once in 2^64."""
+    number = F.when(F.col("item").isNotNull(), F.xxhash64("item"))
+    some = items.filter(F.col("layer").isin(layers)).select("report_id", "layer", number.alias("item"))
+    return some.groupBy("report_id").agg(*[F.collect_set(F.when(F.col("layer") == x, F.col("item"))).alias(x) for x in layers])
+
+
 def _sides(layers: list[str]) -> tuple[list[Column], list[Column]]:
-    return tuple([F.coalesce(x, F.array().cast("array<string>")).alias(f"{side}_{x}") for x in layers] for side in "ab")
+    return tuple([F.coalesce(x, F.array().cast("array<bigint>")).alias(f"{side}_{x}") for x in layers] for side in "ab")
 
 
 def _met(layers: list[str]) -> Column:
-    """array<struct(layer, met, n_a, n_b)> of a pair's sets."""
-    one = lambda x: F.struct(F.lit(x).alias("layer"), F.size(F.array_intersect(f"a_{x}", f"b_{x}")).alias("met"), F.size(f"a_{x}").alias("n_a"), F.size(f"b_{x}").alias("n_b"))
-    return F.array(*[one(x) for x in layers])
+    """array<struct(layer, met, n_a, n_b)> of a pair's sets. One function over all layers: written out for each, the generated method is too long to be compiled by the JVM."""
+    a = F.array(*[F.struct(F.lit(x).alias("layer"), F.col(f"a_{x}").alias("set")) for x in layers])
+    one = lambda x, y: F.struct(x["layer"].alias("layer"), F.size(F.array_intersect(x["set"], y)).alias("met"), F.size(x["set"]).alias("n_a"), F.size(y).alias("n_b"))
+    return F.zip_with(a, F.array(*[F.col(f"b_{x}") for x in layers]), one)
 
 
 def block_counts(reports: DataFrame, items: DataFrame, block: list[str], layers: list[str]) -> DataFrame:
     """(a, b, counts) with a < b for every pair of a block; counts as _met's. Reports meet once, with their sets, and a pair is one row."""
-    rows = reports.select("report_id", *block).join(shuffled(item_sets(items.filter(F.col("layer").isin(layers)), layers)), "report_id", "left")
+    rows = reports.select("report_id", *block).join(shuffled(_numbers(items, layers)), "report_id", "left")
     left, right = _sides(layers)
     a, b = rows.select(F.col("report_id").alias("a"), *block, *left), rows.select(F.col("report_id").alias("b"), *block, *right)
     return a.join(shuffled(b), block).filter("a < b").select("a", "b", _met(layers).alias("counts"))
@@ -73,9 +81,9 @@ def block_counts(reports: DataFrame, items: DataFrame, block: list[str], layers:
 
 def pair_counts(pairs: DataFrame, items: DataFrame, layers: list[str]) -> DataFrame:
     """(a, b, counts) of given pairs(a, b)."""
-    sets = item_sets(items.filter(F.col("layer").isin(layers)), layers)
+    sets = _numbers(items, layers)
     left, right = _sides(layers)
-    none = lambda side: [F.coalesce(f"{side}_{x}", F.array().cast("array<string>")).alias(f"{side}_{x}") for x in layers]
+    none = lambda side: [F.coalesce(f"{side}_{x}", F.array().cast("array<bigint>")).alias(f"{side}_{x}") for x in layers]
     met = pairs.select("a", "b").join(shuffled(sets.select(F.col("report_id").alias("a"), *left)), "a", "left").join(shuffled(sets.select(F.col("report_id").alias("b"), *right)), "b", "left")
     return met.select("a", "b", *none("a"), *none("b")).select("a", "b", _met(layers).alias("counts"))
 
