@@ -53,6 +53,16 @@ def item_sets(items: DataFrame, layers: list[str]) -> DataFrame:
     return items.groupBy("report_id").agg(*[F.array_sort(F.collect_set(F.when(F.col("layer") == x, F.col("item")))).alias(x) for x in layers])
 
 
+def missing_items(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """(superset, golden, layer, item) of what a superset has and its golden report lacks, for pairs(superset, golden). A null item equals none.
+
+    A report's items are one row, so that pairs go to them."""
+    sets = materialize(items.groupBy("report_id").agg(F.collect_list(F.struct("layer", "item")).alias("items")), "pair-sets")
+    both = pairs.join(shuffled(sets.toDF("superset", "has")), "superset").join(shuffled(sets.toDF("golden", "held")), "golden", "left")
+    held = F.coalesce(F.filter("held", lambda x: x["item"].isNotNull()), F.slice("has", 1, 0))
+    return both.select("superset", "golden", F.explode(F.array_except("has", held)).alias("x")).select("superset", "golden", "x.layer", "x.item")
+
+
 def _numbers(items: DataFrame, layers: list[str]) -> DataFrame:
     """item_sets, unsorted and of 64-bit hashes: only counted, never shown. Two different items of a pair agree by chance once in 2^64."""
     number = F.when(F.col("item").isNotNull(), F.xxhash64("item"))

@@ -337,9 +337,8 @@ def gap_tasks(spark, d):
     c = _counts(spark, d, ["kpi"])
     sub = S.subsumption(F.col("met"), F.col("n_a"), F.col("n_b"))
     p = c.select(F.when(sub == "a_in_b", F.col("b")).when(sub == "b_in_a", F.col("a")).alias("superset"), F.when(sub == "a_in_b", F.col("a")).when(sub == "b_in_a", F.col("b")).alias("golden")).filter("superset is not null")
-    i = A.items(spark, d)
-    have = p.join(i.withColumnRenamed("report_id", "superset"), "superset")
-    return have.join(i.withColumnRenamed("report_id", "golden"), ["golden", "layer", "item"], "left_anti").select("superset", "golden", "layer", "item")
+    p = materialize(p, "subsets")
+    return S.missing_items(p, A.items(spark, d, p.select(F.explode(F.array("superset", "golden")).alias("report_id")).distinct()))
 
 
 GAP_TASKS = A.with_views(
