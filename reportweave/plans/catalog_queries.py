@@ -366,7 +366,7 @@ GOVERNANCE_FLAGS = A.with_views(
 
 def partial_credit(spark, d):
     """E36: equal metrics count whole and similar ones in part, by the size of the union."""
-    o = P._overlap(spark, d, False).join(P._counts(spark, d, ["kpi"]).select("a", "b", "met"), ["a", "b"])
+    o = P._overlap(spark, d, False).join(S.shuffled(P._counts(spark, d, ["kpi"]).select("a", "b", "met")), ["a", "b"])
     union = F.col("n_a") + F.col("n_b") - F.col("met")
     return o.select("a", "b", F.when(union == 0, 0.0).otherwise(F.round(F.col("total") / union, 6)).alias("similarity"))
 
@@ -408,9 +408,9 @@ LABEL_PROPAGATION = A.with_views(f"WITH {_EDGES(0.4)}, tw AS (SELECT a, b, w FRO
 def cluster_recommendations(spark, d):
     """What is to become of each member of a cluster, by its likeness to the golden report."""
     golden = P.golden_reports(spark, d).select("cluster", "report_id", "is_golden")
-    members = golden.join(P._usage(spark, d).select("report_id", "days_ago"), "report_id")
+    members = golden.join(S.shuffled(P._usage(spark, d).select("report_id", "days_ago")), "report_id")
     sub = P._counts(spark, d, ["kpi"]).select("a", "b", S.subsumption(F.col("met"), F.col("n_a"), F.col("n_b")).alias("subset"))
-    return S.cluster_recommendation(members, P._composite(spark, d).select("a", "b", "composite").join(sub, ["a", "b"]))
+    return S.cluster_recommendation(members, P._composite(spark, d).select("a", "b", "composite").join(S.shuffled(sub), ["a", "b"]))
 
 
 CLUSTER_RECOMMENDATIONS = P._recursive(

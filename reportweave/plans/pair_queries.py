@@ -140,8 +140,8 @@ SCORE_DETAILS = A.with_views(f"WITH {_WIDE} SELECT a, b, layer, score FROM (UNPI
 
 def persistable_pairs(spark, d, whole=False):
     wide = _composite(spark, d, whole).select("a", "b", "composite")
-    met = wide.unionByName(wide.select(F.col("b").alias("a"), F.col("a").alias("b"), "composite"))
-    return S.persistable(met)
+    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))  # a union would score the pairs twice
+    return S.persistable(wide.select(both.alias("p"), "composite").select("p.a", "p.b", "composite"))
 
 
 PERSISTABLE_PAIRS = A.with_views(f"WITH {_WIDE} SELECT a, b, composite FROM comp WHERE composite >= 0.6", "reports", "items")
