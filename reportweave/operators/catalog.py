@@ -263,17 +263,23 @@ def field_name(ref: Column) -> Column:
     return F.when(last.contains(":"), F.split(last, ":")[1]).otherwise(last)
 
 
+#: About so many sheets are read in one task.
+SHEETS = 100_000
+
+
 def shelf_bindings(sheets: DataFrame, columns: DataFrame) -> DataFrame:
     """(sheet_id, field, aggregation, table, lineage) of the measures on shelves, one for each aggregation and lineage of a sheet, the first.
 
     sheets: sheet_id, columns and rows (shelf text, `aggregation:[field]`), instances (array of derivation, column). columns(name, table) says
     which table has a field; lineage is table.field where it is known. CNT is COUNT; derivations None and User say nothing.
+    A sheet's measures are sorted in the task that has it: there are as many as sheets ask for, so that none holds more the more there are.
     """
     found = lambda text, group: F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SHELF_FIELD), F.lit(group))
     on_shelf = [F.arrays_zip(found(F.col(c), 1).alias("agg"), F.transform(found(F.col(c), 2), lambda r: F.trim(r)).alias("ref")) for c in ("columns", "rows")]
     told = F.filter("instances", lambda i: i["column"].isNotNull() & ~F.upper(F.coalesce(i["derivation"], F.lit(""))).isin("NONE", "USER", ""))
     derived = F.coalesce(F.transform(told, lambda i: F.struct(i["derivation"].alias("agg"), i["column"].alias("ref"))), F.array().cast("array<struct<agg:string,ref:string>>"))
-    each = sheets.select("sheet_id", F.posexplode(F.concat(*[F.transform(x, lambda e: F.struct(e["agg"].alias("agg"), e["ref"].alias("ref"))) for x in on_shelf], derived)).alias("at", "x"))
+    tasks = max(sheets.sparkSession.sparkContext.defaultParallelism, -(-sheets.count() // SHEETS))
+    each = sheets.repartition(tasks, "sheet_id").select("sheet_id", F.posexplode(F.concat(*[F.transform(x, lambda e: F.struct(e["agg"].alias("agg"), e["ref"].alias("ref"))) for x in on_shelf], derived)).alias("at", "x"))
     agg = F.upper("x.agg")
     named = each.select("sheet_id", "at", F.when(agg == "CNT", "COUNT").otherwise(agg).alias("aggregation"), field_name(F.col("x.ref")).alias("field"))
     placed = named.join(columns.select(F.col("name").alias("field"), "table"), "field", "left")

@@ -1,7 +1,9 @@
 """What the plans of queries over pairs hold: costly steps once, nothing that grows with the pairs broadcast."""
 
+from reportweave.operators import catalog
 from reportweave.operators import scoring as S
-from reportweave.plans import catalog_queries, pair_queries
+from reportweave.plans import catalog_queries, more_queries, pair_queries
+from reportweave.sources import adapters
 
 
 def _plan(df):
@@ -32,3 +34,20 @@ def test_counts_of_pairs_are_never_broadcast(spark, monkeypatch):
     credit = catalog_queries.partial_credit(spark, "")
     assert "strategy=merge" in _plan(credit)
     assert [tuple(r) for r in credit.collect()] == [(1, 2, 0.333333)]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_lines_of_a_task_are_bounded(spark, monkeypatch):
+    n = adapters.table(spark, SF, "lineitem").count()
+    monkeypatch.setattr(adapters, "LINES", n // 20)
+    assert adapters.items(spark, SF).rdd.getNumPartitions() >= 20
+
+
+def test_sheets_of_a_task_are_bounded(spark, monkeypatch):
+    few = sorted(map(tuple, more_queries.shelf_bindings(spark, SF).collect()))
+    monkeypatch.setattr(catalog, "SHEETS", 10)
+    many = more_queries.shelf_bindings(spark, SF)
+    assert many.rdd.getNumPartitions() >= 20
+    assert sorted(map(tuple, many.collect())) == few
