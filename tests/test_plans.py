@@ -1,6 +1,8 @@
 """What the plans of queries over pairs hold: costly steps once, nothing that grows with the pairs broadcast."""
 
+from reportweave.functions import text as X
 from reportweave.operators import catalog
+from reportweave.operators import matching as M
 from reportweave.operators import scoring as S
 from reportweave.plans import catalog_queries, more_queries, pair_queries
 from reportweave.sources import adapters
@@ -51,3 +53,11 @@ def test_sheets_of_a_task_are_bounded(spark, monkeypatch):
     many = more_queries.shelf_bindings(spark, SF)
     assert many.rdd.getNumPartitions() >= 20
     assert sorted(map(tuple, many.collect())) == few
+
+
+def test_few_names_are_cut_into_pieces_in_all_tasks(spark):
+    a = spark.createDataFrame([("s", "order amount"), ("s", "order count"), ("t", "order amount")], "subdomain string, x string")
+    near = M.near_names(a, a.withColumnRenamed("x", "y"), X.seq_ratio, 0.9, 2)
+    assert _plan(near).count("Repartition 4, true") == 2  # of both sides, which AQE leaves alone
+    assert "strategy=merge" in _plan(near)
+    assert sorted((r.subdomain, r.x, r.y) for r in near.collect()) == [("s", "order amount", "order amount"), ("s", "order count", "order count"), ("t", "order amount", "order amount")]
