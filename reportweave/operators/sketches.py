@@ -14,11 +14,12 @@ from .greedy import shuffled
 
 
 def minhash_pairs(items: DataFrame, block: DataFrame, bands: int = 32, rows: int = 8) -> DataFrame:
-    """(a, b) of reports of one block that share a band of min-hashes. items: report_id, item; block: report_id, block."""
-    hashed = [F.min(F.xxhash64(F.lit(i), "item")).alias(f"h{i}") for i in range(bands * rows)]
-    sig = items.groupBy("report_id").agg(*hashed)
-    keys = F.array(*[F.xxhash64(F.lit(b), *[f"h{b * rows + r}" for r in range(rows)]) for b in range(bands)])
-    banded = sig.select("report_id", F.explode(keys).alias("key")).join(block, "report_id")
+    """(a, b) of reports of one block that share a band of min-hashes. items: report_id, item; block: report_id, block.
+
+    An item goes to each band, and a report's band takes its few least hashes: with those of all bands in one row, Spark has too many columns to compile."""
+    each = items.select("report_id", "item", F.explode(F.array(*[F.lit(b) for b in range(bands)])).alias("band"))
+    least = each.groupBy("report_id", "band").agg(*[F.min(F.xxhash64(F.col("band") * rows + r, "item")).alias(f"h{r}") for r in range(rows)])
+    banded = least.select("report_id", F.xxhash64("band", *[f"h{r}" for r in range(rows)]).alias("key")).join(block, "report_id")
     a, b = banded.withColumnRenamed("report_id", "a"), banded.withColumnRenamed("report_id", "b")
     return a.join(shuffled(b), ["block", "key"]).filter("a < b").select("a", "b").distinct()
 
