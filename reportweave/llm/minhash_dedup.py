@@ -29,7 +29,7 @@ DAMP = 0.1
 CELLS = 1 << 18
 _SPACE = separators("space")
 _DRAWS = 1 << 15
-_STEP = 4096
+_STEP = 2048
 _draws: dict = {}
 
 
@@ -43,9 +43,11 @@ def shingles(block, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.nda
     few = np.flatnonzero((count > 0) & (count < size))
     if len(few):
         short = np.array([gram_hashes(h[w.first[r] : w.first[r + 1]], int(count[r]))[0] for r in few], np.uint64)
-        g, row = np.concatenate([g, short]), np.concatenate([row, few])
-    order = np.lexsort((g, row))
-    g, row = g[order], row[order]
+        at = np.searchsorted(row, few)
+        g, row = np.insert(g, at, short), np.insert(row, at, few)
+    edge = np.searchsorted(row, np.arange(block.rows + 1)).tolist()
+    for lo, hi in zip(edge, edge[1:]):  # rows are in order, so that each is sorted where it is
+        g[lo:hi].sort()
     new = np.flatnonzero(np.concatenate([np.ones(min(1, len(g)), bool), (g[1:] != g[:-1]) | (row[1:] != row[:-1])]))
     return row[new], g[new], np.diff(np.append(new, len(g)))
 
@@ -80,21 +82,36 @@ def _table(samples: int) -> tuple[np.ndarray, ...]:
     return _draws[samples]
 
 
+def _room(samples: int) -> np.ndarray:
+    """Where a worker makes its samples, again and again: fresh memory of this size would be asked of the system each time."""
+    if -samples not in _draws:
+        _draws[-samples] = np.empty((4, _STEP, samples), np.float32)
+    return _draws[-samples]
+
+
 def sample(g: np.ndarray, weight: np.ndarray, samples: int = ROWS * BANDS) -> np.ndarray:
-    """A 64-bit identity of each of the document's consistent samples; g ascends."""
-    r, c, beta = _table(samples)
+    """A 64-bit identity of each of the document's consistent samples; g ascends. Works in place."""
+    tables, room = _table(samples), _room(samples)
     best, out = np.full(samples, np.inf, np.float32), np.zeros(samples, np.uint64)
     column = np.arange(samples)
+    logs, cells = np.log(weight)[:, None], (g & np.uint64(_DRAWS - 1)).astype(np.int64)
     for lo in range(0, len(g), _STEP):
-        some, cell = g[lo : lo + _STEP], (g[lo : lo + _STEP] & np.uint64(_DRAWS - 1)).astype(np.int64)
-        ri = r[cell]
-        t = np.floor(np.log(weight[lo : lo + _STEP])[:, None] / ri + beta[cell])
-        a = c[cell] - ri * (t - beta[cell] + 1)
+        some = cells[lo : lo + _STEP]
+        r, c, beta, t = (x[: len(some)] for x in room)
+        for x, to in zip(tables, (r, c, beta)):
+            x.take(some, 0, to, "clip")  # several times as fast as by index
+        np.divide(logs[lo : lo + _STEP], r, out=t)
+        t += beta
+        np.floor(t, out=t)
+        a = np.subtract(t, beta, out=beta)
+        a += 1
+        a *= r
+        np.subtract(c, a, out=a)
         at = a.argmin(0)
         low = a[at, column]
         won = low < best
         best[won] = low[won]
-        ids = mix(some[at] ^ mix(t[at, column].astype(np.int64).view(np.uint64)))
+        ids = mix(g[lo + at] ^ mix(t[at, column].astype(np.int64).view(np.uint64)))
         out[won] = ids[won]
     return out
 

@@ -3,8 +3,12 @@
 import os
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from reportweave.llm import minhash_dedup as M
+from reportweave.llm.wordbytes import blocks
 from reportweave.operators import sketches
 from reportweave.plans import graph_queries
 
@@ -47,3 +51,21 @@ def test_graphs_read_lines_once_and_are_those_of_the_sql_with_repeated_lines(spa
         assert not any("lineitem" in x for x in got.inputFiles())
         show = lambda rows: sorted(tuple("" if v is None else str(v) for v in r) for r in rows)
         assert show(got.collect()) == show(con.sql(sql).select(", ".join(got.columns)).fetchall())
+
+
+def test_samples_made_in_place_are_those_of_the_plain_formula():
+    """op6, op10 and the pipeline's near copies: same shingles in the same order, same samples, whatever the length."""
+    draw = np.random.default_rng(5)
+    texts = pa.array([" ".join(f"w{x}" for x in draw.integers(0, 9, n)) for n in (0, 1, 4, 5, 7, 300, 2, 6000)] + [None, " a  b "])
+    for b in blocks(texts):
+        row, g, count = M.shingles(b)
+        order = np.lexsort((g, row))
+        assert (order == np.arange(len(g))).all() and count.min() >= 1
+        r, c, beta = M._table(95)
+        for i in np.unique(row):
+            h, w = g[row == i], (count[row == i] * 1.03).astype(np.float32)
+            cell = (h & np.uint64(M._DRAWS - 1)).astype(np.int64)
+            t = np.floor(np.log(w)[:, None] / r[cell] + beta[cell])
+            a = c[cell] - r[cell] * (t - beta[cell] + 1)
+            at = a.argmin(0)
+            assert (M.sample(h, w) == M.mix(h[at] ^ M.mix(t[at, np.arange(95)].astype(np.int64).view(np.uint64)))).all()
