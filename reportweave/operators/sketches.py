@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .components import connected_components
 from .durable import materialize
 from .greedy import shuffled
 
@@ -92,14 +96,136 @@ def trigram_similarity(names: DataFrame, least: float = 0.6) -> DataFrame:
     return both.select("a", "b", F.round(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")), 6).alias("similarity")).filter(F.col("similarity") >= least)
 
 
+#: How many names of a class are looked for together, and up to how many names a class has for that; what a class asks for at most, before fewer names are taken together.
+TOGETHER, ASKED = {3: 24, 2: 120}, 4096
+_NONE = np.uint64(2**64 - 1)
+
+
+def _set_keys(columns: list[np.ndarray], salt: int) -> np.ndarray:
+    """A number for each row's set of three values at most (uint64, None where there are fewer), whatever their order and repetitions. Different sets agree by chance once in 2^64."""
+    rows = np.sort(np.stack(columns + [np.full_like(columns[0], _NONE)] * (max(TOGETHER) - len(columns)), 1), 1)
+    rows[:, 1:][rows[:, 1:] == rows[:, :-1]] = _NONE
+    key = np.full(len(rows), salt, np.uint64)
+    for column in np.sort(rows, 1).T:
+        key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(where each row's list begins in the values, its length, the values)."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.cumsum(sizes) - sizes, sizes, column.flatten()
+
+
+def _keyed(batch: pa.RecordBatch, rows: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"key": keys, **{c: batch.column(c).take(pa.array(rows)) for c in ("class", "n", "bits")}})
+
+
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, class, n, bits) of each choice of what l of a class's first n - hits + l names are like. batches: class, n, bits, hits, l, salt, lists."""
+    for batch in batches:
+        n, hits, width, salt = (batch.column(c).to_numpy() for c in ("n", "hits", "l", "salt"))
+        names, _, lists = _lists(batch.column("lists"))
+        starts, sizes, values = _lists(lists)
+        values = values.to_numpy().view(np.uint64)
+        for spare, l, tag in np.unique(np.stack([n - hits, width, salt], 1), axis=0).tolist():
+            rows = np.flatnonzero((n - hits == spare) & (width == l) & (salt == tag))
+            for places in combinations(range(spare + l), l):
+                each = np.prod([sizes[names[rows] + p] for p in places], 0)
+                for some in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(np.cumsum(each) >> 18)) + 1):  # about 260,000 choices at once
+                    many, of = each[some], np.repeat(rows[some], each[some])
+                    rank, chosen = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many), []
+                    for p in places:
+                        rank, at = np.divmod(rank, sizes[names[of] + p])
+                        chosen.append(values[starts[names[of] + p] + at])
+                    yield _keyed(batch, of, _set_keys(chosen, tag * 4 + l))
+
+
+def _have(most: dict[int, list[int]]) -> Callable:
+    """(key, class, n, bits) of all subsets of up to l of a class's names, for each l that some ask for with this salt. batches: class, n, bits, salt, keys and for each l: at_l, if the class may meet those."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            salt = batch.column("salt").to_numpy()
+            starts, sizes, values = _lists(batch.column("keys"))
+            values = values.to_numpy().view(np.uint64)
+            for n, tag in np.unique(np.stack([sizes, salt], 1), axis=0).tolist():
+                here = np.flatnonzero((sizes == n) & (salt == tag))
+                for l in most[tag]:
+                    rows = here[batch.column(f"at_{l}").to_numpy(zero_copy_only=False)[here]]
+                    held = values[starts[rows][:, None] + np.arange(n)]
+                    for places in (c for size in range(1, l + 1) for c in combinations(range(n), size)):
+                        if len(rows):
+                            yield _keyed(batch, rows, _set_keys([held[:, p] for p in places], tag * 4 + l))
+
+    return run
+
+
+def _least_hits(n: Column, rate: float) -> Column:
+    """The least number of hits whose share of n is above rate."""
+    below = F.floor(n * rate)
+    return F.when(below / n > rate, below).otherwise(below + 1)
+
+
+def _met_classes(sides: DataFrame, rate: float) -> DataFrame:
+    """(a, b), a < b, of classes that can match at a rate above `rate`, and some that can't. sides: class, n, groups, bits (one for each group), keys (of its names), lists (of what each name is like).
+
+    Of the side with the greater share of hits all names but n - hits have a match; so among any n - hits + l of its names l have one. These l are looked for together: the
+    side asks for each choice of what they are like, the other has the subsets of its names. l is three, as a pair of common names is held by too many. It is
+    less where no three names need a match, where a class would ask for more than ASKED choices, and where either side has too many subsets (`wide`).
+    A group that one side lacks is a name without a match, so classes that meet must nearly agree in their bits too.
+    """
+    wide = F.lit(1)
+    for l, most in sorted(TOGETHER.items()):
+        wide = F.when(F.col("n") <= most, l).otherwise(wide)
+    sides = sides.withColumn("wide", wide).withColumn("hits", F.greatest(_least_hits(F.col("n"), rate), F.lit(1)).cast("int")).filter("hits <= n")
+
+    def choices(l: Column | int) -> Column:  # or more: the number of sets of names times the longest list's power
+        count = F.lit(1.0)
+        for i in range(l):
+            count = count * (F.col("n") - F.col("hits") + l - i) / (i + 1)
+        return count * F.pow(F.array_max(F.transform(F.slice("lists", 1, F.col("n") - F.col("hits") + l), lambda x: F.size(x))), F.lit(l))
+
+    # salt: the lesser `wide` of the two sides, and whether it is the other side's only
+    widths = sorted(r["wide"] for r in sides.select("wide").distinct().collect())
+    salts = F.filter(F.array(*[F.lit(2 * w) for w in widths]), lambda x: x <= 2 * F.col("wide")) if widths else F.array().cast("array<int>")
+    asks = sides.withColumn("salt", F.explode(F.transform(salts, lambda x: x + (x < 2 * F.col("wide")).cast("int"))))
+    l = F.lit(1)
+    for k in range(2, max(TOGETHER) + 1):
+        l = F.when((F.floor(F.col("salt") / 2) >= k) & (F.col("hits") >= k) & (choices(k) <= ASKED), k).otherwise(l)
+    asks, most = asks.withColumn("l", l), {}
+    for r in asks.groupBy("salt", "l").agg(F.max("n").alias("n")).collect():
+        most.setdefault(r["salt"], {})[r["l"]] = r["n"]
+
+    def may(salt: Column, k: int) -> Column:  # names of as many groups as this can't all but some be matched by so few names
+        n = F.lit(0)
+        for s, of in most.items():
+            n = F.when(salt == s, of.get(k, 0)).otherwise(n)
+        both = F.col("n") + n
+        return (n > 0) & (F.col("groups") <= n + both - _least_hits(both, rate))
+
+    sought = F.array(*[F.lit(s) for s in most]) if most else F.array().cast("array<int>")
+    meets = F.filter(sought, lambda s: F.when(s % 2 == 0, F.col("wide") >= s / 2).otherwise(F.col("wide") == (s - 1) / 2))
+    has = sides.withColumn("salt", F.explode(meets))
+    has = has.select("class", "n", "bits", "salt", "keys", *[may(F.col("salt"), k).alias(f"at_{k}") for k in range(1, max(TOGETHER) + 1)])
+    kind = sides.schema["class"].dataType.simpleString()
+    schema = f"key long, class {kind}, n int, bits long"
+    x = asks.select("class", "n", "bits", "hits", "l", "salt", "lists").mapInArrow(_ask, schema)
+    y = has.mapInArrow(_have({s: sorted(of) for s, of in most.items()}), schema).toDF("key", "other", "m", "other_bits")
+    both = F.col("n") + F.col("m")
+    near = F.bit_count(F.col("bits").bitwiseXOR(F.col("other_bits"))) <= both - _least_hits(both, rate)
+    met = x.join(shuffled(y), "key").filter((F.col("class") != F.col("other")) & near)
+    return met.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
+
+
 def source_matches(columns: DataFrame, like: float = 0.6, rate: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """((a, b, rate) of sources whose columns match at a rate above `rate`, (source, class)). columns: source, column.
 
     Sources with equal sets of names are one class, named by its least member; pairs are those of classes. Names match if they are equal or their trigrams are
     more than `like` alike; the rate is the share of both sides' names that match one of the other side. Null and blank names don't count.
 
-    At the rate wanted one side has a match for that share of its names, and so for one of its n - ceil(rate * n) + 1 names that fewest classes can match:
-    only those are joined, so that a name that every source has doesn't make all sources meet.
+    Classes meet through several names at once (_met_classes): one name, even the rarest of a class, is held by a share of all classes.
     """
     clean = columns.select("source", F.lower(F.trim("column")).alias("column")).filter("source is not null and column <> ''")
     sets = clean.groupBy("source").agg(F.array_sort(F.collect_set("column")).alias("cols"))
@@ -107,20 +233,22 @@ def source_matches(columns: DataFrame, like: float = 0.6, rate: float = 0.8) ->
     classes = sets.groupBy("cols").agg(F.min("source").alias("class"))
     members = sets.join(classes, "cols").select("source", "class")
     one = materialize(classes.select("class", F.size("cols").alias("n"), F.explode("cols").alias("column")), "source-columns")
-    names = one.select(F.col("column").alias("name")).distinct()
-    near = materialize(trigram_similarity(names, like).filter(F.col("similarity") > like).select("a", "b"), "source-names")
+    held = materialize(one.groupBy("column").agg(F.count("*").alias("held")), "source-names")
+    names = held.select(F.col("column").alias("name"))
+    near = materialize(trigram_similarity(names, like).filter(F.col("similarity") > like).select("a", "b"), "source-likes")
     matching = near.toDF("x", "y").unionByName(near.toDF("y", "x")).unionByName(names.select(F.col("name").alias("x"), F.col("name").alias("y")))
-    held = one.groupBy("column").agg(F.count("*").alias("held"))
+    groups = connected_components(near)
     wide = matching.join(held, F.col("y") == F.col("column")).groupBy("x").agg(F.collect_set("y").alias("likes"), F.sum("held").alias("spread"))
-    one = materialize(one.join(wide, F.col("column") == F.col("x")).drop("x"), "source-wide")
-    place = F.row_number().over(W.partitionBy("class").orderBy("spread", "column"))
-    rare = one.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * rate - 1e-9) + 1)
-    asked = rare.select("class", F.explode("likes").alias("column"))
-    met = asked.join(one.select(F.col("class").alias("other"), "column"), "column").filter(F.col("class") != F.col("other"))
-    met = met.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
-    sides = one.groupBy("class").agg(F.collect_list("column").alias("cols"), F.collect_list("likes").alias("likes"))
-    x, y = (sides.select(F.col("class").alias(s), F.col("cols").alias(f"cols_{s}"), F.col("likes").alias(f"likes_{s}")) for s in "ab")
-    both = met.join(x, "a").join(y, "b")
+    wide = materialize(wide.join(groups, F.col("x") == F.col("node"), "left").withColumn("root", F.coalesce("root", "x")).select(F.col("x").alias("column"), "likes", "spread", F.xxhash64("x").alias("key"), F.transform("likes", lambda y: F.xxhash64(y)).alias("list"), "root", F.expr("shiftleft(1L, cast(pmod(xxhash64(root), 64) as int))").alias("bit")), "source-wide")
+    rows = one.join(wide, "column").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("spread", "column", "likes", "key", "list", "root", "bit"))).alias("names"))
+    first = lambda x, i: F.array_position(F.transform("names", lambda y: y["root"]), x["root"]) == i + 1
+    rows = rows.withColumn("names", F.concat(F.filter("names", first), F.filter("names", lambda x, i: ~first(x, i))))
+    of = lambda c: F.transform("names", lambda x: x[c])
+    sides = materialize(rows.select("class", "n", F.size(F.array_distinct(of("root"))).alias("groups"), F.aggregate(of("bit"), F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(b)).alias("bits"), of("column").alias("cols"), of("likes").alias("likes"), of("key").alias("keys"), of("list").alias("lists")), "source-sides")
+    met = _met_classes(sides, rate)
+    told = sides.select("class", "cols", "likes")
+    x, y = (told.select(F.col("class").alias(s), F.col("cols").alias(f"cols_{s}"), F.col("likes").alias(f"likes_{s}")) for s in "ab")
+    both = met.join(shuffled(x), "a").join(shuffled(y), "b")
     hits = lambda mine, theirs: F.size(F.filter(mine, lambda l: F.arrays_overlap(l, theirs)))
     share = (hits(F.col("likes_a"), F.col("cols_b")) + hits(F.col("likes_b"), F.col("cols_a"))) / (F.size("cols_a") + F.size("cols_b"))
     return both.select("a", "b", share.alias("rate")).filter(F.col("rate") > rate), members
