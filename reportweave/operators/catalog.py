@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from reportweave.functions import scope as C
 from reportweave.functions import text as X
 from reportweave.operators.durable import materialize
-from reportweave.operators.matching import near_names
+from reportweave.operators.matching import first_near_names
 from reportweave.sources.adapters import latest
 
 
@@ -87,9 +87,8 @@ def lookup_usage(dash: DataFrame, sheet: DataFrame, least: float = 0.85, unknown
     exact = first(sheet.select("row", "days", F.lower("key").alias("k"))).toDF("k1", "d1")
     loose = first(sheet.select("row", "days", X.alnum_key(F.col("key")).alias("k"))).toDF("k2", "d2")
     named = dash.withColumns({"k1": F.lower("name"), "k2": X.alnum_key(F.col("name"))}).join(exact, "k1", "left").join(loose, "k2", "left")
-    rest = named.filter("d1 is null and d2 is null").select(F.lit("").alias("subdomain"), F.col("k1").alias("x"))
-    near = near_names(rest, sheet.select(F.lit("").alias("subdomain"), F.lower("key").alias("y")), X.lev_ratio, least).filter(F.col("ratio") > least)
-    alike = near.join(sheet.select(F.lower("key").alias("y"), "row", "days"), "y").groupBy("x").agg(F.min_by("days", "row").alias("d3"))
+    rest = named.filter("d1 is null and d2 is null").select(F.col("k1").alias("x"))
+    alike = first_near_names(rest, sheet.select(F.lower("key").alias("y"), "row", F.col("days").alias("value")), least).withColumnRenamed("value", "d3")
     out = named.join(alike, (F.col("k1") == F.col("x")) & F.col("d1").isNull() & F.col("d2").isNull(), "left")
     how = F.when(F.col("d1").isNotNull(), "exact").when(F.col("d2").isNotNull(), "letters").when(F.col("d3").isNotNull(), "alike").otherwise("none")
     return out.select("c_custkey", F.coalesce("d1", "d2", "d3", F.lit(unknown)).alias("days"), how.alias("how"))
