@@ -14,6 +14,7 @@ from reportweave.operators import matching as M
 from reportweave.operators import review as V
 from reportweave.operators import scoring as S
 from reportweave.operators.components import connected_components
+from reportweave.operators.durable import materialize
 from reportweave.plans import pair_queries as P
 from reportweave.plans.text_queries import q, sql_fold, sql_trim
 from reportweave.sources import adapters as A
@@ -406,11 +407,14 @@ LABEL_PROPAGATION = A.with_views(f"WITH {_EDGES(0.4)}, tw AS (SELECT a, b, w FRO
 
 
 def cluster_recommendations(spark, d):
-    """What is to become of each member of a cluster, by its likeness to the golden report."""
-    golden = P.golden_reports(spark, d).select("cluster", "report_id", "is_golden")
+    """What is to become of each member of a cluster, by its likeness to the golden report. Pairs are counted and scored once, for clusters and for advice."""
+    counted = materialize(P._counted(spark, d, A.LAYERS), "pair-counts")
+    pairs = materialize(P._composite(spark, d, counted=counted).select("a", "b", "composite"), "composite")
+    golden = materialize(P.golden_reports(spark, d, pairs=pairs).select("cluster", "report_id", "is_golden"), "golden")
     members = golden.join(S.shuffled(P._usage(spark, d).select("report_id", "days_ago")), "report_id")
-    sub = P._counts(spark, d, ["kpi"]).select("a", "b", S.subsumption(F.col("met"), F.col("n_a"), F.col("n_b")).alias("subset"))
-    return S.cluster_recommendation(members, P._composite(spark, d).select("a", "b", "composite").join(S.shuffled(sub), ["a", "b"]))
+    kpi = F.col("counts")[A.LAYERS.index("kpi")]
+    sub = counted.select("a", "b", S.subsumption(kpi["met"], kpi["n_a"], kpi["n_b"]).alias("subset"))
+    return S.cluster_recommendation(members, pairs.join(S.shuffled(sub), ["a", "b"]))
 
 
 CLUSTER_RECOMMENDATIONS = P._recursive(

@@ -69,9 +69,9 @@ def greedy_overlap(spark, d):
 GREEDY_OVERLAP = A.with_views(f"WITH {_COUNTS}, {_OVERLAP} SELECT a, b, total, n_a, n_b, round(score, 6) AS score FROM ko", "reports", "items")
 
 
-def _composite(spark, d, whole=False):
-    """Six layers, the structural one being E18."""
-    scores = S.score_columns(_counted(spark, d, A.LAYERS), A.LAYERS)
+def _composite(spark, d, whole=False, counted=None):
+    """Six layers, the structural one being E18; from the counts of all layers, taken here where they aren't given."""
+    scores = S.score_columns(_counted(spark, d, A.LAYERS) if counted is None else counted, A.LAYERS)
     return S.composite(scores.join(S.shuffled(_overlap(spark, d, whole).select("a", "b", F.col("score").alias("structure"))), ["a", "b"], "left"))
 
 
@@ -310,8 +310,8 @@ COMPONENTS_AT = _recursive(
 )
 
 
-def golden_reports(spark, d, whole=False):
-    cl = _clusters(spark, d, 0.6, whole).select("cluster", F.col("node").alias("report_id"))
+def golden_reports(spark, d, whole=False, pairs=None):
+    cl = _clusters(spark, d, 0.6, whole, pairs).select("cluster", F.col("node").alias("report_id"))
     n = A.items(spark, d).groupBy("report_id").agg(F.count("*").alias("completeness"))
     m = cl.join(S.shuffled(n), "report_id").join(S.shuffled(_usage(spark, d)), "report_id")
     m = m.select("cluster", "report_id", "completeness", F.col("n_orders").alias("usage"), (-F.col("days_ago")).alias("freshness"), F.size("groups").alias("governance"), F.col("created").alias("recency"))
