@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,14 +30,92 @@ def minhash_pairs(items: DataFrame, block: DataFrame, bands: int = 32, rows: int
     return a.join(shuffled(b), ["block", "key"]).filter("a < b").select("a", "b").distinct()
 
 
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+#: Words whose hashes a task remembers.
+REMEMBERED = 200_000
+
+
+def _rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def _xxhash64(words: list[bytes], numbers: int = 4) -> np.ndarray:
+    """A row a word: xxhash64(0, word), xxhash64(1, word), ... as Spark's function has them (uint64)."""
+    h = (np.uint64(42) + _P5 + np.uint64(4)) ^ (np.arange(numbers, dtype=np.uint64) * _P1)
+    seeds, out = _mixed(_rotated(h, 23) * _P2 + _P3), np.empty((len(words), numbers), np.uint64)
+    sizes = np.array([len(w) for w in words])
+    for size in np.unique(sizes).tolist():
+        here = np.flatnonzero(sizes == size)
+        raw = np.frombuffer(b"".join(words[i] for i in here), np.uint8).reshape(len(here), size)
+        part = lambda at, kind: np.ascontiguousarray(raw[:, at : at + np.dtype(kind).itemsize]).view(kind).astype(np.uint64)  # noqa: B023, E731
+        h, at = np.broadcast_to(seeds + _P5, (len(here), numbers)), 0
+        if size >= 32:
+            lanes = [np.broadcast_to(seeds + x, h.shape) for x in (_P1 + _P2, _P2, np.uint64(0), np.uint64(0) - _P1)]
+            while at <= size - 32:
+                lanes = [_rotated(v + part(at + 8 * i, "<u8") * _P2, 31) * _P1 for i, v in enumerate(lanes)]
+                at += 32
+            h = sum((_rotated(v, by) for v, by in zip(lanes, (1, 7, 12, 18))), np.zeros(h.shape, np.uint64))
+            for v in lanes:
+                h = (h ^ (_rotated(v * _P2, 31) * _P1)) * _P1 + _P4
+        h = h + np.uint64(size)
+        while at <= size - 8:
+            h = _rotated(h ^ (_rotated(part(at, "<u8") * _P2, 31) * _P1), 27) * _P1 + _P4
+            at += 8
+        if at <= size - 4:
+            h = _rotated(h ^ (part(at, "<u4") * _P1), 23) * _P2 + _P3
+            at += 4
+        while at < size:
+            h = _rotated(h ^ (part(at, "u1") * _P5), 11) * _P1
+            at += 1
+        out[here] = _mixed(h)
+    return out
+
+
+def _signed_sums(batches: Iterator[pa.RecordBatch], packed: bool) -> Iterator[pa.RecordBatch]:
+    """(key, 256 signed sums of the hashes of a text's words, or their signs packed into four numbers) of batches(key, text) that have words."""
+    known, hashes = {}, np.empty((REMEMBERED, 32), np.uint8)
+    for batch in batches:
+        rows, sums, texts = [], [], batch.column(1).cast(pa.binary())
+        ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+        for some in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends // (1 << 20))) + 1):  # about a megabyte at once
+            each = [Counter((text or b"").split()) for text in texts.take(pa.array(some)).to_pylist()]  # at ASCII's blanks, as the regular expression's do
+            here = set().union(*each)
+            new = [w for w in here if w not in known]
+            if len(known) + len(new) > REMEMBERED:
+                known, new = {}, list(here)
+                if len(new) > len(hashes):
+                    hashes = np.empty((len(new), 32), np.uint8)
+            if new:
+                hashes[len(known) : len(known) + len(new)] = _xxhash64(new).astype("<u8").view(np.uint8)
+                known.update(zip(new, range(len(known), len(known) + len(new))))
+            for row, found in zip(some.tolist(), each):
+                if found:
+                    counts = np.fromiter(found.values(), float, len(found))
+                    bits = np.unpackbits(hashes[[known[w] for w in found]], axis=1, bitorder="little")
+                    rows.append(row)
+                    sums.append(2 * (counts @ bits.astype(float)) - counts.sum())
+        if rows:
+            told = np.array(sums)
+            told = np.packbits(told > 0, axis=1, bitorder="little").view("<i8") if packed else told.astype(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * told.shape[1]), pa.array(told.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), lists], ["key", "words"])
+
+
 def simhash(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, words array<long>[4]): 256 signed sums of token hashes, packed; one shuffle by key."""
-    tokens = texts.select(key, F.explode(F.split(F.lower(text), r"\s+")).alias("t")).filter("t <> ''").groupBy(key, "t").agg(F.count("*").alias("n"))
-    parts = tokens.withColumns({f"w{j}": F.xxhash64(F.lit(j), "t") for j in range(4)})
-    sums = [F.sum(F.when(F.getbit(f"w{j}", F.lit(i)) == 1, F.col("n")).otherwise(-F.col("n"))).alias(f"s{j}_{i}") for j in range(4) for i in range(64)]
-    summed = parts.groupBy(key).agg(*sums)
-    pack = lambda j: reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(F.when(F.col(f"s{j}_{i}") > 0, 1).otherwise(0).cast("long"), i) for i in range(64)])
-    return summed.select(key, F.array(*[pack(j) for j in range(4)]).alias("words"))
+    """(key, words array<long>[4]): signs of 256 signed sums of token hashes, packed. A text is summed up where it is; sums are added where a key has several texts."""
+    rows, schema = texts.select(key, F.lower(text)), f"key {texts.schema[key].dataType.simpleString()}, words array<bigint>"
+    if texts.groupBy(key).count().filter("count > 1").isEmpty():
+        return rows.mapInArrow(lambda batches: _signed_sums(batches, True), schema).withColumnRenamed("key", key)
+    each = rows.mapInArrow(lambda batches: _signed_sums(batches, False), schema).select("key", F.posexplode("words").alias("i", "s"))
+    signs = each.groupBy("key", "i").agg(F.sum("s").alias("s"))
+    pack = lambda j: F.sum(F.when((F.col("s") > 0) & (F.floor(F.col("i") / 64) == j), F.expr("shiftleft(1L, i % 64)")).otherwise(F.lit(0).cast("long")))
+    return signs.groupBy(F.col("key").alias(key)).agg(F.array(*[pack(j) for j in range(4)]).alias("words"))
 
 
 def hamming(a: Column, b: Column) -> Column:
