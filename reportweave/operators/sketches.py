@@ -135,28 +135,51 @@ def simhash_near(hashes: DataFrame, block: str, most: int = 29, bands: int = 30)
     return near.filter(F.col("distance") <= most).distinct()
 
 
-def simhash_all(hashes: DataFrame, most: int = 29, bands: int = 10, cut: Callable[[DataFrame], DataFrame] = materialize) -> DataFrame:
+#: Hashes of a block, and about so many pairs of blocks are a task of simhash_all.
+HASHES, MEETINGS = 4096, 64
+
+
+def _near_hashes(most: int) -> Callable:
+    """(a, b, distance) of the hashes of two blocks at most `most` bits apart; of one block, each pair once. batches: i, j, x and y, lists of (id, four numbers)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                sides = [batch.column(c)[row].values for c in ("x", "y")]
+                x, y = (np.stack([side.field(f"w{k}").to_numpy().view(np.uint64) for k in range(4)]) for side in sides)
+                same = batch.column("i")[row].as_py() == batch.column("j")[row].as_py()
+                for at in range(0, x.shape[1], 128):
+                    apart = np.zeros((min(128, x.shape[1] - at), y.shape[1]), np.uint16)
+                    for k in range(4):
+                        apart += np.bitwise_count(x[k, at : at + 128, None] ^ y[k])
+                    p, q = np.nonzero(apart <= most)
+                    if same:
+                        p, q = p[p + at < q], q[p + at < q]
+                    if len(p):
+                        yield pa.RecordBatch.from_pydict({"x": sides[0].field("id").take(pa.array(p + at)), "y": sides[1].field("id").take(pa.array(q)), "distance": pa.array(apart[p, q].astype(np.int32))})
+
+    return run
+
+
+def simhash_all(hashes: DataFrame, most: int = 29, cut: Callable[[DataFrame], DataFrame] = materialize) -> DataFrame:
     """(a, b, distance) of hashes(id, words) at most `most` bits apart, without a block.
 
     Equal hashes are one class: its least id is paired with each other member at distance 0, and stands for all of them in
-    the pairs of classes (a < b). Some band of a pair differs in two bits at most, if most < 3 * bands. Each side is dealt to its band's
-    value and to all values one bit off, so such pairs meet, once a band, in buckets of 25 bits instead of 8.
+    the pairs of classes (a < b). Texts of one language agree in so many bits that a third of all pairs share some band but for two bits; so classes are
+    compared pair by pair, a block with a block, of bounded size each. A pair costs some nanoseconds, but their number grows with the square of that of classes.
     """
-    if most >= 3 * bands:
-        raise ValueError("more bands are needed to miss no pair")
     h = cut(hashes.select("id", "words"))
-    least = h.groupBy("words").agg(F.min("id").alias("a"))
+    least = cut(h.groupBy("words").agg(F.min("id").alias("a")))
     copies = h.join(shuffled(least), "words").filter(F.col("id") != F.col("a")).select("a", F.col("id").alias("b"), F.lit(0).alias("distance"))
-    edge = [256 * i // bands for i in range(bands + 1)]
-    bit = lambda i, at: F.shiftleft(F.getbit(F.col("words")[i // 64], F.lit(i % 64)).cast("long"), at)
-    values = [reduce(lambda x, y: x.bitwiseOR(y), [bit(i, i - edge[b]) for i in range(edge[b], edge[b + 1])]) for b in range(bands)]
-    banded = least.select(F.col("a").alias("id"), "words", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.lit(edge[b + 1] - edge[b]).alias("width"), v.alias("value")) for b, v in enumerate(values)])).alias("x"))
-    flips = F.explode(F.sequence(F.lit(-1), F.col("x.width") - 1))
-    rows = banded.withColumn("flip", flips).withColumn("value", F.when(F.col("flip") < 0, F.col("x.value")).otherwise(F.col("x.value").bitwiseXOR(F.expr("shiftleft(1L, greatest(flip, 0))"))))
-    x, y = (rows.select(F.col("id").alias(f"{p}_id"), F.col("words").alias(f"{p}_words"), F.col("flip").alias(f"{p}_flip"), F.col("x.band").alias("band"), "value") for p in "xy")
-    once = ((F.col("y_flip") < 0) | ((F.col("x_flip") >= 0) & (F.col("x_flip") < F.col("y_flip")))) & (F.col("x_id") != F.col("y_id"))
-    met = x.join(shuffled(y), ["band", "value"]).filter(once).select("x_id", "y_id", hamming(F.col("x_words"), F.col("y_words")).alias("distance")).filter(F.col("distance") <= most)
-    return met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"), "distance").distinct().unionByName(copies)
+    parts = -(-least.count() // HASHES) or 1
+    held = F.collect_list(F.struct(F.col("a").alias("id"), *[F.col("words")[k].alias(f"w{k}") for k in range(4)]))
+    blocks = cut(least.filter("a is not null").groupBy(F.pmod(F.xxhash64("words"), F.lit(parts)).cast("int").alias("block")).agg(held.alias("held")))
+    tasks = max(4 * h.sparkSession.sparkContext.defaultParallelism, parts * (parts + 1) // 2 // MEETINGS) if parts > 1 else 1
+    x = blocks.select(F.col("block").alias("i"), F.explode(F.sequence("block", F.lit(parts - 1))).alias("j"), F.col("held").alias("x")).repartition(tasks, "i", "j")
+    y = blocks.select(F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("held").alias("y")).repartition(tasks, "i", "j")
+    kind = h.schema["id"].dataType.simpleString()
+    met = x.join(shuffled(y), ["i", "j"]).mapInArrow(_near_hashes(most), f"x {kind}, y {kind}, distance int").filter("x <> y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance").distinct().unionByName(copies)
 
 
 def trigram_similarity(names: DataFrame, least: float = 0.6) -> DataFrame:
